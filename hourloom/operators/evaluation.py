@@ -46,10 +46,17 @@ def daily_local_means(
 
 
 def predictions_with_observations(
-    predictions: DataFrame, observations: DataFrame, model_id: Column | int, stations: Sequence[str]
+    predictions: DataFrame, observations: DataFrame, model_id: Column | int, stations: Sequence[str] | DataFrame
 ) -> DataFrame:
-    """Predictions of one model at the listed stations with the observation of the same hour, if there is one."""
-    chosen = predictions.where((F.col("model_id") == model_id) & F.col("station_id").isin(list(stations)))
+    """Predictions of one model at the given stations with the observation of the same hour, if there is one.
+
+    Sort the result by station and time where it is shown; nothing here depends on the order.
+    """
+    chosen = predictions.where(F.col("model_id") == model_id)
+    if isinstance(stations, DataFrame):
+        chosen = chosen.join(stations.select("station_id"), "station_id", "left_semi")
+    else:
+        chosen = chosen.where(F.col("station_id").isin(list(stations)))
     return chosen.join(observations, ["station_id", "date_time"], "left")
 
 
@@ -177,20 +184,22 @@ def transgressions_per_month(
 def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float, accuracy: int = 10_000, name: str = "quantile") -> DataFrame:
     """Exact quantile with linear interpolation per key.
 
-    A quantile sketch with a guaranteed rank error brackets the wanted rank; only the values inside the bracket (at most
-    a few rows in 10,000) are counted one by one and ranked. The built-in percentile would hold every distinct value of
-    a key in one buffer.
+    A quantile sketch with a guaranteed rank error of 1 / accuracy brackets the wanted rank; only the values inside the
+    bracket (at most a few rows in 10,000) are counted one by one and ranked. A key of few rows keeps all of them. The
+    built-in percentile would hold every distinct value of a key in one buffer.
     """
     margin = 3.0 / accuracy
     low_p, high_p = max(p - margin, 0.0), min(p + margin, 1.0)
+    few = F.col("__n") <= 2 * accuracy
     filled = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
     brackets = filled.groupBy(*keys).agg(
         F.min("__v").alias("__min"),
         F.max("__v").alias("__max"),
+        F.count(F.lit(1)).alias("__n"),
         F.percentile_approx("__v", [low_p, high_p], accuracy).alias("__cut"),
     )
-    low = F.col("__min") if low_p == 0.0 else F.col("__cut")[0]
-    high = F.col("__max") if high_p == 1.0 else F.col("__cut")[1]
+    low = F.when(few | F.lit(low_p == 0.0), F.col("__min")).otherwise(F.col("__cut")[0])
+    high = F.when(few | F.lit(high_p == 1.0), F.col("__max")).otherwise(F.col("__cut")[1])
     brackets = brackets.select(*keys, low.alias("__low"), high.alias("__high"))
     # Keys are few next to rows; the run time decides from the measured size whether this side is broadcast.
     placed = filled.join(brackets, list(keys))

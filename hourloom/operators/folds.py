@@ -65,7 +65,7 @@ def train_rows(
 ) -> DataFrame:
     """Training rows of one fold: (cut - years, cut]. Train windows are never exploded, each retraining filters once."""
     upper = cut - hours(1) if include_current else cut
-    lower = cut - hours(int(train_years * HOURS_PER_YEAR))
+    lower = cut - hours(round(train_years * HOURS_PER_YEAR))
     return df.where((F.col(time) > lower) & (F.col(time) <= upper))
 
 
@@ -94,7 +94,7 @@ def fold_sizes(
     )
     cut = F.col("fold_cut")
     marks = F.array(
-        F.struct(F.lit("train_from").alias("mark"), (cut - hours(int(train_years * HOURS_PER_YEAR))).alias("at")),
+        F.struct(F.lit("train_from").alias("mark"), (cut - hours(round(train_years * HOURS_PER_YEAR))).alias("at")),
         F.struct(F.lit("split").alias("mark"), (cut - hours(1) if include_current else cut).alias("at")),
         F.struct(F.lit("end").alias("mark"), F.col("fold_end").alias("at")),
     )

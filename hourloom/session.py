@@ -11,7 +11,9 @@ from pyspark.sql import SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
-def build_session(app: str = "hourloom", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+def build_session(
+    app: str = "hourloom", master: str | None = None, shuffle_partitions: int | None = None, extra: dict | None = None
+) -> SparkSession:
     """A session with the settings the operators are written for: UTC wall time and adaptive execution."""
     builder = (
         SparkSession.builder.appName(app)
@@ -25,6 +27,8 @@ def build_session(app: str = "hourloom", master: str | None = None, shuffle_part
         builder = builder.master(master)
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for key, value in (extra or {}).items():
+        builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
