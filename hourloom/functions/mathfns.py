@@ -28,6 +28,15 @@ def mean_all(columns: Sequence[Column]) -> Column:
     return reduce(add, columns) / F.lit(len(columns))
 
 
+def half_even(value: Column, digits: int = 0) -> Column:
+    """Round a double as column stores and numpy do: scale, round halves to even, scale back.
+
+    bround() works on the shortest decimal text of the double instead and differs where scaling hits a half.
+    """
+    scale = F.lit(10.0**digits)
+    return F.rint(value * scale) / scale
+
+
 def exact_mean(value: Column, decimals: int = 4) -> Column:
     """Mean of measurements with a fixed number of decimals.
 

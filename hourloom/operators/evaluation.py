@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hourloom.functions.mathfns import ratio
+from hourloom.functions.mathfns import half_even, ratio
 from hourloom.functions.timefns import closed_right_day
 
 
@@ -162,8 +162,8 @@ def transgression_days(df: DataFrame, observed: str, pred: str, limit: float, tw
             "station_id",
             "day",
             "label",
-            F.format_string("%.2f", F.round(F.col(observed), 2)).alias("observation"),
-            F.format_string("%.2f", F.round(F.col(pred) + F.lit(float(tweak)), 2)).alias("prediction"),
+            F.format_string("%.2f", half_even(F.col(observed), 2)).alias("observation"),
+            F.format_string("%.2f", half_even(F.col(pred) + F.lit(float(tweak)), 2)).alias("prediction"),
         )
     )
 

@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hourloom.functions.mathfns import exact_mean, mean_all
+from hourloom.functions.mathfns import exact_mean, half_even, mean_all
 
 TRAFFIC_STATION = "Verkehr"  # fixed value: type of a station beside a street
 
@@ -39,7 +39,7 @@ def class_means(
     is_traffic = F.coalesce(F.col(station_type), F.lit("")) == traffic_label
     parts = {"traffic": is_traffic, "background": ~is_traffic}
     means = [
-        F.bround(exact_mean(F.when(cond, F.col(v)), decimals), 1).alias(f"{v}_{part}")
+        half_even(exact_mean(F.when(cond, F.col(v)), decimals), 1).alias(f"{v}_{part}")
         for v in values
         for part, cond in parts.items()
     ]
@@ -69,7 +69,7 @@ def weighted(share: Column, traffic: Column, background: Column) -> Column:
 
 def volume_class(kfz_per_24h: Column) -> Column:
     """Thousands of vehicles a day."""
-    return F.bround(kfz_per_24h / 1000).cast("int")
+    return F.rint(kfz_per_24h / 1000).cast("int")
 
 
 def attach_weighted_average(

@@ -268,11 +268,11 @@ STATION_METRICS = f"WITH {PERSISTENCE} SELECT station_id, {METRICS} FROM persist
 
 def daily_local_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").withColumnRenamed("user_id", "station_id")
-    return _rounded(evaluation.daily_local_means(rows, ["value"], time="ts"), "value")
+    return _rounded(evaluation.daily_local_means(rows, ["value"], time="ts"), "value", digits=10)
 
 
 DAILY_LOCAL_MEAN = """SELECT user_id AS station_id,
-  CAST(timezone('Europe/Berlin', timezone('UTC', ts)) - INTERVAL 1 MICROSECOND AS DATE) AS day, round(avg(value), 6) AS value
+  CAST(timezone('Europe/Berlin', timezone('UTC', ts)) - INTERVAL 1 MICROSECOND AS DATE) AS day, round(avg(value), 10) AS value
 FROM events GROUP BY 1, 2"""
 
 
@@ -330,7 +330,7 @@ TRANSGRESSION_DAYS = f"""WITH {DAY_VALUES}, labelled AS (
     CASE WHEN obs > {LIMIT} AND pred + {TWEAK}::DOUBLE > {LIMIT} THEN 'True Positive'
          WHEN pred + {TWEAK}::DOUBLE > {LIMIT} THEN 'False Positive' WHEN obs > {LIMIT} THEN 'False Negative' END AS label
   FROM day_values)
-SELECT station_id, day, label, printf('%.2f', round(obs, 2)) AS observation, printf('%.2f', round(tweaked, 2)) AS prediction
+SELECT station_id, day, label, printf('%.2f', round_even(obs, 2)) AS observation, printf('%.2f', round_even(tweaked, 2)) AS prediction
 FROM labelled WHERE label IS NOT NULL"""
 
 
@@ -398,12 +398,12 @@ TRAFFIC_SCENARIOS = f"WITH {SCENARIO_ROWS} SELECT station_id, date_time, kfz_pct
 def scenario_daily_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _scored(_scenario_rows(spark, sf_dir)).withColumn("day", F.to_date("date_time"))
     made = scenarios.daily_scenario_means(rows, ["station_id", "day"])
-    return _rounded(made, *[c for c in made.columns if c.startswith("pct")])
+    return _rounded(made, *[c for c in made.columns if c.startswith("pct")], digits=10)
 
 
 SCENARIO_DAILY_PIVOT = f"""WITH {SCENARIO_ROWS}
 SELECT station_id, CAST(date_time AS DATE) AS day,
-  {", ".join(f"round(avg(CASE WHEN kfz_pct = {p} THEN pred END), 6) AS pct_kfz_{p}" for p in scenarios.PERCENTAGES)}
+  {", ".join(f"round(avg(CASE WHEN kfz_pct = {p} THEN pred END), 10) AS pct_kfz_{p}" for p in scenarios.PERCENTAGES)}
 FROM scored GROUP BY 1, 2"""
 
 
@@ -412,13 +412,13 @@ def thresholds_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _scored(_scenario_rows(spark, sf_dir)).withColumn("date", F.to_date("date_time"))
     daily = scenarios.daily_scenario_means(rows, ["station_id", "date"])
     made = outputs.threshold_output(daily, F.lit(7), tf.ntz(START), LIMIT, TWEAK)
-    return _rounded(made, *[c for c in made.columns if c.startswith("pct")])
+    return _rounded(made, *[c for c in made.columns if c.startswith("pct")], digits=10)
 
 
 THRESHOLDS_OUTPUT = f"""WITH {SCENARIO_ROWS}
 SELECT station_id, 7 AS model_id, CAST(date_time AS DATE) AS date, CAST(epoch(TIMESTAMP '{START}') AS BIGINT) AS date_time_forecast,
   {LIMIT}::DOUBLE AS pollutant_limit, {TWEAK}::DOUBLE AS tweak_value,
-  {", ".join(f"round(avg(CASE WHEN kfz_pct = {p} THEN pred END), 6) AS pct_kfz_{p}" for p in scenarios.PERCENTAGES)}
+  {", ".join(f"round(avg(CASE WHEN kfz_pct = {p} THEN pred END), 10) AS pct_kfz_{p}" for p in scenarios.PERCENTAGES)}
 FROM scored GROUP BY ALL"""
 
 
@@ -457,12 +457,12 @@ SELECT station_id, day, CASE WHEN max(level) FILTER (WHERE kfz_pct = 0) > 28 THE
 
 
 def monotonicity_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = _scenario_means(spark, sf_dir).withColumn("mean", F.round("mean", 6))
+    means = _scenario_means(spark, sf_dir).withColumn("mean", F.round("mean", 10))
     return scenarios.monotonicity_violations(means, ["station_id", "day"])
 
 
 MONOTONICITY_VIOLATIONS = f"""WITH {SCENARIO_ROWS},
-means AS (SELECT station_id, CAST(date_time AS DATE) AS day, kfz_pct, round(avg(pred), 6) AS mean FROM scored GROUP BY 1, 2, 3),
+means AS (SELECT station_id, CAST(date_time AS DATE) AS day, kfz_pct, round(avg(pred), 10) AS mean FROM scored GROUP BY 1, 2, 3),
 steps AS (SELECT *, lag(mean) OVER (PARTITION BY station_id, day ORDER BY kfz_pct) AS before FROM means)
 SELECT station_id, day, count(*) FILTER (WHERE mean < before) AS n_violations FROM steps GROUP BY 1, 2"""
 
@@ -536,7 +536,7 @@ def recursive_forecast_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = recursive_forecast(
         folds.add_step(tests, "date_time"), "y", [1, 24], [1, 2], SCORER, keep=["y"], average_name="lag_avg"
     )
-    return _rounded(made, "pred", digits=9)
+    return made
 
 
 RECURSIVE_FORECAST = f"""WITH RECURSIVE {STATION_HOURS}, {_folds_sql(4, 48, 24, _last_sql())},
@@ -557,7 +557,7 @@ walk AS (
           CASE WHEN d.step >= 24 THEN k.preds[k.h - 23] ELSE d.l24 END AS u24
         FROM walk k LEFT JOIN test_rows d ON d.fold_id = k.fold_id AND d.station_id = k.station_id AND d.h = k.h + 1
         WHERE k.h < 48))
-SELECT d.fold_id, d.station_id, d.date_time, d.y, round(k.preds[d.h], 9) AS pred
+SELECT d.fold_id, d.station_id, d.date_time, d.y, k.preds[d.h] AS pred
 FROM test_rows d JOIN walk k ON k.fold_id = d.fold_id AND k.station_id = d.station_id AND k.h = 48"""
 
 

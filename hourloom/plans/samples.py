@@ -136,7 +136,7 @@ def domain_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.max("value").alias("pm10"), F.min("value").alias("pm25"), exact_mean(F.col("value"), 2).alias("no2")
     )
     times = events.select(hour).distinct()
-    classes = customer.select(F.bround(F.abs("c_acctbal") / 1000).cast("int").alias("kkfz_per_24h")).distinct()
+    classes = customer.select(F.rint(F.abs("c_acctbal") / 1000).cast("int").alias("kkfz_per_24h")).distinct()
     key = F.col("c_custkey")
     return {
         "traffic_stations": traffic,

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hourloom.functions.mathfns import half_even
 from hourloom.functions.timefns import unix_seconds
 
 
 def rounded_value(value: Column) -> Column:
-    return F.bround(value, 1).cast("decimal(10,1)")
+    return half_even(value, 1).cast("decimal(10,1)")
 
 
 def grid_output(df: DataFrame, model_id: Column, forecast_time: Column, mode: str = "grid", pred: str = "pred") -> DataFrame:

@@ -26,18 +26,18 @@ def _plain(value, digits):
     if isinstance(value, float):
         if math.isnan(value):
             return "nan"
-        return repr(round(value, digits) + 0.0)
+        return repr((value if digits is None else round(value, digits)) + 0.0)
     if isinstance(value, (list, tuple)):
         return "[" + ",".join(_plain(v, digits) for v in value) + "]"
     return str(value)
 
 
-def normal_rows(columns, rows, digits=9):
+def normal_rows(columns, rows, digits=None):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     return [columns[i] for i in order], sorted(tuple(_plain(r[i], digits) for i in order) for r in rows)
 
 
-def compare(spark_df, db, sql, digits=9):
+def compare(spark_df, db, sql, digits=None):
     """None if both agree, else a text that says how they differ."""
     got_cols, got = normal_rows(spark_df.columns, [tuple(r) for r in spark_df.collect()], digits)
     result = db.execute(sql)
