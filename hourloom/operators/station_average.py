@@ -59,12 +59,10 @@ def lag_class_means(means: DataFrame, values: Sequence[str], lags: Sequence[int]
     )
 
 
-def weighted(share: Column, traffic: Column, background: Column) -> Column:
+def weighted(to_traffic: Column, to_background: Column, traffic: Column, background: Column) -> Column:
     """Sum of the two weighted means; a missing mean adds nothing, NULL if both are missing."""
-    from_traffic = F.abs(share - 1) * traffic
-    from_background = F.abs(share) * background
-    total = F.coalesce(from_traffic, F.lit(0.0)) + F.coalesce(from_background, F.lit(0.0))
-    return F.when(from_traffic.isNotNull() | from_background.isNotNull(), total)
+    first, second = to_traffic * traffic, to_background * background
+    return F.coalesce(first + second, first, second)
 
 
 def volume_class(kfz_per_24h: Column) -> Column:
@@ -89,16 +87,21 @@ def attach_weighted_average(
     share = (
         cell_volume.select("x", "y", volume_class(F.col("kfz_per_24h")).alias("kkfz_per_24h"))
         .join(scaling, "kkfz_per_24h", "left")
-        .select("x", "y", F.col("scaling_stadtrand").alias("__share"))
+        .select(
+            "x", "y", F.abs(F.col("scaling_stadtrand") - 1).alias("__to_traffic"), F.abs("scaling_stadtrand").alias("__to_background")
+        )
     )
     wide = rows.join(share, ["x", "y"], "left").join(lagged_means, time, "left")
-    made = {}
-    for v in values:
-        for suffix in ("", *(f"_la{k}" for k in lags)):
-            made[f"wavg_{v}{suffix}"] = weighted(
-                F.col("__share"), F.col(f"{v}_traffic{suffix}"), F.col(f"{v}_background{suffix}")
-            )
-    wide = wide.withColumns(made)
+    to_traffic, to_background = F.col("__to_traffic"), F.col("__to_background")
+    kept = [F.col(f"`{c}`") for c in rows.columns]
+    wide = wide.select(
+        *kept,
+        *[
+            weighted(to_traffic, to_background, F.col(f"{v}_traffic{s}"), F.col(f"{v}_background{s}")).alias(f"wavg_{v}{s}")
+            for v in values
+            for s in ("", *(f"_la{k}" for k in lags))
+        ],
+    )
     if band:
         wide = wide.withColumns(
             {
@@ -106,5 +109,4 @@ def attach_weighted_average(
                 for v in values
             }
         )
-    helpers = [c for c in lagged_means.columns if c != time]
-    return wide.drop("__share", *helpers)
+    return wide

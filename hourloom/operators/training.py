@@ -85,6 +85,10 @@ def stage_pipeline(features: Sequence[str], categorical: Sequence[str], label: s
     return Pipeline(stages=stages)
 
 
+def _training_partitions(spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def fit_staged(
     df: DataFrame,
     target: str,
@@ -94,10 +98,13 @@ def fit_staged(
     params_1: dict | None = None,
     params_2: dict | None = None,
     first: PipelineModel | None = None,
+    partitions: int | None = None,
 ) -> StagedModel:
     """Fit stage 1 (unless given) on the target and stage 2, if it has features, on target - prediction of stage 1."""
     used = list(dict.fromkeys([target, *features_1, *(features_2 or [])]))
-    data = df.where(F.col(target).isNotNull()).select(*_quoted(used)).persist(StorageLevel.MEMORY_AND_DISK)
+    data = df.where(F.col(target).isNotNull()).select(*_quoted(used))
+    # Boosting passes over the rows rounds x depth times: one even exchange pays for itself.
+    data = data.repartition(partitions or _training_partitions(df.sparkSession)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if first is None:
             first = stage_pipeline(features_1, categorical, target, params_1 or {}).fit(data)

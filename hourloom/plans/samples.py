@@ -6,6 +6,8 @@ station or model), customers play the cells, and orders play the series of coars
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,93 +100,137 @@ def cell_columns(user: Column) -> list[Column]:
     return [F.pmod(user, F.lit(16)).cast("int").alias("x"), F.floor(user / 16).cast("int").alias("y")]
 
 
-def domain_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+class LazyTables(Mapping):
+    """Tables by name, each planned when it is first asked for."""
+
+    def __init__(self, builders: dict[str, Callable[[], DataFrame]]):
+        self._builders, self._made = builders, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._builders[name]()
+        return self._made[name]
+
+    def __iter__(self):
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
+
+
+def domain_tables(spark: SparkSession, sf_dir: str) -> Mapping[str, DataFrame]:
     """All inputs of the feature assembly."""
     events, customer = table(spark, sf_dir, "events"), table(spark, sf_dir, "customer")
     region = table(spark, sf_dir, "region")
     hour = floor_hour(F.col("ts")).alias("date_time")
     cell = cell_columns(F.col("user_id"))
-    cells = events.select("user_id").distinct().select(*cell, F.col("user_id"))
-    is_speed = F.col("event_type") == "click"
-    traffic = events.select(
-        F.when(is_speed, 2).otherwise(1).alias("model_id"), hour, *cell, F.col("value"), "ts", "event_id"
-    )
-    weather = events.groupBy(F.pmod("user_id", F.lit(4)).cast("int").alias("x"), F.lit(0).alias("y"), hour).agg(
-        F.max("value").alias("wind_direction"),
-        F.min("value").alias("wind_speed"),
-        exact_mean(F.col("value"), 2).alias("precipitation"),
-        F.count(F.lit(1)).cast("double").alias("temperature"),
-        F.max(F.when(F.col("event_type") == "view", F.col("value"))).alias("cloud_cover"),
-        F.max(F.when(F.col("event_type") == "error", F.col("value"))).alias("sunshine"),
-        F.min(F.when(F.col("event_type") == "purchase", F.col("value"))).alias("pressure_msl"),
-    )
-    splice_at = ntz(FORECAST_FROM)
-    cams = events.groupBy(F.pmod("user_id", F.lit(5)).cast("int").alias("lat_int"), F.lit(7).alias("lon_int"), hour).agg(
-        exact_mean(F.col("value"), 2).alias("no2"), F.max("value").alias("pm10"), F.min("value").alias("pm25")
-    )
-    station = F.col("user_id").cast("string").alias("station_id")
-    predictions = events.groupBy(hour, station, F.col("event_type").alias("kind")).agg(F.max("value").alias("value"))
-    model_of = F.when(F.col("kind") == "view", 3).when(F.col("kind") == "purchase", 1).when(F.col("kind") == "error", 2)
-    predictions = predictions.withColumn("model_id", model_of.otherwise(0)).drop("kind")
-    names = F.when(F.col("r_regionkey") == 1, "pm10").when(F.col("r_regionkey") == 2, "pm25")
-    models_final = region.select(
-        names.when(F.col("r_regionkey") == 3, "no2").alias("pollutant"),
-        F.lit("temporal").alias("domain"),
-        F.col("r_regionkey").alias("model_id"),
-    )
-    measured = events.groupBy(hour, station).agg(
-        F.max("value").alias("pm10"), F.min("value").alias("pm25"), exact_mean(F.col("value"), 2).alias("no2")
-    )
-    times = events.select(hour).distinct()
-    classes = customer.select(F.rint(F.abs("c_acctbal") / 1000).cast("int").alias("kkfz_per_24h")).distinct()
     key = F.col("c_custkey")
-    return {
-        "traffic_stations": traffic,
-        "traffic_grid": traffic,
-        "traffic_models_final": region.select(
-            F.when(F.col("r_regionkey") == 1, "q_kfz").when(F.col("r_regionkey") == 2, "v_kfz").alias("depvar"),
-            F.col("r_regionkey").alias("model_id"),
-        ),
-        "traffic_scaling": customer.select(
-            *cell_columns(key), (F.lit(0.5) + F.pmod(key, F.lit(10)) / 10).alias("scaling"),
-            F.abs("c_acctbal").alias("kfz_per_24h"),
-        ),
-        "weather_forecast": weather.where(F.col("date_time") >= splice_at),
-        "weather_observed": weather,
-        "cams": cams,
-        "reprojection": cams.select("lat_int", "lon_int").distinct().select(
-            "lat_int", "lon_int", (F.col("lat_int") * 10).alias("x"), F.lit(70).alias("y")
-        ),
-        "cell_map_dwd": cells.select("x", "y", F.pmod("user_id", F.lit(4)).cast("int").alias("dwd_x"), F.lit(0).alias("dwd_y")),
-        "cell_map_cams": cells.select(
-            "x", "y", (F.pmod("user_id", F.lit(5)) * 10).cast("int").alias("cams_x"), F.lit(70).alias("cams_y")
-        ),
-        "calendar": times.select(
+    station = F.col("user_id").cast("string").alias("station_id")
+    splice_at = ntz(FORECAST_FROM)
+
+    def cells() -> DataFrame:
+        return events.select("user_id").distinct().select(*cell, F.col("user_id"))
+
+    def traffic() -> DataFrame:
+        model = F.when(F.col("event_type") == "click", 2).otherwise(1).alias("model_id")
+        return events.select(model, hour, *cell, F.col("value"), "ts", "event_id")
+
+    def weather() -> DataFrame:
+        def of(kind: str) -> Column:
+            return F.when(F.col("event_type") == kind, F.col("value"))
+
+        return events.groupBy(F.pmod("user_id", F.lit(4)).cast("int").alias("x"), F.lit(0).alias("y"), hour).agg(
+            F.max("value").alias("wind_direction"),
+            F.min("value").alias("wind_speed"),
+            exact_mean(F.col("value"), 2).alias("precipitation"),
+            F.count(F.lit(1)).cast("double").alias("temperature"),
+            F.max(of("view")).alias("cloud_cover"),
+            F.max(of("error")).alias("sunshine"),
+            F.min(of("purchase")).alias("pressure_msl"),
+        )
+
+    def cams() -> DataFrame:
+        point = [F.pmod("user_id", F.lit(5)).cast("int").alias("lat_int"), F.lit(7).alias("lon_int")]
+        return events.groupBy(*point, hour).agg(
+            exact_mean(F.col("value"), 2).alias("no2"), F.max("value").alias("pm10"), F.min("value").alias("pm25")
+        )
+
+    def reprojection() -> DataFrame:
+        points = events.select(F.pmod("user_id", F.lit(5)).cast("int").alias("lat_int"), F.lit(7).alias("lon_int")).distinct()
+        return points.select("lat_int", "lon_int", (F.col("lat_int") * 10).alias("x"), F.lit(70).alias("y"))
+
+    def predictions() -> DataFrame:
+        hourly = events.groupBy(hour, station, F.col("event_type").alias("kind")).agg(F.max("value").alias("value"))
+        model = F.when(F.col("kind") == "view", 3).when(F.col("kind") == "purchase", 1).when(F.col("kind") == "error", 2)
+        return hourly.withColumn("model_id", model.otherwise(0)).drop("kind")
+
+    def models_final() -> DataFrame:
+        number = F.col("r_regionkey")
+        names = F.when(number == 1, "pm10").when(number == 2, "pm25").when(number == 3, "no2")
+        return region.select(names.alias("pollutant"), F.lit("temporal").alias("domain"), number.alias("model_id"))
+
+    def traffic_models_final() -> DataFrame:
+        number = F.col("r_regionkey")
+        return region.select(F.when(number == 1, "q_kfz").when(number == 2, "v_kfz").alias("depvar"), number.alias("model_id"))
+
+    def measured() -> DataFrame:
+        return events.groupBy(hour, station).agg(
+            F.max("value").alias("pm10"), F.min("value").alias("pm25"), exact_mean(F.col("value"), 2).alias("no2")
+        )
+
+    def calendar() -> DataFrame:
+        return events.select(hour).distinct().select(
             "date_time",
             (F.dayofyear("date_time") / 366).alias("doy_scaled"),
             F.when(weekday(F.col("date_time")) >= 6, "weekend").otherwise("none").alias("type_school_holiday"),
             (F.dayofyear("date_time") == 1).alias("is_public_holiday"),
-        ),
-        "land_use": customer.select(
-            *cell_columns(key), F.col("c_acctbal").alias("building_density"),
-            F.col("c_nationkey").cast("double").alias("traffic_intensity_kfz"),
-        ),
-        "station_map": cells.select("x", "y", F.col("user_id").cast("string").alias("station_id")),
-        "stations": customer.select(
-            key.cast("string").alias("station_id"), (F.col("c_mktsegment") != "MACHINERY").alias("is_active")
-        ),
-        "sampler_map": customer.where(F.col("c_acctbal") < 0).select(*cell_columns(key)),
-        "grid_batches": customer.select(*cell_columns(key), F.floor(key / 50).cast("int").alias("batch")),
-        "observations": measured,
-        "predictions_history": predictions.where(F.col("date_time") <= ntz(HISTORY_TO)),
-        "predictions_latest": predictions,
-        "models_final": models_final,
-        "station_types": customer.select(
-            key.cast("string").alias("station_id"),
-            F.when(F.col("c_mktsegment") == "BUILDING", "Verkehr").alias("station_type"),
-        ),
-        "scaling_by_volume": classes.select("kkfz_per_24h", (1 - F.col("kkfz_per_24h") / 10).alias("scaling_stadtrand")),
-    }
+        )
+
+    def volume_shares() -> DataFrame:
+        classes = customer.select(F.rint(F.abs("c_acctbal") / 1000).cast("int").alias("kkfz_per_24h")).distinct()
+        return classes.select("kkfz_per_24h", (1 - F.col("kkfz_per_24h") / 10).alias("scaling_stadtrand"))
+
+    return LazyTables(
+        {
+            "traffic_stations": traffic,
+            "traffic_grid": traffic,
+            "traffic_models_final": traffic_models_final,
+            "traffic_scaling": lambda: customer.select(
+                *cell_columns(key), (F.lit(0.5) + F.pmod(key, F.lit(10)) / 10).alias("scaling"),
+                F.abs("c_acctbal").alias("kfz_per_24h"),
+            ),
+            "weather_forecast": lambda: weather().where(F.col("date_time") >= splice_at),
+            "weather_observed": weather,
+            "cams": cams,
+            "reprojection": reprojection,
+            "cell_map_dwd": lambda: cells().select(
+                "x", "y", F.pmod("user_id", F.lit(4)).cast("int").alias("dwd_x"), F.lit(0).alias("dwd_y")
+            ),
+            "cell_map_cams": lambda: cells().select(
+                "x", "y", (F.pmod("user_id", F.lit(5)) * 10).cast("int").alias("cams_x"), F.lit(70).alias("cams_y")
+            ),
+            "calendar": calendar,
+            "land_use": lambda: customer.select(
+                *cell_columns(key), F.col("c_acctbal").alias("building_density"),
+                F.col("c_nationkey").cast("double").alias("traffic_intensity_kfz"),
+            ),
+            "station_map": lambda: cells().select("x", "y", station),
+            "stations": lambda: customer.select(
+                key.cast("string").alias("station_id"), (F.col("c_mktsegment") != "MACHINERY").alias("is_active")
+            ),
+            "sampler_map": lambda: customer.where(F.col("c_acctbal") < 0).select(*cell_columns(key)),
+            "grid_batches": lambda: customer.select(*cell_columns(key), F.floor(key / 50).cast("int").alias("batch")),
+            "observations": measured,
+            "predictions_history": lambda: predictions().where(F.col("date_time") <= ntz(HISTORY_TO)),
+            "predictions_latest": predictions,
+            "models_final": models_final,
+            "station_types": lambda: customer.select(
+                key.cast("string").alias("station_id"),
+                F.when(F.col("c_mktsegment") == "BUILDING", "Verkehr").alias("station_type"),
+            ),
+            "scaling_by_volume": volume_shares,
+        }
+    )
 
 
 # The same tables as SQL. x and y of a user or customer k are k % 16 and k // 16.
