@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourloom.functions.mathfns import cap_at
+from hourloom.session import store
 
 
 def require_columns(df: DataFrame, names: Sequence[str]) -> None:
@@ -29,7 +30,7 @@ def fix_column_types(df: DataFrame, categorical: Sequence[str], metric: Sequence
 
 def drop_empty_series(df: DataFrame, target: str, key: str = "station_id") -> DataFrame:
     """Keep the series with at least one value. Series without a key drop out."""
-    filled = df.where(F.col(target).isNotNull()).select(key).distinct()
+    filled = store(df.where(F.col(target).isNotNull()).select(key).distinct(), "series-with-values")
     return df.join(filled, key, "left_semi")
 
 

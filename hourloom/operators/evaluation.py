@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hourloom.functions.mathfns import half_even, ratio
 from hourloom.functions.timefns import closed_right_day
+from hourloom.session import store
 
 
 def regression_metrics(df: DataFrame, target: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
@@ -200,8 +201,7 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float, acc
     )
     low = F.when(few | F.lit(low_p == 0.0), F.col("__min")).otherwise(F.col("__cut")[0])
     high = F.when(few | F.lit(high_p == 1.0), F.col("__max")).otherwise(F.col("__cut")[1])
-    brackets = brackets.select(*keys, low.alias("__low"), high.alias("__high"))
-    # Keys are few next to rows; the run time decides from the measured size whether this side is broadcast.
+    brackets = store(brackets.select(*keys, low.alias("__low"), high.alias("__high")), "quantile-brackets")
     placed = filled.join(brackets, list(keys))
     inside = F.col("__v").between(F.col("__low"), F.col("__high"))
     slot = F.when(inside, F.col("__v"))

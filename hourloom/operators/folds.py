@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,15 +119,25 @@ def fold_sizes(
     )
 
 
-def add_step(df: DataFrame, time: str, fold: str | list[str] = "fold_id", name: str = "step") -> DataFrame:
+BROADCAST_POINTS = 1_000_000  # (fold, time) pairs, some 30 MB
+
+
+def add_step(df: DataFrame, time: str, fold: str = "fold_id", name: str = "step", max_points: int | None = None) -> DataFrame:
     """Ordinal of the time point within its fold, from 0. All series of a fold share the numbering.
 
-    Numbered on the distinct time points of a fold, which are at most as many as the fold has hours.
+    Numbered on the distinct time points of a fold, which are at most as many as the fold has hours. `max_points`, the
+    number of folds times their hours, allows a broadcast: the rows then stay where they are.
     """
-    keys = [fold] if isinstance(fold, str) else list(fold)
-    window = Window.partitionBy(*keys).orderBy(time)
-    points = df.select(*keys, time).distinct().withColumn(name, F.row_number().over(window) - 1)
-    return df.join(points, [*keys, time])
+    window = Window.partitionBy(fold).orderBy(time)
+    points = df.select(fold, time).distinct().withColumn(name, F.row_number().over(window) - 1)
+    if max_points is not None and max_points <= BROADCAST_POINTS:
+        points = F.broadcast(points)
+    return df.join(points, [fold, time])
+
+
+def add_series_step(df: DataFrame, time: str, series: Sequence[str], name: str = "step") -> DataFrame:
+    """Ordinal of the row within its own series, from 0."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*series).orderBy(time)) - 1)
 
 
 def add_retrain_group(df: DataFrame, n_folds: int, every: int, fold: str = "fold_id") -> DataFrame:

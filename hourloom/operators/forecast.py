@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hourloom.functions.params import lag_average_name, lag_name
+from hourloom.operators.folds import add_series_step
 from hourloom.operators.lags import add_station_lags
 
 HOUR_SLOTS = 1 << 24  # more hours than any time stamp has since the epoch
@@ -167,8 +168,7 @@ def prefill_lags(
     known = df.drop(*[c for c in df.columns if c.startswith(f"{target}_lag") or c.startswith("lag_avg")])
     hidden = known.withColumn(target, F.when(F.col(time) <= start, F.col(target)))
     lagged = add_station_lags(hidden, target, lags, lags_avg, station, time, average_name)
-    ordinal = F.row_number().over(Window.partitionBy(station).orderBy(time)) - 1
-    future = lagged.where(F.col(time) > start).withColumn("step", ordinal)
+    future = add_series_step(lagged.where(F.col(time) > start), time, [station])
     forecast = recursive_forecast(
         future, target, lags, lags_avg, scorer, [station], time, average_name=average_name
     ).withColumnRenamed("pred", "__pred")

@@ -7,8 +7,6 @@ hours (about 88,000 in ten years). For series without that bound, `add_row_lags_
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -58,24 +56,18 @@ def add_row_lags_blocked(
     reach = max(k for ks in lags.values() for k in ks)
     if rows_per_chunk < reach:
         raise ValueError("rows_per_chunk must not be smaller than the largest lag")
-    in_block = Window.partitionBy(*keys, "__block").orderBy(*order)
-    numbered = df.withColumn("__block", block).withColumn("__row", F.row_number().over(in_block))
-    earlier = Window.partitionBy(*[f"__k{i}" for i in range(len(keys))]).orderBy("__b").rowsBetween(
+    # One struct as the key of a cell: NULL keys match each other, and the window and the join share an exchange.
+    cell = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], block.alias("block")).alias("__cell")
+    in_cell = Window.partitionBy("__cell").orderBy(*order)
+    numbered = df.select("*", cell).withColumn("__row", F.row_number().over(in_cell))
+    earlier = Window.partitionBy(*[f"__cell.k{i}" for i in range(len(keys))]).orderBy("__cell.block").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    starts = (
-        df.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], block.alias("__b"))
-        .groupBy(*[f"__k{i}" for i in range(len(keys))], "__b")
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__start", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
-        .drop("__n")
-    )
-    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
-    same.append(F.col("__block").eqNullSafe(F.col("__b")))
-    position = F.col("__start") + F.col("__row") - 1
+    sizes = df.select(cell).groupBy("__cell").agg(F.count(F.lit(1)).alias("__n"))
+    starts = sizes.select("__cell", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
     placed = (
-        numbered.join(starts, reduce(and_, same))
-        .withColumn("__position", position)
+        numbered.join(starts, "__cell")
+        .withColumn("__position", F.col("__start") + F.col("__row") - 1)
         .withColumn("__home", F.floor(F.col("__position") / rows_per_chunk))
     )
     at_end = F.pmod(F.col("__position"), F.lit(rows_per_chunk)) >= rows_per_chunk - reach

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hourloom.functions.mathfns import exact_mean
 from hourloom.functions.timefns import hours, midnight, to_local, traffic_hour
+from hourloom.operators.folds import add_series_step
 from hourloom.operators.forecast import prefill_lags, recursive_forecast
 
 PERCENTAGES = tuple(range(0, 101, 10))
@@ -138,9 +139,8 @@ def scenario_forecast(
     """
     in_range = df.where(F.col(time) <= start + hours(forecast_days * HOURS_PER_DAY))
     filled = prefill_lags(in_range, target, lags, lags_avg, start, scorer, station, time, average_name)
-    ordinal = F.row_number().over(Window.partitionBy(station, "day").orderBy(time)) - 1
     future = filled.withColumn("day", day_number(F.col(time), start)).where(F.col("day").isNotNull())
-    future = future.withColumn("step", ordinal)
+    future = add_series_step(future, time, [station, "day"])
     future = future.join(complete_days_prefix(future, station, "day", skip_incomplete), [station, "day"], "left_semi")
     return recursive_forecast(
         traffic_scenarios(future, percentages, value, time),

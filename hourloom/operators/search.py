@@ -61,7 +61,8 @@ def search_parameters(
     """
     spark = df.sparkSession
     tests = rolling_test_rows(df, time, n_folds, test_hours, step_hours, last=last)
-    tests = add_retrain_group(add_step(tests, time), n_folds, retrain_every)
+    tests = add_step(tests, time, max_points=n_folds * test_hours)
+    tests = add_retrain_group(tests, n_folds, retrain_every)
     groups = range((n_folds - 1) // retrain_every + 1)
     parts = []
     for number, params in enumerate(parameter_sets):

@@ -85,8 +85,17 @@ def stage_pipeline(features: Sequence[str], categorical: Sequence[str], label: s
     return Pipeline(stages=stages)
 
 
-def _training_partitions(spark: SparkSession) -> int:
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def training_set(df: DataFrame, label: str, features: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """Labelled rows and the columns a fit needs, spread evenly and persisted; the caller releases them.
+
+    Boosting passes over the rows rounds x depth times, so one exchange pays for itself.
+    """
+    spark = df.sparkSession
+    if partitions is None:
+        partitions = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    used = list(dict.fromkeys([label, *features]))
+    rows = df.where(F.col(f"`{label}`").isNotNull()).select(*_quoted(used))
+    return rows.repartition(partitions).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def fit_staged(
@@ -101,10 +110,7 @@ def fit_staged(
     partitions: int | None = None,
 ) -> StagedModel:
     """Fit stage 1 (unless given) on the target and stage 2, if it has features, on target - prediction of stage 1."""
-    used = list(dict.fromkeys([target, *features_1, *(features_2 or [])]))
-    data = df.where(F.col(target).isNotNull()).select(*_quoted(used))
-    # Boosting passes over the rows rounds x depth times: one even exchange pays for itself.
-    data = data.repartition(partitions or _training_partitions(df.sparkSession)).persist(StorageLevel.MEMORY_AND_DISK)
+    data = training_set(df, target, [*features_1, *(features_2 or [])], partitions)
     try:
         if first is None:
             first = stage_pipeline(features_1, categorical, target, params_1 or {}).fit(data)
@@ -152,7 +158,11 @@ def fit_with_early_stopping(
         train, validation = (
             first.transform(d).withColumn(label, F.col(target) - F.col("pred_stage_1")) for d in (train, validation)
         )
-    fitted = stage_pipeline(features, categorical, label, params).fit(train.where(F.col(label).isNotNull()))
+    data = training_set(train, label, features)
+    try:
+        fitted = stage_pipeline(features, categorical, label, params).fit(data)
+    finally:
+        data.unpersist()
     prepared = validation.where(F.col(label).isNotNull())
     for stage in fitted.stages[:-1]:
         prepared = stage.transform(prepared)

@@ -12,6 +12,7 @@ from hourloom.functions.timefns import hours, weekday
 from hourloom.operators.lags import add_row_lags
 from hourloom.operators.mapping import reproject
 from hourloom.operators.station_average import attach_weighted_average, class_means, lag_class_means, pivot_by_model
+from hourloom.session import store
 from hourloom.sources.merge import history_then_latest, observations_before_forecast
 from hourloom.sources.tables import at_coords, in_range, traffic_table
 
@@ -121,7 +122,7 @@ def assemble_features(
     mapping first and lagging after but sorts one row per source cell instead of one per city cell. The station average
     has no look-back unless asked for, so its first hours have no lags.
     """
-    rows = traffic_features(tables, coords, lo, hi, mode, newest)
+    rows = traffic_features(tables, store(coords.distinct(), "coords"), lo, hi, mode, newest)
     # Tables with one row per cell
     rows = rows.join(tables["cell_map_dwd"].select("x", "y", "dwd_x", "dwd_y"), ["x", "y"])
     rows = rows.join(tables["cell_map_cams"].select("x", "y", "cams_x", "cams_y"), ["x", "y"])

@@ -192,7 +192,7 @@ def fold_step_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = folds.rolling_test_rows(
         samples.user_hours(spark, sf_dir), "date_time", 5, 48, 24, last=samples.last_hour(spark, sf_dir)
     )
-    return folds.add_step(rows, "date_time").select("fold_id", "user_id", "date_time", "step")
+    return folds.add_step(rows, "date_time", max_points=5 * 48).select("fold_id", "user_id", "date_time", "step")
 
 
 FOLD_STEP_INDEX = f"""WITH {USER_HOURS}, {_folds_sql(5, 48, 24, _last_sql())}
@@ -534,7 +534,7 @@ def recursive_forecast_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         _lagged_stations(spark, sf_dir), "date_time", 4, 48, 24, last=samples.last_hour(spark, sf_dir)
     )
     made = recursive_forecast(
-        folds.add_step(tests, "date_time"), "y", [1, 24], [1, 2], SCORER, keep=["y"], average_name="lag_avg"
+        folds.add_step(tests, "date_time", max_points=4 * 48), "y", [1, 24], [1, 2], SCORER, keep=["y"], average_name="lag_avg"
     )
     return made
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hourloom.functions.timefns import hours
 from hourloom.operators.cleaning import cap_for_training, cap_outliers, drop_empty_series, drop_missing_target, hours_between
 from hourloom.operators.evaluation import regression_metrics
-from hourloom.operators.folds import add_retrain_group, add_step, fold_cut, last_time, leave_one_out, rolling_test_rows, train_rows
+from hourloom.operators.folds import add_retrain_group, add_series_step, add_step, fold_cut, last_time, leave_one_out, rolling_test_rows, train_rows
 from hourloom.operators.forecast import keep_first, recursive_forecast
 from hourloom.operators.lags import add_station_lags
 from hourloom.operators.scenarios import PERCENTAGES, traffic_scenarios
@@ -73,7 +73,8 @@ def forecast_t_plus_k(
     tests = rolling_test_rows(df, time, n_windows, window_hours, step_hours, include_current, prediction_hour, last)
     unique = keep_first(tests, ["fold_id", station, time], [F.col(target).asc_nulls_last()])
     return recursive_forecast(
-        add_step(unique, time), target, lags, lags_avg, scorer, ["fold_id", station], time,
+        add_step(unique, time, max_points=n_windows * (window_hours + 1)), target, lags, lags_avg, scorer,
+        ["fold_id", station], time,
         keep=["fold_cut", target], average_name=average_name,
     )
 
@@ -86,7 +87,7 @@ def station_forecast(
     rows = prepare_station_rows(df, target, caps, lags, lags_avg, station, time, average_name)
     future = keep_first(rows.where(F.col(time) >= now), [station, time], [F.col(target).asc_nulls_last()])
     return recursive_forecast(
-        add_step(future, time, station), target, lags, lags_avg, scorer, [station], time, keep=[target],
+        add_series_step(future, time, [station]), target, lags, lags_avg, scorer, [station], time, keep=[target],
         average_name=average_name,
     )
 
@@ -104,7 +105,8 @@ def cross_validate_in_time(
     """
     spark = df.sparkSession
     tests = rolling_test_rows(df, time, n_windows, window_hours, step_hours, False, prediction_hour, last)
-    tests = add_retrain_group(add_step(tests, time), n_windows, retrain_every)
+    tests = add_step(tests, time, max_points=n_windows * window_hours)
+    tests = add_retrain_group(tests, n_windows, retrain_every)
     end = last_time(df, time, window_hours, prediction_hour, last)
     out = None
     for group in range((n_windows - 1) // retrain_every + 1):

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -50,3 +50,14 @@ def scratch_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh, unique path below the shared folder."""
     return os.path.join(scratch_root(spark), "hourloom", f"{label}-{uuid.uuid4().hex}")
+
+
+def store(df: DataFrame, label: str) -> DataFrame:
+    """Write a derived table to the shared folder and read it back.
+
+    Meant for small results that meet a large table. Their size is then known when the join is planned: below the
+    broadcast threshold the large side is not shuffled at all, above it both sides are.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+MAX_LISTED_PARTITIONS = 5_000
+
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], newest_first: Sequence[Column]) -> DataFrame:
     """One row per key: the first in the given order, which must be total within a key.
@@ -59,8 +61,7 @@ def write_rows(
         raise ValueError("replace needs keys and partition columns that belong to the key")
     if _exists(spark, path):
         stored = spark.read.schema(df.schema).parquet(path).select(*df.columns)
-        touched = df.select(*partition_by).distinct()
-        merged = merge_rows(stored.join(touched, list(partition_by), "left_semi").select(*df.columns), df, keys)
+        merged = merge_rows(_touched(stored, df, partition_by), df, keys)
     else:
         merged = latest_per_key(df, keys, [F.lit(0)])
     # Dynamic overwrite stages its files and swaps partitions at commit, so the old rows are readable until then.
@@ -74,6 +75,25 @@ def write_rows(
     return True
 
 
+def _touched(stored: DataFrame, new: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """Stored rows of the partitions the new rows fall into; only those partitions are read.
+
+    Partition values are few (each is a directory), so they are listed and pruned by value. A list that turns out long
+    is left to a join.
+    """
+    touched = new.select(*partition_by).distinct()
+    values = touched.limit(MAX_LISTED_PARTITIONS + 1).collect()
+    if len(values) <= MAX_LISTED_PARTITIONS:
+        for name in partition_by:
+            known = F.col(name).isin([v[name] for v in values if v[name] is not None])
+            stored = stored.where(known | F.col(name).isNull() if any(v[name] is None for v in values) else known)
+        if len(partition_by) == 1:
+            return stored
+    wanted = touched.withColumnsRenamed({name: f"__{name}" for name in partition_by})
+    same = [F.col(name).eqNullSafe(F.col(f"__{name}")) for name in partition_by]
+    return stored.join(wanted, same, "left_semi").select(*new.columns)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

@@ -35,6 +35,21 @@ def test_replace_rewrites_only_touched_partitions(spark, tmp_path):
         merge.write_rows(spark, spark.createDataFrame([("a", 1, 1.0)], DDL), path, keys=["hour"], partition_by=["station"])
 
 
+@pytest.mark.parametrize("listed", [0, 5_000])
+def test_replace_keeps_rows_of_missing_partition_values(spark, tmp_path, monkeypatch, listed):
+    monkeypatch.setattr(merge, "MAX_LISTED_PARTITIONS", listed)
+    path, ddl = str(tmp_path / "t"), "station STRING, hour INT, part STRING, value DOUBLE"
+
+    def put(*rows):
+        frame = spark.createDataFrame(rows, ddl)
+        merge.write_rows(spark, frame, path, keys=["station", "hour", "part"], partition_by=["station", "part"])
+
+    put((None, 1, "p", 1.0), (None, 2, "p", 2.0), ("a", 1, None, 3.0), ("a", 1, "p", 4.0))
+    put((None, 2, "p", 20.0), ("a", 1, "p", 40.0))
+    got = sorted((r.station or "", r.hour, r.part or "", r.value) for r in spark.read.parquet(path).collect())
+    assert got == [("", 1, "p", 1.0), ("", 2, "p", 20.0), ("a", 1, "", 3.0), ("a", 1, "p", 40.0)]
+
+
 def test_latest_per_key_limits_rows_before_the_exchange(spark):
     df = spark.createDataFrame([("a", i, float(i)) for i in range(50)] + [("b", 1, 1.0)], DDL)
     latest = merge.latest_per_key(df, ["station"], [F.desc("hour")])
