@@ -182,57 +182,90 @@ def transgressions_per_month(
     )
 
 
-def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float, accuracy: int = 10_000, name: str = "quantile") -> DataFrame:
+QUANTILE_GRID = 256
+RANKED_VALUES = 2_000_000  # most distinct values of one key that are ranked in one task
+
+
+def exact_quantile(
+    df: DataFrame, keys: Sequence[str], value: str, p: float, accuracy: int = 10_000, name: str = "quantile",
+    ranked_values: int = RANKED_VALUES,
+) -> DataFrame:
     """Exact quantile with linear interpolation per key.
 
-    A quantile sketch with a guaranteed rank error of 1 / accuracy brackets the wanted rank; only the values inside the
-    bracket (at most a few rows in 10,000) are counted one by one and ranked. A key of few rows keeps all of them. The
-    built-in percentile would hold every distinct value of a key in one buffer.
+    The built-in percentile holds every distinct value of a key in one buffer. Here a mergeable sketch, whose rank error
+    is at most 1 / accuracy, first brackets the wanted rank of each key. Exact counts tell how many values lie below and
+    inside the bracket; while a bracket holds too many different values it is narrowed by a sketch of its inside. Only
+    what is left is ranked. Brackets are one row per key.
     """
     margin = 3.0 / accuracy
     low_p, high_p = max(p - margin, 0.0), min(p + margin, 1.0)
-    few = F.col("__n") <= 2 * accuracy
     filled = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
-    brackets = filled.groupBy(*keys).agg(
-        F.min("__v").alias("__min"),
-        F.max("__v").alias("__max"),
-        F.count(F.lit(1)).alias("__n"),
-        F.percentile_approx("__v", [low_p, high_p], accuracy).alias("__cut"),
-    )
+    few = F.col("__n") <= 2 * accuracy
     low = F.when(few | F.lit(low_p == 0.0), F.col("__min")).otherwise(F.col("__cut")[0])
     high = F.when(few | F.lit(high_p == 1.0), F.col("__max")).otherwise(F.col("__cut")[1])
-    brackets = store(brackets.select(*keys, low.alias("__low"), high.alias("__high")), "quantile-brackets")
-    placed = filled.join(brackets, list(keys))
-    inside = F.col("__v").between(F.col("__low"), F.col("__high"))
-    slot = F.when(inside, F.col("__v"))
-    counted = placed.groupBy(*keys, slot.alias("__v"), (F.col("__v") < F.col("__low")).alias("__below")).agg(
-        F.count(F.lit(1)).alias("__n")
+    brackets = (
+        filled.groupBy(*keys)
+        .agg(
+            F.min("__v").alias("__min"), F.max("__v").alias("__max"), F.count(F.lit(1)).alias("__n"),
+            F.percentile_approx("__v", [low_p, high_p], accuracy).alias("__cut"),
+        )
+        .select(*keys, "__n", (F.lit(p) * (F.col("__n") - 1)).alias("__rank"), low.alias("__low"), high.alias("__high"))
     )
-    everything = Window.partitionBy(*keys)
-    up_to = everything.orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.withColumns(
-        {
-            "__below_n": F.coalesce(F.sum(F.when(F.col("__below"), F.col("__n"))).over(everything), F.lit(0)),
-            "__rank": F.lit(p) * (F.sum("__n").over(everything) - 1),
-            # NULL slots (values outside the bracket) sort first and must not count here
-            "__inside_n": F.sum(F.when(F.col("__v").isNotNull(), F.col("__n")).otherwise(0)).over(up_to),
-        }
-    ).where(F.col("__v").isNotNull())
-    last = F.col("__below_n") + F.col("__inside_n") - 1
-    start = last - F.col("__n") + 1
+    counted, widest = _count_brackets(filled, brackets, keys)
+    while widest > ranked_values:
+        narrower, next_widest = _count_brackets(filled, _narrow(filled, counted, keys, accuracy), keys)
+        if next_widest >= widest:
+            break
+        counted, widest = narrower, next_widest
+    inside = filled.join(counted, list(keys)).where(F.col("__v").between(F.col("__low"), F.col("__high")))
+    ranked = inside.groupBy(*keys, "__v", "__rank", "__below").agg(F.count(F.lit(1)).alias("__n"))
+    up_to = Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = ranked.withColumn("__last", F.col("__below") + F.sum("__n").over(up_to) - 1)
+    first = F.col("__last") - F.col("__n") + 1
 
     def value_at(rank: Column) -> Column:
-        return F.max(F.when((start <= rank) & (rank <= last), F.col("__v")))
+        return F.max(F.when((first <= rank) & (rank <= F.col("__last")), F.col("__v")))
 
-    found = ranked.groupBy(*keys).agg(
-        F.max("__rank").alias("__rank"),
-        value_at(F.floor("__rank")).alias("__lower"),
-        value_at(F.ceil("__rank")).alias("__upper"),
+    found = ranked.groupBy(*keys, "__rank").agg(
+        value_at(F.floor("__rank")).alias("__lower"), value_at(F.ceil("__rank")).alias("__upper")
     )
     share = F.col("__rank") - F.floor("__rank")
     return found.select(*keys, (F.col("__lower") + (F.col("__upper") - F.col("__lower")) * share).alias(name))
 
 
+def _count_brackets(filled: DataFrame, brackets: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int]:
+    """Brackets with the exact number of values below and inside, and about how many different ones the widest holds."""
+    brackets = store(brackets, "quantile-brackets")
+    value = F.col("__v")
+    is_inside = value.between(F.col("__low"), F.col("__high"))
+    tallies = (
+        filled.join(brackets, list(keys))
+        .groupBy(*brackets.columns)
+        .agg(
+            F.count_if(value < F.col("__low")).alias("__below"),
+            F.count_if(is_inside).alias("__inside"),
+            F.approx_count_distinct(F.when(is_inside, value)).alias("__different"),
+        )
+    )
+    tallies = store(tallies, "quantile-counts")
+    return tallies, tallies.agg(F.max("__different")).first()[0] or 0
+
+
+def _narrow(filled: DataFrame, counted: DataFrame, keys: Sequence[str], accuracy: int) -> DataFrame:
+    """Brackets of about 4 / QUANTILE_GRID of the values inside the old ones, still holding the wanted ranks."""
+    grid = [i / QUANTILE_GRID for i in range(QUANTILE_GRID + 1)]
+    inside = filled.join(counted, list(keys)).where(F.col("__v").between(F.col("__low"), F.col("__high")))
+    kept = [*keys, "__n", "__rank", "__low", "__high", "__below", "__inside"]
+    sketched = inside.groupBy(*kept).agg(F.percentile_approx("__v", grid, accuracy).alias("__grid"))
+    place = (F.col("__rank") - F.col("__below")) / F.col("__inside") * QUANTILE_GRID
+    left = (F.floor(place) - 1).cast("int")
+    right = (F.ceil(place) + 2).cast("int")
+    dense = F.col("__inside") >= 8 * QUANTILE_GRID
+    low = F.when(dense & (left >= 0), F.get("__grid", left)).otherwise(F.col("__low"))
+    high = F.when(dense & (right <= QUANTILE_GRID), F.get("__grid", right)).otherwise(F.col("__high"))
+    return sketched.select(*keys, "__n", "__rank", low.alias("__low"), high.alias("__high"))
+
+
 def fold_scores(folds: DataFrame, by: Sequence[str], rmse: str = "rmse", iteration: str = "best_iteration") -> DataFrame:
     """Score of a parameter set: mean error over its folds and the 0.75 quantile of the best rounds, as whole number."""
     return folds.groupBy(*by).agg(

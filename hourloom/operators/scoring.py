@@ -5,12 +5,14 @@ They score many rows at a time: the recursion hands over one time step of all se
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -116,6 +118,19 @@ class StagedScorer:
         return total if self.second is None else np.maximum(total + self.second.score(columns), 0.0)
 
 
+def as_column(spark: SparkSession, scorer) -> Callable[[Mapping[str, Column]], Column]:
+    """A scorer as a function of columns, scored in Arrow batches. Its node arrays travel once per executor."""
+    shared = spark.sparkContext.broadcast(scorer)
+    names = scorer.features
+
+    def score(*columns: pd.Series) -> pd.Series:
+        made = shared.value.score({n: c.to_numpy() for n, c in zip(names, columns)})
+        return pd.Series(made, dtype=float)
+
+    scored = F.pandas_udf(score, T.DoubleType())
+    return lambda state: scored(*[state[n] for n in names])
+
+
 def combine_stages(first: Column, second: Column | None) -> Column:
     """Column form of StagedScorer. NULL if a stage is NULL."""
     if second is None:

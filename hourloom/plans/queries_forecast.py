@@ -10,7 +10,7 @@ from hourloom.functions.params import feature_columns, split_stages
 from hourloom.operators import attribution, evaluation, folds, scenarios
 from hourloom.operators.forecast import lags_from_predictions, prefill_lags, recursive_forecast
 from hourloom.operators.lags import add_row_lags, add_station_lags
-from hourloom.operators.scoring import LinearScorer, StagedScorer, combine_stages
+from hourloom.operators.scoring import LinearScorer, as_column, combine_stages
 from hourloom.operators.search import search_parameters
 from hourloom.operators.station_average import attach_weighted_average, lag_class_means
 from hourloom.operators.training import fit_staged, fit_with_early_stopping
@@ -693,6 +693,36 @@ def param_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def attribution_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for a trained two-stage model, scored in Arrow batches; the most frequent category is the background."""
+    rows = _model_rows(spark, sf_dir).where("y_lag24 IS NOT NULL").select("y", *MODEL_FEATURES)
+    model = fit_staged(rows, "y", ["hour", "weekday"], MODEL_FEATURES, ["hour"], SMALL, SMALL)
+    background = attribution.feature_means(rows, [f for f in MODEL_FEATURES if f != "hour"])
+    background["hour"] = rows.select(F.mode("hour", deterministic=True)).scalar()
+    made = attribution.attribute(rows, MODEL_FEATURES, as_column(spark, model.scorer(spark)), background, permutations=2)
+    return attribution.attribution_ranking(made, MODEL_FEATURES)
+
+
+def grid_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All batches through assembly, scoring and the sink; what was stored is read back."""
+    domain, path = samples.domain_tables(spark, sf_dir), scratch_path(spark, "grid")
+    runs.grid_run(
+        spark, domain, tf.ntz(RANGE_FROM), tf.ntz(RANGE_TO), _scored, 7, {"no2": 150.0}, path, "grid", ("ts", "event_id")
+    )
+    return spark.read.parquet(path)
+
+
+GRID_RUN = f"""WITH {DOMAIN["traffic"]}, {DOMAIN["traffic_scaling"]},
+users AS (SELECT DISTINCT CAST(user_id % 16 AS INTEGER) AS x, CAST(user_id // 16 AS INTEGER) AS y FROM events),
+newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date_time, x, y ORDER BY ts DESC, event_id DESC) AS n
+           FROM traffic WHERE model_id = 1 AND {_RANGE}) WHERE n = 1),
+scaled AS (
+  SELECT x, y, date_time, scaling * value AS kfz FROM newest JOIN traffic_scaling USING (x, y) JOIN users USING (x, y)),
+day AS (SELECT *, CASE WHEN hour(timezone('Europe/Berlin', timezone('UTC', date_time))) BETWEEN 5 AND 21 THEN kfz * 100 / 100 ELSE kfz END AS v FROM scaled)
+SELECT 7 AS model_id, CAST(epoch(TIMESTAMP '{RANGE_FROM}') AS BIGINT) AS date_time_forecast, CAST(epoch(date_time) AS BIGINT) AS date_time,
+  x, y, CAST(round_even(10.0::DOUBLE + 0.3::DOUBLE * v, 1) AS DECIMAL(10, 1)) AS value FROM day"""
+
+
 def attribution_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_tax")
     names = ["l_quantity", "l_discount", "l_tax"]
@@ -906,6 +936,8 @@ QUERIES = {
     "cross_validate_stations": (cross_validate_stations, None),
     "early_stopping_fit": (early_stopping_fit, None),
     "param_search": (param_search, None),
+    "attribution_trees": (attribution_trees, None),
+    "grid_run": (grid_run, GRID_RUN),
     "attribution_topk": (attribution_topk, ATTRIBUTION_TOPK),
     "training_period_json": (training_period_json, TRAINING_PERIOD_JSON),
     "model_settings": (model_settings, _model_settings_sql()),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourloom.functions.timefns import hours
@@ -15,7 +15,12 @@ from hourloom.operators.forecast import keep_first, recursive_forecast
 from hourloom.operators.lags import add_station_lags
 from hourloom.operators.scenarios import PERCENTAGES, traffic_scenarios
 from hourloom.operators.training import StagedModel, fit_staged
-from hourloom.session import scratch_path
+from hourloom.plans.features import assemble_features
+from hourloom.session import scratch_path, store
+from hourloom.sources.merge import write_rows
+from hourloom.sources.outputs import grid_output
+from hourloom.sources.registry import promote_model, register_model, training_description
+from hourloom.sources.tables import sampler_coords
 
 
 def prepare_station_rows(
@@ -64,6 +69,81 @@ def batch_report(features: DataFrame, batches: DataFrame, lo: Column, hi: Column
     return report.join(oks, "batch", "left").select("batch", (complete & F.coalesce("ok", F.lit(False))).alias("finished"))
 
 
+def grid_run(
+    spark: SparkSession, tables: Mapping[str, DataFrame], lo: Column, hi: Column, predict: Callable[[DataFrame], DataFrame],
+    model_id: int, caps: Mapping[str, Column | float], path: str | None = None, mode: str = "grid",
+    newest: Sequence[str] = ("date_time",), batches: DataFrame | None = None,
+) -> DataFrame:
+    """Features, predictions and output rows of all batches (or of the given ones), and the report (batch, finished).
+
+    Batches are a column, not a loop. With a `path` the rows are appended there; the write either succeeds as a whole or
+    raises, so a report that is returned speaks of stored rows.
+    """
+    known = tables[f"{mode}_batches"]
+    wanted = store(known if batches is None else known.join(batches.select("batch").distinct(), "batch", "left_semi"), "batches")
+    features = assemble_features(tables, wanted.select("x", "y"), lo, hi, mode, newest)
+    features = cap_outliers(features.join(wanted, ["x", "y"]), caps)
+    if path is not None:
+        rows = grid_output(grid_predictions(features, predict, mode), F.lit(model_id), lo, mode)
+        write_rows(spark, rows, path, mode="insert")
+    return batch_report(features, wanted, lo, hi)
+
+
+def sampler_run(
+    spark: SparkSession, tables: Mapping[str, DataFrame], lo: Column, hi: Column, predict: Callable[[DataFrame], DataFrame],
+    model_id: int, caps: Mapping[str, Column | float], path: str, newest: Sequence[str] = ("date_time",),
+) -> None:
+    """Predictions at the cells of the passive samplers, appended to their table."""
+    features = assemble_features(tables, sampler_coords(tables["sampler_map"]), lo, hi, "passive_samplers", newest)
+    rows = grid_output(grid_predictions(cap_outliers(features, caps), predict), F.lit(model_id), lo)
+    write_rows(spark, rows, path, mode="insert")
+
+
+def request_handler(
+    batches: DataFrame, features_at: Callable[[DataFrame], DataFrame], predictors: Mapping[str, tuple[int, Callable]],
+    forecast_time: Column, mode: str = "grid",
+) -> Callable[[DataFrame], DataFrame]:
+    """Handler for a request stream: the output rows of all requested batches and pollutants in one plan.
+
+    predictors: pollutant -> (model id, predict). `features_at` returns features for coordinates.
+    """
+
+    def handle(requests: DataFrame) -> DataFrame:
+        parts = []
+        for depvar, (model_id, predict) in predictors.items():
+            asked = requests.where(F.col("depvar") == depvar).select(F.col("batch_id").alias("batch")).distinct()
+            coords = batches.join(asked, "batch", "left_semi").select("x", "y")
+            made = grid_predictions(features_at(coords), predict, mode)
+            parts.append(grid_output(made, F.lit(model_id), forecast_time, mode))
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
+
+    return handle
+
+
+def train_and_register(
+    spark: SparkSession, df: DataFrame, target: str, features_1: Sequence[str], features_2: Sequence[str] | None,
+    categorical: Sequence[str], params_1: dict, params_2: dict | None, lags: Sequence[int], lags_avg: Sequence[int],
+    name: str, trained_at: int, registry_path: str, model_root: str, cap: Column | float | None = None,
+    final_path: str | None = None, domain: str | None = None, time: str = "date_time",
+) -> int:
+    """Train, describe and register a model; make it the final one of its domain if asked. Returns its id.
+
+    With two stages the description of the first one names no lags, as that stage does not use them.
+    """
+    model = train(df, target, features_1, features_2, categorical, params_1, params_2, cap)
+    seen = drop_missing_target(df, target)
+    two = features_2 is not None
+    first = training_description(seen, time, params_1, [] if two else lags, [] if two else lags_avg).first()[0]
+    second = training_description(seen, time, params_2 or {}, lags, lags_avg).first()[0] if two else None
+    model_id = register_model(spark, registry_path, model_root, model, target, name, first, second, trained_at)
+    if final_path is not None and domain is not None:
+        promote_model(spark, final_path, target, domain, model_id)
+    return model_id
+
+
 def forecast_t_plus_k(
     df: DataFrame, target: str, lags: Sequence[int], lags_avg: Sequence[int], scorer, n_windows: int, window_hours: int,
     step_hours: int | None = None, prediction_hour: int | None = None, include_current: bool = False,

@@ -194,6 +194,7 @@ def domain_tables(spark: SparkSession, sf_dir: str) -> Mapping[str, DataFrame]:
         {
             "traffic_stations": traffic,
             "traffic_grid": traffic,
+            "traffic_passive_samplers": traffic,
             "traffic_models_final": traffic_models_final,
             "traffic_scaling": lambda: customer.select(
                 *cell_columns(key), (F.lit(0.5) + F.pmod(key, F.lit(10)) / 10).alias("scaling"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourloom.functions.params import POLLUTANTS
@@ -29,6 +29,11 @@ def produce_requests(
     )
 
 
+def send_requests(messages: DataFrame, servers: str, topic: str) -> None:
+    """Write produced messages to a topic. Needs the Kafka connector on the class path."""
+    messages.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
+
+
 def parse_requests(messages: DataFrame, value: str = "value") -> DataFrame:
     """Decode request texts. `is_valid` is false for text that is no request; it is never evaluated as code."""
     request = F.from_json(F.col(value), REQUEST_SCHEMA)
@@ -111,7 +116,3 @@ def run_with_retry(batches: DataFrame, run: Callable[[DataFrame], DataFrame], at
             return reports
     failed = [row[0] for row in pending.orderBy("batch").limit(20).collect()]
     raise RuntimeError(f"batches failed {attempts} times: {failed} in {spark.sparkContext.applicationId}")
-
-
-def request_partition(batch: Column, n_partitions: int) -> Column:
-    return F.pmod(batch, F.lit(n_partitions))

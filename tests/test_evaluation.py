@@ -96,6 +96,16 @@ def test_exact_quantile(spark, p, accuracy):
         assert np.isclose(got[k], want[k], rtol=1e-12, atol=1e-12)
 
 
+@pytest.mark.parametrize("p", [0.0, 0.31, 0.999, 1.0])
+def test_exact_quantile_narrows_wide_brackets(spark, p):
+    draw = random.Random(4)
+    data = [("hot", draw.gauss(0, 1) if draw.random() < 0.7 else 0.5) for _ in range(30_000)] + [("few", 1.0), ("few", 2.0)]
+    df = spark.createDataFrame(data, "k STRING, v DOUBLE").repartition(4)
+    got = {r.k: r.quantile for r in evaluation.exact_quantile(df, ["k"], "v", p, accuracy=2000, ranked_values=40).collect()}
+    for k in ("hot", "few"):
+        assert np.isclose(got[k], np.quantile([v for kk, v in data if kk == k], p), rtol=1e-12, atol=1e-12)
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([(at("2022-01-01"), 1.0, 2.0), (at("2022-01-01"), 3.0, 3.0), (at("2022-01-02"), 5.0, 1.0), (at("2022-01-02"), None, 1.0)], "date_time TIMESTAMP_NTZ, y DOUBLE, pred DOUBLE")
     got = {r.time_point: r for r in evaluation.metrics_per_time_and_all(df, "y", "pred").collect()}
