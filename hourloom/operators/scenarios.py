@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourloom.functions.mathfns import exact_mean
-from hourloom.functions.timefns import hours, midnight, to_local, traffic_hour
+from hourloom.functions.timefns import clamp_start, hours, to_local, to_utc, traffic_hour
 from hourloom.operators.folds import add_series_step
 from hourloom.operators.forecast import prefill_lags, recursive_forecast
 
@@ -154,6 +154,20 @@ def scenario_days(predictions: DataFrame, start: Column, station: str = "station
     return daily.withColumn("date", F.to_date(to_local(start + hours(F.col("day") * HOURS_PER_DAY))))
 
 
-def scenario_start(local_date: Column) -> Column:
-    """UTC start of a scenario run given as a local date or time."""
-    return F.convert_timezone(F.lit("Europe/Berlin"), F.lit("UTC"), midnight(local_date))
+def scenario_range(local_start: Column, forecast_days: int, latest: Column) -> tuple[Column, Column]:
+    """UTC start and end of a scenario run asked for in local time.
+
+    The start moves back to one hour after the latest observation; the end counts from the start that was asked for.
+    """
+    asked = to_utc(local_start)
+    return clamp_start(asked, latest), asked + hours(forecast_days * HOURS_PER_DAY)
+
+
+def with_suggestions(days: DataFrame, means: DataFrame, limit: float, tweak: float) -> DataFrame:
+    """Days with a true or false alarm, next to the highest traffic percentage that keeps them below the limit.
+
+    days: rows of `transgression_days`; means: station_id, day, kfz_pct, mean.
+    """
+    alarms = days.where(F.col("label").isin("True Positive", "False Positive"))
+    best = max_admissible_percentage(means, ["station_id", "day"], limit, tweak)
+    return alarms.join(best, ["station_id", "day"], "left")

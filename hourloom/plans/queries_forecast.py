@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourloom.functions import timefns as tf
-from hourloom.functions.params import feature_columns, split_stages
+from hourloom.functions.params import (
+    CAMS_LAGS, POLLUTANTS, STATION_AVERAGE_BAND, STATION_AVERAGE_LAGS, TRAFFIC_LAGS, WEATHER_LAGS, feature_columns, split_stages,
+)
 from hourloom.operators import attribution, evaluation, folds, scenarios
 from hourloom.operators.forecast import lags_from_predictions, prefill_lags, recursive_forecast
 from hourloom.operators.lags import add_row_lags, add_station_lags
@@ -16,9 +18,9 @@ from hourloom.operators.station_average import attach_weighted_average, lag_clas
 from hourloom.operators.training import fit_staged, fit_with_early_stopping
 from hourloom.plans import features, runs, samples
 from hourloom.plans.samples import DAY_VALUES, DOMAIN, RANGE_FROM, RANGE_TO, STATION_HOURS, USER_HOURS, table
-from hourloom.functions.params import CAMS_LAGS, POLLUTANTS, STATION_AVERAGE_BAND, STATION_AVERAGE_LAGS, TRAFFIC_LAGS, WEATHER_LAGS
 from hourloom.session import scratch_path
 from hourloom.sources import outputs, registry
+from hourloom.sources.tables import coords_for
 from hourloom.streaming import requests
 
 LIMIT, TWEAK = 50.0, 5.3
@@ -87,18 +89,11 @@ FROM (SELECT DISTINCT x, y, date_time FROM traffic) LEFT JOIN share USING (x, y)
 
 def feature_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     domain = samples.domain_tables(spark, sf_dir)
-    coords = features_coords(domain)
     return features.assemble_features(
-        domain, coords, tf.ntz(RANGE_FROM), tf.ntz(RANGE_TO), "stations", newest=("ts", "event_id")
+        domain, coords_for("stations", domain), tf.ntz(RANGE_FROM), tf.ntz(RANGE_TO), "stations", newest=("ts", "event_id")
     )
 
 
-def features_coords(domain: dict[str, DataFrame]) -> DataFrame:
-    from hourloom.sources.tables import coords_for
-
-    return coords_for("stations", domain)
-
-
 def _lag_sql(columns, offsets, keys: str) -> str:
     return ", ".join(
         f"lag({c}, {k}) OVER (PARTITION BY {keys} ORDER BY date_time) AS {c}_la{k}" for c in columns for k in offsets
@@ -107,7 +102,6 @@ def _lag_sql(columns, offsets, keys: str) -> str:
 
 _PADDED = f"date_time BETWEEN TIMESTAMP '{RANGE_FROM}' - INTERVAL 48 HOUR AND TIMESTAMP '{RANGE_TO}'"
 _RANGE = f"date_time BETWEEN TIMESTAMP '{RANGE_FROM}' AND TIMESTAMP '{RANGE_TO}'"
-_WEATHER_COLUMNS = ("wind_direction", "wind_speed", "precipitation", "temperature", "cloud_cover", "sunshine", "pressure_msl")
 FEATURE_ASSEMBLY = f"""WITH {DOMAIN["traffic"]}, {DOMAIN["traffic_scaling"]}, {DOMAIN["weather"]}, {DOMAIN["cams"]},
 {_station_mean_sql(RANGE_FROM, RANGE_TO)},
 users AS (SELECT DISTINCT user_id, CAST(user_id % 16 AS INTEGER) AS x, CAST(user_id // 16 AS INTEGER) AS y FROM events),
@@ -539,26 +533,39 @@ def recursive_forecast_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made
 
 
+def _mean_of_two(a: str, b: str) -> str:
+    known = f"CASE WHEN {a} IS NULL THEN 0 ELSE 1 END + CASE WHEN {b} IS NULL THEN 0 ELSE 1 END"
+    return f"(coalesce({a}, 0) + coalesce({b}, 0)) / nullif({known}, 0)"
+
+
+def _walk_sql(rows: str, keys: str, lags: tuple[int, ...], pred: str, extra: str = "NULL", name: str = "walk") -> str:
+    """Recursion over hours: each series carries the list of its predictions.
+
+    `rows` has the keys, h (1, 2, .. hours of the series), step, the observed lags l<k>. `pred` reads the used lags u<k>
+    and `extra` as x.
+    """
+    same = " AND ".join(f"d.{k} = k.{k}" for k in keys.split(", "))
+    used = ", ".join(f"CASE WHEN d.step >= {k} THEN k.preds[k.h - {k - 1}] ELSE d.l{k} END AS u{k}" for k in lags)
+    return f"""{name} AS (
+  SELECT DISTINCT {keys}, CAST(0 AS BIGINT) AS h, CAST([] AS DOUBLE[]) AS preds FROM {rows}
+  UNION ALL
+  SELECT {keys}, h + 1, list_append(preds, CASE WHEN is_row THEN {pred} END)
+  FROM (SELECT {", ".join(f"k.{k}" for k in keys.split(", "))}, k.h, k.preds, d.h IS NOT NULL AS is_row, {extra} AS x, {used}
+        FROM {name} k LEFT JOIN {rows} d ON {same} AND d.h = k.h + 1 WHERE k.h < (SELECT max(h) FROM {rows})))"""
+
+
+LINEAR = f"5.0::DOUBLE + 0.5::DOUBLE * coalesce(u1, 0) + 0.2::DOUBLE * coalesce(u24, 0) + 0.1::DOUBLE * coalesce({_mean_of_two('u1', 'u2')}, 0)"
+OBSERVED_LAGS = "lag({0}, 1) OVER w AS l1, lag({0}, 2) OVER w AS l2, lag({0}, 24) OVER w AS l24"
+BY_STATION = "WINDOW w AS (PARTITION BY station_id ORDER BY date_time)"
+
 RECURSIVE_FORECAST = f"""WITH RECURSIVE {STATION_HOURS}, {_folds_sql(4, 48, 24, _last_sql())},
-lagged AS (SELECT *, lag(y, 1) OVER w AS l1, lag(y, 2) OVER w AS l2, lag(y, 24) OVER w AS l24 FROM station_hours
-           WINDOW w AS (PARTITION BY station_id ORDER BY date_time)),
+lagged AS (SELECT *, {OBSERVED_LAGS.format("y")} FROM station_hours {BY_STATION}),
 test_rows AS (
   SELECT lagged.*, fold_id, date_diff('hour', fold_cut, date_time) AS h, dense_rank() OVER (PARTITION BY fold_id ORDER BY date_time) - 1 AS step
   FROM lagged JOIN folds ON date_time > fold_cut AND date_time <= fold_end),
-walk AS (
-  SELECT DISTINCT fold_id, station_id, CAST(0 AS BIGINT) AS h, CAST([] AS DOUBLE[]) AS preds FROM test_rows
-  UNION ALL
-  SELECT fold_id, station_id, h + 1, list_append(preds, CASE WHEN y IS NOT NULL THEN
-      5.0::DOUBLE + 0.5::DOUBLE * coalesce(u1, 0) + 0.2::DOUBLE * coalesce(u24, 0)
-      + 0.1::DOUBLE * coalesce((coalesce(u1, 0) + coalesce(u2, 0))
-          / nullif(CASE WHEN u1 IS NULL THEN 0 ELSE 1 END + CASE WHEN u2 IS NULL THEN 0 ELSE 1 END, 0), 0) END)
-  FROM (SELECT k.fold_id, k.station_id, k.h, k.preds, d.y,
-          CASE WHEN d.step >= 1 THEN k.preds[k.h] ELSE d.l1 END AS u1, CASE WHEN d.step >= 2 THEN k.preds[k.h - 1] ELSE d.l2 END AS u2,
-          CASE WHEN d.step >= 24 THEN k.preds[k.h - 23] ELSE d.l24 END AS u24
-        FROM walk k LEFT JOIN test_rows d ON d.fold_id = k.fold_id AND d.station_id = k.station_id AND d.h = k.h + 1
-        WHERE k.h < 48))
+{_walk_sql("test_rows", "fold_id, station_id", (1, 2, 24), LINEAR)}
 SELECT d.fold_id, d.station_id, d.date_time, d.y, k.preds[d.h] AS pred
-FROM test_rows d JOIN walk k ON k.fold_id = d.fold_id AND k.station_id = d.station_id AND k.h = 48"""
+FROM test_rows d JOIN walk k ON k.fold_id = d.fold_id AND k.station_id = d.station_id AND k.h = (SELECT max(h) FROM test_rows)"""
 
 
 def prefill_given(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -583,6 +590,20 @@ def prefill_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+PREFILL_FORECAST = f"""WITH RECURSIVE {STATION_HOURS},
+hidden AS (SELECT *, CASE WHEN date_time <= TIMESTAMP '{START}' THEN y END AS known FROM station_hours),
+lagged AS (SELECT *, {OBSERVED_LAGS.format("known")} FROM hidden {BY_STATION}),
+future AS (
+  SELECT *, date_diff('hour', TIMESTAMP '{START}', date_time) AS h, row_number() OVER (PARTITION BY station_id ORDER BY date_time) - 1 AS step
+  FROM lagged WHERE date_time > TIMESTAMP '{START}'),
+{_walk_sql("future", "station_id", (1, 2, 24), LINEAR)},
+mixed AS (
+  SELECT s.*, CASE WHEN date_time <= TIMESTAMP '{START}' THEN y ELSE k.preds[date_diff('hour', TIMESTAMP '{START}', date_time)] END AS m
+  FROM station_hours s LEFT JOIN walk k ON k.station_id = s.station_id AND k.h = (SELECT max(h) FROM future)),
+final AS (SELECT *, {OBSERVED_LAGS.format("m")} FROM mixed {BY_STATION})
+SELECT station_id, date_time, y, l1 AS y_lag1, l2 AS y_lag2, l24 AS y_lag24, {_mean_of_two("l1", "l2")} AS lag_avg FROM final"""
+
+
 def station_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forecast of every station from a point in time on, in the stored form."""
     made = runs.station_forecast(
@@ -591,6 +612,18 @@ def station_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outputs.station_output(made, F.lit(7), tf.ntz(START))
 
 
+STATION_FORECAST = f"""WITH RECURSIVE {STATION_HOURS},
+capped AS (SELECT station_id, date_time, CASE WHEN y > 150 THEN 150 ELSE y END AS y FROM station_hours),
+lagged AS (SELECT *, {OBSERVED_LAGS.format("y")} FROM capped {BY_STATION}),
+future AS (
+  SELECT *, date_diff('hour', TIMESTAMP '{START}', date_time) + 1 AS h, row_number() OVER (PARTITION BY station_id ORDER BY date_time) - 1 AS step
+  FROM lagged WHERE date_time >= TIMESTAMP '{START}'),
+{_walk_sql("future", "station_id", (1, 2, 24), LINEAR)}
+SELECT 7 AS model_id, CAST(epoch(TIMESTAMP '{START}') AS BIGINT) AS date_time_forecast, CAST(epoch(d.date_time) AS BIGINT) AS date_time,
+  d.station_id, k.preds[d.h] AS value
+FROM future d JOIN walk k ON k.station_id = d.station_id AND k.h = (SELECT max(h) FROM future)"""
+
+
 def scenario_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily means for each station, day and percentage: two days ahead, 0..100 % traffic."""
     sales = F.col("event_type").isin("purchase", "signup")
@@ -599,8 +632,43 @@ def scenario_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).agg(F.max("value").alias("y"), F.count(F.lit(1)).cast("double").alias("kfz_per_hour"))
     start = tf.ntz(START)
     scorer = LinearScorer({"y_lag1": 0.5, "lag_avg": 0.1, "kfz_per_hour": 0.8}, 3.0)
-    made = scenarios.scenario_forecast(rows, "y", [1], [1, 2], start, 2, scorer, average_name="lag_avg")
-    return scenarios.scenario_days(made, start)
+    made = scenarios.scenario_days(
+        scenarios.scenario_forecast(rows, "y", [1], [1, 2], start, 2, scorer, average_name="lag_avg"), start
+    )
+    return _rounded(made, *[c for c in made.columns if c.startswith("pct")], digits=9)
+
+
+_TRAFFIC_LINEAR = f"3.0::DOUBLE + 0.5::DOUBLE * coalesce(u1, 0) + 0.1::DOUBLE * coalesce({_mean_of_two('u1', 'u2')}, 0) + 0.8::DOUBLE * coalesce(x, 0)"
+SCENARIO_FORECAST = f"""WITH RECURSIVE places AS (
+  SELECT CASE WHEN event_type IN ('purchase', 'signup') THEN 'sales' ELSE 'other' END AS station_id, date_trunc('hour', ts) AS date_time,
+         max(value) AS y, CAST(count(*) AS DOUBLE) AS kfz FROM events GROUP BY 1, 2),
+ranged AS (SELECT * FROM places WHERE date_time <= TIMESTAMP '{START}' + INTERVAL 48 HOUR),
+hidden AS (SELECT *, CASE WHEN date_time <= TIMESTAMP '{START}' THEN y END AS known FROM ranged),
+lagged AS (SELECT *, lag(known, 1) OVER w AS l1, lag(known, 2) OVER w AS l2 FROM hidden {BY_STATION}),
+future AS (
+  SELECT *, date_diff('hour', TIMESTAMP '{START}', date_time) AS h, row_number() OVER (PARTITION BY station_id ORDER BY date_time) - 1 AS step
+  FROM lagged WHERE date_time > TIMESTAMP '{START}'),
+{_walk_sql("future", "station_id", (1, 2), _TRAFFIC_LINEAR, "d.kfz")},
+mixed AS (
+  SELECT r.*, CASE WHEN date_time <= TIMESTAMP '{START}' THEN y ELSE k.preds[date_diff('hour', TIMESTAMP '{START}', date_time)] END AS m
+  FROM ranged r LEFT JOIN walk k ON k.station_id = r.station_id AND k.h = (SELECT max(h) FROM future)),
+filled AS (SELECT *, lag(m, 1) OVER w AS l1, lag(m, 2) OVER w AS l2 FROM mixed {BY_STATION}),
+days AS (
+  SELECT *, CAST((date_diff('hour', TIMESTAMP '{START}', date_time) - 1) // 24 AS INTEGER) AS day,
+         (date_diff('hour', TIMESTAMP '{START}', date_time) - 1) % 24 + 1 AS h
+  FROM filled WHERE date_time > TIMESTAMP '{START}'),
+full_days AS (SELECT station_id, day, count(*) AS n FROM days GROUP BY 1, 2 HAVING count(*) = 24),
+kept AS (
+  SELECT f.station_id, f.day FROM full_days f
+  WHERE (SELECT count(*) FROM full_days e WHERE e.station_id = f.station_id AND e.day <= f.day) = f.day + 1),
+scenario AS (
+  SELECT days.*, h - 1 AS step, CAST(p * 10 AS INTEGER) AS kfz_pct,
+    CASE WHEN hour(timezone('Europe/Berlin', timezone('UTC', date_time))) BETWEEN 5 AND 21 THEN kfz * CAST(p * 10 AS INTEGER) / 100 ELSE kfz END AS v
+  FROM days JOIN kept USING (station_id, day), generate_series(0, 10) s(p)),
+{_walk_sql("scenario", "station_id, day, kfz_pct", (1, 2), _TRAFFIC_LINEAR, "d.v", "replay")}
+SELECT station_id, day, CAST(timezone('Europe/Berlin', timezone('UTC', TIMESTAMP '{START}' + to_hours(day * 24))) AS DATE) AS date,
+  {", ".join(f"max(CASE WHEN kfz_pct = {p} THEN round(list_avg(preds), 9) END) AS pct_kfz_{p}" for p in scenarios.PERCENTAGES)}
+FROM replay WHERE h = 24 GROUP BY station_id, day"""
 
 
 # ---------------------------------------------------------------- models
@@ -926,9 +994,9 @@ QUERIES = {
     "batch_report": (batch_report, BATCH_REPORT),
     "recursive_forecast": (recursive_forecast_query, RECURSIVE_FORECAST),
     "prefill_lags": (prefill_given, PREFILL_GIVEN),
-    "prefill_forecast": (prefill_forecast, None),
-    "station_forecast": (station_forecast, None),
-    "scenario_forecast": (scenario_forecast, None),
+    "prefill_forecast": (prefill_forecast, PREFILL_FORECAST),
+    "station_forecast": (station_forecast, STATION_FORECAST),
+    "scenario_forecast": (scenario_forecast, SCENARIO_FORECAST),
     "two_stage_combine": (two_stage_combine, TWO_STAGE_COMBINE),
     "two_stage_fit_predict": (two_stage_fit_predict, None),
     "forecast_t_plus_k": (forecast_t_plus_k, None),

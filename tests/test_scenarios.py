@@ -101,3 +101,15 @@ def test_grid_run_and_report(spark):
     assert {r[0] for r in runs.grid_predictions(features, predict, "grid_sim").select("pred").distinct().collect()} == {float(p) for p in range(1, 12)}
     with pytest.raises(ValueError):
         runs.grid_predictions(features, predict, "stations")
+
+
+def test_range_and_suggestions(spark):
+    latest = ntz("2022-06-10 04:00:00")
+    got = spark.range(1).select(*scenarios.scenario_range(ntz("2022-06-10 00:00:00"), 2, latest)).first()
+    assert tuple(got) == (at("2022-06-09 22:00:00"), at("2022-06-11 22:00:00"))
+    got = spark.range(1).select(*scenarios.scenario_range(ntz("2022-06-12 00:00:00"), 1, latest)).first()
+    assert tuple(got) == (at("2022-06-10 05:00:00"), at("2022-06-12 22:00:00"))
+    days = spark.createDataFrame([("a", 1, "True Positive"), ("a", 2, "False Negative"), ("a", 3, "False Positive")], "station_id STRING, day INT, label STRING")
+    means = spark.createDataFrame([("a", 1, p, 40.0 + p / 5) for p in range(0, 101, 10)], "station_id STRING, day INT, kfz_pct INT, mean DOUBLE")
+    got = {r.day: r.max_percentage for r in scenarios.with_suggestions(days, means, 50.0, 5.0).collect()}
+    assert got == {1: "20", 3: None}
