@@ -160,7 +160,7 @@ def leave_one_out_sizes(df: DataFrame, station: str = "station_id") -> DataFrame
     if station not in df.columns:
         raise KeyError(station)
     sizes = df.groupBy(station).agg(F.count(F.lit(1)).alias("n_test"))
-    total = df.select(F.count(F.lit(1))).scalar()
+    total = sizes.select(F.sum("n_test")).scalar()
     return sizes.withColumn("n_train", total - F.col("n_test"))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -223,6 +222,3 @@ def tree_scorer(spark: SparkSession, model: PipelineModel, features: Sequence[st
         labels=labels,
     )
 
-
-def describe_params(params: dict) -> str:
-    return json.dumps(params, sort_keys=True)

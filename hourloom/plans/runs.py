@@ -7,17 +7,16 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.functions.timefns import hours
 from hourloom.operators.cleaning import cap_for_training, cap_outliers, drop_empty_series, drop_missing_target, hours_between
 from hourloom.operators.evaluation import regression_metrics
 from hourloom.operators.folds import add_retrain_group, add_series_step, add_step, fold_cut, last_time, leave_one_out, rolling_test_rows, train_rows
-from hourloom.operators.forecast import keep_first, recursive_forecast
+from hourloom.operators.forecast import recursive_forecast
 from hourloom.operators.lags import add_station_lags
 from hourloom.operators.scenarios import PERCENTAGES, traffic_scenarios
 from hourloom.operators.training import StagedModel, fit_staged
 from hourloom.plans.features import assemble_features
 from hourloom.session import scratch_path, store
-from hourloom.sources.merge import write_rows
+from hourloom.sources.merge import latest_per_key, write_rows
 from hourloom.sources.outputs import grid_output
 from hourloom.sources.registry import promote_model, register_model, training_description
 from hourloom.sources.tables import sampler_coords
@@ -151,7 +150,7 @@ def forecast_t_plus_k(
 ) -> DataFrame:
     """Recursive forecasts from every time point t for the next k hours, all folds in one job."""
     tests = rolling_test_rows(df, time, n_windows, window_hours, step_hours, include_current, prediction_hour, last)
-    unique = keep_first(tests, ["fold_id", station, time], [F.col(target).asc_nulls_last()])
+    unique = latest_per_key(tests, ["fold_id", station, time], [F.col(target).asc_nulls_last()])
     return recursive_forecast(
         add_step(unique, time, max_points=n_windows * (window_hours + 1)), target, lags, lags_avg, scorer,
         ["fold_id", station], time,
@@ -165,7 +164,7 @@ def station_forecast(
 ) -> DataFrame:
     """Forecast of all stations from `now` (included) to the end of the data. Each station counts its own steps."""
     rows = prepare_station_rows(df, target, caps, lags, lags_avg, station, time, average_name)
-    future = keep_first(rows.where(F.col(time) >= now), [station, time], [F.col(target).asc_nulls_last()])
+    future = latest_per_key(rows.where(F.col(time) >= now), [station, time], [F.col(target).asc_nulls_last()])
     return recursive_forecast(
         add_series_step(future, time, [station]), target, lags, lags_avg, scorer, [station], time, keep=[target],
         average_name=average_name,
@@ -223,7 +222,3 @@ def cross_validate_stations(
 def station_metrics(predictions: DataFrame, target: str, pred: str = "pred", station: str = "station_id") -> DataFrame:
     return regression_metrics(predictions, target, pred, [station])
 
-
-def forecast_range(now: Column, lookback_hours: int, end: Column) -> tuple[Column, Column]:
-    """Range to read for a station forecast: far enough back for the lags, up to the end of the horizon."""
-    return now - hours(lookback_hours), end

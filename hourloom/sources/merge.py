@@ -59,7 +59,7 @@ def write_rows(
         return True
     if not keys or not partition_by or not set(partition_by) <= set(keys):
         raise ValueError("replace needs keys and partition columns that belong to the key")
-    if _exists(spark, path):
+    if exists(spark, path):
         stored = spark.read.schema(df.schema).parquet(path).select(*df.columns)
         merged = merge_rows(_touched(stored, df, partition_by), df, keys)
     else:
@@ -94,6 +94,6 @@ def _touched(stored: DataFrame, new: DataFrame, partition_by: Sequence[str]) ->
     return stored.join(wanted, same, "left_semi").select(*new.columns)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

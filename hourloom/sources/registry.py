@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.sources.merge import write_rows
+from hourloom.sources.merge import exists, write_rows
 
 REGISTRY_SCHEMA = (
     "model_id INT, date_time_training_execution BIGINT, pollutant STRING, model_name STRING, description STRING, "
@@ -100,12 +100,8 @@ def register_model(
     trained_at: int,
 ) -> int:
     """Save the stages below `model_root` and append the registry row. One writer at a time, as ids are max + 1."""
-    try:
-        model_id = next_model_id(spark.read.schema(REGISTRY_SCHEMA).parquet(registry_path))
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        model_id = 1
+    known = exists(spark, registry_path)
+    model_id = next_model_id(spark.read.schema(REGISTRY_SCHEMA).parquet(registry_path)) if known else 1
     path = f"{model_root}/{model_id}"
     model.save(path)
     row = (
