@@ -30,7 +30,8 @@ def traffic_rows(
     Deduplication and pivot in one aggregation with map-side combine: however often a key was rewritten, a map task sends
     one row for it.
     """
-    version = F.struct(*newest)
+    # A single version column keeps the aggregation in a hash table; a struct would have to be sorted for.
+    version = F.col(newest[0]) if len(newest) == 1 else F.struct(*newest)
     is_volume, is_speed = F.col("model_id") == volume_model, F.col("model_id") == speed_model
     return (
         predictions.where(is_volume | is_speed)
@@ -127,15 +128,16 @@ def assemble_features(
     rows = rows.join(tables["cell_map_dwd"].select("x", "y", "dwd_x", "dwd_y"), ["x", "y"])
     rows = rows.join(tables["cell_map_cams"].select("x", "y", "cams_x", "cams_y"), ["x", "y"])
     rows = rows.join(tables["land_use"], ["x", "y"], "left")
+    rows = rows.join(tables["station_map"].select("x", "y", "station_id"), ["x", "y"], "left")
+    # Observations may be as many as the rows: they come while the rows are narrow
+    measured = in_range(tables["observations"], "date_time", lo, hi).drop("x", "y")
+    rows = rows.join(measured, ["station_id", "date_time"], "left")
     # Sources by their own cell and hour
     rows = rows.join(weather_source(tables, lo, hi), ["dwd_x", "dwd_y", "date_time"])
     rows = rows.join(cams_source(tables, lo, hi), ["cams_x", "cams_y", "date_time"])
     rows = rows.drop("dwd_x", "dwd_y", "cams_x", "cams_y")
     calendar = tables["calendar"].withColumn("__calendar_time", F.col("date_time"))
     rows = rows.join(calendar, "date_time", "left").withColumns(calendar_columns()).drop("__calendar_time")
-    places = tables["station_map"].select("x", "y", "station_id")
-    measured = in_range(tables["observations"], "date_time", lo, hi).drop("x", "y")
-    rows = rows.join(places, ["x", "y"], "left").join(measured, ["station_id", "date_time"], "left")
     means = lag_class_means(
         station_means(tables, lo - hours(average_lookback_hours), hi), POLLUTANTS, STATION_AVERAGE_LAGS
     )

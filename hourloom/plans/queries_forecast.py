@@ -90,7 +90,7 @@ FROM (SELECT DISTINCT x, y, date_time FROM traffic) LEFT JOIN share USING (x, y)
 def feature_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     domain = samples.domain_tables(spark, sf_dir)
     return features.assemble_features(
-        domain, coords_for("stations", domain), tf.ntz(RANGE_FROM), tf.ntz(RANGE_TO), "stations", newest=("ts", "event_id")
+        domain, coords_for("stations", domain), tf.ntz(RANGE_FROM), tf.ntz(RANGE_TO), "stations", newest=("event_id",)
     )
 
 
@@ -108,7 +108,7 @@ users AS (SELECT DISTINCT user_id, CAST(user_id % 16 AS INTEGER) AS x, CAST(user
 coords AS (SELECT x, y FROM users JOIN customer ON c_custkey = user_id WHERE c_mktsegment <> 'MACHINERY'),
 newest AS (
   SELECT model_id, date_time, x, y, value FROM (
-    SELECT *, row_number() OVER (PARTITION BY model_id, date_time, x, y ORDER BY ts DESC, event_id DESC) AS n FROM traffic
+    SELECT *, row_number() OVER (PARTITION BY model_id, date_time, x, y ORDER BY event_id DESC) AS n FROM traffic
     WHERE {_PADDED}) JOIN coords USING (x, y) WHERE n = 1),
 scaled AS (
   SELECT v.x, v.y, v.date_time, scaling * v.value AS kfz_per_hour, s.value AS velocity
@@ -182,6 +182,16 @@ SELECT folds.*, (SELECT count(*) FROM user_hours WHERE date_time > fold_cut - IN
   (SELECT count(*) FROM user_hours WHERE date_time > fold_cut AND date_time <= fold_end) AS n_test FROM folds"""
 
 
+def train_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training rows of the third fold: ten days up to its cut."""
+    cut = folds.fold_cut(samples.last_hour(spark, sf_dir), F.lit(3), 48, 24)
+    return folds.train_rows(samples.user_hours(spark, sf_dir), "date_time", cut, 240 / folds.HOURS_PER_YEAR)
+
+
+TRAIN_WINDOW = f"""WITH {USER_HOURS}, {_folds_sql(3, 48, 24, _last_sql())}
+SELECT user_hours.* FROM user_hours JOIN folds ON fold_id = 3 AND date_time > fold_cut - INTERVAL 240 HOUR AND date_time <= fold_cut"""
+
+
 def fold_step_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = folds.rolling_test_rows(
         samples.user_hours(spark, sf_dir), "date_time", 5, 48, 24, last=samples.last_hour(spark, sf_dir)
@@ -450,6 +460,36 @@ SELECT station_id, day, CASE WHEN max(level) FILTER (WHERE kfz_pct = 0) > 28 THE
   ELSE CAST(coalesce(max(kfz_pct) FILTER (WHERE level < 28), 0) AS VARCHAR) END AS max_percentage FROM means GROUP BY 1, 2"""
 
 
+def transgression_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alarm days with the highest percentage of traffic that keeps them below the limit."""
+    days = evaluation.transgression_days(samples.day_values(spark, sf_dir), "obs", "pred", LIMIT, TWEAK)
+    return scenarios.with_suggestions(days.select("station_id", "day", "label"), _scenario_means(spark, sf_dir), 28.0, 2.7)
+
+
+TRANSGRESSION_SUGGESTIONS = f"""WITH {SCENARIO_ROWS}, {DAY_VALUES},
+means AS (SELECT station_id, CAST(date_time AS DATE) AS day, kfz_pct, avg(pred) + 2.7::DOUBLE AS level FROM scored GROUP BY 1, 2, 3),
+best AS (
+  SELECT station_id, day, CASE WHEN max(level) FILTER (WHERE kfz_pct = 0) > 28 THEN 'not possible'
+    ELSE CAST(coalesce(max(kfz_pct) FILTER (WHERE level < 28), 0) AS VARCHAR) END AS max_percentage FROM means GROUP BY 1, 2)
+SELECT station_id, day, CASE WHEN obs > {LIMIT} THEN 'True Positive' ELSE 'False Positive' END AS label, max_percentage
+FROM day_values LEFT JOIN best USING (station_id, day) WHERE pred + {TWEAK}::DOUBLE > {LIMIT}"""
+
+
+def scenario_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start and end of a two-day run for the local day 20 days after a user's first event, given the user's last event."""
+    seen = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    asked = F.to_date(F.col("first") + tf.days(20)).cast("timestamp_ntz")
+    start, end = scenarios.scenario_range(asked, 2, tf.floor_hour(F.col("last")))
+    return seen.select("user_id", start.alias("start"), end.alias("end"))
+
+
+SCENARIO_RANGE = """WITH u AS (
+  SELECT user_id, timezone('UTC', timezone('Europe/Berlin', date_trunc('day', min(ts) + INTERVAL 20 DAY)::TIMESTAMP)) AS asked,
+         date_trunc('hour', max(ts)) AS latest FROM events GROUP BY 1)
+SELECT user_id, CASE WHEN asked - INTERVAL 1 HOUR > latest THEN latest + INTERVAL 1 HOUR ELSE asked END AS start,
+  asked + INTERVAL 48 HOUR AS "end" FROM u"""
+
+
 def monotonicity_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = _scenario_means(spark, sf_dir).withColumn("mean", F.round("mean", 10))
     return scenarios.monotonicity_violations(means, ["station_id", "day"])
@@ -775,14 +815,14 @@ def grid_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All batches through assembly, scoring and the sink; what was stored is read back."""
     domain, path = samples.domain_tables(spark, sf_dir), scratch_path(spark, "grid")
     runs.grid_run(
-        spark, domain, tf.ntz(RANGE_FROM), tf.ntz(RANGE_TO), _scored, 7, {"no2": 150.0}, path, "grid", ("ts", "event_id")
+        spark, domain, tf.ntz(RANGE_FROM), tf.ntz(RANGE_TO), _scored, 7, {"no2": 150.0}, path, "grid", ("event_id",)
     )
     return spark.read.parquet(path)
 
 
 GRID_RUN = f"""WITH {DOMAIN["traffic"]}, {DOMAIN["traffic_scaling"]},
 users AS (SELECT DISTINCT CAST(user_id % 16 AS INTEGER) AS x, CAST(user_id // 16 AS INTEGER) AS y FROM events),
-newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date_time, x, y ORDER BY ts DESC, event_id DESC) AS n
+newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date_time, x, y ORDER BY event_id DESC) AS n
            FROM traffic WHERE model_id = 1 AND {_RANGE}) WHERE n = 1),
 scaled AS (
   SELECT x, y, date_time, scaling * value AS kfz FROM newest JOIN traffic_scaling USING (x, y) JOIN users USING (x, y)),
@@ -890,8 +930,8 @@ def final_model_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domain["predictions_latest"].where(F.col("model_id") == chosen)
 
 
-FINAL_MODEL_CHOICE = """SELECT date_trunc('hour', ts) AS date_time, CAST(user_id AS VARCHAR) AS station_id, max(value) AS value, 3 AS model_id
-FROM events WHERE event_type = 'view' GROUP BY 1, 2"""
+FINAL_MODEL_CHOICE = """SELECT date_trunc('hour', ts) AS date_time, CAST(user_id AS VARCHAR) AS station_id, value, 3 AS model_id
+FROM events WHERE event_type = 'view'"""
 
 # ---------------------------------------------------------------- requests
 
@@ -970,6 +1010,9 @@ QUERIES = {
     "weighted_station_avg": (weighted_station_avg, WEIGHTED_STATION_AVG),
     "rolling_origin_folds": (rolling_origin_folds, ROLLING_ORIGIN_FOLDS),
     "fold_sizes": (fold_sizes, FOLD_SIZES),
+    "train_window": (train_window, TRAIN_WINDOW),
+    "transgression_suggestions": (transgression_suggestions, TRANSGRESSION_SUGGESTIONS),
+    "scenario_range": (scenario_range, SCENARIO_RANGE),
     "fold_step_index": (fold_step_index, FOLD_STEP_INDEX),
     "retrain_groups": (retrain_groups, RETRAIN_GROUPS),
     "holdout_split": (holdout_split, HOLDOUT_SPLIT),

@@ -158,9 +158,9 @@ def domain_tables(spark: SparkSession, sf_dir: str) -> Mapping[str, DataFrame]:
         return points.select("lat_int", "lon_int", (F.col("lat_int") * 10).alias("x"), F.lit(70).alias("y"))
 
     def predictions() -> DataFrame:
-        hourly = events.groupBy(hour, station, F.col("event_type").alias("kind")).agg(F.max("value").alias("value"))
-        model = F.when(F.col("kind") == "view", 3).when(F.col("kind") == "purchase", 1).when(F.col("kind") == "error", 2)
-        return hourly.withColumn("model_id", model.otherwise(0)).drop("kind")
+        kind = F.col("event_type")
+        model = F.when(kind == "view", 3).when(kind == "purchase", 1).when(kind == "error", 2).otherwise(0)
+        return events.select(hour, station, model.alias("model_id"), "value")
 
     def models_final() -> DataFrame:
         number = F.col("r_regionkey")
@@ -257,9 +257,8 @@ DOMAIN = {
   FROM events GROUP BY 1, 2)""",
     "predictions": """predictions AS (
   SELECT date_trunc('hour', ts) AS date_time, CAST(user_id AS VARCHAR) AS station_id,
-         CASE event_type WHEN 'view' THEN 3 WHEN 'purchase' THEN 1 WHEN 'error' THEN 2 ELSE 0 END AS model_id,
-         event_type AS kind, max(value) AS value
-  FROM events GROUP BY 1, 2, 3, 4)""",
+         CASE event_type WHEN 'view' THEN 3 WHEN 'purchase' THEN 1 WHEN 'error' THEN 2 ELSE 0 END AS model_id, value
+  FROM events)""",
     "station_types": """station_types AS (
   SELECT CAST(c_custkey AS VARCHAR) AS station_id,
          CASE WHEN c_mktsegment = 'BUILDING' THEN 'Verkehr' END AS station_type FROM customer)""",

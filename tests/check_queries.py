@@ -15,7 +15,7 @@ from hourloom.session import build_session  # noqa: E402
 
 def main(sf="0.01", *names):
     sf_dir = f"/root/testdata/sf{sf}"
-    spark = build_session("check", "local[8]", 8, {"spark.ui.showConsoleProgress": "false"})
+    spark = build_session("check", "local[8]", 8, {"spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     db = connect(sf_dir)
     queries, oracle = entry_module.queries(), entry_module.oracle_sql()

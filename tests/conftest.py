@@ -12,7 +12,8 @@ from hourloom.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", "local[8]", 4, {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
+    settings = {"spark.driver.memory": "6g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
+    session = build_session("tests", "local[8]", 4, settings)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
