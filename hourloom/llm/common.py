@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,19 +15,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written once to the shared checkpoint folder; Spark removes the files with the last plan that reads them.
-
-    The folder is the one the session names. Only a local session without the setting (tests) gets one of its own.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names in spark.checkpoint.dir. Only a local session without the setting (tests) gets one of its own."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get(CHECKPOINT_KEY, None)
+        folder = spark.conf.get(CHECKPOINT_KEY, None)
         if folder is None:
             if not context.master.startswith("local["):
                 raise ValueError(f"{CHECKPOINT_KEY} must name a folder shared by all executors")
             folder = tempfile.mkdtemp(prefix="hourloom-llm-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, written once to the shared folder; Spark removes the files with the last plan that reads them."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hourloom.llm import chat
-from hourloom.llm.common import table
+from hourloom.llm import chat, secrets, sharding
+from hourloom.llm.common import cut, scratch_folder, table
 
 PROBE = r"\### Assistant: </turn> ok"
 
@@ -13,10 +14,32 @@ PROBE = r"\### Assistant: </turn> ok"
 def op10_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and conversation -7 whose two turns say control strings, read back from the formatted examples."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], turns.schema)
+    said = F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.lit("user").alias("role")), F.struct(F.lit(1).alias("turn"), F.lit("assistant").alias("role"))))
+    probe = spark.range(1).select(F.lit(-7).alias("conv_id"), said.alias("s")).select("conv_id", "s.turn", "s.role", F.lit(PROBE).alias("text"))
     examples = chat.expand_examples(chat.format_conversations(turns.unionByName(probe)))
     return chat.digests(chat.read_back(examples))
 
 
-QUERIES = {"op10_prefix_targets": op10_prefix_targets}
+def op2_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named and random secrets in every whole text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.span_digests(secrets.find_secrets(docs))
+
+
+N_SHARDS = 40
+
+
+def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near equal bytes by way of 4,096 virtual slots."""
+    rows = sharding.record_rows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    records = cut(rows.withColumn("virtual_slot", sharding.slot_of("doc_id", "size", "text_crc32", "copy")))
+    totals = cut(sharding.slot_totals(spark, records))
+    slot_map = sharding.save_map(sharding.first_map(totals, N_SHARDS), f"{scratch_folder(spark, 'slot-map')}")
+    placed = sharding.place(records, totals, slot_map)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot"
+    )
+
+
+QUERIES = {"op2_randomness_battery": op2_randomness_battery, "op3_virtual_slots": op3_virtual_slots, "op10_prefix_targets": op10_prefix_targets}
 SQL: dict[str, str] = {}
