@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm import chat, secrets, sharding
+from hourloom.llm import bpe, chat, exact_dedup, fingerprints, html_text, mixing, secrets, sharding
 from hourloom.llm.common import cut, scratch_folder, table
 
 PROBE = r"\### Assistant: </turn> ok"
@@ -41,5 +42,58 @@ def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_randomness_battery": op2_randomness_battery, "op3_virtual_slots": op3_virtual_slots, "op10_prefix_targets": op10_prefix_targets}
+def op4_history_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact copies among all documents; the row with the largest id stays."""
+    marked = exact_dedup.mark_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return marked.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"), "in_history")
+
+
+VOCABULARY = "byte_bpe_50k.tiktoken"
+
+
+def op5_two_tier_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all whole texts and what they decode to."""
+    vocabulary = bpe.load(spark, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, keep_text=False)
+    decoded = bpe.decode(encoded, vocabulary)
+    n_tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
+    return decoded.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op6_packed_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts and their edited texts, and how alike they and neighbours are."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    own = fingerprints.add_fingerprint(docs, name="own")
+    ahead = fingerprints.with_next(own, "doc_id", {"text": "next_text", "own": "next"}, F.xxhash64("text"))
+    edited = ahead.select("doc_id", F.length("text").cast("long").alias("n_chars"), fingerprints.edited_text(F.col("text"), F.col("next_text")).alias("edited"), "own", "next")
+    both = edited.withColumn("changed", fingerprints.fingerprint(F.col("edited")))
+    return both.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprints.as_hex(F.col("own")).alias("fingerprint"), fingerprints.as_hex(F.col("changed")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("own"), F.col("changed")).alias("near_edited"), fingerprints.likeness(F.col("own"), F.col("next")).alias("near_next"),
+    )
+
+
+def op7_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix of all sources takes."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    texts = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+QUERIES = {
+    "op2_randomness_battery": op2_randomness_battery,
+    "op3_virtual_slots": op3_virtual_slots,
+    "op4_history_hash": op4_history_hash,
+    "op5_two_tier_bpe": op5_two_tier_bpe,
+    "op6_packed_minhash": op6_packed_minhash,
+    "op7_sainte_lague": op7_sainte_lague,
+    "op9_block_rules": op9_block_rules,
+    "op10_prefix_targets": op10_prefix_targets,
+}
 SQL: dict[str, str] = {}

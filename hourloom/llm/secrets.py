@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourloom.llm.common import cut, fresh, sha256_hex
+from hourloom.llm.common import cut, fresh, let, sha256_hex
 
 # The named patterns, in the order of their kinds, with the least length of what they must match.
 ASSIGN = (
@@ -48,11 +48,6 @@ ALPHABETS = {"hex": (DIGITS + "abcdef",), "base32": (UPPER + "234567",), "base36
 ENCODINGS = tuple(ALPHABETS)
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with value computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def spans(text: Column, pattern: str, kept=None) -> Column:
     """array<struct<start, end, said>> of the matches of a pattern that never matches an empty string."""
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("said"))
