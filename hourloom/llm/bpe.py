@@ -5,7 +5,7 @@ hold the entry's bytes and rank. The others are merged: their bytes form a linke
 and the least rank, leftmost first, is merged until no pair is in the vocabulary. Special tokens do not exist here.
 
 The vocabulary (a rank file: base64 bytes and rank per line) is read on the driver; its size is fixed, so it is broadcast. Each task
-keeps the ids of recent distinct pre-tokens, at most REMEMBERED of them; what is forgotten is worked out again.
+keeps the ids of recent distinct pre-tokens, twice REMEMBERED at most; what is forgotten is worked out again.
 
 Defined cases: a null text is empty and has no ids; null ids decode to empty; any text decodes to its own UTF-8 bytes.
 Other columns are kept.
@@ -29,6 +29,8 @@ from hourloom.llm import mph
 REMEMBERED = 200_000
 #: Longer pre-tokens are not remembered, so what is kept has a bound in bytes too.
 LONGEST_REMEMBERED = 64
+#: Texts are split and looked up in groups of so many characters.
+GROUP_CHARS = 2_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -94,38 +96,59 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes one text after another; holds the ids of recent pre-tokens as little-endian 32-bit integers."""
+    """Encodes texts in groups; keeps the ids of recent pre-tokens, as little-endian 32-bit integers, in two generations.
+
+    When the younger generation is full it becomes the older one, whose pre-tokens return to the younger when they are met again.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.split = vocabulary, regex.compile(vocabulary.pattern).findall
         self.recent: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        parts, recent = self.split(text), self.recent
-        missing = [p for p in set(parts) if p not in recent]
-        if not missing:
-            return b"".join(map(recent.__getitem__, parts))
-        made = self._work_out(missing)
+        self.older: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        parts = [self.split(t) for t in texts]
+        needed = set()
+        for p in parts:
+            needed.update(p)
+        missing = needed.difference(self.recent)
+        again = {p: self.older[p] for p in missing if p in self.older}
+        made = self._work_out([p for p in missing if p not in again])
+        made.update(again)
         short = {p: ids for p, ids in made.items() if len(p) <= LONGEST_REMEMBERED}
-        if len(recent) + len(short) > REMEMBERED:
-            made = {**{p: recent[p] for p in set(parts) if p in recent}, **made}
-            recent.clear()
-            self.recent.update(short) if len(short) <= REMEMBERED else None
-            return b"".join(map(made.__getitem__, parts))
-        recent.update(short)
-        if len(short) == len(made):
-            return b"".join(map(recent.__getitem__, parts))
-        return b"".join([recent[p] if p in recent else made[p] for p in parts])
+        known = self.recent
+        if len(known) + len(short) > REMEMBERED:
+            made.update((p, known[p]) for p in needed if p in known)
+            self.older, self.recent = known, short
+            known = made
+        else:
+            known.update(short)
+            if len(short) < len(made):
+                known = {p: known[p] if p in known else made[p] for p in needed}
+        return [b"".join(map(known.__getitem__, p)) for p in parts]
 
     def _work_out(self, parts: list[str]) -> dict[str, bytes]:
         tokens = [p.encode() for p in parts]
         made = {}
         for part, token, known in zip(parts, tokens, self.vocabulary.whole(tokens)):
             ids = (known,) if known is not None else self.vocabulary.merge(token)
-            made[part] = b"".join(i.to_bytes(4, "little") for i in ids)
+            made[part] = b"".join([i.to_bytes(4, "little") for i in ids])
         return made
 
 
+def grouped(texts: Iterator[str], most_chars: int = GROUP_CHARS) -> Iterator[list[str]]:
+    """Consecutive texts with at most so many characters together, or one longer text."""
+    group, chars = [], 0
+    for text in texts:
+        if group and chars + len(text) > most_chars:
+            yield group
+            group, chars = [], 0
+        group.append(text)
+        chars += len(text)
+    if group:
+        yield group
+
+
 def decode_ids(vocabulary: Vocabulary, ids: bytes) -> bytes:
     return b"".join(map(vocabulary.by_id.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -144,7 +167,8 @@ def encode(docs: DataFrame, vocabulary, text_column: str = "text", name: str = "
         encoder = Encoder(vocabulary.value)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_column))
-            ids = pa.array((encoder.encode(t.as_py() or "") for t in texts), pa.binary())
+            made = (encoder.encode(group) for group in grouped(t.as_py() or "" for t in texts))
+            ids = pa.array((i for group in made for i in group), pa.binary())
             columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
             yield pa.RecordBatch.from_arrays([*columns, ids], [*(f.name for f in kept), name])
 

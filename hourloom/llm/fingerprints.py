@@ -22,13 +22,13 @@ from pyspark.sql.window import Window
 from hourloom.llm.common import fresh, let
 
 SHINGLE = 5
-BIN_BITS, BITS = 8, 4
+BIN_BITS, BITS = 7, 8
 BINS = 1 << BIN_BITS
 SHIFT = 63 - BIN_BITS
 TOP = (1 << SHIFT) - 1
 PROBES, SEED = 24, 20240229
 PER_WORD = 64 // BITS
-NIBBLES = 0x1111111111111111
+LOWEST_BITS = sum(1 << (BITS * i) for i in range(PER_WORD))
 FIRST_ID = -(1 << 63)
 
 
@@ -37,10 +37,10 @@ def shingle_hashes(text: Column) -> Column:
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
     def hashes(w: Column) -> Column:
-        # Beyond the end get() is null, which the hash skips: a short text is hashed as a whole.
+        # A slice ends with its array: a short text is hashed as a whole.
         last = F.greatest(F.size(w) - SHINGLE, F.lit(0))
         starts = F.when(F.size(w) > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]).bitwiseAND(F.lit((1 << 63) - 1)))
+        return F.transform(starts, lambda i: F.xxhash64(F.slice(w, i + 1, F.lit(SHINGLE))).bitwiseAND(F.lit((1 << 63) - 1)))
 
     return let(words, hashes)
 
@@ -65,15 +65,24 @@ def filled(value: Column) -> Column:
 def densify(minima: Column) -> Column:
     """Low-order bits of every bin; empty bins by their probe sequence."""
     rng = random.Random(SEED)
-    tables = [F.array(*[F.lit(rng.randrange(BINS)) for _ in range(BINS)]) for _ in range(PROBES)]
+    # Bin j looks at the upper bits of multiplier * j + summand, by another pair at every attempt.
+    pairs = [(rng.randrange(1, 1 << 40, 2), rng.randrange(1 << 40)) for _ in range(PROBES)]
 
-    def borrow(m: Column, j: Column) -> Column:
-        tries = [let(F.get(m, F.get(t, j)), lambda v: F.when(filled(v), v)) for t in tables]
-        # What the probes miss goes round from the last probe to the next filled bin.
-        around = F.transform(F.sequence(F.lit(1), F.lit(BINS - 1)), lambda d: F.get(m, (F.get(tables[-1], j) + d) % BINS))
-        return F.coalesce(*tries, F.get(F.filter(around, filled), F.lit(0)))
+    def place(j: Column, attempt: int) -> Column:
+        multiplier, summand = pairs[attempt]
+        mixed = (j + 1) * F.lit(multiplier) + F.lit(summand)
+        return F.shiftright(mixed, 40 - BIN_BITS).bitwiseAND(F.lit(BINS - 1)).cast("int")
 
-    return F.transform(minima, lambda v, j: F.when(filled(v), v).otherwise(borrow(minima, j)).bitwiseAND(F.lit((1 << BITS) - 1)))
+    def known(low: Column) -> Column:
+        def of(v: Column, j: Column) -> Column:
+            tries = [F.get(low, place(j, a)) for a in range(PROBES)]
+            # What the probes miss goes round from the last probe to the next filled bin.
+            around = F.transform(F.sequence(F.lit(1), F.lit(BINS - 1)), lambda d: F.get(low, (place(j, PROBES - 1) + d) % BINS))
+            return F.coalesce(v, *tries, F.get(F.filter(around, lambda x: x.isNotNull()), F.lit(0)))
+
+        return F.transform(low, of)
+
+    return let(F.transform(minima, lambda v: F.when(filled(v), v.bitwiseAND(F.lit((1 << BITS) - 1)))), known)
 
 
 def pack(values: Column) -> Column:
@@ -102,9 +111,10 @@ def likeness(a: Column, b: Column) -> Column:
     """Estimated Jaccard likeness of the two shingle sets."""
 
     def unequal(x: Column, y: Column) -> Column:
-        d = x.bitwiseXOR(y)
-        any_bit = d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseOR(F.shiftrightunsigned(d, 3))
-        return F.bit_count(any_bit.bitwiseAND(F.lit(NIBBLES)))
+        differ, shift = x.bitwiseXOR(y), BITS // 2
+        while shift:  # folds each value onto its lowest bit
+            differ, shift = differ.bitwiseOR(F.shiftrightunsigned(differ, shift)), shift // 2
+        return F.bit_count(differ.bitwiseAND(F.lit(LOWEST_BITS)))
 
     differ = F.aggregate(F.zip_with(a, b, unequal), F.lit(0), lambda s, d: s + d)
     chance = 2.0**-BITS

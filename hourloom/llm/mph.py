@@ -22,7 +22,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _places(a: np.ndarray, b: np.ndarray, level: int, size: int) -> np.ndarray:
-    h = mix(a + _STEP * np.uint64(level + 1)) ^ b
+    h = mix(a + np.uint64(int(_STEP) * (level + 1) % 2**64)) ^ b
     return (mix(h) % np.uint64(size)).astype(np.int64)
 
 
