@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hourloom.llm.common import cut, fresh
+from hourloom.llm.common import cut, fresh, let
 
 # The pattern of a word, the weights by position of the source.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -129,3 +129,37 @@ def mix(docs: DataFrame, *keep: str) -> DataFrame:
     return chosen.withColumn("taken", F.col("whole") * F.col("size") + more).select(
         "doc_id", "source", "size", "source_size", "target", "whole", "pieces", "taken", *keep
     )
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The mix itself, with the columns of docs (n_chars, if there, counts the row's text): a row per full pass over a document, and one with the words of the last pass.
+
+    The pieces of a cut document keep the white space between their words; pieces that do not touch are joined by a newline.
+    """
+    rest, = fresh(docs, "rest")
+    names = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
+    nested = docs.select("doc_id", "source", "text", F.struct("text", *[F.col(f"`{c}`") for c in names]).alias(rest))
+    rows = sized_rows(nested)
+    plan = cut(source_plan(cut(rows.groupBy("source").agg(F.sum("size").alias("source_size")))))
+    chosen = select_blocks(place_documents(sized_rows(nested, rest), plan))
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    joined = F.aggregate(
+        "pieces", F.array().cast("array<struct<first:bigint,last:bigint>>"),
+        lambda done, p: F.when((F.size(done) > 0) & (F.element_at(done, -1)["last"] == p["first"]), F.concat(
+            F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["first"].alias("first"), p["last"].alias("last")))
+        )).otherwise(F.concat(done, F.array(p))),
+    )
+    read = chosen.select("doc_id", "source", "size", "whole", F.col(f"{rest}.text").alias("text"), rest, joined.alias("joined"))
+    complete = (F.size("joined") == 1) & (F.col("joined")[0]["last"] - F.col("joined")[0]["first"] == F.col("size"))
+    some = F.size("joined") > 0
+
+    def piece_text(w: Column, p: Column) -> Column:
+        return F.array_join(F.slice(w, (p["first"] + 1).cast("int"), (p["last"] - p["first"]).cast("int")), "")
+
+    cut_text = let(words, lambda w: F.array_join(F.transform("joined", lambda p: piece_text(w, p)), "\n"))
+    last = F.when(~some, F.array().cast("array<string>")).when(complete, F.array("text")).otherwise(F.array(cut_text))
+    texts = F.concat(F.array_repeat(F.col("text"), F.when(F.col("size") > 0, F.col("whole")).otherwise(0)), last)
+    each = read.select("doc_id", "source", rest, F.explode(texts).alias("taken_text"))
+    made = {"doc_id": F.col("doc_id"), "source": F.col("source"), "text": F.col("taken_text")}
+    columns = [made.get(c, F.length("taken_text").cast("long") if c == "n_chars" else F.col(f"{rest}.`{c}`")).alias(c) for c in docs.columns]
+    return each.select(*columns)

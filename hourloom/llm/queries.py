@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm import bpe, chat, exact_dedup, fingerprints, html_text, mixing, secrets, sharding
+from hourloom.llm import bpe, chat, exact_dedup, fingerprints, html_text, jaccard_join, mixing, quality, secrets, sharding
 from hourloom.llm.common import cut, scratch_folder, table
 
 PROBE = r"\### Assistant: </turn> ok"
@@ -21,6 +21,13 @@ def op10_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(examples))
 
 
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log weight and score of every document, and whether the sample takes it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored, weight, total, taken = quality.score(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", F.col(weight).alias("log_weight"), F.col(total).alias("score"), taken.alias("selected"))
+
+
 def op2_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Named and random secrets in every whole text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -80,6 +87,12 @@ def op7_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_bayes_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document at a similarity of 0.8 or more on five-word shingles."""
+    classes = jaccard_join.similar_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return classes.select("doc_id", "class_id", "class_size", "n_links", "first")
+
+
 def op9_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     texts = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
@@ -87,13 +100,16 @@ def op9_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_importance_resampling": op1_importance_resampling,
     "op2_randomness_battery": op2_randomness_battery,
     "op3_virtual_slots": op3_virtual_slots,
     "op4_history_hash": op4_history_hash,
     "op5_two_tier_bpe": op5_two_tier_bpe,
     "op6_packed_minhash": op6_packed_minhash,
     "op7_sainte_lague": op7_sainte_lague,
+    "op8_bayes_jaccard_join": op8_bayes_jaccard_join,
     "op9_block_rules": op9_block_rules,
     "op10_prefix_targets": op10_prefix_targets,
 }
+
 SQL: dict[str, str] = {}
