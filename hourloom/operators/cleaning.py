@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourloom.functions.mathfns import cap_at
-from hourloom.session import store
 
 
 def require_columns(df: DataFrame, names: Sequence[str]) -> None:
@@ -29,9 +28,12 @@ def fix_column_types(df: DataFrame, categorical: Sequence[str], metric: Sequence
 
 
 def drop_empty_series(df: DataFrame, target: str, key: str = "station_id") -> DataFrame:
-    """Keep the series with at least one value. Series without a key drop out."""
-    filled = store(df.where(F.col(target).isNotNull()).select(key).distinct(), "series-with-values")
-    return df.join(filled, key, "left_semi")
+    """Keep the series with at least one value. Series without a key drop out.
+
+    A count over the series, so windows on the same key that follow need no exchange of their own.
+    """
+    values = F.count(F.col(target)).over(Window.partitionBy(key))
+    return df.where(F.col(key).isNotNull()).withColumn("__values", values).where(F.col("__values") > 0).drop("__values")
 
 
 def cap_outliers(df: DataFrame, caps: Mapping[str, Column | float]) -> DataFrame:

@@ -66,10 +66,16 @@ def _exceeds(value: Column, limit: float) -> Column:
     return F.coalesce(value > F.lit(float(limit)), F.lit(False))
 
 
+def with_observation(df: DataFrame, observed: str) -> DataFrame:
+    """Days that were measured. The others say nothing about a prediction and count in no evaluation."""
+    return df.where(F.col(observed).isNotNull())
+
+
 def limit_confusion(
     df: DataFrame, observed: str, pred: str, limit: float, tweak: float = 0.0, by: Sequence[str] = ()
 ) -> DataFrame:
     """Confusion counts of "above the limit" and the rates within the observed classes (0 for an empty class)."""
+    df = with_observation(df, observed)
     is_above, said_above = _exceeds(F.col(observed), limit), _exceeds(F.col(pred) + F.lit(float(tweak)), limit)
     counts = df.groupBy(*by).agg(
         F.count_if(is_above & said_above).alias("tp"),
@@ -108,6 +114,7 @@ def tweak_curve(
     A row flips to "predicted above" at one place of the grid and stays there. So each row is reduced to the index of
     that place, rows are counted per index, and the counts are summed along the grid: no row is multiplied by the grid.
     """
+    df = with_observation(df, observed)
     n = max(round((high + 1 - low) / step), 0)
     level = F.lit(float(limit))
 
@@ -157,7 +164,8 @@ def transgression_days(df: DataFrame, observed: str, pred: str, limit: float, tw
         .when(is_above & ~said_above, "False Negative")
     )
     return (
-        df.withColumn("label", label)
+        with_observation(df, observed)
+        .withColumn("label", label)
         .where(F.col("label").isNotNull())
         .select(
             "station_id",
@@ -173,6 +181,7 @@ def transgressions_per_month(
     df: DataFrame, observed: str, pred: str, limit: float, tweak: float, day: str = "day", station: str | None = None
 ) -> DataFrame:
     """Days above the limit per calendar month (all years together)."""
+    df = with_observation(df, observed)
     if station is not None:
         df = df.where(F.col("station_id") == station)
     return df.groupBy(F.month(day).alias("month")).agg(
@@ -182,25 +191,20 @@ def transgressions_per_month(
     )
 
 
-QUANTILE_GRID = 256
-RANKED_VALUES = 2_000_000  # most distinct values of one key that are ranked in one task
-
-
 def exact_quantile(
     df: DataFrame, keys: Sequence[str], value: str, p: float, accuracy: int = 10_000, name: str = "quantile",
-    ranked_values: int = RANKED_VALUES,
 ) -> DataFrame:
-    """Exact quantile with linear interpolation per key.
+    """Exact quantile with linear interpolation per key, in two passes.
 
     The built-in percentile holds every distinct value of a key in one buffer. Here a mergeable sketch, whose rank error
-    is at most 1 / accuracy, first brackets the wanted rank of each key. Exact counts tell how many values lie below and
-    inside the bracket; while a bracket holds too many different values it is narrowed by a sketch of its inside. Only
-    what is left is ranked. Brackets are one row per key.
+    is at most n / accuracy, first brackets the wanted rank of each key: three such errors to either side, which is enough from
+    n = accuracy on; a key of fewer rows is bracketed by its extremes. The second pass counts what lies below and inside, and
+    ranks the values inside, some 6 n / accuracy of them. A bracket that misses the rank would raise an error.
     """
     margin = 3.0 / accuracy
     low_p, high_p = max(p - margin, 0.0), min(p + margin, 1.0)
     filled = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
-    few = F.col("__n") <= 2 * accuracy
+    few = F.col("__n") < accuracy
     low = F.when(few | F.lit(low_p == 0.0), F.col("__min")).otherwise(F.col("__cut")[0])
     high = F.when(few | F.lit(high_p == 1.0), F.col("__max")).otherwise(F.col("__cut")[1])
     brackets = (
@@ -209,18 +213,14 @@ def exact_quantile(
             F.min("__v").alias("__min"), F.max("__v").alias("__max"), F.count(F.lit(1)).alias("__n"),
             F.percentile_approx("__v", [low_p, high_p], accuracy).alias("__cut"),
         )
-        .select(*keys, "__n", (F.lit(p) * (F.col("__n") - 1)).alias("__rank"), low.alias("__low"), high.alias("__high"))
+        .select(*keys, (F.lit(p) * (F.col("__n") - 1)).alias("__rank"), low.alias("__low"), high.alias("__high"))
     )
-    counted, widest = _count_brackets(filled, brackets, keys)
-    while widest > ranked_values:
-        narrower, next_widest = _count_brackets(filled, _narrow(filled, counted, keys, accuracy), keys)
-        if next_widest >= widest:
-            break
-        counted, widest = narrower, next_widest
-    inside = filled.join(counted, list(keys)).where(F.col("__v").between(F.col("__low"), F.col("__high")))
-    ranked = inside.groupBy(*keys, "__v", "__rank", "__below").agg(F.count(F.lit(1)).alias("__n"))
-    up_to = Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = ranked.withColumn("__last", F.col("__below") + F.sum("__n").over(up_to) - 1)
+    placed = filled.join(store(brackets, "quantile-brackets"), list(keys)).where(F.col("__v") <= F.col("__high"))
+    # What lies below the bracket is one row per key with a NULL value; NULL comes first in the order.
+    inside = F.when(F.col("__v") >= F.col("__low"), F.col("__v"))
+    counted = placed.groupBy(*keys, "__rank", inside.alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    up_to = Window.partitionBy(*keys).orderBy(F.col("__v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.withColumn("__last", F.sum("__n").over(up_to) - 1)
     first = F.col("__last") - F.col("__n") + 1
 
     def value_at(rank: Column) -> Column:
@@ -230,40 +230,9 @@ def exact_quantile(
         value_at(F.floor("__rank")).alias("__lower"), value_at(F.ceil("__rank")).alias("__upper")
     )
     share = F.col("__rank") - F.floor("__rank")
-    return found.select(*keys, (F.col("__lower") + (F.col("__upper") - F.col("__lower")) * share).alias(name))
-
-
-def _count_brackets(filled: DataFrame, brackets: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int]:
-    """Brackets with the exact number of values below and inside, and about how many different ones the widest holds."""
-    brackets = store(brackets, "quantile-brackets")
-    value = F.col("__v")
-    is_inside = value.between(F.col("__low"), F.col("__high"))
-    tallies = (
-        filled.join(brackets, list(keys))
-        .groupBy(*brackets.columns)
-        .agg(
-            F.count_if(value < F.col("__low")).alias("__below"),
-            F.count_if(is_inside).alias("__inside"),
-            F.approx_count_distinct(F.when(is_inside, value)).alias("__different"),
-        )
-    )
-    tallies = store(tallies, "quantile-counts")
-    return tallies, tallies.agg(F.max("__different")).first()[0] or 0
-
-
-def _narrow(filled: DataFrame, counted: DataFrame, keys: Sequence[str], accuracy: int) -> DataFrame:
-    """Brackets of about 4 / QUANTILE_GRID of the values inside the old ones, still holding the wanted ranks."""
-    grid = [i / QUANTILE_GRID for i in range(QUANTILE_GRID + 1)]
-    inside = filled.join(counted, list(keys)).where(F.col("__v").between(F.col("__low"), F.col("__high")))
-    kept = [*keys, "__n", "__rank", "__low", "__high", "__below", "__inside"]
-    sketched = inside.groupBy(*kept).agg(F.percentile_approx("__v", grid, accuracy).alias("__grid"))
-    place = (F.col("__rank") - F.col("__below")) / F.col("__inside") * QUANTILE_GRID
-    left = (F.floor(place) - 1).cast("int")
-    right = (F.ceil(place) + 2).cast("int")
-    dense = F.col("__inside") >= 8 * QUANTILE_GRID
-    low = F.when(dense & (left >= 0), F.get("__grid", left)).otherwise(F.col("__low"))
-    high = F.when(dense & (right <= QUANTILE_GRID), F.get("__grid", right)).otherwise(F.col("__high"))
-    return sketched.select(*keys, "__n", "__rank", low.alias("__low"), high.alias("__high"))
+    between = F.col("__lower") + (F.col("__upper") - F.col("__lower")) * share
+    checked = F.when(between.isNull(), F.raise_error(F.lit("the bracket of a quantile misses its rank"))).otherwise(between)
+    return found.select(*keys, checked.cast("double").alias(name))
 
 
 def fold_scores(folds: DataFrame, by: Sequence[str], rmse: str = "rmse", iteration: str = "best_iteration") -> DataFrame:

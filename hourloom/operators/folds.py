@@ -84,54 +84,47 @@ def fold_sizes(
 ) -> DataFrame:
     """Bounds and numbers of train and test rows of every fold.
 
-    Rows are counted per time point first; what runs in one window is hours of the range plus three bounds per fold.
+    The bounds of one kind are a regular grid, so the age of a row says by arithmetic up to which fold it lies before them. Rows
+    are counted per such number in one aggregation; what is added up along the folds is one row per fold.
     """
     step_hours = test_hours if step_hours is None else step_hours
+    if step_hours == 0 and n_folds != 1:
+        raise ValueError("a step of 0 hours allows one fold only")
     end = last_time(df, time, test_hours, prediction_hour, last)
-    folds = (
-        df.sparkSession.range(1, n_folds + 1, 1, 1)
-        .select(F.col("id").cast("int").alias("fold_id"), end.alias("__last"))
-        .withColumn("fold_cut", fold_cut(F.col("__last"), F.col("fold_id"), test_hours, step_hours))
+    train_hours = round(train_years * HOURS_PER_YEAR)
+    # Hours from the end of the newest fold back to its bound of each kind.
+    back = {"train_from": test_hours + train_hours, "split": test_hours + (1 if include_current else 0), "end": 0}
+    aged = df.select((F.unix_timestamp(end) - F.unix_timestamp(time)).alias("age"))
+
+    def folds_before(hours_back: int) -> Column:
+        """How many folds have their bound at or after the row."""
+        ahead = F.col("age") - hours_back * HOUR
+        within = F.when(ahead >= 0, 1).otherwise(0) if step_hours == 0 else F.floor(ahead / (step_hours * HOUR)) + 1
+        return F.greatest(F.least(within, F.lit(n_folds)), F.lit(0)).cast("int")
+
+    counted = aged.select(*[folds_before(h).alias(name) for name, h in back.items()]).groupBy(*back).agg(F.count(F.lit(1)).alias("n"))
+    per_kind = F.array(*[F.struct(F.lit(name).alias("kind"), F.col(name).alias("fold_id")) for name in back])
+    each = counted.select("n", F.inline(per_kind)).groupBy("fold_id").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n"))).alias(k) for k in back])
+    ids = df.sparkSession.range(1, n_folds + 1, 1, 1).select(F.col("id").cast("int").alias("fold_id"))
+    older = Window.orderBy(F.col("fold_id").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = ids.join(each, "fold_id", "left").select("fold_id", *[F.coalesce(F.sum(k).over(older), F.lit(0)).alias(k) for k in back])
+    return (
+        known.withColumn("fold_cut", fold_cut(end, F.col("fold_id"), test_hours, step_hours))
         .withColumn("fold_end", F.col("fold_cut") + hours(test_hours))
+        .select(
+            "fold_id", "fold_cut", "fold_end",
+            (F.col("split") - F.col("train_from")).alias("n_train"), (F.col("end") - F.col("split")).alias("n_test"),
+        )
     )
-    cut = F.col("fold_cut")
-    marks = F.array(
-        F.struct(F.lit("train_from").alias("mark"), (cut - hours(round(train_years * HOURS_PER_YEAR))).alias("at")),
-        F.struct(F.lit("split").alias("mark"), (cut - hours(1) if include_current else cut).alias("at")),
-        F.struct(F.lit("end").alias("mark"), F.col("fold_end").alias("at")),
-    )
-    looked_up = folds.select("fold_id", "fold_cut", "fold_end", F.inline(marks)).select(
-        "fold_id", "fold_cut", "fold_end", "mark", "at", F.lit(0).cast("long").alias("n")
-    )
-    counted = df.groupBy(F.col(time).alias("at")).agg(F.count(F.lit(1)).alias("n"))
-    up_to = Window.orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    running = (
-        looked_up.unionByName(counted, allowMissingColumns=True)
-        .withColumn("total", F.sum("n").over(up_to))
-        .where(F.col("mark").isNotNull())
-    )
-
-    def total(mark: str) -> Column:
-        return F.max(F.when(F.col("mark") == mark, F.col("total")))
-
-    return running.groupBy("fold_id", "fold_cut", "fold_end").agg(
-        (total("split") - total("train_from")).alias("n_train"), (total("end") - total("split")).alias("n_test")
-    )
-
-
-BROADCAST_POINTS = 1_000_000  # (fold, time) pairs, some 30 MB
 
 
-def add_step(df: DataFrame, time: str, fold: str = "fold_id", name: str = "step", max_points: int | None = None) -> DataFrame:
+def add_step(df: DataFrame, time: str, fold: str = "fold_id", name: str = "step") -> DataFrame:
     """Ordinal of the time point within its fold, from 0. All series of a fold share the numbering.
 
-    Numbered on the distinct time points of a fold, which are at most as many as the fold has hours. `max_points`, the
-    number of folds times their hours, allows a broadcast: the rows then stay where they are.
+    Numbered on the distinct time points of a fold; how they meet the rows is left to the planner, which sees their number.
     """
     window = Window.partitionBy(fold).orderBy(time)
     points = df.select(fold, time).distinct().withColumn(name, F.row_number().over(window) - 1)
-    if max_points is not None and max_points <= BROADCAST_POINTS:
-        points = F.broadcast(points)
     return df.join(points, [fold, time])
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from hourloom.functions.params import lag_average_name, lag_name
 from hourloom.operators.folds import add_series_step
 from hourloom.operators.lags import add_station_lags
+from hourloom.sources.merge import by_content, latest_per_key
 
 HOUR_SLOTS = 1 << 24  # more hours than any time stamp has since the epoch
 
@@ -158,7 +159,11 @@ def prefill_lags(
     time: str = "date_time",
     average_name: str | None = None,
 ) -> DataFrame:
-    """Hide the target after `start`, forecast the whole horizon, and take the lags from observations and forecasts."""
+    """Hide the target after `start`, forecast the whole horizon, and take the lags from observations and forecasts.
+
+    A series has one row per hour: of doubled rows the one with the largest values stays.
+    """
+    df = latest_per_key(df, [station, time], by_content(df, [station, time]))
     known = df.drop(*[c for c in df.columns if c.startswith(f"{target}_lag") or c.startswith("lag_avg")])
     hidden = known.withColumn(target, F.when(F.col(time) <= start, F.col(target)))
     lagged = add_station_lags(hidden, target, lags, lags_avg, station, time, average_name)

@@ -12,7 +12,8 @@ from hourloom.functions.timefns import clamp_start, hours, to_local, to_utc, tra
 from hourloom.operators.folds import add_series_step
 from hourloom.operators.forecast import prefill_lags, recursive_forecast
 
-PERCENTAGES = tuple(range(0, 101, 10))
+PERCENTAGES = tuple(range(0, 101, 10))  # of a scenario run
+EVERY_PERCENTAGE = tuple(range(101))  # looked at for the highest admissible one
 HOURS_PER_DAY = 24
 
 
@@ -163,11 +164,16 @@ def scenario_range(local_start: Column, forecast_days: int, latest: Column) -> t
     return clamp_start(asked, latest), asked + hours(forecast_days * HOURS_PER_DAY)
 
 
+def alarm_days(days: DataFrame) -> DataFrame:
+    """Days of `transgression_days` with an alarm, true or false."""
+    return days.where(F.col("label").isin("True Positive", "False Positive"))
+
+
 def with_suggestions(days: DataFrame, means: DataFrame, limit: float, tweak: float) -> DataFrame:
     """Days with a true or false alarm, next to the highest traffic percentage that keeps them below the limit.
 
     days: rows of `transgression_days`; means: station_id, day, kfz_pct, mean.
     """
-    alarms = days.where(F.col("label").isin("True Positive", "False Positive"))
+    alarms = alarm_days(days)
     best = max_admissible_percentage(means, ["station_id", "day"], limit, tweak)
     return alarms.join(best, ["station_id", "day"], "left")

@@ -9,12 +9,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hourloom.functions.params import LAG_OPTIONS
+from hourloom.functions.timefns import hours
 from hourloom.operators.cleaning import cap_for_training
 from hourloom.operators.evaluation import fold_scores, regression_metrics
 from hourloom.operators.folds import add_retrain_group, add_step, fold_cut, rolling_test_rows, train_rows
 from hourloom.operators.forecast import recursive_forecast
 from hourloom.operators.training import fit_with_early_stopping
-from hourloom.functions.timefns import hours
+from hourloom.session import store
+from hourloom.sources.merge import by_content, latest_per_key
 
 
 def sample_parameters(space: Mapping[str, tuple], n: int, seed: int = 123, start_with: dict | None = None) -> list[dict]:
@@ -32,6 +35,13 @@ def sample_parameters(space: Mapping[str, tuple], n: int, seed: int = 123, start
     return sets
 
 
+def sample_lag_sets(n: int, seed: int = 123, offered: Sequence[tuple[int, ...]] = LAG_OPTIONS) -> list[tuple[int, ...]]:
+    """The default set of own lags, then others in a seeded order; at most as many as there are."""
+    others = [lags for lags in offered[1:]]
+    random.Random(seed).shuffle(others)
+    return [offered[0], *others][:n]
+
+
 def search_parameters(
     df: DataFrame,
     target: str,
@@ -57,21 +67,22 @@ def search_parameters(
     """Score table, one row per parameter set: mean fold RMSE and the rounds to use.
 
     A model is fitted per parameter set and retraining group (a handful, each a distributed fit); all folds of a group
-    are then forecast in one job.
+    are then forecast in one job. A group's training window is prepared once for all parameter sets.
     """
     spark = df.sparkSession
+    df = latest_per_key(df, [station, time], by_content(df, [station, time]))
     tests = rolling_test_rows(df, time, n_folds, test_hours, step_hours, last=last)
-    tests = add_step(tests, time, max_points=n_folds * test_hours)
-    tests = add_retrain_group(tests, n_folds, retrain_every)
+    tests = store(add_retrain_group(add_step(tests, time), n_folds, retrain_every), "test-rows")
     groups = range((n_folds - 1) // retrain_every + 1)
     parts = []
-    for number, params in enumerate(parameter_sets):
-        for group in groups:
-            cut = fold_cut(last, F.lit(n_folds - group * retrain_every), test_hours, step_hours)
-            history = train_rows(df, time, cut, train_years)
-            if cap is not None:
-                history = cap_for_training(history, target, cap)
-            held_from = cut - hours(validation_hours)
+    for group in groups:
+        cut = fold_cut(last, F.lit(n_folds - group * retrain_every), test_hours, step_hours)
+        history = train_rows(df, time, cut, train_years)
+        if cap is not None:
+            history = cap_for_training(history, target, cap)
+        history = store(history, "training-window")  # the same for all parameter sets
+        held_from = cut - hours(validation_hours)
+        for number, params in enumerate(parameter_sets):
             model, rounds = fit_with_early_stopping(
                 history.where(F.col(time) < held_from), history.where(F.col(time) >= held_from),
                 target, features, categorical, params, patience, min_delta,

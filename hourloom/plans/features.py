@@ -28,10 +28,9 @@ def traffic_rows(
     """Volume and speed per cell and hour from the newest row of each model.
 
     Deduplication and pivot in one aggregation with map-side combine: however often a key was rewritten, a map task sends
-    one row for it.
+    one row for it. Rows that tie in `newest` are ordered by their value, so the result does not depend on the order of rows.
     """
-    # A single version column keeps the aggregation in a hash table; a struct would have to be sorted for.
-    version = F.col(newest[0]) if len(newest) == 1 else F.struct(*newest)
+    version = F.struct(*newest, "value")
     is_volume, is_speed = F.col("model_id") == volume_model, F.col("model_id") == speed_model
     return (
         predictions.where(is_volume | is_speed)
@@ -82,20 +81,27 @@ def cams_source(tables: Tables, lo: Column, hi: Column) -> DataFrame:
 
 
 def station_means(tables: Tables, lo: Column, hi: Column) -> DataFrame:
-    """Hourly means of traffic and background stations: stored history, then the latest predictions."""
-    models = {
-        p: tables["models_final"]
-        .where((F.col("pollutant") == p) & (F.col("domain") == "temporal"))
-        .select(F.max("model_id"))
-        .scalar()
-        for p in POLLUTANTS
-    }
+    """Hourly means of traffic and background stations: stored history, then the latest predictions.
+
+    Each source has its own models: the latest predictions come from the final temporal model of a pollutant, history from the
+    newest of its models that history holds, which a retraining leaves behind.
+    """
     history, latest = tables["predictions_history"], tables["predictions_latest"]
+    final, described = tables["models_final"], tables["models_described"]
+    held = history.select("model_id").distinct()
+
+    def newest_held(pollutant: str) -> Column:
+        of_pollutant = described.where(F.col("pollutant") == pollutant)
+        return held.join(of_pollutant, "model_id", "left_semi").select(F.max("model_id")).scalar()
+
+    def final_temporal(pollutant: str) -> Column:
+        return final.where((F.col("pollutant") == pollutant) & (F.col("domain") == "temporal")).select(F.max("model_id")).scalar()
+
+    keys = ["date_time", "station_id"]
     known_to = history.select(F.max("date_time")).scalar()
-    both = history_then_latest(
-        in_range(history, "date_time", lo, hi), in_range(latest, "date_time", lo, hi), "date_time", known_to
-    )
-    wide = pivot_by_model(both, ["date_time", "station_id"], models)
+    past = pivot_by_model(in_range(history, "date_time", lo, hi), keys, {p: newest_held(p) for p in POLLUTANTS})
+    recent = pivot_by_model(in_range(latest, "date_time", lo, hi), keys, {p: final_temporal(p) for p in POLLUTANTS})
+    wide = history_then_latest(past, recent, "date_time", known_to)
     typed = wide.join(tables["station_types"], "station_id", "left")
     return class_means(typed, POLLUTANTS)
 
@@ -113,12 +119,13 @@ def assemble_features(
     coords: DataFrame,
     lo: Column,
     hi: Column,
-    mode: str = "stations",
-    newest: Sequence[str] = ("date_time",),
+    mode: str,
+    newest: Sequence[str],
     average_lookback_hours: int = 0,
 ) -> DataFrame:
     """Features of every coordinate and hour in [lo, hi].
 
+    `newest` names the version columns of the traffic predictions: of rows with the same key the one with the largest values counts.
     Traffic rows lead. Coarse sources are lagged on their own cells and looked up through the cell maps, which equals
     mapping first and lagging after but sorts one row per source cell instead of one per city cell. The station average
     has no look-back unless asked for, so its first hours have no lags.
@@ -130,8 +137,10 @@ def assemble_features(
     rows = rows.join(tables["land_use"], ["x", "y"], "left")
     rows = rows.join(tables["station_map"].select("x", "y", "station_id"), ["x", "y"], "left")
     # Observations may be as many as the rows: they come while the rows are narrow
+    # Placed on their cells first: most cells have no station, and a missing station is no key to meet on.
     measured = in_range(tables["observations"], "date_time", lo, hi).drop("x", "y")
-    rows = rows.join(measured, ["station_id", "date_time"], "left")
+    placed = measured.join(tables["station_map"].select("x", "y", "station_id"), "station_id")
+    rows = rows.join(placed, ["x", "y", "date_time", "station_id"], "left")
     # Sources by their own cell and hour
     rows = rows.join(weather_source(tables, lo, hi), ["dwd_x", "dwd_y", "date_time"])
     rows = rows.join(cams_source(tables, lo, hi), ["cams_x", "cams_y", "date_time"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hourloom.functions import timefns as tf
 from hourloom.functions.params import (
-    CAMS_LAGS, POLLUTANTS, STATION_AVERAGE_BAND, STATION_AVERAGE_LAGS, TRAFFIC_LAGS, WEATHER_LAGS, feature_columns, split_stages,
+    CAMS_LAGS, POLLUTANTS, STATION_AVERAGE_BAND, STATION_AVERAGE_LAGS, TRAFFIC_LAGS, WEATHER_LAGS, FeatureSpec,
 )
 from hourloom.operators import attribution, evaluation, folds, scenarios
 from hourloom.operators.forecast import lags_from_predictions, prefill_lags, recursive_forecast
@@ -40,14 +40,23 @@ def _station_mean_sql(lo: str, hi: str) -> str:
         f"lag({p}_{part}, {k}) OVER (ORDER BY date_time) AS {p}_{part}_la{k}"
         for p in POLLUTANTS for part in ("traffic", "background") for k in STATION_AVERAGE_LAGS
     )
+    newest = "(SELECT max(model_id) FROM history WHERE model_id IN (SELECT model_id FROM described WHERE pollutant = '{}'))"
+    of_history = ", ".join(f"max(CASE WHEN model_id = {newest.format(p)} THEN value END) AS {p}" for p in POLLUTANTS)
+    final = {"no2": 3, "pm10": 1, "pm25": 2}
+    of_latest = ", ".join(f"max(CASE WHEN model_id = {final[p]} THEN value END) AS {p}" for p in POLLUTANTS)
     return f"""{DOMAIN["predictions"]}, {DOMAIN["station_types"]}, {DOMAIN["scaling_by_volume"]},
-history AS (SELECT * FROM predictions WHERE date_time <= TIMESTAMP '{samples.HISTORY_TO}'),
-both_sources AS (
-  SELECT * FROM history UNION ALL
-  SELECT * FROM predictions WHERE date_time > (SELECT max(date_time) FROM history)),
+history AS (
+  SELECT date_time, station_id, model_id + CASE WHEN event_id % 10 = 0 THEN 10 ELSE 20 END AS model_id, value
+  FROM predictions WHERE date_time <= TIMESTAMP '{samples.HISTORY_TO}'),
+described AS (
+  SELECT CASE r_regionkey WHEN 1 THEN 'pm10' WHEN 2 THEN 'pm25' WHEN 3 THEN 'no2' END AS pollutant, r_regionkey + k AS model_id
+  FROM region, (VALUES (0), (10), (20)) v(k)),
 wide AS (
-  SELECT date_time, station_id, {", ".join(f"max(CASE WHEN model_id = {m} THEN value END) AS {p}" for p, m in (("no2", 3), ("pm10", 1), ("pm25", 2)))}
-  FROM both_sources WHERE date_time BETWEEN TIMESTAMP '{lo}' AND TIMESTAMP '{hi}' GROUP BY 1, 2),
+  SELECT date_time, station_id, {of_history} FROM history
+  WHERE date_time BETWEEN TIMESTAMP '{lo}' AND TIMESTAMP '{hi}' GROUP BY 1, 2
+  UNION ALL
+  SELECT date_time, station_id, {of_latest} FROM predictions
+  WHERE date_time > (SELECT max(date_time) FROM history) AND date_time BETWEEN TIMESTAMP '{lo}' AND TIMESTAMP '{hi}' GROUP BY 1, 2),
 typed AS (SELECT wide.*, coalesce(station_type, '') = 'Verkehr' AS is_traffic FROM wide LEFT JOIN station_types USING (station_id)),
 means AS (SELECT date_time, {means} FROM typed GROUP BY 1),
 lagged_means AS (SELECT *, {lagged} FROM means),
@@ -196,7 +205,7 @@ def fold_step_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = folds.rolling_test_rows(
         samples.user_hours(spark, sf_dir), "date_time", 5, 48, 24, last=samples.last_hour(spark, sf_dir)
     )
-    return folds.add_step(rows, "date_time", max_points=5 * 48).select("fold_id", "user_id", "date_time", "step")
+    return folds.add_step(rows, "date_time").select("fold_id", "user_id", "date_time", "step")
 
 
 FOLD_STEP_INDEX = f"""WITH {USER_HOURS}, {_folds_sql(5, 48, 24, _last_sql())}
@@ -294,7 +303,7 @@ def _confusion_sql(source: str, group: str, tweak: str) -> str:
     return f"""counts AS (
   SELECT {group}, count(*) FILTER (WHERE obs > {LIMIT} AND {said}) AS tp, count(*) FILTER (WHERE obs > {LIMIT} AND NOT {said}) AS fn,
          count(*) FILTER (WHERE NOT obs > {LIMIT} AND {said}) AS fp, count(*) FILTER (WHERE NOT obs > {LIMIT} AND NOT {said}) AS tn
-  FROM {source} GROUP BY ALL),
+  FROM {source} WHERE obs IS NOT NULL GROUP BY ALL),
 rated AS (
   SELECT *, coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0) AS tp_rate, coalesce(CAST(fn AS DOUBLE) / nullif(tp + fn, 0), 0) AS fn_rate,
          coalesce(CAST(fp AS DOUBLE) / nullif(fp + tn, 0), 0) AS fp_rate, coalesce(CAST(tn AS DOUBLE) / nullif(fp + tn, 0), 0) AS tn_rate
@@ -335,23 +344,24 @@ TRANSGRESSION_DAYS = f"""WITH {DAY_VALUES}, labelled AS (
          WHEN pred + {TWEAK}::DOUBLE > {LIMIT} THEN 'False Positive' WHEN obs > {LIMIT} THEN 'False Negative' END AS label
   FROM day_values)
 SELECT station_id, day, label, printf('%.2f', round_even(obs, 2)) AS observation, printf('%.2f', round_even(tweaked, 2)) AS prediction
-FROM labelled WHERE label IS NOT NULL"""
+FROM labelled WHERE label IS NOT NULL AND obs IS NOT NULL"""
 
 
 def transgressions_per_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order values as observations; the prediction knows the value before a discount that depends on the priority."""
     rows = table(spark, sf_dir, "orders").select(
-        F.col("o_orderdate").alias("day"), (F.col("o_totalprice") / 1000).alias("obs"),
+        F.col("o_orderdate").alias("day"), F.when(F.col("o_custkey") % 9 != 0, F.col("o_totalprice") / 1000).alias("obs"),
         (F.col("o_totalprice") / F.when(F.col("o_orderpriority") == "5-LOW", 900).otherwise(1100)).alias("pred"),
     )
     return evaluation.transgressions_per_month(rows, "obs", "pred", 250.0, 20.0)
 
 
 TRANSGRESSIONS_PER_MONTH = """WITH r AS (
-  SELECT o_orderdate AS day, o_totalprice / 1000 AS obs, o_totalprice / CASE WHEN o_orderpriority = '5-LOW' THEN 900 ELSE 1100 END AS pred
+  SELECT o_orderdate AS day, CASE WHEN o_custkey % 9 <> 0 THEN o_totalprice / 1000 END AS obs, o_totalprice / CASE WHEN o_orderpriority = '5-LOW' THEN 900 ELSE 1100 END AS pred
   FROM orders)
 SELECT CAST(month(day) AS INTEGER) AS month, count(*) FILTER (WHERE obs > 250) AS n_observed,
-  count(*) FILTER (WHERE pred > 250) AS n_predicted, count(*) FILTER (WHERE pred + 20 > 250) AS n_predicted_tweaked FROM r GROUP BY 1"""
+  count(*) FILTER (WHERE pred > 250) AS n_predicted, count(*) FILTER (WHERE pred + 20 > 250) AS n_predicted_tweaked FROM r
+WHERE obs IS NOT NULL GROUP BY 1"""
 
 
 def fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -374,20 +384,28 @@ SELECT station_id, round(avg(rmse), 6) AS avg_rmse, CAST(floor(quantile_cont(n,
 TRAFFIC_SCORER = LinearScorer({"kfz_per_hour": 0.3}, 10.0)
 
 
+def _traffic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples.user_hours(spark, sf_dir).withColumnsRenamed({"user_id": "station_id", "y": "kfz_per_hour"})
+
+
 def _scenario_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    traffic = samples.user_hours(spark, sf_dir).withColumnsRenamed({"user_id": "station_id", "y": "kfz_per_hour"})
-    return scenarios.traffic_scenarios(traffic)
+    return scenarios.traffic_scenarios(_traffic_rows(spark, sf_dir))
 
 
-SCENARIO_ROWS = f"""{USER_HOURS}, scenario_rows AS (
-  SELECT user_id AS station_id, date_time, CAST(p * 10 AS INTEGER) AS kfz_pct,
+def _scenario_sql(step: int) -> str:
+    return f"""{USER_HOURS}, scenario_rows AS (
+  SELECT user_id AS station_id, date_time, CAST(p * {step} AS INTEGER) AS kfz_pct,
     hour(timezone('Europe/Berlin', timezone('UTC', date_time))) BETWEEN 5 AND 21 AS daytime,
     CASE WHEN hour(timezone('Europe/Berlin', timezone('UTC', date_time))) BETWEEN 5 AND 21
-         THEN y * CAST(p * 10 AS INTEGER) / 100 ELSE y END AS kfz_per_hour
-  FROM user_hours, generate_series(0, 10) s(p)),
+         THEN y * CAST(p * {step} AS INTEGER) / 100 ELSE y END AS kfz_per_hour
+  FROM user_hours, generate_series(0, {100 // step}) s(p)),
 scored AS (SELECT *, 10.0::DOUBLE + 0.3::DOUBLE * coalesce(kfz_per_hour, 0) AS pred FROM scenario_rows)"""
 
 
+SCENARIO_ROWS = _scenario_sql(10)
+EVERY_PERCENTAGE = _scenario_sql(1)
+
+
 def _scored(rows: DataFrame) -> DataFrame:
     return rows.withColumn("pred", TRAFFIC_SCORER.column())
 
@@ -445,35 +463,38 @@ SELECT station_id, day FROM d WHERE n = 24 AND day < coalesce((
   SELECT min(g) FROM generate_series(0, 40) s(g) WHERE g NOT IN (SELECT day FROM d e WHERE e.station_id = d.station_id AND e.n = 24)), 1000)"""
 
 
-def _scenario_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily means, rounded so that a mean right at the limit does not hang on the order of a sum."""
-    rows = _scored(_scenario_rows(spark, sf_dir)).withColumn("day", F.to_date("date_time"))
-    return rows.groupBy("station_id", "day", "kfz_pct").agg(F.round(F.avg("pred"), 10).alias("mean"))
+def _scenario_means(rows: DataFrame) -> DataFrame:
+    """Daily means of all percentages, rounded so that a mean right at the limit does not hang on the order of a sum."""
+    scored = _scored(scenarios.traffic_scenarios(rows.withColumn("day", F.to_date("date_time")), scenarios.EVERY_PERCENTAGE))
+    return scored.groupBy("station_id", "day", "kfz_pct").agg(F.round(F.avg("pred"), 10).alias("mean"))
 
 
 def max_admissible_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scenarios.max_admissible_percentage(_scenario_means(spark, sf_dir), ["station_id", "day"], 28.0, 2.7)
+    return scenarios.max_admissible_percentage(_scenario_means(_traffic_rows(spark, sf_dir)), ["station_id", "day"], 28.0, 2.7)
 
 
-MAX_ADMISSIBLE_PCT = f"""WITH {SCENARIO_ROWS},
+MAX_ADMISSIBLE_PCT = f"""WITH {EVERY_PERCENTAGE},
 means AS (SELECT station_id, CAST(date_time AS DATE) AS day, kfz_pct, round(avg(pred), 10) + 2.7::DOUBLE AS level FROM scored GROUP BY 1, 2, 3)
 SELECT station_id, day, CASE WHEN max(level) FILTER (WHERE kfz_pct = 0) > 28 THEN 'not possible'
   ELSE CAST(coalesce(max(kfz_pct) FILTER (WHERE level < 28), 0) AS VARCHAR) END AS max_percentage FROM means GROUP BY 1, 2"""
 
 
 def transgression_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alarm days with the highest percentage of traffic that keeps them below the limit."""
+    """Alarm days with the highest percentage of traffic, to 1 %, that keeps them below the limit."""
     days = evaluation.transgression_days(samples.day_values(spark, sf_dir), "obs", "pred", LIMIT, TWEAK)
-    return scenarios.with_suggestions(days.select("station_id", "day", "label"), _scenario_means(spark, sf_dir), 28.0, 2.7)
+    alarms = scenarios.alarm_days(days.select("station_id", "day", "label"))
+    # Only the hours of alarm days are multiplied by the percentages.
+    hours_of_alarms = _traffic_rows(spark, sf_dir).withColumn("day", F.to_date("date_time")).join(alarms, ["station_id", "day"], "left_semi")
+    return scenarios.with_suggestions(alarms, _scenario_means(hours_of_alarms), 28.0, 2.7)
 
 
-TRANSGRESSION_SUGGESTIONS = f"""WITH {SCENARIO_ROWS}, {DAY_VALUES},
+TRANSGRESSION_SUGGESTIONS = f"""WITH {EVERY_PERCENTAGE}, {DAY_VALUES},
 means AS (SELECT station_id, CAST(date_time AS DATE) AS day, kfz_pct, round(avg(pred), 10) + 2.7::DOUBLE AS level FROM scored GROUP BY 1, 2, 3),
 best AS (
   SELECT station_id, day, CASE WHEN max(level) FILTER (WHERE kfz_pct = 0) > 28 THEN 'not possible'
     ELSE CAST(coalesce(max(kfz_pct) FILTER (WHERE level < 28), 0) AS VARCHAR) END AS max_percentage FROM means GROUP BY 1, 2)
 SELECT station_id, day, CASE WHEN obs > {LIMIT} THEN 'True Positive' ELSE 'False Positive' END AS label, max_percentage
-FROM day_values LEFT JOIN best USING (station_id, day) WHERE pred + {TWEAK}::DOUBLE > {LIMIT}"""
+FROM day_values LEFT JOIN best USING (station_id, day) WHERE obs IS NOT NULL AND pred + {TWEAK}::DOUBLE > {LIMIT}"""
 
 
 def scenario_range(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -543,7 +564,8 @@ def batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct()
     lo, hi = tf.ntz(RANGE_FROM), tf.ntz(RANGE_TO)
     batches = rows.select("batch", F.lit(0).alias("x"), F.lit(0).alias("y")).distinct()
-    return runs.batch_report(rows.where(F.col("date_time").between(lo, hi)), batches, lo, hi)
+    placed = rows.withColumns({"x": F.lit(0), "y": F.lit(0)})
+    return runs.batch_report(placed.where(F.col("date_time").between(lo, hi)), batches, lo, hi)
 
 
 BATCH_REPORT = f"""WITH r AS (
@@ -568,7 +590,7 @@ def recursive_forecast_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         _lagged_stations(spark, sf_dir), "date_time", 4, 48, 24, last=samples.last_hour(spark, sf_dir)
     )
     made = recursive_forecast(
-        folds.add_step(tests, "date_time", max_points=4 * 48), "y", [1, 24], [1, 2], SCORER, keep=["y"], average_name="lag_avg"
+        folds.add_step(tests, "date_time"), "y", [1, 24], [1, 2], SCORER, keep=["y"], average_name="lag_avg"
     )
     return made
 
@@ -803,7 +825,7 @@ def param_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def attribution_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for a trained two-stage model, scored in Arrow batches; the most frequent category is the background."""
-    rows = _model_rows(spark, sf_dir).where("y_lag24 IS NOT NULL").select("y", *MODEL_FEATURES)
+    rows = _model_rows(spark, sf_dir).select("y", *MODEL_FEATURES)
     model = fit_staged(rows, "y", ["hour", "weekday"], MODEL_FEATURES, ["hour"], SMALL, SMALL)
     background = attribution.feature_means(rows, [f for f in MODEL_FEATURES if f != "hour"])
     background["hour"] = rows.select(F.mode("hour", deterministic=True)).scalar()
@@ -859,6 +881,9 @@ TRAINING_PERIOD_JSON = """SELECT user_id, '{"eta":0.1,"lags":"[24, 48]","lags_av
 FROM events GROUP BY 1"""
 
 
+SPEC = FeatureSpec("no2", (24, 48), (1, 2), stages=2)
+
+
 def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One model per user, trained on its events; users with a purchase have two stages."""
     events = table(spark, sf_dir, "events")
@@ -866,8 +891,7 @@ def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = registry.training_description(
         events.where(F.col("event_type") == "purchase"), "ts", {"eta": 0.2}, [24, 48], [1, 2], by=["user_id"]
     ).withColumnRenamed("description", "description_residuals")
-    all_features, _, categorical = feature_columns("no2", [24, 48], [1, 2])
-    stage_1, stage_2 = split_stages(all_features, True)
+    stage_1, stage_2, categorical = SPEC.of_stage(1), SPEC.of_stage(2), SPEC.categoric
     newest = events.groupBy("user_id").agg(tf.unix_seconds(F.max("ts")).alias("date_time_training_execution"))
     two = F.col("description_residuals").isNotNull()
     return (
@@ -899,9 +923,8 @@ def model_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _model_settings_sql() -> str:
-    all_features, _, categorical = feature_columns("no2", [24, 48], [1, 2])
-    stage_1, _ = split_stages(all_features, True)
-    union = len(set(stage_1) | set(all_features))
+    stage_1, categorical = SPEC.of_stage(1), SPEC.categoric
+    union = len(set(stage_1) | set(SPEC.names))
     names = ",".join(sorted(categorical))
     return f"""WITH u AS (SELECT user_id, max(ts) AS last, max(ts) FILTER (WHERE event_type = 'purchase') AS last_2 FROM events GROUP BY 1)
 SELECT user_id AS model_id, CASE WHEN last_2 IS NULL THEN 'pm10' ELSE 'no2' END AS pollutant,
@@ -967,15 +990,6 @@ PARSE_REQUEST = """SELECT event_id, CASE WHEN valid THEN CAST(event_id AS VARCHA
 FROM (SELECT *, event_type IN ('view', 'purchase') AS valid FROM events)"""
 
 
-def parse_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
-        "event_id", F.from_json("props", "k INT")["k"].cast("long").alias("k")
-    )
-
-
-PARSE_PROPS = "SELECT event_id, CAST(props->>'k' AS BIGINT) AS k FROM events"
-
-
 def stream_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts arrive as files, are answered by a stream and read back: how many cells each request is about."""
     root = scratch_path(spark, "requests")
@@ -1056,7 +1070,6 @@ QUERIES = {
     "final_model_choice": (final_model_choice, FINAL_MODEL_CHOICE),
     "produce_requests": (produce_requests, PRODUCE_REQUESTS),
     "parse_request": (parse_request, PARSE_REQUEST),
-    "parse_props": (parse_props, PARSE_PROPS),
     "stream_requests": (stream_requests, STREAM_REQUESTS),
     "batches_to_reschedule": (batches_to_reschedule, BATCHES_TO_RESCHEDULE),
 }

@@ -16,7 +16,7 @@ from hourloom.operators.scenarios import PERCENTAGES, traffic_scenarios
 from hourloom.operators.training import StagedModel, fit_staged
 from hourloom.plans.features import assemble_features
 from hourloom.session import scratch_path, store
-from hourloom.sources.merge import latest_per_key, write_rows
+from hourloom.sources.merge import by_content, latest_per_key, write_rows
 from hourloom.sources.outputs import grid_output
 from hourloom.sources.registry import promote_model, register_model, training_description
 from hourloom.sources.tables import sampler_coords
@@ -58,8 +58,9 @@ def batch_report(features: DataFrame, batches: DataFrame, lo: Column, hi: Column
 
     `sent` optionally lists (batch, ok) of the sinks.
     """
-    wanted = batches.groupBy("batch").agg(F.count(F.lit(1)).alias("n_coords"))
-    found = features.groupBy("batch").agg(F.count(F.lit(1)).alias("n_rows"))
+    wanted = batches.distinct().groupBy("batch").agg(F.count(F.lit(1)).alias("n_coords"))
+    # Different hours per cell: a doubled row must not stand in for a missing one.
+    found = features.select("batch", "x", "y", "date_time").distinct().groupBy("batch").agg(F.count(F.lit(1)).alias("n_rows"))
     report = wanted.join(found, "batch", "left")
     complete = F.coalesce(F.col("n_rows"), F.lit(0)) == F.col("n_coords") * hours_between(lo, hi)
     if sent is None:
@@ -70,8 +71,8 @@ def batch_report(features: DataFrame, batches: DataFrame, lo: Column, hi: Column
 
 def grid_run(
     spark: SparkSession, tables: Mapping[str, DataFrame], lo: Column, hi: Column, predict: Callable[[DataFrame], DataFrame],
-    model_id: int, caps: Mapping[str, Column | float], path: str | None = None, mode: str = "grid",
-    newest: Sequence[str] = ("date_time",), batches: DataFrame | None = None,
+    model_id: int, caps: Mapping[str, Column | float], path: str | None, mode: str,
+    newest: Sequence[str], batches: DataFrame | None = None,
 ) -> DataFrame:
     """Features, predictions and output rows of all batches (or of the given ones), and the report (batch, finished).
 
@@ -83,6 +84,7 @@ def grid_run(
     features = assemble_features(tables, wanted.select("x", "y"), lo, hi, mode, newest)
     features = cap_outliers(features.join(wanted, ["x", "y"]), caps)
     if path is not None:
+        features = store(features, "grid-features")  # rows and report read one assembly
         rows = grid_output(grid_predictions(features, predict, mode), F.lit(model_id), lo, mode)
         write_rows(spark, rows, path, mode="insert")
     return batch_report(features, wanted, lo, hi)
@@ -90,7 +92,7 @@ def grid_run(
 
 def sampler_run(
     spark: SparkSession, tables: Mapping[str, DataFrame], lo: Column, hi: Column, predict: Callable[[DataFrame], DataFrame],
-    model_id: int, caps: Mapping[str, Column | float], path: str, newest: Sequence[str] = ("date_time",),
+    model_id: int, caps: Mapping[str, Column | float], path: str, newest: Sequence[str],
 ) -> None:
     """Predictions at the cells of the passive samplers, appended to their table."""
     features = assemble_features(tables, sampler_coords(tables["sampler_map"]), lo, hi, "passive_samplers", newest)
@@ -108,12 +110,14 @@ def request_handler(
     """
 
     def handle(requests: DataFrame) -> DataFrame:
+        asked = requests.select(F.col("batch_id").alias("batch"), "depvar").distinct()
+        places = batches.join(asked, "batch").select("x", "y", "depvar").distinct()
+        # One assembly for all requested batches; each pollutant takes the cells it was asked for.
+        features = store(features_at(places.select("x", "y").distinct()), "requested-features")
         parts = []
         for depvar, (model_id, predict) in predictors.items():
-            asked = requests.where(F.col("depvar") == depvar).select(F.col("batch_id").alias("batch")).distinct()
-            coords = batches.join(asked, "batch", "left_semi").select("x", "y")
-            made = grid_predictions(features_at(coords), predict, mode)
-            parts.append(grid_output(made, F.lit(model_id), forecast_time, mode))
+            own = features.join(places.where(F.col("depvar") == depvar), ["x", "y"], "left_semi")
+            parts.append(grid_output(grid_predictions(own, predict, mode), F.lit(model_id), forecast_time, mode))
         out = parts[0]
         for part in parts[1:]:
             out = out.unionByName(part)
@@ -150,9 +154,10 @@ def forecast_t_plus_k(
 ) -> DataFrame:
     """Recursive forecasts from every time point t for the next k hours, all folds in one job."""
     tests = rolling_test_rows(df, time, n_windows, window_hours, step_hours, include_current, prediction_hour, last)
-    unique = latest_per_key(tests, ["fold_id", station, time], [F.col(target).asc_nulls_last()])
+    order = [F.col(target).asc_nulls_last(), *by_content(tests, ["fold_id", station, time])]
+    unique = latest_per_key(tests, ["fold_id", station, time], order)
     return recursive_forecast(
-        add_step(unique, time, max_points=n_windows * (window_hours + 1)), target, lags, lags_avg, scorer,
+        add_step(unique, time), target, lags, lags_avg, scorer,
         ["fold_id", station], time,
         keep=["fold_cut", target], average_name=average_name,
     )
@@ -164,7 +169,8 @@ def station_forecast(
 ) -> DataFrame:
     """Forecast of all stations from `now` (included) to the end of the data. Each station counts its own steps."""
     rows = prepare_station_rows(df, target, caps, lags, lags_avg, station, time, average_name)
-    future = latest_per_key(rows.where(F.col(time) >= now), [station, time], [F.col(target).asc_nulls_last()])
+    order = [F.col(target).asc_nulls_last(), *by_content(rows, [station, time])]
+    future = latest_per_key(rows.where(F.col(time) >= now), [station, time], order)
     return recursive_forecast(
         add_series_step(future, time, [station]), target, lags, lags_avg, scorer, [station], time, keep=[target],
         average_name=average_name,
@@ -183,9 +189,9 @@ def cross_validate_in_time(
     The loop runs over retraining groups (windows / retrain_every), not over folds: a group is one fit and one forecast.
     """
     spark = df.sparkSession
+    df = store(latest_per_key(df, [station, time], by_content(df, [station, time])), "validated-rows")
     tests = rolling_test_rows(df, time, n_windows, window_hours, step_hours, False, prediction_hour, last)
-    tests = add_step(tests, time, max_points=n_windows * window_hours)
-    tests = add_retrain_group(tests, n_windows, retrain_every)
+    tests = store(add_retrain_group(add_step(tests, time), n_windows, retrain_every), "test-rows")
     end = last_time(df, time, window_hours, prediction_hour, last)
     out = None
     for group in range((n_windows - 1) // retrain_every + 1):
@@ -210,7 +216,7 @@ def cross_validate_stations(
     shared folder, which keeps the plan small however many stations there are.
     """
     spark = df.sparkSession
-    data = drop_missing_target(df, target)
+    data = store(drop_missing_target(df, target), "station-rows")
     path = scratch_path(spark, "left-out")
     for row in data.select(station).distinct().toLocalIterator():
         others, test = leave_one_out(data, row[0], station)

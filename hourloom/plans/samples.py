@@ -75,17 +75,21 @@ POLLUTANT_HOURS = """pollutant_hours AS (
 
 
 def day_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """station_id, day, obs, pred: daily means per user (as station); the prediction is the mean of the day before."""
+    """station_id, day, obs, pred: daily means per user (as station); the prediction is the mean of the day before.
+
+    Every seventh day of a month was not measured.
+    """
     events = table(spark, sf_dir, "events")
     daily = events.groupBy(F.col("user_id").alias("station_id"), F.to_date("ts").alias("day")).agg(
         exact_mean(F.col("value"), 2).alias("obs")
     )
     before = F.lag("obs").over(Window.partitionBy("station_id").orderBy("day"))
-    return daily.withColumn("pred", before).where(F.col("pred").isNotNull())
+    measured = F.when(F.dayofmonth("day") % 7 != 0, F.col("obs"))
+    return daily.withColumn("pred", before).where(F.col("pred").isNotNull()).withColumn("obs", measured)
 
 
 DAY_VALUES = """day_values AS (
-  SELECT * FROM (
+  SELECT station_id, day, CASE WHEN day(day) % 7 <> 0 THEN obs END AS obs, pred FROM (
     SELECT station_id, day, obs, lag(obs) OVER (PARTITION BY station_id ORDER BY day) AS pred
     FROM (SELECT user_id AS station_id, CAST(ts AS DATE) AS day,
                  CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) / count(value) AS obs
@@ -157,10 +161,22 @@ def domain_tables(spark: SparkSession, sf_dir: str) -> Mapping[str, DataFrame]:
         points = events.select(F.pmod("user_id", F.lit(5)).cast("int").alias("lat_int"), F.lit(7).alias("lon_int")).distinct()
         return points.select("lat_int", "lon_int", (F.col("lat_int") * 10).alias("x"), F.lit(70).alias("y"))
 
+    kind = F.col("event_type")
+    model_of_kind = F.when(kind == "view", 3).when(kind == "purchase", 1).when(kind == "error", 2).otherwise(0)
+
     def predictions() -> DataFrame:
-        kind = F.col("event_type")
-        model = F.when(kind == "view", 3).when(kind == "purchase", 1).when(kind == "error", 2).otherwise(0)
-        return events.select(hour, station, model.alias("model_id"), "value")
+        return events.select(hour, station, model_of_kind.alias("model_id"), "value")
+
+    def history() -> DataFrame:
+        """Written by earlier models: number 2x for most rows, 1x for some that are older still."""
+        model = model_of_kind + F.when(F.col("event_id") % 10 == 0, 10).otherwise(20)
+        past = events.where(floor_hour(F.col("ts")) <= ntz(HISTORY_TO))
+        return past.select(hour, station, model.alias("model_id"), "value")
+
+    def models_described() -> DataFrame:
+        """All models ever registered: the final ones and two earlier ones of each pollutant."""
+        earlier = models_final().withColumn("shift", F.explode(F.array(F.lit(0), F.lit(10), F.lit(20))))
+        return earlier.select("pollutant", (F.col("model_id") + F.col("shift")).alias("model_id"))
 
     def models_final() -> DataFrame:
         number = F.col("r_regionkey")
@@ -220,7 +236,8 @@ def domain_tables(spark: SparkSession, sf_dir: str) -> Mapping[str, DataFrame]:
             "sampler_map": lambda: customer.where(F.col("c_acctbal") < 0).select(*cell_columns(key)),
             "grid_batches": lambda: customer.select(*cell_columns(key), F.floor(key / 50).cast("int").alias("batch")),
             "observations": measured,
-            "predictions_history": lambda: predictions().where(F.col("date_time") <= ntz(HISTORY_TO)),
+            "predictions_history": history,
+            "models_described": models_described,
             "predictions_latest": predictions,
             "models_final": models_final,
             "station_types": lambda: customer.select(
@@ -257,7 +274,7 @@ DOMAIN = {
   FROM events GROUP BY 1, 2)""",
     "predictions": """predictions AS (
   SELECT date_trunc('hour', ts) AS date_time, CAST(user_id AS VARCHAR) AS station_id,
-         CASE event_type WHEN 'view' THEN 3 WHEN 'purchase' THEN 1 WHEN 'error' THEN 2 ELSE 0 END AS model_id, value
+         CASE event_type WHEN 'view' THEN 3 WHEN 'purchase' THEN 1 WHEN 'error' THEN 2 ELSE 0 END AS model_id, value, event_id
   FROM events)""",
     "station_types": """station_types AS (
   SELECT CAST(c_custkey AS VARCHAR) AS station_id,

@@ -40,7 +40,7 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get(CHECKPOINT_KEY, None)
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise ValueError(f"{CHECKPOINT_KEY} must name a folder shared by all executors")
     root = tempfile.mkdtemp(prefix="hourloom-")
     spark.conf.set(CHECKPOINT_KEY, root)

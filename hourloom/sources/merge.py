@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MAX_LISTED_PARTITIONS = 5_000
+from hourloom.session import store
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], newest_first: Sequence[Column]) -> DataFrame:
@@ -32,8 +32,17 @@ def history_then_latest(history: DataFrame, latest: DataFrame, time: str, last:
     return history.unionByName(latest.where(F.col(time) > end))
 
 
+def by_content(df: DataFrame, keys: Sequence[str]) -> list[Column]:
+    """An order on the other columns, largest values first: rows that tie in it are equal."""
+    return [F.col(f"`{c}`").desc_nulls_last() for c in df.columns if c not in keys]
+
+
 def merge_rows(old: DataFrame, new: DataFrame, keys: Sequence[str], newest_first: Sequence[Column] = ()) -> DataFrame:
-    """Rows of both, the new one where a key occurs twice. `newest_first` orders rows within one side."""
+    """Rows of both, the new one where a key occurs twice.
+
+    `newest_first` orders rows within one side; the content decides between rows that tie in it, so a repeated task keeps the same one.
+    """
+    newest_first = [*newest_first, *by_content(new, keys)]
     both = old.withColumn("__side", F.lit(0)).unionByName(new.withColumn("__side", F.lit(1)))
     return latest_per_key(both, keys, [F.col("__side").desc(), *newest_first]).drop("__side")
 
@@ -45,25 +54,26 @@ def write_rows(
     mode: str = "replace",
     keys: Sequence[str] = (),
     partition_by: Sequence[str] = (),
+    newest_first: Sequence[Column] = (),
 ) -> bool:
     """Append rows, or replace those with the same key by rewriting only the partitions the new rows fall into.
 
-    Partition columns must be part of the key. An empty frame changes nothing and counts as success.
+    Partition columns must be part of the key; `newest_first` says which of several new rows of a key counts. An empty frame
+    changes nothing and counts as success. The rows are computed once: a replace stages them in the shared folder first.
     """
     if mode not in ("insert", "replace"):
         raise ValueError("mode must be one of: insert, replace")
-    if df.isEmpty():
-        return True
     if mode == "insert":
         df.write.mode("append").partitionBy(*partition_by).parquet(path)
         return True
     if not keys or not partition_by or not set(partition_by) <= set(keys):
         raise ValueError("replace needs keys and partition columns that belong to the key")
+    staged = store(df, "replace")
     if exists(spark, path):
         stored = spark.read.schema(df.schema).parquet(path).select(*df.columns)
-        merged = merge_rows(_touched(stored, df, partition_by), df, keys)
+        merged = merge_rows(_touched(stored, staged, partition_by), staged, keys, newest_first)
     else:
-        merged = latest_per_key(df, keys, [F.lit(0)])
+        merged = latest_per_key(staged, keys, [*newest_first, *by_content(staged, keys)])
     # Dynamic overwrite stages its files and swaps partitions at commit, so the old rows are readable until then.
     (
         merged.write.mode("overwrite")
@@ -76,20 +86,8 @@ def write_rows(
 
 
 def _touched(stored: DataFrame, new: DataFrame, partition_by: Sequence[str]) -> DataFrame:
-    """Stored rows of the partitions the new rows fall into; only those partitions are read.
-
-    Partition values are few (each is a directory), so they are listed and pruned by value. A list that turns out long
-    is left to a join.
-    """
-    touched = new.select(*partition_by).distinct()
-    values = touched.limit(MAX_LISTED_PARTITIONS + 1).collect()
-    if len(values) <= MAX_LISTED_PARTITIONS:
-        for name in partition_by:
-            known = F.col(name).isin([v[name] for v in values if v[name] is not None])
-            stored = stored.where(known | F.col(name).isNull() if any(v[name] is None for v in values) else known)
-        if len(partition_by) == 1:
-            return stored
-    wanted = touched.withColumnsRenamed({name: f"__{name}" for name in partition_by})
+    """Stored rows of the partitions the new rows fall into, by a null-safe semi join on the partition columns."""
+    wanted = new.select(*partition_by).distinct().withColumnsRenamed({name: f"__{name}" for name in partition_by})
     same = [F.col(name).eqNullSafe(F.col(f"__{name}")) for name in partition_by]
     return stored.join(wanted, same, "left_semi").select(*new.columns)
 

@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hourloom.session import store
+
 from hourloom.functions.params import POLLUTANTS
 
 REQUEST_SCHEMA = "key STRING, batch_id INT, depvar STRING"
@@ -84,10 +86,11 @@ def serve_requests(
     """
 
     def answer(batch: DataFrame, epoch: int) -> None:
-        parsed = parse_requests(batch)
+        parsed = parse_requests(batch).persist()  # both writes read it
         requests = parsed.where("is_valid").select("key", "batch_id", "depvar")
         handle(requests).write.mode("overwrite").parquet(f"{output}/epoch={epoch}")
         parsed.where("NOT is_valid").select("value").write.mode("overwrite").parquet(f"{rejects}/epoch={epoch}")
+        parsed.unpersist()
 
     writer = messages.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint)
     if not continuous:
@@ -101,18 +104,25 @@ def batches_to_reschedule(reports: DataFrame) -> DataFrame:
     return reports.select("batch").distinct().join(done, "batch", "left_anti")
 
 
+class BatchesFailed(RuntimeError):
+    """`failed` lists every batch that never finished."""
+
+    def __init__(self, message: str, failed: DataFrame):
+        super().__init__(message)
+        self.failed = failed
+
+
 def run_with_retry(batches: DataFrame, run: Callable[[DataFrame], DataFrame], attempts: int = 2) -> DataFrame:
     """Run all batches, then the failed ones again, at most `attempts` times in all; raise if some never finish.
 
-    `run` takes a frame with `batch` and returns (batch, finished).
+    `run` takes a frame with `batch` and returns (batch, finished). Reports are written to the shared folder, so no run is
+    repeated by a later read. The error of batches that never finished carries all of them as the frame `failed`.
     """
-    spark = batches.sparkSession
     reports, pending = None, batches.select("batch").distinct()
     for _ in range(attempts):
-        report = run(pending).select("batch", "finished").persist()
+        report = store(run(pending).select("batch", "finished"), "batch-reports")
         reports = report if reports is None else reports.unionByName(report)
         pending = batches_to_reschedule(reports)
         if pending.isEmpty():
             return reports
-    failed = [row[0] for row in pending.orderBy("batch").limit(20).collect()]
-    raise RuntimeError(f"batches failed {attempts} times: {failed} in {spark.sparkContext.applicationId}")
+    raise BatchesFailed(f"{pending.count()} batches failed {attempts} times", pending)

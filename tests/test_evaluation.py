@@ -1,3 +1,4 @@
+import datetime as dt
 import random
 
 import numpy as np
@@ -30,7 +31,8 @@ def limit_days(spark, n=400, seed=1):
     draw = random.Random(seed)
     data = [(draw.choice("ab"), round(draw.gauss(45, 15), 1), round(draw.gauss(42, 15), 1)) for _ in range(n)]
     data += [("a", 50.0, 50.0), ("b", 50.1, 44.9), ("b", 60.0, None)]
-    return data, spark.createDataFrame(data, "station_id STRING, obs DOUBLE, pred DOUBLE")
+    unmeasured = [("a", None, 60.0), ("b", None, 10.0), ("b", None, 49.0), ("a", None, None)]
+    return data, spark.createDataFrame(data + unmeasured, "station_id STRING, obs DOUBLE, pred DOUBLE")
 
 
 def counts(data, limit, tweak):
@@ -97,11 +99,11 @@ def test_exact_quantile(spark, p, accuracy):
 
 
 @pytest.mark.parametrize("p", [0.0, 0.31, 0.999, 1.0])
-def test_exact_quantile_narrows_wide_brackets(spark, p):
+def test_exact_quantile_of_many_values(spark, p):
     draw = random.Random(4)
     data = [("hot", draw.gauss(0, 1) if draw.random() < 0.7 else 0.5) for _ in range(30_000)] + [("few", 1.0), ("few", 2.0)]
     df = spark.createDataFrame(data, "k STRING, v DOUBLE").repartition(4)
-    got = {r.k: r.quantile for r in evaluation.exact_quantile(df, ["k"], "v", p, accuracy=2000, ranked_values=40).collect()}
+    got = {r.k: r.quantile for r in evaluation.exact_quantile(df, ["k"], "v", p, accuracy=2000).collect()}
     for k in ("hot", "few"):
         assert np.isclose(got[k], np.quantile([v for kk, v in data if kk == k], p), rtol=1e-12, atol=1e-12)
 
@@ -149,3 +151,23 @@ def test_weighted_average_by_hand(spark):
     assert got[1, 0] == (0.75 * 30 + 0.25 * 10, None) and got[1, 1] == (0.75 * 60 + 0.25 * 20, 0.75 * 30 + 0.25 * 10)
     assert got[1, 2] == (0.25 * 30, 0.75 * 60 + 0.25 * 20)
     assert got[2, 0] == (10.0, None) and got[3, 0] == (None, None)
+
+
+def test_days_without_observation_count_nowhere(spark):
+    rows = [("a", dt.date(2022, 1, 1), 60.0, 60.0), ("a", dt.date(2022, 1, 2), 10.0, 10.0), ("a", dt.date(2022, 1, 3), None, 60.0), ("a", dt.date(2022, 2, 1), None, 70.0)]
+    df = spark.createDataFrame(rows, "station_id STRING, day DATE, obs DOUBLE, pred DOUBLE")
+    row = evaluation.limit_confusion(df, "obs", "pred", 50).first()
+    assert (row.tp, row.fn, row.fp, row.tn, row.fp_rate) == (1, 0, 0, 1, 0.0)
+    assert [r.label for r in evaluation.transgression_days(df, "obs", "pred", 50, 0.0).collect()] == ["True Positive"]
+    months = evaluation.transgressions_per_month(df, "obs", "pred", 50, 0.0).collect()
+    assert [(r.month, r.n_observed, r.n_predicted) for r in months] == [(1, 1, 1)]
+
+
+def test_quantile_bracket_holds_the_rank_at_every_size(spark):
+    draw = random.Random(6)
+    data = [(f"k{n}", draw.choice([draw.random(), 1.0, 2.0])) for n in (1, 2, 99, 100, 101, 150, 399, 1000) for _ in range(n)]
+    df = spark.createDataFrame(data, "k STRING, v DOUBLE").repartition(5)
+    for p in (0.0, 0.25, 0.5, 0.99, 1.0):
+        got = {r.k: r.quantile for r in evaluation.exact_quantile(df, ["k"], "v", p, accuracy=100).collect()}
+        for k, value in got.items():
+            assert np.isclose(value, np.quantile([v for kk, v in data if kk == k], p), rtol=1e-12)

@@ -1,5 +1,6 @@
 import datetime as dt
 import itertools
+import random
 
 import pytest
 from conftest import at, hourly
@@ -81,3 +82,19 @@ def test_last_time_can_be_given(spark):
     df = spark.createDataFrame([(t,) for t in hourly("2022-01-01 00:00:00", 100)], "date_time TIMESTAMP_NTZ")
     got = folds.rolling_test_rows(df, "date_time", 1, 4, last=ntz("2022-01-02 00:00:00")).agg(F.min("date_time"), F.max("date_time")).first()
     assert tuple(got) == (at("2022-01-01 21:00:00"), at("2022-01-02 00:00:00"))
+
+
+@pytest.mark.parametrize("include", [False, True])
+def test_fold_sizes_of_times_between_hours(spark, include):
+    draw = random.Random(3)
+    first = at("2022-01-01")
+    times = [first + dt.timedelta(seconds=draw.randrange(40 * 86_400)) for _ in range(3000)] + [first + dt.timedelta(hours=h) for h in range(960)]
+    df = spark.createDataFrame([(t,) for t in times], "date_time TIMESTAMP_NTZ")
+    last = first + dt.timedelta(hours=959)
+    got = folds.fold_sizes(df, "date_time", 12, 48, 36, train_years=240 / folds.HOURS_PER_YEAR, include_current=include, last=F.lit(last)).collect()
+    assert [r.fold_id for r in sorted(got)] == list(range(1, 13))
+    for r in got:
+        split = r.fold_cut - dt.timedelta(hours=1 if include else 0)
+        assert r.fold_cut == last - dt.timedelta(hours=(r.fold_id - 1) * 36 + 48)
+        assert r.n_test == sum(split < t <= r.fold_end for t in times)
+        assert r.n_train == sum(r.fold_cut - dt.timedelta(hours=240) < t <= split for t in times)

@@ -168,3 +168,13 @@ def test_early_stopping_on_what_is_left_over(spark, trained):
         return model.transform(held).agg(F.avg((F.col("y") - F.col("pred")) ** 2)).first()[0]
 
     assert error(both) < error(first)
+
+
+def test_doubled_hours_are_forecast_once(spark):
+    data = [("a", t, float(i % 7)) for i, t in enumerate(hourly("2021-01-01 00:00:00", 60))]
+    doubled = data + [(s, t, y - 5.0) for s, t, y in data[::3]]
+    scorer = LinearScorer({"y_lag1": 0.5}, 1.0)
+    frames = [spark.createDataFrame(d, "station_id STRING, date_time TIMESTAMP_NTZ, y DOUBLE") for d in (data, doubled)]
+    start = F.lit(data[30][1])
+    once, twice = (sorted(tuple(r) for r in prefill_lags(f, "y", [1], [], start, scorer).collect()) for f in frames)
+    assert once == twice

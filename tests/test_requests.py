@@ -59,5 +59,7 @@ def test_reschedule_and_retry(spark):
         return pending.select("batch", (F.lit(len(calls) > 1) | (F.col("batch") == 1)).alias("finished"))
 
     assert requests.run_with_retry(batches, second_time).count() == 3 and calls == [[1, 2], [2]]
-    with pytest.raises(RuntimeError, match="2 times"):
-        requests.run_with_retry(batches, lambda p: p.select("batch", F.lit(False).alias("finished")))
+    many = spark.range(30).select(F.col("id").cast("int").alias("batch"))
+    with pytest.raises(requests.BatchesFailed, match="29 batches failed 2 times") as raised:
+        requests.run_with_retry(many, lambda p: p.select("batch", (F.col("batch") == 3).alias("finished")))
+    assert sorted(r.batch for r in raised.value.failed.collect()) == [b for b in range(30) if b != 3]

@@ -9,7 +9,7 @@ from hourloom.operators import attribution
 from hourloom.operators.scoring import LinearScorer, as_column
 from hourloom.operators.training import StagedModel
 from hourloom.plans import runs, samples
-from hourloom.plans.features import assemble_features
+from hourloom.plans.features import assemble_features, traffic_rows
 from hourloom.sources.registry import model_row
 from hourloom.streaming import requests
 
@@ -100,3 +100,37 @@ def test_station_forecast_starts_now(spark):
     assert {r.station_id for r in got} == {"a"} and got[0].date_time == at("2022-01-01 10:00:00")
     assert [r.pred for r in got[:3]] == [6.0, 7.0, 8.0] and len(got) == 20
     assert df.where(F.col("y").isNull()).count() == 30
+
+
+def test_traffic_versions_do_not_hang_on_the_order_of_rows(spark):
+    rows = [(1, at("2022-01-01 01:00:00"), 0, 0, v, 1) for v in (99.0, 10.0)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "model_id INT, date_time TIMESTAMP_NTZ, x INT, y INT, value DOUBLE, version INT").coalesce(1)
+        assert [r.value for r in traffic_rows(df, F.lit(1), F.lit(2), ["version"]).collect()] == [99.0]
+
+
+def test_report_does_not_count_doubled_rows(spark):
+    batches = spark.createDataFrame([(1, 0, 0), (1, 0, 1)], "batch INT, x INT, y INT")
+    lo, hi = ntz("2022-01-01 00:00:00"), ntz("2022-01-01 01:00:00")
+    cells = [(1, 0, y, at(f"2022-01-01 0{h}:00:00")) for y in (0, 1) for h in (0, 1)]
+    full = spark.createDataFrame(cells, "batch INT, x INT, y INT, date_time TIMESTAMP_NTZ")
+    doubled = spark.createDataFrame(cells[:3] + cells[:1], full.schema)
+    assert runs.batch_report(full, batches, lo, hi).first().finished
+    assert not runs.batch_report(doubled, batches, lo, hi).first().finished
+
+
+def test_assembly_runs_once_per_grid_run(spark, tmp_path):
+    domain, read = dict(samples.domain_tables(spark, SF_DIR)), spark.sparkContext.accumulator(0)
+    scaling = domain["traffic_scaling"]
+
+    def marked(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    domain["traffic_scaling"] = scaling.coalesce(1).mapInPandas(marked, scaling.schema)
+    n = scaling.count()
+    report = runs.grid_run(spark, domain, ntz(LO), ntz(HI), predict, 5, {}, str(tmp_path / "o"), "grid", NEWEST)
+    report.collect()
+    # The assembly itself reads the table for the scaling and for the volume class.
+    assert n <= read.value <= 2 * n

@@ -35,9 +35,25 @@ def test_replace_rewrites_only_touched_partitions(spark, tmp_path):
         merge.write_rows(spark, spark.createDataFrame([("a", 1, 1.0)], DDL), path, keys=["hour"], partition_by=["station"])
 
 
-@pytest.mark.parametrize("listed", [0, 5_000])
-def test_replace_keeps_rows_of_missing_partition_values(spark, tmp_path, monkeypatch, listed):
-    monkeypatch.setattr(merge, "MAX_LISTED_PARTITIONS", listed)
+def test_replace_computes_its_rows_once_and_orders_ties(spark, tmp_path):
+    path, seen = str(tmp_path / "t"), spark.sparkContext.accumulator(0)
+
+    def marked(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    rows = [("a", 1, float(v)) for v in (3, 9, 5)] + [("b", 2, 1.0)]
+    for order in (rows, rows[::-1]):
+        frame = spark.createDataFrame(order, DDL).mapInPandas(marked, DDL)
+        before = seen.value
+        merge.write_rows(spark, frame, path, keys=["station", "hour"], partition_by=["station"])
+        assert seen.value - before == 4 and stored(spark, path) == [("a", 1, 9.0), ("b", 2, 1.0)]
+    merge.write_rows(spark, spark.createDataFrame(rows, DDL), path, keys=["station", "hour"], partition_by=["station"], newest_first=[F.asc("value")])
+    assert stored(spark, path) == [("a", 1, 3.0), ("b", 2, 1.0)]
+
+
+def test_replace_keeps_rows_of_missing_partition_values(spark, tmp_path):
     path, ddl = str(tmp_path / "t"), "station STRING, hour INT, part STRING, value DOUBLE"
 
     def put(*rows):
