@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,9 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows times trees that are walked down at once.
+NODES_AT_ONCE = 2_000_000
+
 
 @dataclass(frozen=True)
 class LinearScorer:
@@ -77,26 +81,51 @@ class TreeScorer:
                 parts.append(np.where(np.isnan(numbers), self.fill.get(name, np.nan), numbers))
         return np.column_stack(parts)
 
+    @cached_property
+    def _walk(self) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Steps to the deepest leaf, and node arrays in which a leaf leads to itself.
+
+        Categories are rows of a boolean table, node by code; the last code stands for everything the node does not know.
+        """
+        leaf = self.feature < 0
+        own = np.arange(len(leaf))
+        left, right = np.where(leaf, own, self.left), np.where(leaf, own, self.right)
+        steps, level = 0, np.asarray(self.roots)
+        while (~leaf[level]).any():
+            inner = level[~leaf[level]]
+            steps, level = steps + 1, np.concatenate([left[inner], right[inner]])
+        width = 2 + int(max((codes.max() for codes in self.categories.values() if len(codes)), default=-1))
+        row = np.full(len(leaf), -1)
+        table = np.zeros((len(self.categories), width), bool)
+        for at, (node, codes) in enumerate(self.categories.items()):
+            row[node] = at
+            table[at, codes.astype(int)] = True
+        table[:, -1] = False
+        return steps, np.where(leaf, 0, self.feature), left, right, row, table, self.threshold
+
     def score(self, columns: Mapping[str, np.ndarray]) -> np.ndarray:
+        """All trees of all rows go down together, one level at a time; a block of rows bounds the memory."""
         x = self._matrix(columns)
-        rows = np.arange(len(x))
-        total = np.zeros(len(x))
-        for root, weight in zip(self.roots, self.weights):
-            node = np.full(len(x), root)
-            while True:
-                inner = self.feature[node] >= 0
-                if not inner.any():
-                    break
-                current = node[inner]
-                values = x[rows[inner], self.feature[current]]
-                goes_left = values <= self.threshold[current]
-                for n in np.unique(current):
-                    if n in self.categories:
-                        here = current == n
-                        goes_left[here] = np.isin(values[here], self.categories[n])
-                node[inner] = np.where(goes_left, self.left[current], self.right[current])
-            total += weight * self.value[node]
-        return total
+        block = max(1, NODES_AT_ONCE // max(len(self.roots), 1))
+        parts = [self._score_rows(x[at : at + block]) for at in range(0, len(x), block)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def _score_rows(self, x: np.ndarray) -> np.ndarray:
+        steps, feature, left, right, row, table, threshold = self._walk
+        node = np.repeat(np.asarray(self.roots)[None, :], len(x), axis=0)
+        at = np.arange(len(x))[:, None]
+        for _ in range(steps):
+            values = x[at, feature[node]]
+            goes_left = values <= threshold[node]
+            if len(table):
+                rows = row[node]
+                listed = rows >= 0
+                codes = values[listed]
+                known = (codes >= 0) & (codes < table.shape[1] - 1) & (codes == np.floor(codes))
+                goes_left[listed] = table[rows[listed], np.where(known, codes, table.shape[1] - 1).astype(int)]
+            node = np.where(goes_left, left[node], right[node])
+        # A running sum adds the trees in their order, as the model itself does.
+        return np.cumsum(self.value[node] * np.asarray(self.weights)[None, :], axis=1)[:, -1]
 
 
 @dataclass(frozen=True)
