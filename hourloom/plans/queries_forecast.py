@@ -16,7 +16,7 @@ from hourloom.operators.scoring import LinearScorer, as_column, combine_stages
 from hourloom.operators.search import search_parameters
 from hourloom.operators.station_average import attach_weighted_average, lag_class_means
 from hourloom.operators.training import fit_staged, fit_with_early_stopping
-from hourloom.plans import features, runs, samples
+from hourloom.plans import features, retrieve, runs, samples
 from hourloom.plans.samples import DAY_VALUES, DOMAIN, RANGE_FROM, RANGE_TO, STATION_HOURS, USER_HOURS, table
 from hourloom.session import scratch_path
 from hourloom.sources import outputs, registry
@@ -111,10 +111,15 @@ def _lag_sql(columns, offsets, keys: str) -> str:
 
 _PADDED = f"date_time BETWEEN TIMESTAMP '{RANGE_FROM}' - INTERVAL 48 HOUR AND TIMESTAMP '{RANGE_TO}'"
 _RANGE = f"date_time BETWEEN TIMESTAMP '{RANGE_FROM}' AND TIMESTAMP '{RANGE_TO}'"
-FEATURE_ASSEMBLY = f"""WITH {DOMAIN["traffic"]}, {DOMAIN["traffic_scaling"]}, {DOMAIN["weather"]}, {DOMAIN["cams"]},
+
+
+def _assembly_sql(coords: str) -> str:
+    """The feature table at the coordinates that a query gives, in the range of the sample tables."""
+    other_land_use = ", ".join(f"CAST(k.c_custkey % {n} AS DOUBLE) AS {name}" for n, name in samples.OTHER_LAND_USE)
+    return f"""WITH {DOMAIN["traffic"]}, {DOMAIN["traffic_scaling"]}, {DOMAIN["weather"]}, {DOMAIN["cams"]},
 {_station_mean_sql(RANGE_FROM, RANGE_TO)},
 users AS (SELECT DISTINCT user_id, CAST(user_id % 16 AS INTEGER) AS x, CAST(user_id // 16 AS INTEGER) AS y FROM events),
-coords AS (SELECT x, y FROM users JOIN customer ON c_custkey = user_id WHERE c_mktsegment <> 'MACHINERY'),
+coords AS ({coords}),
 newest AS (
   SELECT model_id, date_time, x, y, value FROM (
     SELECT *, row_number() OVER (PARTITION BY model_id, date_time, x, y ORDER BY event_id DESC) AS n FROM traffic
@@ -144,12 +149,54 @@ SELECT j.* EXCLUDE (user_id), CAST(j.user_id AS VARCHAR) AS station_id, m.pm10,
   CAST(dayofyear(times.date_time) AS DOUBLE) / 366 AS doy_scaled, isodow(times.date_time) AS weekday, year(times.date_time) AS year,
   hour(times.date_time) AS hour, CASE WHEN isodow(times.date_time) >= 6 THEN 'weekend' ELSE 'none' END AS type_school_holiday,
   dayofyear(times.date_time) = 1 AS is_public_holiday, k.c_acctbal AS building_density,
-  CAST(k.c_nationkey AS DOUBLE) AS traffic_intensity_kfz, {_average_columns_sql()}
+  CAST(k.c_nationkey AS DOUBLE) AS traffic_intensity_kfz, {other_land_use}, {_average_columns_sql()}
 FROM joined j LEFT JOIN times USING (date_time) LEFT JOIN customer k ON k.c_custkey = j.user_id
 LEFT JOIN measured m ON m.user_id = j.user_id AND m.date_time = j.date_time
 LEFT JOIN share ON share.x = j.x AND share.y = j.y LEFT JOIN lagged_means lm ON lm.date_time = j.date_time
 WHERE j.{_RANGE}"""
 
+
+FEATURE_ASSEMBLY = _assembly_sql("SELECT x, y FROM users JOIN customer ON c_custkey = user_id WHERE c_mktsegment <> 'MACHINERY'")
+
+
+def _retrieved(spark: SparkSession, sf_dir: str, mode: str, **how) -> retrieve.Retrieved:
+    """With the end of the range as the present time and no data after it."""
+    domain = samples.domain_tables(spark, sf_dir)
+    return retrieve.retrieve(domain, mode, ("event_id",), tf.ntz(RANGE_TO), tf.ntz(RANGE_FROM), include_future=False, **how)
+
+
+def retrieve_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stations in use and those that are not, as for training."""
+    return _retrieved(spark, sf_dir, "stations", only_active=False).rows
+
+
+def retrieve_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _retrieved(spark, sf_dir, "grid", batch=1).rows
+
+
+def retrieve_grid_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _retrieved(spark, sf_dir, "grid_sim", batch=0).rows
+
+
+def retrieve_samplers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _retrieved(spark, sf_dir, "passive_samplers").rows
+
+
+def retrieval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _retrieved(spark, sf_dir, "grid", batch=1).report()
+
+
+_CELLS = "SELECT CAST(c_custkey % 16 AS INTEGER) AS x, CAST(c_custkey // 16 AS INTEGER) AS y FROM customer"
+RETRIEVE_STATIONS = _assembly_sql("SELECT x, y FROM users JOIN customer ON c_custkey = user_id")
+RETRIEVE_GRID = _assembly_sql(f"{_CELLS} WHERE c_custkey // 50 = 1")
+RETRIEVE_GRID_SIM = _assembly_sql(f"{_CELLS} WHERE c_custkey // 100 = 0")
+RETRIEVE_SAMPLERS = _assembly_sql(f"{_CELLS} WHERE c_acctbal < 0")
+RETRIEVAL_REPORT = f"""WITH rows_of_batch AS ({RETRIEVE_GRID}), c AS (
+  SELECT (SELECT count(*) FROM customer WHERE c_custkey // 50 = 1) AS n_coords, (SELECT count(*) FROM rows_of_batch) AS n_rows,
+    (SELECT count(*) FROM rows_of_batch) - (SELECT count(*) FROM (SELECT DISTINCT * FROM rows_of_batch)) AS n_repeated,
+    date_diff('hour', TIMESTAMP '{RANGE_FROM}', TIMESTAMP '{RANGE_TO}') + 1 AS n_hours)
+SELECT n_coords, n_rows, n_coords * n_hours AS expected_rows, n_coords * n_hours = n_rows AS complete, n_repeated FROM c"""
+
 # ---------------------------------------------------------------- folds
 
 
@@ -1021,6 +1068,11 @@ BATCHES_TO_RESCHEDULE = """SELECT o_custkey AS batch FROM orders GROUP BY 1 HAVI
 
 QUERIES = {
     "feature_assembly": (feature_assembly, FEATURE_ASSEMBLY),
+    "retrieve_stations": (retrieve_stations, RETRIEVE_STATIONS),
+    "retrieve_grid": (retrieve_grid, RETRIEVE_GRID),
+    "retrieve_grid_sim": (retrieve_grid_sim, RETRIEVE_GRID_SIM),
+    "retrieve_samplers": (retrieve_samplers, RETRIEVE_SAMPLERS),
+    "retrieval_report": (retrieval_report, RETRIEVAL_REPORT),
     "weighted_station_avg": (weighted_station_avg, WEIGHTED_STATION_AVG),
     "rolling_origin_folds": (rolling_origin_folds, ROLLING_ORIGIN_FOLDS),
     "fold_sizes": (fold_sizes, FOLD_SIZES),

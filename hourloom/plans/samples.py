@@ -97,6 +97,15 @@ DAY_VALUES = """day_values AS (
   WHERE pred IS NOT NULL)"""
 
 
+# Made from the number of the customer, by another divisor each.
+OTHER_LAND_USE = tuple(
+    enumerate(
+        ("grauflaeche", "gewaesser", "gruenflaeche", "infrastruktur", "mischnutzung", "wald", "wohnnutzung", "nox_h", "nox_i", "nox_v", "pmx_i"),
+        start=3,
+    )
+)
+
+
 def cell_columns(user: Column) -> list[Column]:
     """City cell of a user."""
     return [F.pmod(user, F.lit(16)).cast("int").alias("x"), F.floor(user / 16).cast("int").alias("y")]
@@ -228,6 +237,7 @@ def domain_tables(spark: SparkSession, sf_dir: str) -> Mapping[str, DataFrame]:
             "land_use": lambda: customer.select(
                 *cell_columns(key), F.col("c_acctbal").alias("building_density"),
                 F.col("c_nationkey").cast("double").alias("traffic_intensity_kfz"),
+                *[F.pmod(key, F.lit(n)).cast("double").alias(name) for n, name in OTHER_LAND_USE],
             ),
             "station_map": lambda: cells().select("x", "y", station),
             "stations": lambda: customer.select(
@@ -235,6 +245,7 @@ def domain_tables(spark: SparkSession, sf_dir: str) -> Mapping[str, DataFrame]:
             ),
             "sampler_map": lambda: customer.where(F.col("c_acctbal") < 0).select(*cell_columns(key)),
             "grid_batches": lambda: customer.select(*cell_columns(key), F.floor(key / 50).cast("int").alias("batch")),
+            "grid_sim_batches": lambda: customer.select(*cell_columns(key), F.floor(key / 100).cast("int").alias("batch")),
             "observations": measured,
             "predictions_history": history,
             "models_described": models_described,
