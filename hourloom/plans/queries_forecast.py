@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 
 from hourloom.functions import timefns as tf
 from hourloom.functions.params import (
-    CAMS_LAGS, POLLUTANTS, STATION_AVERAGE_BAND, STATION_AVERAGE_LAGS, TRAFFIC_LAGS, WEATHER_LAGS, FeatureSpec,
+    CAMS_LAGS, POLLUTANTS, STATION_AVERAGE_BAND, STATION_AVERAGE_LAGS, TRAFFIC_LAGS, WEATHER_LAGS, FeatureSpec, boosting_params,
 )
-from hourloom.operators import attribution, evaluation, folds, scenarios
+from hourloom.operators import attribution, cleaning, evaluation, folds, scenarios
 from hourloom.operators.forecast import lags_from_predictions, prefill_lags, recursive_forecast
 from hourloom.operators.lags import add_row_lags, add_station_lags
 from hourloom.operators.scoring import LinearScorer, as_column, combine_stages
 from hourloom.operators.search import search_parameters
 from hourloom.operators.station_average import attach_weighted_average, lag_class_means
-from hourloom.operators.training import fit_staged, fit_with_early_stopping
+from hourloom.operators.training import StagedModel, fit_staged, fit_with_early_stopping
 from hourloom.plans import features, retrieve, runs, samples
 from hourloom.plans.samples import DAY_VALUES, DOMAIN, RANGE_FROM, RANGE_TO, STATION_HOURS, USER_HOURS, table
-from hourloom.session import scratch_path
+from hourloom.session import scratch_path, store
 from hourloom.sources import outputs, registry
 from hourloom.sources.tables import coords_for
 from hourloom.streaming import requests
@@ -821,10 +821,32 @@ def _model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"hour": F.hour("date_time").cast("string"), "weekday": tf.weekday(F.col("date_time")).cast("double")})
 
 
+CHAIN = FeatureSpec("no2", (1, 2), (1, 2), stages=2)  # sample stations have few hours with data
+CHAIN_START = "2024-01-26 00:00:00"  # the last three days of the range are forecast
 MODEL_FEATURES = ["hour", "weekday", "y_lag1", "y_lag24", "lag_avg"]
 SMALL = {"maxIter": 3, "maxDepth": 3, "stepSize": 0.3}
 
 
+def retrieved_to_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain: retrieve, train two stages on the real feature lists, register, promote, load, forecast all stations."""
+    rows = _retrieved(spark, sf_dir, "stations", only_active=False).rows
+    metric = [f for f in CHAIN.names if f not in CHAIN.categoric and f not in CHAIN.lag_columns]
+    typed = store(cleaning.fix_column_types(rows, ["station_id", *CHAIN.categoric], ["no2", *metric]), "chain-rows")
+    start, caps = tf.ntz(CHAIN_START), {"no2": 150.0}
+    ready = runs.prepare_station_rows(typed, "no2", caps, CHAIN.own_lags, CHAIN.short_lags)
+    params = [{**boosting_params("no2", True, stage), "maxIter": 2, "maxDepth": 3} for stage in (1, 2)]
+    root = scratch_path(spark, "chain")
+    model_id = runs.train_and_register(
+        spark, ready.where(F.col("date_time") < start), "no2", CHAIN.of_stage(1), CHAIN.of_stage(2), CHAIN.categoric, *params,
+        CHAIN.own_lags, CHAIN.short_lags, "temporal_chain", 1, f"{root}/registry", f"{root}/models", 120.0, f"{root}/final", "temporal",
+    )
+    chosen = spark.read.parquet(f"{root}/final").select(F.max("model_id")).first()[0]
+    row = registry.model_row(spark.read.parquet(f"{root}/registry"), chosen)
+    model = StagedModel.load(row.model_path, row.features_1, row.features_2, row.categorical)
+    made = runs.station_forecast(typed, "no2", CHAIN.own_lags, CHAIN.short_lags, model.scorer(spark), start, caps)
+    return made.select("station_id", "date_time", "pred", F.lit(model_id).alias("model_id"))
+
+
 def forecast_t_plus_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trees trained on the rows before the oldest fold, then all folds forecast in one job, in the stored form."""
     rows, last = _model_rows(spark, sf_dir), samples.last_hour(spark, sf_dir)
@@ -1068,6 +1090,7 @@ BATCHES_TO_RESCHEDULE = """SELECT o_custkey AS batch FROM orders GROUP BY 1 HAVI
 
 QUERIES = {
     "feature_assembly": (feature_assembly, FEATURE_ASSEMBLY),
+    "retrieved_to_forecast": (retrieved_to_forecast, None),
     "retrieve_stations": (retrieve_stations, RETRIEVE_STATIONS),
     "retrieve_grid": (retrieve_grid, RETRIEVE_GRID),
     "retrieve_grid_sim": (retrieve_grid_sim, RETRIEVE_GRID_SIM),
