@@ -38,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def to_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: ids of every text, and whether they decode to it."""
     vocabulary = bpe.load(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    decoded = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), vocabulary), vocabulary)
+    decoded = bpe.encode(docs.select("doc_id", "source", "text"), vocabulary, decoded="decoded")
     whole = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return decoded.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", whole.alias("round_trip"))
 

@@ -14,8 +14,8 @@ Other columns are kept.
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +26,11 @@ from pyspark.sql import types as T
 
 from hourloom.llm import mph
 
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 #: Longer pre-tokens are not remembered, so what is kept has a bound in bytes too.
 LONGEST_REMEMBERED = 64
 #: Texts are split and looked up in groups of so many characters.
-GROUP_CHARS = 2_000_000
+GROUP_CHARS = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -53,7 +53,14 @@ class Vocabulary:
         order = np.argsort(mph.slots(self.sizes, self.words, *_keys(entries)))
         self.entries = [entries[i] for i in order]
         self.ids = [ranks[e] for e in self.entries]
-        self.by_id = {i: e for e, i in ranks.items()}
+        # The bytes of all ids one after another, and where each begins; ids without an entry are empty.
+        lengths = np.zeros(max(ranks.values(), default=-1) + 1, np.int64)
+        for entry, i in ranks.items():
+            lengths[i] = len(entry)
+        self.lengths, self.starts = lengths, np.concatenate([[0], np.cumsum(lengths)])[:-1]
+        by_id = {i: e for e, i in ranks.items()}
+        self.bytes = np.frombuffer(b"".join(by_id.get(i, b"") for i in range(len(lengths))), np.uint8)
+        self.packed = [i.to_bytes(4, "little") for i in range(len(lengths))]
 
     def whole(self, tokens: list[bytes]) -> list[int | None]:
         """The id of each pre-token that is an entry."""
@@ -62,17 +69,13 @@ class Vocabulary:
 
     def merge(self, token: bytes) -> list[int]:
         """Ids of a pre-token by merging neighbours in the order of rank, leftmost first."""
-        ranks, n = self.ranks, len(token)
+        ranks, rank_of, n = self.ranks, self.ranks.get, len(token)
         ends = list(range(1, n + 1))  # the part that starts at i ends before ends[i]; 0 once it is merged into another
         previous = list(range(-1, n - 1))
-        heap = []
-        for i in range(n - 1):
-            rank = ranks.get(token[i : i + 2])
-            if rank is not None:
-                heap.append((rank, i, i + 2))
-        heapq.heapify(heap)
+        heap = [(rank, i, i + 2) for i in range(n - 1) if (rank := rank_of(token[i : i + 2])) is not None]
+        heapify(heap)
         while heap:
-            _, i, end = heapq.heappop(heap)
+            _, i, end = heappop(heap)
             middle = ends[i]
             # Stale unless part i and the part after it still are what was ranked.
             if not middle or middle >= end or ends[middle] != end:
@@ -80,14 +83,12 @@ class Vocabulary:
             ends[i], ends[middle] = end, 0
             if end < n:
                 previous[end] = i
-                rank = ranks.get(token[i : ends[end]])
-                if rank is not None:
-                    heapq.heappush(heap, (rank, i, ends[end]))
+                after = ends[end]
+                if (rank := rank_of(token[i:after])) is not None:
+                    heappush(heap, (rank, i, after))
             before = previous[i]
-            if before >= 0:
-                rank = ranks.get(token[before:end])
-                if rank is not None:
-                    heapq.heappush(heap, (rank, before, end))
+            if before >= 0 and (rank := rank_of(token[before:end])) is not None:
+                heappush(heap, (rank, before, end))
         made, i = [], 0
         while i < n:
             made.append(ranks[token[i : ends[i]]])
@@ -129,15 +130,14 @@ class Encoder:
 
     def _work_out(self, parts: list[str]) -> dict[str, bytes]:
         tokens = [p.encode() for p in parts]
-        made = {}
+        made, packed, merge = {}, self.vocabulary.packed, self.vocabulary.merge
         for part, token, known in zip(parts, tokens, self.vocabulary.whole(tokens)):
-            ids = (known,) if known is not None else self.vocabulary.merge(token)
-            made[part] = b"".join([i.to_bytes(4, "little") for i in ids])
+            made[part] = packed[known] if known is not None else b"".join([packed[i] for i in merge(token)])
         return made
 
 
-def grouped(texts: Iterator[str], most_chars: int = GROUP_CHARS) -> Iterator[list[str]]:
-    """Consecutive texts with at most so many characters together, or one longer text."""
+def grouped(texts: Iterator, most_chars: int = GROUP_CHARS) -> Iterator[list]:
+    """Consecutive texts with at most so many characters (or bytes) together, or one longer text."""
     group, chars = [], 0
     for text in texts:
         if group and chars + len(text) > most_chars:
@@ -149,8 +149,18 @@ def grouped(texts: Iterator[str], most_chars: int = GROUP_CHARS) -> Iterator[lis
         yield group
 
 
-def decode_ids(vocabulary: Vocabulary, ids: bytes) -> bytes:
-    return b"".join(map(vocabulary.by_id.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+def decode_ids(vocabulary: Vocabulary, texts: list[bytes]) -> list[bytes]:
+    """The bytes of every list of ids, gathered for all lists at once."""
+    ids = np.frombuffer(b"".join(texts), "<u4").astype(np.int64)
+    lengths = vocabulary.lengths[ids]
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    # Byte k of an id's entry lies k places after its start.
+    places = np.arange(total) + np.repeat(vocabulary.starts[ids] - (ends - lengths), lengths)
+    whole = vocabulary.bytes[places].tobytes()
+    counts = np.cumsum([len(t) // 4 for t in texts])
+    borders = np.concatenate([[0], ends])[np.concatenate([[0], counts])].tolist() if texts else [0]
+    return [whole[a:b] for a, b in zip(borders, borders[1:])]
 
 
 def load(spark: SparkSession, path: str, pattern: str):
@@ -158,19 +168,33 @@ def load(spark: SparkSession, path: str, pattern: str):
     return spark.sparkContext.broadcast(Vocabulary(read_ranks(path), pattern))
 
 
-def encode(docs: DataFrame, vocabulary, text_column: str = "text", name: str = "ids", keep_text: bool = True) -> DataFrame:
-    """Adds the ids of a text as little-endian unsigned 32-bit integers (binary)."""
+def _columns(batch: pa.RecordBatch, names: list[str]) -> list[pa.Array]:
+    return [batch.column(batch.schema.get_field_index(n)) for n in names]
+
+
+def encode(docs: DataFrame, vocabulary, text_column: str = "text", name: str = "ids", keep_text: bool = True, decoded: str | None = None) -> DataFrame:
+    """Adds the ids of a text as little-endian unsigned 32-bit integers (binary).
+
+    With a name for `decoded` the ids are decoded in the same pass, so no worker process beside the encoder's is needed.
+    """
     kept = [f for f in docs.schema.fields if keep_text or f.name != text_column]
-    schema = T.StructType([*kept, T.StructField(name, T.BinaryType())])
+    names = [f.name for f in kept]
+    added = [name, *([decoded] if decoded else [])]
+    schema = T.StructType([*kept, *(T.StructField(n, T.BinaryType()) for n in added)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary.value)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_column))
-            made = (encoder.encode(group) for group in grouped(t.as_py() or "" for t in texts))
-            ids = pa.array((i for group in made for i in group), pa.binary())
-            columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
-            yield pa.RecordBatch.from_arrays([*columns, ids], [*(f.name for f in kept), name])
+            texts = (t.as_py() or "" for t in batch.column(batch.schema.get_field_index(text_column)))
+            at = 0
+            for group in grouped(texts):
+                ids = encoder.encode(group)
+                made = [pa.array(ids, pa.binary())]
+                if decoded:
+                    made.append(pa.array(decode_ids(vocabulary.value, ids), pa.binary()))
+                rows = batch.slice(at, len(group))
+                at += len(group)
+                yield pa.RecordBatch.from_arrays([*_columns(rows, names), *made], [*names, *added])
 
     return docs.mapInArrow(run, schema)
 
@@ -183,7 +207,8 @@ def decode(encoded: DataFrame, vocabulary, ids_column: str = "ids", name: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(ids_column))
-            texts = pa.array((decode_ids(vocabulary.value, i.as_py() or b"") for i in ids), pa.binary())
+            made = (decode_ids(vocabulary.value, group) for group in grouped((i.as_py() or b"" for i in ids), 4 * GROUP_CHARS // 8))
+            texts = pa.array((t for group in made for t in group), pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, name])
 
     return encoded.mapInArrow(run, schema)

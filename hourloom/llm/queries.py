@@ -61,8 +61,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 def op5_two_tier_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all whole texts and what they decode to."""
     vocabulary = bpe.load(spark, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
-    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, keep_text=False)
-    decoded = bpe.decode(encoded, vocabulary)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = bpe.encode(docs, vocabulary, keep_text=False, decoded="decoded")
     n_tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
     return decoded.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
