@@ -34,6 +34,8 @@ SEED = 41
 #: Scores are ranked in steps of 1/SCALE.
 SCALE = 1 << 20
 STEP_BITS = 13
+#: n-grams that are counted at once.
+GRAMS_AT_ONCE = 1_000_000
 _TOKENS = re.compile(r"\w+|[^\w\s]+").findall
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 
@@ -64,12 +66,23 @@ def count_models(docs: DataFrame, good_ids: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = WordHashes(), np.zeros((2, N_BUCKETS), np.int64)
+
+        def add(row: int, found: list[np.ndarray]) -> None:
+            if found:
+                counts[row] += np.bincount(np.concatenate(found), minlength=N_BUCKETS)
+
         for batch in batches:
+            every, chosen, n = [], [], 0
             for text, good in zip(batch.column(0), batch.column(1)):
-                found = np.bincount(ngram_buckets(text.as_py(), hashes), minlength=N_BUCKETS)
-                counts[0] += found
+                found = ngram_buckets(text.as_py(), hashes)
+                every.append(found)
                 if good.as_py():
-                    counts[1] += found
+                    chosen.append(found)
+                n += len(found)
+                if n >= GRAMS_AT_ONCE:
+                    add(0, every), add(1, chosen)
+                    every, chosen, n = [], [], 0
+            add(0, every), add(1, chosen)
         used = np.flatnonzero(counts[0])
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[0][used]), pa.array(counts[1][used])], ["bucket", "raw", "target"])
 

@@ -15,7 +15,7 @@ SHINGLE = 5
 _WORDS = re.compile(r"\w+").findall
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Hashes of so many distinct words are remembered by a task.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 class WordHashes(dict):
