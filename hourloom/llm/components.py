@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourloom.llm.common import cut
 
 
+def ranked(name: str) -> Column:
+    """A node after its hash, to compare by."""
+    return F.struct(F.xxhash64(name).alias("hash"), F.col(name).alias("node"))
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """node, label for every node of the edges (a, b); label is one node of the component.
 
-    Every round maps a node to the least of itself and its neighbours and keeps the edges between different images. Nodes are
-    hashes, so each round is expected to remove a constant share of those left; stars vanish at once. Hot nodes meet only joins with
-    one row per node and aggregations that combine before the exchange.
+    Every round maps a node to the one with the least hash among itself and its neighbours, and keeps the edges between different
+    images. Hashes are in random order, so each round is expected to remove a constant share of the nodes left, whatever the graph.
+    Hot nodes meet only joins with one row per node and aggregations that combine before the exchange.
     """
     left = cut(edges.filter(F.col("a") != F.col("b")).select("a", "b").distinct())
     labels = None
     while left.limit(1).count():
         ends = left.select("a", "b").union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = cut(ends.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("to")))
+        nearest = ends.groupBy("a").agg(F.min(ranked("b")).alias("least"))
+        step = cut(nearest.select(F.col("a").alias("node"), F.least(ranked("a"), "least")["node"].alias("to")))
         if labels is None:
             labels = step.select("node", F.col("to").alias("label"))
         else:

@@ -68,8 +68,11 @@ def first_map(totals: DataFrame, n_shards: int) -> DataFrame:
     return _rows(_listed(totals).select("slots", F.aggregate("slots", start, deal).alias("done")), 1)
 
 
-def rebalance(slot_map: DataFrame, totals: DataFrame, n_shards: int, tolerance: float = TOLERANCE) -> DataFrame:
-    """The next version of a map (all rows of one version): slots leave shards that are over the mean, while that lowers the larger of both."""
+def rebalance(slot_map: DataFrame, totals: DataFrame, n_shards: int, tolerance: float = TOLERANCE, first_target: int = 0) -> DataFrame:
+    """The next version of a map (all rows of one version): slots leave shards that are over the mean, while that lowers the larger of both.
+
+    They go to the shard with the least bytes among those from `first_target` on.
+    """
     version = slot_map.agg(F.max("version")).first()[0]
     now = totals.join(slot_map.select("virtual_slot", "shard"), "virtual_slot")
     listed = _listed(now, "shard")
@@ -81,8 +84,9 @@ def rebalance(slot_map: DataFrame, totals: DataFrame, n_shards: int, tolerance:
 
     def move(done: Column, s: Column) -> Column:
         own = F.element_at(done["loads"], s["shard"] + 1)
-        least = F.array_min(done["loads"])
-        at = (F.array_position(done["loads"], least) - 1).cast("int")
+        targets = F.slice(done["loads"], F.lit(first_target + 1), F.lit(n_shards - first_target))
+        least = F.array_min(targets)
+        at = (F.array_position(targets, least) - 1 + first_target).cast("int")
         moves = (s["bytes"] > 0) & (own > done["mean"] * (1 + tolerance)) & (least + s["bytes"] < own)
         changed = F.struct(
             _put(_put(done["loads"], at, s["bytes"]), s["shard"], -s["bytes"]).alias("loads"), done["mean"].alias("mean"), F.concat(done["shards"], F.array(at)).alias("shards")
@@ -95,8 +99,8 @@ def rebalance(slot_map: DataFrame, totals: DataFrame, n_shards: int, tolerance:
 
 
 def grow(slot_map: DataFrame, totals: DataFrame, n_shards: int, added: int = 1) -> DataFrame:
-    """The next version with more shards: the mean falls, so slots move into the added ones."""
-    return rebalance(slot_map, totals, n_shards + added, 0.0)
+    """The next version with more shards: the mean falls, and slots move into the added shards only."""
+    return rebalance(slot_map, totals, n_shards + added, 0.0, n_shards)
 
 
 def save_map(slot_map: DataFrame, path: str) -> DataFrame:
