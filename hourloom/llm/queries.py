@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm import bpe, chat, exact_dedup, fingerprints, html_text, jaccard_join, mixing, quality, secrets, sharding
+from hourloom.llm import bpe, chat, exact_dedup, fingerprints, html_text, jaccard_join, mixing, oracles, quality, secrets, sharding
 from hourloom.llm.common import cut, scratch_folder, table
 
 PROBE = r"\### Assistant: </turn> ok"
@@ -112,4 +112,8 @@ QUERIES = {
     "op10_prefix_targets": op10_prefix_targets,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_history_hash": oracles.HISTORY_HASH,
+    "op7_sainte_lague": oracles.SAINTE_LAGUE,
+    "op10_prefix_targets": oracles.PREFIX_TARGETS,
+}
