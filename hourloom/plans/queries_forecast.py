@@ -510,9 +510,9 @@ SELECT station_id, day FROM d WHERE n = 24 AND day < coalesce((
   SELECT min(g) FROM generate_series(0, 40) s(g) WHERE g NOT IN (SELECT day FROM d e WHERE e.station_id = d.station_id AND e.n = 24)), 1000)"""
 
 
-def _scenario_means(rows: DataFrame) -> DataFrame:
-    """Daily means of all percentages, rounded so that a mean right at the limit does not hang on the order of a sum."""
-    scored = _scored(scenarios.traffic_scenarios(rows.withColumn("day", F.to_date("date_time")), scenarios.EVERY_PERCENTAGE))
+def _scenario_means(rows: DataFrame, percentages=scenarios.EVERY_PERCENTAGE) -> DataFrame:
+    """Daily means of the percentages, rounded so that a mean right at the limit does not hang on the order of a sum."""
+    scored = _scored(scenarios.traffic_scenarios(rows.withColumn("day", F.to_date("date_time")), percentages))
     return scored.groupBy("station_id", "day", "kfz_pct").agg(F.round(F.avg("pred"), 10).alias("mean"))
 
 
@@ -560,7 +560,7 @@ SELECT user_id, CASE WHEN asked - INTERVAL 1 HOUR > latest THEN latest + INTERVA
 
 
 def monotonicity_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scenarios.monotonicity_violations(_scenario_means(spark, sf_dir), ["station_id", "day"])
+    return scenarios.monotonicity_violations(_scenario_means(_traffic_rows(spark, sf_dir), scenarios.PERCENTAGES), ["station_id", "day"])
 
 
 MONOTONICITY_VIOLATIONS = f"""WITH {SCENARIO_ROWS},
