@@ -172,7 +172,7 @@ def prune(values: np.ndarray, i: np.ndarray, j: np.ndarray, band: np.ndarray, ne
 def likely_edges(members: DataFrame, nodes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     """a, b: a spanning forest, bucket by bucket, of the pairs that survive the pruning."""
     needed = needed_matches(threshold, tolerance)
-    n_blocks = F.ceil(F.sqrt("members") / 10)
+    n_blocks = F.ceil(F.sqrt("members") / 13)
     dealt = in_blocks(members, n_blocks, "bucket").join(nodes.select("node", "values"), "node")
     keys = ["bucket", "block_a", "block_b"]
     sorted_rows = dealt.select(*keys, "band", "side", "node", "values").repartition(*keys).sortWithinPartitions(*keys)
@@ -251,7 +251,7 @@ def verified_links(components: DataFrame, nodes: DataFrame, docs: DataFrame, thr
 
     sets = read.select("label", "node", "copies", "text").mapInArrow(shingled, "label binary, node binary, copies long, set binary")
     sizes = components.groupBy("label").agg(F.count("*").alias("size"))
-    n_blocks = F.when(F.col("size") <= ONE_BLOCK, 1).otherwise(F.ceil(F.sqrt(F.col("size") / 2)))
+    n_blocks = F.when(F.col("size") <= ONE_BLOCK, 1).otherwise(F.ceil(F.sqrt("size") / 2.5))
     # Rows equal in id and text read the same node twice.
     once = cut(sets.dropDuplicates(["node"]))
     keys = ["label", "block_a", "block_b"]
