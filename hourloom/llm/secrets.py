@@ -5,13 +5,13 @@ match. The battery looks at every other run of key characters:
 
 1. The encoding is inferred from the characters: hex, base 32, base 36 or base 64. Runs of letters of one case, or of digits
    alone, have none of these and are not tested.
-2. Three tests ask whether the run can still be ordinary text. Each null hypothesis is a deviation from randomness of at least a
-   stated size, so a small p-value means "close to random", and short runs cannot reach one:
-   chi-squared (the symbols fall unevenly into eight equal classes of the alphabet, noncentrality UNEVEN per symbol or more),
-   runs above and below the middle (changes of side at a rate under RATES[0] or over RATES[1]),
-   serial correlation of neighbours (|r| of SERIAL or more).
-   A run is random only if all three say so: its p-value is the largest of them.
-3. Benjamini-Hochberg at level FDR decides over all runs of the corpus, apart in each stratum of encoding and length class.
+2. The null hypothesis is that the run is ordinary: words, paths and identifiers, by a chain of symbols fitted for each encoding
+   (`ordinary.py`). The p-value is the chance of the run under the null over its chance at random. By Markov's inequality ordinary
+   runs reach a p-value of p with a probability of p at most. It is a sum of logarithms, so it has no least value.
+3. Three tests of the hypothesis that the run is random guard against runs that are neither: chi-squared on eight classes of the
+   alphabet, changes between its halves, serial correlation of neighbours. A run that one of them rejects (CHI, NORMAL: a level
+   of 0.001 each) has a p-value of 1.
+4. Benjamini-Hochberg at level FDR decides over all runs of the corpus, apart in each stratum of encoding and length class.
    p-values are rounded up to 1/100 of a decade first, so the procedure needs one count per stratum and step, and is exact.
 
 Defined cases: null text is empty and has no spans; a repeated row gives a repeated result; other columns are not read. Positions
@@ -20,11 +20,10 @@ are code points, ends exclusive. Runs that overlap a base span are left out.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hourloom.llm import ordinary
 from hourloom.llm.common import cut, fresh, let, sha256_hex
 
 # The named patterns, in the order of their kinds, with the least length of what they must match.
@@ -39,9 +38,10 @@ KINDS = ("assign", "access", "hex", "random")
 
 RUN = "[A-Za-z0-9+/_=-]{20,}"
 CLASSES = 8
-UNEVEN, RATES, SERIAL, FDR = 0.5, (0.25, 0.75), 0.5, 0.05
+CHI, NORMAL, FDR = 24.32, 3.29, 0.05
 LENGTH_CLASSES = (20, 28, 40, 64, 128, 256)
-STEPS, LAST_STEP = 100, 690
+# A p-value of 1e-20 is accepted even alone among 1e18 runs, so steps above it are counted as one.
+STEPS, LAST_STEP = 100, 2000
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ALPHABETS = {"hex": (DIGITS + "abcdef",), "base32": (UPPER + "234567",), "base36": (DIGITS + LOWER,), "base64": (UPPER + LOWER + DIGITS + "+/", "-_")}
@@ -82,19 +82,6 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def normal_cdf(z: Column) -> Column:
-    """Standard normal distribution function; rational approximation of the error function, error below 2e-7."""
-    x = F.abs(z) / math.sqrt(2.0)
-    t = 1.0 / (1.0 + 0.3275911 * x)
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    tail = 0.5 * poly * F.exp(-x * x)
-    return F.when(z < 0, tail).otherwise(1.0 - tail)
-
-
-def cdf(z: Column) -> Column:
-    return let(z, normal_cdf)
-
-
 def encoding_of(run: Column) -> Column:
     """Index into ENCODINGS, or null for runs that no encoding explains."""
     body = F.rtrim(run, F.lit("="))
@@ -108,8 +95,8 @@ def encoding_of(run: Column) -> Column:
     )
 
 
-def _codes(alphabet: tuple[str, ...]) -> Column:
-    """Value by character code; letters missing in one case count as the other case."""
+def _values(alphabet: tuple[str, ...]) -> dict[str, int]:
+    """Value by character; letters missing in one case count as the other case."""
     first, values = alphabet[0], {}
     for at, letter in enumerate(first):
         values[letter] = at
@@ -117,6 +104,12 @@ def _codes(alphabet: tuple[str, ...]) -> Column:
         values[letter] = len(first) - 2 + at
     for letter, at in list(values.items()):
         values.setdefault(letter.swapcase(), at)
+    return values
+
+
+def _codes(alphabet: tuple[str, ...]) -> Column:
+    """Value by character code."""
+    values = _values(alphabet)
     return F.array(*[F.lit(values.get(chr(code), 0)) for code in range(128)])
 
 
@@ -132,67 +125,74 @@ def symbol_values(run: Column, encoding: Column) -> Column:
     return made
 
 
-def battery(values: Column, size: Column) -> Column:
-    """Largest p-value of the three tests, for an array of symbol values below size."""
+def _ratios() -> Column:
+    """The tables of all encodings, one after the other, as one literal."""
+    tables = [ordinary.log_ratios(_values(ALPHABETS[name]), ALPHABETS[name][0]) for name in ENCODINGS]
+    return F.split(F.lit(",".join(str(x) for table in tables for x in table)), ",").cast("array<int>")
+
+
+def _shares() -> Column:
+    """Per encoding the share of the alphabet in each class."""
+    sizes = [len(ALPHABETS[name][0]) for name in ENCODINGS]
+    return F.array(*[F.array(*[F.lit(sum(v * CLASSES // size == c for v in range(size)) / size) for c in range(CLASSES)]) for size in sizes])
+
+
+def _by_encoding(numbers: list[int], encoding: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in numbers]), encoding + 1)
+
+
+def battery(values: Column, encoding: Column) -> Column:
+    """-STEPS * log10 of the p-value, rounded down, for an array of symbol values; 0 where a test says that they are not random."""
     zero = F.array(*[F.lit(0.0)] * CLASSES)
+    sizes = [len(ALPHABETS[name][0]) for name in ENCODINGS]
+    size, before = _by_encoding(sizes, encoding), _by_encoding([sum(x * x for x in sizes[:at]) for at in range(len(sizes))], encoding)
+    ratios = _ratios()
 
     def count(done: Column, v: Column) -> Column:
         x = v.cast("double")
         at = F.floor(x * CLASSES / size).cast("int")
         side = x * 2 >= size - 1
+        ratio = F.when(done["last"].isNull(), 0).otherwise(F.element_at(ratios, before + done["last"] * size + v + 1))
         return F.struct(
             F.transform(done["classes"], lambda c, i: c + F.when(i == at, 1.0).otherwise(0.0)).alias("classes"),
             (done["changes"] + F.when(side != done["side"], 1.0).otherwise(0.0)).alias("changes"),
-            side.alias("side"), x.alias("last"),
-            (done["sum"] + x).alias("sum"), (done["squares"] + x * x).alias("squares"), (done["products"] + x * F.coalesce(done["last"], F.lit(0.0))).alias("products"),
+            side.alias("side"), v.alias("last"), (done["ratio"] + ratio).alias("ratio"),
+            (done["sum"] + x).alias("sum"), (done["squares"] + x * x).alias("squares"), (done["products"] + x * F.coalesce(done["last"], F.lit(0))).alias("products"),
         )
 
     start = F.struct(
-        zero.alias("classes"), F.lit(0.0).alias("changes"), F.lit(None).cast("boolean").alias("side"), F.lit(None).cast("double").alias("last"),
-        F.lit(0.0).alias("sum"), F.lit(0.0).alias("squares"), F.lit(0.0).alias("products"),
+        zero.alias("classes"), F.lit(0.0).alias("changes"), F.lit(None).cast("boolean").alias("side"), F.lit(None).cast("int").alias("last"),
+        F.lit(0).cast("long").alias("ratio"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("squares"), F.lit(0.0).alias("products"),
     )
 
-    def p_value(s: Column) -> Column:
-        return let(F.size(values).cast("double"), lambda n: p_of(s, n))
+    def step(s: Column) -> Column:
+        return let(F.size(values).cast("double"), lambda n: step_of(s, n))
 
-    def p_of(s: Column, n: Column) -> Column:
-        chi = CLASSES / n * F.aggregate(s["classes"], F.lit(0.0), lambda a, c: a + c * c) - n
-        # The noncentral distribution by its cube-root approximation.
-        df, lam = CLASSES - 1.0, UNEVEN * n
-        spread = 2.0 * (df + 2.0 * lam) / (9.0 * (df + lam) * (df + lam))
-        uniform = cdf((F.pow(F.greatest(chi, F.lit(0.0)) / (df + lam), F.lit(1 / 3)) - (1.0 - spread)) / F.sqrt(spread))
+    def step_of(s: Column, n: Column) -> Column:
+        shares = F.element_at(_shares(), encoding + 1)
+        chi = F.aggregate(F.zip_with(s["classes"], shares, lambda c, share: c * c / share), F.lit(0.0), lambda a, c: a + c) / n - n
         steps = n - 1
-        few, many = RATES
-        above = 1.0 - cdf((s["changes"] - few * steps) / F.sqrt(few * (1 - few) * steps))
-        below = cdf((s["changes"] - many * steps) / F.sqrt(many * (1 - many) * steps))
         mean = s["sum"] / n
         variance = s["squares"] / n - mean * mean
         r = F.when(variance > 0, (s["products"] / steps - mean * mean) / variance).otherwise(1.0)
-        held = F.least(F.greatest(r, F.lit(-0.999)), F.lit(0.999))
-        distance = math.atanh(SERIAL) - F.abs(let(held, lambda r: 0.5 * F.log((1 + r) / (1 - r))))
-        unrelated = 1.0 - cdf(distance * F.sqrt(n - 3))
-        return F.greatest(uniform, above, below, unrelated)
-
-    return F.aggregate(values, start, count, p_value)
-
+        random = (chi <= CHI) & (F.abs(s["changes"] - steps / 2) <= NORMAL * F.sqrt(steps / 4)) & (F.abs(r) * F.sqrt(n) <= NORMAL)
+        ratio = F.floor(s["ratio"] * STEPS / ordinary.UNITS)
+        return F.when(random, F.least(F.greatest(ratio, F.lit(0)), F.lit(LAST_STEP))).otherwise(0).cast("int")
 
-def step_of(p: Column) -> Column:
-    """p rounded up to a step of 1/STEPS decade, as -STEPS * log10(p)."""
-    return F.least(F.floor(-STEPS * F.log10(F.greatest(p, F.lit(1e-300)))), F.lit(LAST_STEP)).cast("int")
+    return F.aggregate(values, start, count, step)
 
 
 def random_runs(text: Column, base: Column) -> Column:
     """array<struct<start, end, stratum, step>> of the tested runs that no base span touches."""
     none = F.array().cast("array<struct<start:int,end:int,stratum:int,step:int>>")
     free = F.filter(spans(text, RUN), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    sizes = F.array(*[F.lit(float(len(ALPHABETS[name][0]))) for name in ENCODINGS])
 
     def tested(s: Column, encoding: Column) -> Column:
         length = F.lit(0)
         for least in LENGTH_CLASSES[1:]:
             length = length + F.when(s["end"] - s["start"] >= least, 1).otherwise(0)
-        p = let(symbol_values(s["said"], encoding), lambda values: battery(values, F.element_at(sizes, encoding + 1)))
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), (encoding * len(LENGTH_CLASSES) + length).alias("stratum"), step_of(p).alias("step"))
+        step = let(symbol_values(s["said"], encoding), lambda values: battery(values, encoding))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), (encoding * len(LENGTH_CLASSES) + length).alias("stratum"), step.alias("step"))
 
     known = F.filter(F.transform(free, lambda s: F.struct(s.alias("s"), encoding_of(s["said"]).alias("e"))), lambda x: x["e"].isNotNull())
     return F.when(text.rlike(RUN), F.transform(known, lambda x: tested(x["s"], x["e"]))).otherwise(none)

@@ -90,6 +90,27 @@ def test_random_keys_are_found_and_text_is_not(spark):
     assert all(not spans[i] for i in range(30, 35))
 
 
+def ordinary_runs(rng, n):
+    """Paths, slugs and names that hold a digit, of words that the fitted null has not seen as such."""
+    made = []
+    while len(made) < n:
+        parts = [rng.choice("river garden castle winter bridge market silver forest doctor player yellow simple travel monkey blanket kitchen".split()) for _ in range(4)]
+        parts.insert(rng.randint(1, 3), str(rng.randint(1, 2030)))
+        made.append(rng.choice(["/".join, "-".join, "_".join, lambda t: "_".join(t).upper(), lambda t: "".join(x.title() for x in t)])(parts))
+    return made
+
+
+@pytest.mark.parametrize("length", [32, 40])
+def test_a_single_key_among_thousands_of_ordinary_runs(spark, length):
+    rng = random.Random(length)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    key = "".join(rng.choice(letters) for _ in range(length))
+    texts = [key, *ordinary_runs(rng, 4000)]
+    frame = spark.createDataFrame([(i, f"é {t} .") for i, t in enumerate(texts)], "doc_id long, text string")
+    found = secrets.span_digests(secrets.find_secrets(frame)).filter("spans <> ''").collect()
+    assert [(r["doc_id"], r["spans"]) for r in found] == [(0, f"random:2:{2 + length}")]
+
+
 def test_false_discovery_steps(spark):
     counts = [(1, 300, 2), (1, 150, 1), (1, 90, 7), (2, 20, 5)]
     runs = [[(stratum, step)] for stratum, step, n in counts for _ in range(n)]
