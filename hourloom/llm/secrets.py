@@ -36,7 +36,8 @@ HEX = "[0-9a-f]+"
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ("assign", "access", "hex", "random")
 
-RUN = "[A-Za-z0-9+/_=-]{20,}"
+# '=' parts runs, as in name=value; one or two at the end of a run are its padding.
+RUN = "[A-Za-z0-9+/_-]{20,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 CLASSES = 8
 CHI, NORMAL, FDR = 24.32, 3.29, 0.05
 LENGTH_CLASSES = (20, 28, 40, 64, 128, 256)
@@ -85,7 +86,7 @@ def base_spans(text: Column) -> Column:
 def encoding_of(run: Column) -> Column:
     """Index into ENCODINGS, or null for runs that no encoding explains."""
     body = F.rtrim(run, F.lit("="))
-    mixed = body.rlike("[0-9]") & body.rlike("[A-Za-z]")
+    mixed = body.rlike("[A-Z]") & body.rlike("[a-z]") | body.rlike("[0-9]") & body.rlike("[A-Za-z]")
     return (
         F.when(~mixed, None)
         .when(body.rlike("^([0-9a-f]+|[0-9A-F]+)$"), 0)

@@ -111,6 +111,20 @@ def test_a_single_key_among_thousands_of_ordinary_runs(spark, length):
     assert [(r["doc_id"], r["spans"]) for r in found] == [(0, f"random:2:{2 + length}")]
 
 
+def test_keys_after_names_and_keys_of_letters(spark):
+    rng = random.Random(6)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    key, padded = ("".join(rng.choice(letters) for _ in range(n)) for n in (40, 43))
+    only = "".join(rng.choice(letters[:52]) for _ in range(40))
+    texts = [
+        (f"AUTH_KEY={key}\n", (9, 49)), (f"?sig={padded}=&x=1", (5, 49)), (f"a {padded}== b", (2, 47)), (f"== {key}===", (3, 43)), (f"x={only}", (2, 42)),
+        ("averyLongNameOfSomeSetting=anotherQuiteLongNameOfSomeValue", None), ("theQuickBrownFoxJumpsOverTheLazyDog", None), ("Verwaltungsgesellschaften", None),
+    ]
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in secrets.span_digests(secrets.find_secrets(frame)).collect()}
+    assert [spans[i] for i in range(len(texts))] == [f"random:{at[0]}:{at[1]}" if at else "" for _, at in texts]
+
+
 def test_false_discovery_steps(spark):
     counts = [(1, 300, 2), (1, 150, 1), (1, 90, 7), (2, 20, 5)]
     runs = [[(stratum, step)] for stratum, step, n in counts for _ in range(n)]
