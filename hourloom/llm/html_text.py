@@ -5,7 +5,10 @@ its share of stop words. Blocks in elements that say what they are (navigation,
 Pass 1 decides the others by themselves: mostly links is boilerplate, long enough with enough stop words is text, the rest
 is ambiguous (short, or of words we cannot judge). Pass 2 gives ambiguous blocks the label of the nearest decided
 block, the text's if both are as near. If a page names its article (<article>, <main>), the blocks outside are boilerplate, and
-ambiguous blocks in an article without any decided one are text; elsewhere they are dropped then.
+ambiguous blocks in an article without any block decided as text are text; elsewhere they are dropped then.
+
+The stop words are of four languages. If most of a page's long blocks with few links have hardly any of them (FOREIGN), the page is in
+another language, and there length and links decide alone: long blocks with few links are text.
 
 Output: the blocks in page order, white space inside a block as one space, trimmed, joined by two newlines; nothing is cut off.
 
@@ -16,6 +19,7 @@ tag left open ends with the element around it); repeated rows give repeated resu
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -23,7 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-LINKS_BAD, STOP_GOOD, SHORT = 0.5, 0.1, 70
+LINKS_BAD, LINKS_FEW, STOP_GOOD, SHORT = 0.5, 0.2, 0.1, 70
+# Text of the four languages has a stop word in KNOWN of its words at least; a page is foreign if less than FOREIGN of its long text has.
+KNOWN, FOREIGN = 0.2, 0.25
 
 # Element names by role, words in class and id that mark boilerplate, stop words of four languages.
 BLOCK_TAGS = frozenset(
@@ -160,14 +166,35 @@ def stop_share(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
-def classify(block: Block, only_articles: bool) -> bool | None:
+def weight(text: str) -> int:
+    """Length, where a character of a script that needs fewer of them counts twice."""
+    return len(text) if text.isascii() else len(text) + sum(unicodedata.east_asian_width(c) in "WF" for c in text)
+
+
+def few_links(block: Block, most: float = LINKS_FEW) -> bool:
+    return block.linked <= most * len("".join(block.text.split()))
+
+
+def is_foreign(blocks: list[Block]) -> bool:
+    """Whether the long blocks with few links are hardly in a language whose stop words we have."""
+    long = known = 0
+    for block in blocks:
+        if (w := weight(block.text)) >= SHORT and few_links(block):
+            long += w
+            known += w * (stop_share(block.text) >= KNOWN)
+    return known < FOREIGN * long
+
+
+def classify(block: Block, only_articles: bool, foreign: bool = False) -> bool | None:
     """Pass 1: True for text, False for boilerplate, None if the block alone does not say."""
     if block.dropped or (only_articles and not block.article):
         return False
-    if block.linked > LINKS_BAD * len("".join(block.text.split())):
+    if not few_links(block, LINKS_BAD):
         return False
     if len(block.text) >= SHORT and stop_share(block.text) >= STOP_GOOD:
         return True
+    if foreign and weight(block.text) >= SHORT and few_links(block):
+        return True
     return None
 
 
@@ -201,8 +228,12 @@ def main_text(html: str | None) -> str:
     blocks = reader.blocks
     only_articles = any(b.article and not b.dropped for b in blocks)
     candidates = [not b.dropped and (b.article or not only_articles) for b in blocks]
-    labels = [classify(b, only_articles) for b in blocks]
-    kept = inherit(labels, candidates, only_articles)
+    foreign = is_foreign([b for b, c in zip(blocks, candidates) if c])
+    labels = [classify(b, only_articles, foreign) for b in blocks]
+    if only_articles and True not in labels:
+        kept = [label is None for label in labels]
+    else:
+        kept = inherit(labels, candidates, only_articles)
     return "\n\n".join(b.text for b, k, c in zip(blocks, kept, candidates) if k and c)
 
 

@@ -533,6 +533,31 @@ def test_main_text():
     assert html_text.main_text("<article><p>Of.</article>") == "Of."
 
 
+FOREIGN = {
+    "it": ["Il consiglio comunale ha approvato ieri sera il nuovo piano per gli spazi verdi, che prevede oltre trecento alberi nei quartieri periferici.",
+           "Secondo gli assessori, i lavori cominceranno già durante la prossima primavera e dureranno circa diciotto mesi, senza chiusure delle strade."],
+    "pl": ["Rada miasta przyjęła wczoraj wieczorem nowy plan terenów zielonych, który przewiduje ponad trzysta drzew w dzielnicach peryferyjnych.",
+           "Według urzędników prace rozpoczną się już najbliższej wiosny i potrwają około osiemnastu miesięcy, bez zamykania ulic dla ruchu."],
+    "ru": ["Городской совет вчера вечером утвердил новый план озеленения, который предусматривает более трёхсот деревьев в отдалённых районах.",
+           "По словам чиновников, работы начнутся уже ближайшей весной и продлятся около восемнадцати месяцев без перекрытия улиц."],
+    "zh": ["市议会昨晚通过了新的绿地规划,计划在城市外围的各个区域种植三百多棵树木,并修建若干小型公园。", "据官员介绍,相关工程将于明年春天开始,预计持续大约十八个月,期间不会封闭任何道路,居民出行不受影响。"],
+}
+
+
+@pytest.mark.parametrize("language", sorted(FOREIGN))
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_main_text_of_other_languages(language, tag):
+    text = FOREIGN[language]
+    menu = '<div><a href="/">Aaa bbb</a> <a href="/b">Ccc ddd</a> <a href="/c">Eee fff</a></div>'
+    tags = '<p><a href="/1">Ggg</a> <a href="/2">Hhh</a></p>'
+    page = f"<html><body>{menu}<{tag}>{''.join(f'<p>{x}</p>' for x in text)}{tags}</{tag}></body></html>"
+    assert html_text.main_text(page).split("\n\n") == text
+
+
+def test_article_of_short_blocks_and_a_line_of_links():
+    assert html_text.main_text('<article><p>Krótko.</p><p>Tak.</p><p><a href="/1">Ggg</a></p></article>') == "Krótko.\n\nTak."
+
+
 def test_extract_keeps_columns(spark):
     frame = spark.createDataFrame([(1, "u", PAGE, "old"), (2, None, None, None), (1, "u", PAGE, "old")], "page_id long, url string, html string, text string")
     got = html_text.extract(frame)
