@@ -7,6 +7,11 @@ is ambiguous (short, or of words we cannot judge). Pass 2 gives ambiguous blocks
 block, the text's if both are as near. If a page names its article (<article>, <main>), the blocks outside are boilerplate, and
 ambiguous blocks in an article without any block decided as text are text; elsewhere they are dropped then.
 
+Words in class and id count name by name. A name that only says how things are (has-sidebar, comments-open) says nothing. A name of
+such words and of PLAIN_WORDS alone (comment-list) drops the element, any other with such a word in it (content-sidebar-wrap) does
+unless the elements of that name hold most of the page's long text with few links. <main>, an <article> other than of a comment, and, if
+all articles are inside named elements, those around the page's article are never dropped by a name.
+
 The stop words are of four languages. If most of a page's long blocks with few links have hardly any of them (FOREIGN), the page is in
 another language, and there length and links decide alone: long blocks with few links are text.
 
@@ -20,6 +25,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -52,6 +58,14 @@ DROPPED_WORDS = frozenset(
     reply respond responses search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription tagcloud toolbar topbar
     widget widgets""".split()
 )
+# Words that say no more about a dropped one, and words that make a name say how the element or the page is.
+PLAIN_WORDS = frozenset(
+    """area author bar block body bottom box button buttons card center first fixed form global header heading item
+    items label last left link links list lower meta mobile native nested new old post primary right secondary site slot small
+    sticky sub tab text thread title top upper unit""".split()
+)
+STATE_WORDS = frozenset("closed disabled enabled has is no not off on open status with without".split())
+COMMENT_WORDS = frozenset("comment comments replies reply respond response responses".split())
 STOP_WORDS = frozenset(
     """a an and are as at be been but by for from had has have he her his in is it its not of on or she that the their they this to was we were
     which will with you au aux ce ces dans de des du elle en est et il ils la le les leur mais ne nous on ou par pas plus pour que qui sa se ses son
@@ -72,18 +86,52 @@ def _is_boilerplate(tag: str, attrs: list[tuple[str, str | None]], in_article: b
             return True
         if name == "role" and value and value.strip().lower() in DROPPED_ROLES:
             return True
-        if name in ("class", "id") and value and tag not in ("html", "body"):
-            parts = _NAME_PARTS.findall(_CAMEL.sub(" ", value).lower())
-            if not DROPPED_WORDS.isdisjoint(parts) or ("header" in parts and not in_article and tag not in ARTICLE_TAGS):
-                return True
     return False
 
 
+class Mark:
+    """An element that a name says is boilerplate. `names` are those that say it only in part; none if one says it wholly."""
+
+    __slots__ = ("names", "kept")
+
+    def __init__(self, names: frozenset[str]):
+        self.names, self.kept = names, False
+
+
+def _mark(tag: str, attrs: list[tuple[str, str | None]], in_article: bool, is_first: bool) -> Mark | None:
+    if tag in ("html", "body", "main"):
+        return None
+    in_part = set()
+    for name, value in attrs:
+        if name not in ("class", "id") or not value:
+            continue
+        for said in value.split():
+            parts = _NAME_PARTS.findall(_CAMEL.sub(" ", said).lower())
+            dropped = [x for x in parts if x in DROPPED_WORDS or (x == "header" and not in_article)]
+            if not dropped or not STATE_WORDS.isdisjoint(parts):
+                continue
+            wholly = all(x in dropped or x in PLAIN_WORDS or x.isdigit() for x in parts)
+            if tag in ARTICLE_TAGS:
+                if wholly and not is_first and not COMMENT_WORDS.isdisjoint(dropped):
+                    return Mark(frozenset())
+            elif wholly:
+                return Mark(frozenset())
+            else:
+                in_part.add(said)
+    return Mark(frozenset(in_part)) if in_part else None
+
+
 class Block:
-    __slots__ = ("text", "linked", "dropped", "article")
+    __slots__ = ("text", "linked", "dropped", "article", "marks", "size", "weight", "_stops")
+
+    def __init__(self, text: str, linked: int, dropped: bool, article: bool, marks: tuple[Mark, ...] = ()):
+        self.text, self.linked, self.dropped, self.article, self.marks = text, linked, dropped, article, marks
+        self.size, self.weight, self._stops = len(text) - text.count(" "), weight(text), None
 
-    def __init__(self, text: str, linked: int, dropped: bool, article: bool):
-        self.text, self.linked, self.dropped, self.article = text, linked, dropped, article
+    def stops(self) -> float:
+        if self._stops is None:
+            self._stops = stop_share(self.text)
+        return self._stops
 
 
 class BlockReader(HTMLParser):
@@ -92,36 +140,41 @@ class BlockReader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.stack: list[tuple[str, bool, bool]] = []  # tag, dropped, in article
+        self.stack: list[tuple[str, bool, bool, tuple[Mark, ...]]] = []  # tag, dropped, in article, marks
+        self.articles: list[tuple[str, tuple[Mark, ...]]] = []  # tag and the marks around it
         self.said: list[str] = []
         self.linked = self.links = 0
 
-    def _state(self) -> tuple[bool, bool]:
-        return self.stack[-1][1:] if self.stack else (False, False)
+    def _state(self) -> tuple[bool, bool, tuple[Mark, ...]]:
+        return self.stack[-1][1:] if self.stack else (False, False, ())
 
     def end_block(self) -> None:
         if self.said:
             text = " ".join("".join(self.said).split())
             if text:
-                dropped, article = self._state()
-                self.blocks.append(Block(text, self.linked, dropped, article))
+                self.blocks.append(Block(text, self.linked, *self._state()))
             self.said, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK_TAGS or tag in DROPPED_TAGS:
             self.end_block()
-            if self.stack and any(open_tag == "p" for open_tag, _, _ in self.stack[-8:]) and tag in BLOCK_TAGS:
+            if self.stack and any(open_tag == "p" for open_tag, *_ in self.stack[-8:]) and tag in BLOCK_TAGS:
                 self._close("p")
         elif tag in SPACE_TAGS:
             self.said.append(" ")
         if tag in VOID_TAGS:
             return
-        dropped, article = self._state()
-        if not dropped and attrs or tag in DROPPED_TAGS or tag == "header":
-            dropped = dropped or _is_boilerplate(tag, attrs, article)
-            if dropped:
+        dropped, article, marks = self._state()
+        if not dropped and (attrs or tag in DROPPED_TAGS or tag == "header"):
+            dropped = _is_boilerplate(tag, attrs, article)
+            mark = None if dropped else _mark(tag, attrs, article, not self.articles)
+            if dropped or mark:
                 self.end_block_before(tag)
-        self.stack.append((tag, dropped, article or tag in ARTICLE_TAGS))
+            if mark:
+                marks = (*marks, mark)
+        if tag in ARTICLE_TAGS and not dropped:
+            self.articles.append((tag, marks))
+        self.stack.append((tag, dropped, article or tag in ARTICLE_TAGS, marks))
         self.links += tag == "a"
 
     def end_block_before(self, tag: str) -> None:
@@ -146,12 +199,16 @@ class BlockReader(HTMLParser):
         self._close(tag)
 
     def _leaves_boilerplate(self, tag: str) -> bool:
-        return bool(self.stack) and self.stack[-1][0] == tag and self.stack[-1][1] and not (len(self.stack) > 1 and self.stack[-2][1])
+        if not self.stack or self.stack[-1][0] != tag:
+            return False
+        _, dropped, _, marks = self.stack[-1]
+        before = self.stack[-2] if len(self.stack) > 1 else (None, False, False, ())
+        return (dropped and not before[1]) or len(marks) > len(before[3])
 
     def _close(self, tag: str) -> None:
         for at in range(len(self.stack) - 1, -1, -1):
             if self.stack[at][0] == tag:
-                self.links -= sum(t == "a" for t, _, _ in self.stack[at:])
+                self.links -= sum(t == "a" for t, *_ in self.stack[at:])
                 del self.stack[at:]
                 return
 
@@ -172,28 +229,45 @@ def weight(text: str) -> int:
 
 
 def few_links(block: Block, most: float = LINKS_FEW) -> bool:
-    return block.linked <= most * len("".join(block.text.split()))
+    return block.linked <= most * block.size
 
 
 def is_foreign(blocks: list[Block]) -> bool:
     """Whether the long blocks with few links are hardly in a language whose stop words we have."""
     long = known = 0
     for block in blocks:
-        if (w := weight(block.text)) >= SHORT and few_links(block):
+        if (w := block.weight) >= SHORT and few_links(block):
             long += w
-            known += w * (stop_share(block.text) >= KNOWN)
+            known += w * (block.stops() >= KNOWN)
     return known < FOREIGN * long
 
 
+def drop_marked(blocks: list[Block], articles: list[tuple[str, tuple[Mark, ...]]]) -> None:
+    """Drops the blocks in elements that their names mark, but for those that hold the page's article or most of its long text."""
+    if articles and all(marks for _, marks in articles):
+        around = next((marks for tag, marks in articles if tag == "main"), articles[0][1])
+        for mark in around:
+            mark.kept = True
+    long, of_name = 0, Counter()
+    for block in blocks:
+        if not block.dropped and (w := block.weight) >= SHORT and few_links(block):
+            long += w
+            of_name.update(dict.fromkeys((n for mark in block.marks for n in mark.names), w))
+    most = {name for name, w in of_name.items() if 2 * w > long}
+    for block in blocks:
+        if any(not mark.kept and not (mark.names and mark.names <= most) for mark in block.marks):
+            block.dropped = True
+
+
 def classify(block: Block, only_articles: bool, foreign: bool = False) -> bool | None:
     """Pass 1: True for text, False for boilerplate, None if the block alone does not say."""
     if block.dropped or (only_articles and not block.article):
         return False
     if not few_links(block, LINKS_BAD):
         return False
-    if len(block.text) >= SHORT and stop_share(block.text) >= STOP_GOOD:
+    if len(block.text) >= SHORT and block.stops() >= STOP_GOOD:
         return True
-    if foreign and weight(block.text) >= SHORT and few_links(block):
+    if foreign and block.weight >= SHORT and few_links(block):
         return True
     return None
 
@@ -226,6 +300,7 @@ def main_text(html: str | None) -> str:
     reader.close()
     reader.end_block()
     blocks = reader.blocks
+    drop_marked(blocks, reader.articles)
     only_articles = any(b.article and not b.dropped for b in blocks)
     candidates = [not b.dropped and (b.article or not only_articles) for b in blocks]
     foreign = is_foreign([b for b, c in zip(blocks, candidates) if c])

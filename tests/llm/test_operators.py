@@ -554,6 +554,31 @@ def test_main_text_of_other_languages(language, tag):
     assert html_text.main_text(page).split("\n\n") == text
 
 
+BODY = "<p>This is the text of the page, and it is as long as it has to be to count as a text for the rules.</p>"
+NAMES = ["content-sidebar-wrap", "has-sidebar", "no-sidebar", "comments-open", "comment-status-open", "with-banner", "share-enabled", "search-result"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_names_around_the_text_keep_it(name):
+    text = html_text.main_text(BODY)
+    comments = f'<div id="comments" class="comments-area"><article class="comment">{BODY}{BODY}</article></div>'
+    for page in (
+        f'<div class="{name}"><article>{BODY}</article></div>', f'<article class="post {name}">{BODY}</article>', f'<main id="{name}">{BODY}</main>',
+        f'<div class="{name}">{BODY}</div>', f'<article><div class="{name}">{BODY}</div></article>', f'<div class="{name}"><article>{BODY}</article>{comments}</div>',
+    ):
+        assert html_text.main_text(page) == text, page
+    assert html_text.main_text(f'<div class="{name}">{BODY}</div><div class="{name}">{BODY}</div>') == f"{text}\n\n{text}"
+    for page in (f'<div class="sidebar"><main>{BODY}</main></div>', f'<main class="search">{BODY}</main>'):
+        assert html_text.main_text(page) == text
+
+
+@pytest.mark.parametrize("name", ["ad", "comment-list", "comment-123", "sidebar", "related-links", "cookie-notice", "site-footer", "navBar"])
+def test_names_of_boilerplate_drop_it(name):
+    text = html_text.main_text(BODY)
+    for page in (f'{BODY}<div class="{name}">{BODY}{BODY}</div>', f'<article>{BODY}<div id="{name}">{BODY}{BODY}</div></article>'):
+        assert html_text.main_text(page) == text
+
+
 def test_article_of_short_blocks_and_a_line_of_links():
     assert html_text.main_text('<article><p>Krótko.</p><p>Tak.</p><p><a href="/1">Ggg</a></p></article>') == "Krótko.\n\nTak."
 
