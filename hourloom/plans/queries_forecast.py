@@ -186,16 +186,35 @@ def retrieval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _retrieved(spark, sf_dir, "grid", batch=1).report()
 
 
+def retrieve_grid_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cells: no batch is named."""
+    return _retrieved(spark, sf_dir, "grid").rows
+
+
+def retrieve_grid_sim_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _retrieved(spark, sf_dir, "grid_sim").rows
+
+
+def retrieval_report_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _retrieved(spark, sf_dir, "grid").report()
+
+
 _CELLS = "SELECT CAST(c_custkey % 16 AS INTEGER) AS x, CAST(c_custkey // 16 AS INTEGER) AS y FROM customer"
 RETRIEVE_STATIONS = _assembly_sql("SELECT x, y FROM users JOIN customer ON c_custkey = user_id")
 RETRIEVE_GRID = _assembly_sql(f"{_CELLS} WHERE c_custkey // 50 = 1")
 RETRIEVE_GRID_SIM = _assembly_sql(f"{_CELLS} WHERE c_custkey // 100 = 0")
+RETRIEVE_ALL_CELLS = _assembly_sql(_CELLS)
 RETRIEVE_SAMPLERS = _assembly_sql(f"{_CELLS} WHERE c_acctbal < 0")
 RETRIEVAL_REPORT = f"""WITH rows_of_batch AS ({RETRIEVE_GRID}), c AS (
   SELECT (SELECT count(*) FROM customer WHERE c_custkey // 50 = 1) AS n_coords, (SELECT count(*) FROM rows_of_batch) AS n_rows,
     (SELECT count(*) FROM rows_of_batch) - (SELECT count(*) FROM (SELECT DISTINCT * FROM rows_of_batch)) AS n_repeated,
     date_diff('hour', TIMESTAMP '{RANGE_FROM}', TIMESTAMP '{RANGE_TO}') + 1 AS n_hours)
 SELECT n_coords, n_rows, n_coords * n_hours AS expected_rows, n_coords * n_hours = n_rows AS complete, n_repeated FROM c"""
+RETRIEVAL_REPORT_ALL = f"""WITH rows_of_all AS ({RETRIEVE_ALL_CELLS}), c AS (
+  SELECT (SELECT count(*) FROM customer) AS n_coords, (SELECT count(*) FROM rows_of_all) AS n_rows,
+    (SELECT count(*) FROM rows_of_all) - (SELECT count(*) FROM (SELECT DISTINCT * FROM rows_of_all)) AS n_repeated,
+    date_diff('hour', TIMESTAMP '{RANGE_FROM}', TIMESTAMP '{RANGE_TO}') + 1 AS n_hours)
+SELECT n_coords, n_rows, n_coords * n_hours AS expected_rows, n_coords * n_hours = n_rows AS complete, n_repeated FROM c"""
 
 # ---------------------------------------------------------------- folds
 
@@ -631,6 +650,37 @@ def _lagged_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return add_station_lags(samples.station_hours(spark, sf_dir), "y", [1, 24], [1, 2], average_name="lag_avg")
 
 
+def _user_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user as a station: as many series as there are users."""
+    return samples.user_hours(spark, sf_dir).withColumnRenamed("user_id", "station_id")
+
+
+USER_STATIONS = f"""{USER_HOURS},
+station_hours AS (SELECT user_id AS station_id, date_time, y FROM user_hours)"""
+
+
+def recursive_forecast_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """recursive_forecast over every user."""
+    lagged = add_station_lags(_user_stations(spark, sf_dir), "y", [1, 24], [1, 2], average_name="lag_avg")
+    tests = folds.rolling_test_rows(lagged, "date_time", 4, 48, 24, last=samples.last_hour(spark, sf_dir))
+    return recursive_forecast(
+        folds.add_step(tests, "date_time"), "y", [1, 24], [1, 2], SCORER, keep=["y"], average_name="lag_avg"
+    )
+
+
+def prefill_forecast_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """prefill_forecast over every user."""
+    return prefill_lags(_user_stations(spark, sf_dir), "y", [1, 24], [1, 2], tf.ntz(START), SCORER, average_name="lag_avg")
+
+
+def station_forecast_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """station_forecast over every user."""
+    made = runs.station_forecast(
+        _user_stations(spark, sf_dir), "y", [1, 24], [1, 2], SCORER, tf.ntz(START), {"y": 150.0}, average_name="lag_avg"
+    )
+    return outputs.station_output(made, F.lit(7), tf.ntz(START))
+
+
 def recursive_forecast_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four overlapping folds of 48 hours, forecast hour by hour with a linear scorer."""
     tests = folds.rolling_test_rows(
@@ -733,6 +783,11 @@ SELECT 7 AS model_id, CAST(epoch(TIMESTAMP '{START}') AS BIGINT) AS date_time_fo
 FROM future d JOIN walk k ON k.station_id = d.station_id AND k.h = (SELECT max(h) FROM future)"""
 
 
+RECURSIVE_FORECAST_USERS, PREFILL_FORECAST_USERS, STATION_FORECAST_USERS = (
+    sql.replace(STATION_HOURS, USER_STATIONS) for sql in (RECURSIVE_FORECAST, PREFILL_FORECAST, STATION_FORECAST)
+)
+
+
 def scenario_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily means for each station, day and percentage: two days ahead, 0..100 % traffic."""
     sales = F.col("event_type").isin("purchase", "signup")
@@ -1096,6 +1151,9 @@ QUERIES = {
     "retrieve_grid_sim": (retrieve_grid_sim, RETRIEVE_GRID_SIM),
     "retrieve_samplers": (retrieve_samplers, RETRIEVE_SAMPLERS),
     "retrieval_report": (retrieval_report, RETRIEVAL_REPORT),
+    "retrieve_grid_all": (retrieve_grid_all, RETRIEVE_ALL_CELLS),
+    "retrieve_grid_sim_all": (retrieve_grid_sim_all, RETRIEVE_ALL_CELLS),
+    "retrieval_report_all": (retrieval_report_all, RETRIEVAL_REPORT_ALL),
     "weighted_station_avg": (weighted_station_avg, WEIGHTED_STATION_AVG),
     "rolling_origin_folds": (rolling_origin_folds, ROLLING_ORIGIN_FOLDS),
     "fold_sizes": (fold_sizes, FOLD_SIZES),
@@ -1128,6 +1186,9 @@ QUERIES = {
     "prefill_lags": (prefill_given, PREFILL_GIVEN),
     "prefill_forecast": (prefill_forecast, PREFILL_FORECAST),
     "station_forecast": (station_forecast, STATION_FORECAST),
+    "recursive_forecast_users": (recursive_forecast_users, RECURSIVE_FORECAST_USERS),
+    "prefill_forecast_users": (prefill_forecast_users, PREFILL_FORECAST_USERS),
+    "station_forecast_users": (station_forecast_users, STATION_FORECAST_USERS),
     "scenario_forecast": (scenario_forecast, SCENARIO_FORECAST),
     "two_stage_combine": (two_stage_combine, TWO_STAGE_COMBINE),
     "two_stage_fit_predict": (two_stage_fit_predict, None),
