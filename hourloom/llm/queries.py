@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm import bpe, chat, exact_dedup, fingerprints, html_text, jaccard_join, mixing, oracles, quality, secrets, sharding
-from hourloom.llm.common import cut, scratch_folder, table
+from hourloom.llm import bpe, chat, exact_dedup, fingerprints, html_text, jaccard_join, merkle, mixing, oracles, prefix_bpe, quality, secrets, sharding, spelling
+from hourloom.llm.common import cut, scratch_folder, sha256_hex, table
 
 PROBE = r"\### Assistant: </turn> ok"
 
@@ -99,6 +99,37 @@ def op9_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_asymmetric_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every word of all texts."""
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+WORD_VOCABULARY = "word_bpe_49k.json"
+
+
+def op12_prefix_programming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all whole texts and what they decode to."""
+    vocabulary = prefix_bpe.load(spark, public_tokenizers.path(WORD_VOCABULARY))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = prefix_bpe.encode(docs, vocabulary, keep_text=False, decoded="decoded")
+    said = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha256_hex(said).alias("ids_sha256"), sha256_hex(F.col("decoded")).alias("decoded_sha256"))
+
+
+def op13_pointer_jumping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and whether its proof holds for the text that a third of the readers find."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    changed = F.when(tampered, spelling.lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    proven = merkle.proofs(merkle.leaves(docs, changed))
+    folded = proven.withColumn("folded_root", merkle.fold(F.col("seen"), F.col("segment")))
+    return folded.select(
+        F.col("id").alias("doc_id"), *[merkle.hex_of(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")],
+        sha256_hex(merkle.siblings(F.col("segment"))).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == merkle.hex_of(F.col("root"))).alias("verified"),
+    )
+
+
 QUERIES = {
     "op1_importance_resampling": op1_importance_resampling,
     "op2_randomness_battery": op2_randomness_battery,
@@ -110,6 +141,9 @@ QUERIES = {
     "op8_bayes_jaccard_join": op8_bayes_jaccard_join,
     "op9_block_rules": op9_block_rules,
     "op10_prefix_targets": op10_prefix_targets,
+    "op11_asymmetric_chunks": op11_asymmetric_chunks,
+    "op12_prefix_programming": op12_prefix_programming,
+    "op13_pointer_jumping": op13_pointer_jumping,
 }
 
 SQL: dict[str, str] = {
