@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hourloom.llm import mixing
+from hourloom.llm import merkle, mixing, spelling
 
 HISTORY_HASH = """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
   sha256(coalesce(text, '')) AS text_sha256,
@@ -57,3 +57,99 @@ pieces AS (
   WHERE (b * step + shift) % n_blocks < quota % n_blocks GROUP BY n)
 SELECT doc_id, size, source_size, target, CAST(CASE WHEN size > 0 THEN quota // n_blocks * size + coalesce(words, 0) ELSE 0 END AS BIGINT) AS taken
 FROM joined LEFT JOIN pieces USING (n)"""
+
+
+# CRC-32 by bytes: a table of 256 entries made by its rule, and one look-up for each byte of a string's hex.
+_CRC_TABLE = """crc_table AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS steps
+  FROM (SELECT unnest(range(256)) AS i))"""
+
+
+def _crc(text: str) -> str:
+    digit = lambda at: f"instr('0123456789ABCDEF', substr(hex({text}), {at}, 1)) - 1"
+    octets = f"list_transform(range(1, length(hex({text})), 2), lambda i: 16 * ({digit('i')}) + {digit('i + 1')})"
+    step = "xor(c >> 8, steps[xor(c & 255, o) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, o: {step}), 4294967295)"
+
+
+ASYMMETRIC_CHUNKS = f"""WITH RECURSIVE {_CRC_TABLE},
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(text, '{spelling.RUN}')), '{spelling.CAPITALS}', '{spelling.SMALL}') AS run
+  FROM documents),
+counted AS (SELECT id, run, count(*) AS times FROM runs GROUP BY id, run),
+found AS (SELECT run, times, {_crc("(id || ':' || run)")} AS h FROM counted, crc_table),
+spelled AS (
+  SELECT CASE WHEN h % {spelling.SLIP_ONE_IN} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM found),
+words AS (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n FROM spelled WHERE length(word) >= {spelling.LEAST_LENGTH} GROUP BY word HAVING sum(times) >= {spelling.LEAST_COUNT}),
+shorter AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other FROM shorter a JOIN shorter b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM shorter a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word FROM shorter a JOIN words b ON a.rest = b.word),
+around AS (
+  SELECT near.word, count(*) AS n_near, min(struct_pack(order_ := -words.n, word := other)) AS best FROM near JOIN words ON other = words.word GROUP BY near.word),
+formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.order_ >= {spelling.FORM_TIMES} * n THEN best.word END AS form,
+    CASE WHEN -best.order_ >= {spelling.FORM_TIMES} * n THEN -best.order_ END AS form_n
+  FROM words LEFT JOIN around USING (word)),
+walk AS (
+  SELECT word, form AS reached, 1 AS steps FROM formed WHERE form IS NOT NULL
+  UNION ALL SELECT walk.word, formed.form, steps + 1 FROM walk JOIN formed ON walk.reached = formed.word WHERE formed.form IS NOT NULL),
+roots AS (SELECT word, arg_max(reached, steps) AS root FROM walk GROUP BY word)
+SELECT formed.word, form, coalesce(root, formed.word) AS root, n, n_near, form_n FROM formed LEFT JOIN roots ON formed.word = roots.word"""
+
+#: Levels that the SQL spells out: trees of up to FANOUT ** LEAF_LEVELS rows, and as many groups as GROUP_LEVELS hold.
+LEAF_LEVELS, GROUP_LEVELS = 8, 3
+
+
+def _levels(name: str, depth: int) -> str:
+    """Tables <name>0, <name>1, ... of the nodes of a level with what stands before and after them, over <name>(tree, number, digest, size)."""
+    around = "coalesce(string_agg(digest, '') OVER (PARTITION BY tree, number // {f} ORDER BY number ROWS BETWEEN {rows}), '')"
+    made = []
+    for k in range(depth + 1):
+        source = name if k == 0 else f"(SELECT tree, number // {merkle.FANOUT} AS number, sha256(string_agg(digest, '' ORDER BY number)) AS digest, any_value(size) AS size FROM {name}{k - 1} WHERE size > {merkle.FANOUT ** (k - 1)} GROUP BY tree, number // {merkle.FANOUT})"
+        sides = [around.format(f=merkle.FANOUT, rows=r) for r in ("UNBOUNDED PRECEDING AND 1 PRECEDING", "1 FOLLOWING AND UNBOUNDED FOLLOWING")]
+        made.append(f"{name}{k} AS (SELECT tree, number, digest, size, {sides[0]} AS before, {sides[1]} AS after FROM {source})")
+    return ",\n".join(made)
+
+
+def _climb(name: str, start: str, depth: int) -> str:
+    """Tables that carry `proof` and `folded` of the rows of `start` (tree, number, size) up to the top of their tree."""
+    made, below = [], start
+    for k in range(depth):
+        made.append(f"""{name}_at{k} AS (
+  SELECT s.* REPLACE (s.proof || coalesce(l.before || l.after, '') AS proof, CASE WHEN l.before IS NULL THEN s.folded ELSE sha256(l.before || s.folded || l.after) END AS folded)
+  FROM {below} s LEFT JOIN {name}{k} l ON s.tree = l.tree AND s.number // {merkle.FANOUT**k} = l.number AND s.size > {merkle.FANOUT**k})""")
+        below = f"{name}_at{k}"
+    return ",\n".join(made)
+
+
+def _tops(name: str, depth: int) -> str:
+    each = [f"SELECT tree, digest FROM {name}{k} WHERE size <= {merkle.FANOUT**k}" + (f" AND size > {merkle.FANOUT ** (k - 1)}" if k else "") for k in range(depth + 1)]
+    return " UNION ALL ".join(each)
+
+
+def _leaf(text: str) -> str:
+    said = {**{c: f"CAST({c} AS VARCHAR)" for c in merkle.LEAF_COLUMNS}, "text": text}
+    return "sha256(" + " || ".join(f"coalesce(strlen({said[c]}) || ':' || {said[c]}, '-')" for c in merkle.LEAF_COLUMNS) + ")"
+
+
+_LOWER = f"translate(text, '{spelling.CAPITALS}', '{spelling.SMALL}')"
+
+POINTER_JUMPING = f"""WITH {_CRC_TABLE},
+every AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf("text")} AS digest,
+    CASE WHEN doc_id IS NOT NULL AND {_crc("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN {_leaf(_LOWER)} ELSE {_leaf("text")} END AS folded FROM documents, crc_table),
+leaf AS (SELECT *, '' AS proof, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest) - 1 AS number, count(*) OVER (PARTITION BY tree) AS size FROM every),
+{_levels("leaf", LEAF_LEVELS)},
+{_climb("leaf", "leaf", LEAF_LEVELS)},
+subroots AS ({_tops("leaf", LEAF_LEVELS)}),
+lang AS (SELECT tree AS named, 0 AS tree, row_number() OVER (ORDER BY tree) - 1 AS number, digest, count(*) OVER () AS size FROM subroots),
+{_levels("lang", GROUP_LEVELS)},
+joined AS (
+  SELECT doc_id, l.digest AS leaf, g.digest AS subroot, g.tree, g.number, g.size, proof, folded FROM leaf_at{LEAF_LEVELS - 1} l JOIN lang g ON l.tree = g.named),
+{_climb("lang", "joined", GROUP_LEVELS)},
+root AS ({_tops("lang", GROUP_LEVELS)})
+SELECT doc_id, leaf, subroot, root.digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root.digest AS verified
+FROM lang_at{GROUP_LEVELS - 1}, root"""

@@ -150,4 +150,6 @@ SQL: dict[str, str] = {
     "op4_history_hash": oracles.HISTORY_HASH,
     "op7_sainte_lague": oracles.SAINTE_LAGUE,
     "op10_prefix_targets": oracles.PREFIX_TARGETS,
+    "op11_asymmetric_chunks": oracles.ASYMMETRIC_CHUNKS,
+    "op13_pointer_jumping": oracles.POINTER_JUMPING,
 }
