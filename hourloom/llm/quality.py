@@ -3,17 +3,21 @@
 Two generative models of hashed n-grams (words and pairs of words in N_BUCKETS buckets) are counted: the raw one over all documents,
 the target one over documents labelled good. A document's log weight is the sum, over its n-grams, of the log ratio of
 target and raw probability. Adding Gumbel noise (from a digest of the id, so reruns agree) and keeping the k largest sums
-draws k documents without replacement in proportion to their weights. k is the share of good labels times the number of documents.
+draws k documents without replacement in proportion to their weights. k follows from the scores of the labelled documents: the cut is
+put where the share of bad ones below it, less GOOD_COST times the share of good ones below it, is largest, and k is the number of all
+documents above the cut. Shares of either kind do not hang on how many of each were labelled. One in HELD_OUT of the good ones is left out of the
+target model, and only these tell where good documents score.
 
-Only the target model uses a sample: at most about LABELLED labelled documents, chosen by a hash of the id. Counts of the raw
-model, scores and the k-th largest score cover all documents.
+Only the target model and the cut use a sample: at most about LABELLED labelled documents, chosen by a hash of the id. Counts of the
+raw model, scores, k and the k-th largest score cover all documents.
 
 Defined cases: a null text is empty and has log weight 0; rows with the k-th largest score stay, all of them if tied; repeated rows
-have equal scores; without usable labels every document stays; null ids share one noise value. Other columns are kept.
+have equal scores; without labels of both kinds every document stays; null ids share one noise value. Other columns are kept.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -30,6 +34,8 @@ from hourloom.llm.shingles import WordHashes
 N_BUCKETS = 1 << 15
 LABELLED = 20_000
 SMOOTHING = 1.0
+GOOD_COST = 2.0
+HELD_OUT = 4
 SEED = 41
 #: Scores are ranked in steps of 1/SCALE.
 SCALE = 1 << 20
@@ -47,15 +53,13 @@ def ngram_buckets(text: str, hashes: WordHashes) -> np.ndarray:
     return (mix(np.concatenate([words, pairs])) & np.uint64(N_BUCKETS - 1)).astype(np.int64)
 
 
-def sampled_labels(labels: DataFrame, most: int = LABELLED) -> tuple[DataFrame, float | None]:
-    """(doc_id, good) of some `most` labelled ids, and the share of good ones among all labels (None without labels)."""
+def sampled_labels(labels: DataFrame, most: int = LABELLED) -> DataFrame:
+    """(doc_id, good, held) of some `most` labelled ids; held ones are not for the target model."""
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    seen = known.agg(F.count("*").alias("n"), F.avg(F.when(F.col("quality") >= 1, 1.0).otherwise(0.0)).alias("good")).first()
-    if not seen["n"]:
-        return known.select("doc_id", F.lit(True).alias("good")), None
-    part = min(1.0, most / seen["n"])
+    part = min(1.0, most / max(1, known.count()))
     chosen = known.filter(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)) < F.lit(int(part * (1 << 30))))
-    return chosen.select("doc_id", (F.col("quality") >= 1).alias("good")), seen["good"]
+    held = F.pmod(F.xxhash64(F.lit(SEED + 2), "doc_id"), F.lit(HELD_OUT)) == 0
+    return chosen.select("doc_id", (F.col("quality") >= 1).alias("good"), held.alias("held"))
 
 
 def count_models(docs: DataFrame, good_ids: DataFrame) -> np.ndarray:
@@ -146,17 +150,37 @@ def kth_largest(keys: DataFrame, k: int) -> int | None:
     return prefix - (1 << 63)
 
 
+def best_cut(good: list[int], bad: list[int]) -> float:
+    """Where to cut the keys of labelled documents: between the last that goes and the first that stays; -inf if none should go."""
+    keys = np.array([*good, *bad], float)
+    if not good or not bad:
+        return -math.inf
+    gains = np.r_[np.full(len(good), -GOOD_COST / len(good)), np.full(len(bad), 1 / len(bad))]
+    order = np.argsort(keys, kind="stable")
+    keys, below = keys[order], np.cumsum(gains[order])
+    last = np.r_[keys[1:] != keys[:-1], True]  # equal keys go together
+    below[~last] = -math.inf
+    at = int(np.argmax(below))
+    if below[at] <= 0:
+        return -math.inf
+    return (keys[at] + keys[at + 1]) / 2 if at + 1 < len(keys) else keys[at] + 1
+
+
 def score(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, str, str, Column]:
     """docs with a log weight and a score, the names of both, and the condition that the sample takes a row."""
     weight, total = fresh(docs, "log_weight", "score")
-    chosen, share = sampled_labels(labels)
-    counts = count_models(docs, chosen.filter("good"))
-    ratios = log_ratios(counts) if share is not None and counts[1].any() else np.zeros(N_BUCKETS)
+    chosen = cut(sampled_labels(labels))
+    counts = count_models(docs, chosen.filter("good AND NOT held"))
+    ratios = log_ratios(counts) if counts[1].any() else np.zeros(N_BUCKETS)
     scored = add_weights(docs, ratios, weight).withColumn(total, F.floor((F.col(weight) + gumbel("doc_id")) * SCALE) / SCALE)
-    if share is None or not counts[1].any():
+    if not counts[1].any():
         return scored, weight, total, F.lit(True)
-    keys = cut(scored.select((F.col(total) * SCALE).cast("long").alias("key")))
-    least = kth_largest(keys, round(share * keys.count()))
+    keys = cut(scored.select("doc_id", (F.col(total) * SCALE).cast("long").alias("key")))
+    told = chosen.filter("held OR NOT good")
+    labelled = keys.join(F.broadcast(told), "doc_id").groupBy("doc_id", "good").agg(F.max("key").alias("key"))  # LABELLED rows
+    known = labelled.select("good", "key").collect()
+    border = best_cut([r["key"] for r in known if r["good"]], [r["key"] for r in known if not r["good"]])
+    least = kth_largest(keys, keys.filter(F.col("key") >= F.lit(border)).count())
     return scored, weight, total, F.lit(True) if least is None else F.col(total) >= F.lit(least / SCALE)
 
 
