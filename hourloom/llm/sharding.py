@@ -22,16 +22,29 @@ OVERHEAD = 16
 TOLERANCE = 0.01
 
 
+#: Columns that a record's slot depends on.
+SLOT_KEY = ("doc_id", "size", "text_crc32", "copy")
+#: Rows of one key are numbered in so many parts.
+COPY_PARTS = 1024
+
+
+def record_columns() -> dict[str, Column]:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return {"size": (F.octet_length(text) + OVERHEAD).cast("long"), "text_crc32": F.crc32(text.cast("binary"))}
+
+
 def record_rows(docs: DataFrame) -> DataFrame:
     """doc_id, size, text_crc32, copy: one row per document without its text; copy numbers rows that are otherwise the same."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    narrow = docs.select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    same = narrow.groupBy("doc_id", "size", "text_crc32").count()
-    return same.select("doc_id", "size", "text_crc32", F.explode(F.sequence(F.lit(1), F.col("count"))).alias("copy"))
+    made = record_columns()
+    same = docs.select("doc_id", *[c.alias(n) for n, c in made.items()]).groupBy("doc_id", "size", "text_crc32").count()
+    # Many copies are first counted in chunks, so no row becomes one long list.
+    chunks = same.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("count") - 1) / COPY_PARTS))))
+    first = F.col("chunk") * COPY_PARTS
+    return chunks.select("doc_id", "size", "text_crc32", F.explode(F.sequence(first + 1, F.least(first + COPY_PARTS, "count"))).alias("copy"))
 
 
 def slot_of(*columns: str, n_slots: int = N_SLOTS) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(n_slots)).cast("int")
+    return F.pmod(F.xxhash64(*(columns or SLOT_KEY)), F.lit(n_slots)).cast("int")
 
 
 def slot_totals(spark: SparkSession, records: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
@@ -61,7 +74,8 @@ def first_map(totals: DataFrame, n_shards: int) -> DataFrame:
 
     def deal(done: Column, s: Column) -> Column:
         at = (F.array_position(done["loads"], F.array_min(done["loads"])) - 1).cast("int")
-        return F.struct(_put(done["loads"], at, s["bytes"]).alias("loads"), F.concat(done["shards"], F.array(at)).alias("shards"))
+        # One byte more for each slot deals empty slots evenly.
+        return F.struct(_put(done["loads"], at, s["bytes"] + 1).alias("loads"), F.concat(done["shards"], F.array(at)).alias("shards"))
 
     empty = F.array_repeat(F.lit(0).cast("long"), n_shards)
     start = F.struct(empty.alias("loads"), F.array().cast("array<int>").alias("shards"))
@@ -132,8 +146,29 @@ def place(records: DataFrame, totals: DataFrame, slot_map: DataFrame) -> DataFra
     return placed.withColumn("slot", (F.col("before") + F.col("inside") - 1).cast("long")).drop("before", "inside")
 
 
+def with_copies(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text and a struct) with size, text_crc32 and copy as in `record_rows`, each row a copy of its own. docs must read the same way twice.
+
+    Rows of one key are dealt to parts; a row's number is its place in the part after the rows of the parts before, so a
+    key of any size is numbered by many tasks.
+    """
+    key = ["doc_id", "size", "text_crc32"]
+    marked = docs.withColumns(record_columns()).withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(COPY_PARTS)))
+    counts = marked.groupBy(*key, "part").count()
+    earlier = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(F.struct(*key).alias("of"), F.col("part").alias("in_part"), F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(*key, "part").orderBy(F.lit(0)))
+    numbered = marked.withColumn("inside", inside)
+    joined = numbered.join(before.filter("before > 0"), F.struct(*key).eqNullSafe(F.col("of")) & (F.col("part") == F.col("in_part")), "left")
+    return joined.withColumn("copy", F.col("inside") + F.coalesce("before", F.lit(0))).drop("part", "inside", "of", "in_part", "before")
+
+
 def write_shards(docs: DataFrame, slot_map: DataFrame, path: str, n_slots: int = N_SLOTS, parts: int = 8) -> None:
-    """Writes whole documents under shard=<n>/, each shard in `parts` files; every column is kept."""
-    keyed = docs.withColumn("virtual_slot", slot_of("doc_id", "text", n_slots=n_slots))
-    placed = keyed.join(F.broadcast(slot_map.select("virtual_slot", "shard")), "virtual_slot")
-    placed.withColumn("part", F.pmod("virtual_slot", F.lit(parts))).repartition("shard", "part").drop("virtual_slot", "part").write.mode("overwrite").partitionBy("shard").parquet(path)
+    """Writes whole documents under shard=<n>/, each shard in `parts` files, by the slots that the map was made for. All columns are kept; none may be named shard."""
+    if "shard" in (c.lower() for c in docs.columns):
+        raise ValueError("the column shard is made here")
+    nested = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    keyed = with_copies(nested).withColumn("virtual_slot", slot_of(n_slots=n_slots))
+    placed = keyed.join(F.broadcast(slot_map.select("virtual_slot", "shard")), "virtual_slot")  # n_slots rows
+    dealt = placed.withColumn("part", F.pmod("virtual_slot", F.lit(parts))).repartition("shard", "part")
+    dealt.select("row.*", "shard").write.mode("overwrite").partitionBy("shard").parquet(path)
