@@ -25,7 +25,6 @@ said AS (
   FROM placed GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(everything) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM said"""
 
-_STEPS = " ".join(f"WHEN n_blocks % {s} <> 0 THEN {s}" for s in mixing.STEPS)
 _WEIGHTS = f"[{', '.join(map(str, mixing.WEIGHTS))}][(position - 1) % {len(mixing.WEIGHTS)} + 1]"
 
 SAINTE_LAGUE = rf"""WITH sized AS (
@@ -45,18 +44,28 @@ targets AS (
   FROM weighted),
 blocked AS (SELECT *, CAST(ceil(source_size / block) AS BIGINT) AS n_blocks FROM targets),
 plan AS (
-  SELECT *, least(CAST(floor(target / block + 0.5) AS BIGINT), {mixing.EPOCHS} * n_blocks) AS quota, CASE {_STEPS} END AS step,
-    CAST('0x' || substr(md5('{mixing.SEED}:source:' || coalesce(source, '')), 1, 8) AS BIGINT) AS shift FROM blocked),
+  SELECT *, least(CAST(floor(target / block + 0.5) AS BIGINT), {mixing.EPOCHS} * n_blocks) AS quota,
+    CASE WHEN n_blocks > 0 THEN CAST('0x' || substr(md5('{mixing.SEED}:source:' || coalesce(source, '')), 1, 8) AS BIGINT) % n_blocks END AS first_block FROM blocked),
 placed AS (
   SELECT sized.*, coalesce(CAST(sum(size) OVER (PARTITION BY source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS start
   FROM sized),
 joined AS (SELECT p.*, q.* EXCLUDE (source) FROM placed p JOIN plan q ON p.source IS NOT DISTINCT FROM q.source),
-each_block AS (SELECT *, unnest(range(start // block, (start + size - 1) // block + 1)) AS b FROM joined WHERE size > 0),
+runs AS (
+  SELECT n, unnest([{{'lo': 0, 'hi': greatest(first_block + quota % n_blocks - n_blocks, 0)}}, {{'lo': first_block, 'hi': least(first_block + quota % n_blocks, n_blocks)}}]) AS run
+  FROM joined WHERE size > 0),
 pieces AS (
-  SELECT n, sum(least((b + 1) * block, start + size) - greatest(b * block, start)) AS words FROM each_block
-  WHERE (b * step + shift) % n_blocks < quota % n_blocks GROUP BY n)
-SELECT doc_id, size, source_size, target, CAST(CASE WHEN size > 0 THEN quota // n_blocks * size + coalesce(words, 0) ELSE 0 END AS BIGINT) AS taken
-FROM joined LEFT JOIN pieces USING (n)"""
+  SELECT n, CAST(sum(least(run.hi * block, start + size) - greatest(run.lo * block, start)) AS BIGINT) AS words, min(greatest(run.lo * block, start)) AS first_word
+  FROM runs JOIN joined USING (n) WHERE least(run.hi * block, start + size) > greatest(run.lo * block, start) GROUP BY n),
+awards AS (
+  SELECT joined.*, words, CASE WHEN size > 0 AND quota >= n_blocks THEN ((start // block - first_block) % n_blocks + n_blocks) % n_blocks
+    WHEN words IS NOT NULL THEN quota // n_blocks * n_blocks + ((first_word // block - first_block) % n_blocks + n_blocks) % n_blocks END AS award
+  FROM joined LEFT JOIN pieces USING (n)),
+ends AS (
+  SELECT source, i, CASE WHEN i = {mixing.SHARDS} THEN quota ELSE least(floor(i * target / (block * {mixing.SHARDS}) + 0.5), quota) END AS filled
+  FROM plan, (SELECT unnest(range(1, {mixing.SHARDS + 1})) AS i))
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN size > 0 THEN quota // n_blocks * size + coalesce(words, 0) ELSE 0 END AS BIGINT) AS taken,
+  CASE WHEN award IS NOT NULL THEN CAST((SELECT count(*) FROM ends e WHERE e.source IS NOT DISTINCT FROM a.source AND filled <= award) AS INTEGER) END AS shard
+FROM awards a"""
 
 
 # CRC-32 by bytes: a table of 256 entries made by its rule, and one look-up for each byte of a string's hex.

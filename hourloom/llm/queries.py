@@ -40,7 +40,7 @@ N_SHARDS = 40
 def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes by way of 4,096 virtual slots."""
     rows = sharding.record_rows(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    records = cut(rows.withColumn("virtual_slot", sharding.slot_of("doc_id", "size", "text_crc32", "copy")))
+    records = cut(rows.withColumn("virtual_slot", sharding.slot_of()))
     totals = cut(sharding.slot_totals(spark, records))
     slot_map = sharding.save_map(sharding.first_map(totals, N_SHARDS), f"{scratch_folder(spark, 'slot-map')}")
     placed = sharding.place(records, totals, slot_map)
@@ -84,7 +84,7 @@ def op6_packed_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mix of all sources takes."""
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "shard")
 
 
 def op8_bayes_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,7 +145,7 @@ def test_secrets_of_nothing_and_clashing_columns(spark, none, docs):
 def test_sharding_gives_every_row_a_place(spark, docs, rows, none, tmp_path):
     n_shards = 4
     for frame, expected in ((docs, rows), (none, [])):
-        records = sharding.record_rows(frame).withColumn("virtual_slot", sharding.slot_of("doc_id", "size", "text_crc32", "copy", n_slots=64)).cache()
+        records = sharding.record_rows(frame).withColumn("virtual_slot", sharding.slot_of(n_slots=64)).cache()
         totals = sharding.slot_totals(spark, records, 64)
         made = sharding.save_map(sharding.first_map(totals, n_shards), str(tmp_path / f"map{len(expected)}"))
         assert made.count() == 64 and made.select("shard").distinct().count() <= n_shards
@@ -183,11 +183,33 @@ def test_shard_map_versions(spark, tmp_path):
     assert sharding.load_map(spark, path).first()["version"] == 2
 
 
-def test_written_shards_hold_all_rows(spark, docs, tmp_path):
-    totals = sharding.slot_totals(spark, docs.select(sharding.slot_of("doc_id", "text").alias("virtual_slot"), F.lit(1).cast("long").alias("size")))
-    sharding.write_shards(docs, sharding.first_map(totals, 3), str(tmp_path / "out"))
-    back = spark.read.parquet(str(tmp_path / "out")).select(*docs.columns)
-    assert sorted(map(str, back.collect())) == sorted(map(str, docs.collect()))
+def test_written_shards_are_the_reported_ones(spark, docs, tmp_path):
+    """Files read back equal the placed records row by row, also with null and repeated ids and hundreds of equal rows."""
+    many = spark.createDataFrame([(7, f"row {i % 3}", None, "s", i) for i in range(3000)] + [(None, "x", None, None, i) for i in range(500)], DOCS)
+    clash = docs.unionByName(many).withColumn("size", F.lit("own")).withColumn("part", F.lit(1)).withColumn("copy", F.lit(None).cast("int"))
+    clash.repartition(7).write.parquet(str(tmp_path / "in"))
+    stored = spark.read.parquet(str(tmp_path / "in"))
+    records = sharding.record_rows(stored).withColumn("virtual_slot", sharding.slot_of(n_slots=256)).cache()
+    totals = sharding.slot_totals(spark, records, 256)
+    made = sharding.save_map(sharding.first_map(totals, 5), str(tmp_path / "map"))
+    sharding.write_shards(stored, made, str(tmp_path / "out"), 256, 2)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(str, back.select(*stored.columns).collect())) == sorted(map(str, stored.collect()))
+    size = (F.octet_length(F.coalesce("text", F.lit(""))) + 16).cast("long")
+    written = back.select("doc_id", size.alias("size"), "shard").collect()
+    placed = sharding.place(records, totals, made).select("doc_id", "size", "shard").collect()
+    assert Counter(map(tuple, written)) == Counter(map(tuple, placed))
+    loads = Counter()
+    for r in written:
+        loads[r["shard"]] += r["size"]
+    small = [v for v in loads.values() if v < 100_000]  # two texts are longer than a shard's share
+    assert len(loads) == 5 and max(small) - min(small) <= 0.01 * max(small)
+
+
+def test_empty_slots_are_dealt_evenly(spark):
+    totals = spark.createDataFrame([(i, 500 if i < 4 else 0, 1) for i in range(64)], "virtual_slot int, bytes long, rows long")
+    dealt = Counter(r["shard"] for r in sharding.first_map(totals, 4).collect())
+    assert set(dealt.values()) == {16}
 
 
 # --- exact dedup
@@ -341,6 +363,28 @@ def test_mixing_meets_its_targets(docs, rows, none):
     assert mixing.mixed_documents(none).count() == 0
 
 
+def test_small_sources_do_not_cut_others(spark):
+    """With sources of 0, 1 and 40 words, every row is a whole document or a run at the end of a source's run."""
+    rng = random.Random(12)
+    rows = [(i, words(rng, rng.randint(5, 30)), "en", "s0" if i < 200 else "s1", 0) for i in range(500)]
+    rows += [(900, words(rng, 40), "en", "s2", 0), (901, "one", "en", "s3", 0), (902, "", "en", "s4", 0), (903, None, "en", "s4", 0)]
+    text = {r[0]: r[1] for r in rows}
+    frame = spark.createDataFrame(rows, DOCS)
+    got = mixing.mixed_documents(frame, 4, "shard").collect()
+    assert sum(r["text"] != text[r["doc_id"]] for r in got) <= 2 * 4 and all(r["text"].count("\n") <= 1 for r in got)
+    # Every shard gets what its quotas say, but for the documents at its borders.
+    plan = mixing.source_plan(mixing.sized_rows(frame).groupBy("source").agg(F.sum("size").alias("source_size"))).cache()
+    block, want, held = plan.first()["block"], Counter(), Counter()
+    for r in mixing.shard_quotas(plan, 4).collect():
+        want[r["source"], r["shard"]] = r["blocks"] * block
+    for r in got:
+        held[r["source"], r["shard"]] += len(r["text"].split())
+    assert all(abs(held[k] - want[k]) <= 40 for k in want.keys() | held.keys())
+    first = {r["doc_id"]: r["shard"] for r in mixing.mix(frame, n_shards=4).collect()}
+    assert all(first[r["doc_id"]] in {x["shard"] for x in got if x["doc_id"] == r["doc_id"]} for r in got)
+    assert {i for i, s in first.items() if s is None} == set(text) - {r["doc_id"] for r in got}
+
+
 def test_quotas_are_highest_quotients(spark):
     sizes = spark.createDataFrame([("a", 4000), ("b", 900), ("c", 2500), ("d", 1), (None, 128 * 64)], "source string, source_size long")
     plan = mixing.source_plan(sizes).cache()

@@ -41,7 +41,11 @@ def make_rows(n=260):
 
 
 def brute_quality(spark, rows, labels):
-    good = {i for i, q in labels if q == 1}
+    frame = spark.createDataFrame([(i, q, 0) for i, q in labels], "doc_id long, quality int, toxic int")
+    chosen = quality.sampled_labels(frame).collect()
+    assert {(r["doc_id"], r["good"]) for r in chosen} == {(i, q == 1) for i, q in labels}
+    good = {r["doc_id"] for r in chosen if r["good"] and not r["held"]}
+    known, best = {r["doc_id"]: r["good"] for r in chosen if r["held"] or not r["good"]}, (0.0, -math.inf)
     hashes = WordHashes()
     raw, target = Counter(), Counter()
     grams = [Counter(quality.ngram_buckets(r[1] or "", hashes).tolist()) for r in rows]
@@ -54,9 +58,14 @@ def brute_quality(spark, rows, labels):
     ids = spark.createDataFrame([(r[0],) for r in rows], "doc_id long").distinct()
     noise = {r["doc_id"]: r["g"] for r in ids.select("doc_id", quality.gumbel("doc_id").alias("g")).collect()}
     scores = [sum(ratio[b] * c for b, c in g.items()) + noise[r[0]] for r, g in zip(rows, grams)]
-    k = round(len(good) / len(labels) * len(rows))
-    least = sorted(scores, reverse=True)[k - 1] if k < len(rows) else -math.inf
-    return [r for r, s in zip(rows, scores) if s >= least - 1e-5]
+    held = [(s, known[r[0]]) for r, s in zip(rows, scores) if r[0] in known]
+    for value in sorted({s for s, _ in held}):
+        gone = [g for s, g in held if s <= value]
+        gain = (len(gone) - sum(gone)) / sum(not g for _, g in held) - quality.GOOD_COST * sum(gone) / sum(g for _, g in held)
+        if gain > best[0] + 1e-9:
+            above = [s for s, _ in held if s > value]
+            best = (gain, (value + min(above)) / 2 if above else value + 1)
+    return [r for r, s in zip(rows, scores) if s >= best[1]]
 
 
 def brute_exact(rows):
@@ -108,8 +117,7 @@ def brute_mix(rows):
         quota = min(math.floor(target[s] / block + 0.5), 3 * blocks)
         if not blocks:
             continue
-        step = next(x for x in mixing.STEPS if blocks % x)
-        shift = int(hashlib.md5(f"{mixing.SEED}:source:{s or ''}".encode()).hexdigest()[:8], 16)
+        shift = int(hashlib.md5(f"{mixing.SEED}:source:{s or ''}".encode()).hexdigest()[:8], 16) % blocks
         at = 0
         for _, _, n_words, n in sorted(by_source[s]):
             held = word.findall(rows[n][1] or "")
@@ -117,7 +125,7 @@ def brute_mix(rows):
                 pieces, last = [], None
                 for i in range(n_words):
                     b = (at + i) // block
-                    if k * blocks + (b * step + shift) % blocks < quota:
+                    if k * blocks + (b - shift) % blocks < quota:
                         if last != i - 1 or not pieces:
                             pieces.append("")
                         pieces[-1] += held[i]
@@ -151,7 +159,7 @@ def test_stages_one_by_one_and_as_a_whole(spark, sf_dir):
     kept = brute_quality(spark, rows, labels)
     got = stages[0](spark, docs, path)
     assert got.columns == COLUMNS and shown(got.collect()) == shown(kept)
-    assert sum(r[0] is not None and r[0] < 260 and r[0] % 13 == 0 for r in kept) <= 8 < len(kept) < len(rows)
+    assert sum(r[0] is not None and r[0] < 260 and r[0] % 13 == 0 for r in kept) <= 3 < len(kept) < len(rows)
 
     kept = brute_exact(kept)
     frame = spark.createDataFrame(got.collect(), DOCS)
@@ -200,3 +208,21 @@ def test_op7_takes_what_the_plain_version_takes(spark, sf_dir):
     for r in mixing.mix(spark.createDataFrame(rows, DOCS).select("doc_id", "source", "text")).collect():
         got[(r["doc_id"], r["source"])] += r["taken"]
     assert {k: v for k, v in got.items() if v} == dict(want)
+
+
+@pytest.mark.parametrize("balanced", [False, True])
+def test_the_cut_does_not_hang_on_the_mix_of_labels(spark, balanced):
+    """Natural labels, and labels of which half are bad: nearly all good documents stay and most bad ones go."""
+    folder = "/root/testdata/sf0.01"
+    known = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    bad, good = ([i for i, q in known.items() if q == kind] for kind in (0, 1))
+    told = bad + (random.Random(1).sample(good, len(bad)) if balanced else good)
+    frame = spark.createDataFrame([(i, known[i], 0) for i in told], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"] for r in quality.resample(spark.read.parquet(f"{folder}/documents.parquet"), frame).collect()}
+    assert sum(i in kept for i in good) >= 0.95 * len(good) and sum(i in kept for i in bad) <= 0.2 * len(bad)
+
+
+def test_cut_of_labelled_scores():
+    assert quality.best_cut([5, 6, 7], [1, 2]) == 3.5
+    assert quality.best_cut([5, 6], []) == quality.best_cut([], [1]) == quality.best_cut([1, 2], [5, 6]) == -math.inf
+    assert quality.best_cut([3, 3], [3, 1]) == 2 and quality.best_cut([2] + [9] * 9, [1, 3]) == 6
