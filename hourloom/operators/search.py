@@ -1,21 +1,25 @@
-"""Search over parameter sets by rolling-origin validation."""
+"""Search over parameter and lag sets by rolling-origin validation, giving up the worse half from fold to fold."""
 
 from __future__ import annotations
 
 import math
 import random
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourloom.functions.params import LAG_OPTIONS
+from hourloom.functions.params import LAG_OPTIONS, lag_average_name, lag_name
 from hourloom.functions.timefns import hours
 from hourloom.operators.cleaning import cap_for_training
 from hourloom.operators.evaluation import fold_scores, regression_metrics
 from hourloom.operators.folds import add_retrain_group, add_step, fold_cut, rolling_test_rows, train_rows
 from hourloom.operators.forecast import recursive_forecast
-from hourloom.operators.training import fit_with_early_stopping
+from hourloom.operators.lags import add_station_lags
+from hourloom.operators.pool import in_pool
+from hourloom.operators.training import StagedModel, fit_with_early_stopping
 from hourloom.session import store
 from hourloom.sources.merge import by_content, latest_per_key
 
@@ -42,12 +46,34 @@ def sample_lag_sets(n: int, seed: int = 123, offered: Sequence[tuple[int, ...]]
     return [offered[0], *others][:n]
 
 
+@dataclass(frozen=True)
+class Candidate:
+    """A row of the search table: a parameter set with a set of own lags, tried at a stage."""
+
+    number: int
+    params: dict
+    lags: tuple[int, ...]
+    stage: int = 1
+
+
+def candidate_table(parameter_sets: Sequence[dict], lag_sets: Sequence[Sequence[int]], stage: int = 1) -> list[Candidate]:
+    """Every parameter set with every lag set."""
+    pairs = [(params, tuple(lags)) for params in parameter_sets for lags in lag_sets]
+    return [Candidate(i, params, lags, stage) for i, (params, lags) in enumerate(pairs)]
+
+
+def survivors(scores: Mapping[int, Sequence[float]]) -> list[int]:
+    """Candidates whose mean error so far is not above the median, lower half rounded up; equal ones by number."""
+    ranked = sorted(scores, key=lambda n: (round(sum(scores[n]) / len(scores[n]), 9) if scores[n] else math.inf, n))
+    return sorted(ranked[: (len(ranked) + 1) // 2])
+
+
 def search_parameters(
     df: DataFrame,
     target: str,
     features: Sequence[str],
     categorical: Sequence[str],
-    parameter_sets: Sequence[dict],
+    candidates: Sequence[Candidate],
     last: Column,
     n_folds: int,
     test_hours: int,
@@ -55,7 +81,6 @@ def search_parameters(
     retrain_every: int,
     train_years: float,
     validation_hours: int,
-    lags: Sequence[int],
     lags_avg: Sequence[int],
     cap: float | None = None,
     patience: int = 20,
@@ -63,39 +88,58 @@ def search_parameters(
     station: str = "station_id",
     time: str = "date_time",
     average_name: str | None = None,
+    first: StagedModel | None = None,
+    prune: bool = True,
+    workers: int = 4,
 ) -> DataFrame:
-    """Score table, one row per parameter set: mean fold RMSE and the rounds to use.
+    """Score table, one row per candidate: folds it was scored on, mean RMSE over them and the rounds to use.
 
-    A model is fitted per parameter set and retraining group (a handful, each a distributed fit); all folds of a group
-    are then forecast in one job. A group's training window is prepared once for all parameter sets.
+    Folds are the rungs, oldest first, a retraining group at a time. After a group the candidates above the median of the mean errors so far
+    give up: they are not fitted on later groups, so a search over many costs little more than the last ones' folds. Without
+    `prune` all go to the end. Test rows and a group's training window are written once for all candidates, with the lags of all of
+    them. `features` are those beside the own lags and their average; stage 2 learns what `first` leaves over. The fits of
+    a group run a few at a time.
     """
     spark = df.sparkSession
-    df = latest_per_key(df, [station, time], by_content(df, [station, time]))
-    tests = rolling_test_rows(df, time, n_folds, test_hours, step_hours, last=last)
+    unique = latest_per_key(df, [station, time], by_content(df, [station, time]))
+    every = sorted({k for c in candidates for k in c.lags})
+    lagged = add_station_lags(unique, target, every, lags_avg, station, time, average_name)
+    average = [average_name or lag_average_name(lags_avg)] if lags_avg else []
+    tests = rolling_test_rows(lagged, time, n_folds, test_hours, step_hours, last=last)
     tests = store(add_retrain_group(add_step(tests, time), n_folds, retrain_every), "test-rows")
-    groups = range((n_folds - 1) // retrain_every + 1)
-    parts = []
-    for group in groups:
+    scores: dict[int, list[float]] = {c.number: [] for c in candidates}
+    results: list[tuple[int, int, float, int]] = []
+    left = list(candidates)
+    groups = (n_folds - 1) // retrain_every + 1
+    for group in range(groups):
         cut = fold_cut(last, F.lit(n_folds - group * retrain_every), test_hours, step_hours)
-        history = train_rows(df, time, cut, train_years)
+        history = train_rows(lagged, time, cut, train_years)
         if cap is not None:
             history = cap_for_training(history, target, cap)
-        history = store(history, "training-window")  # the same for all parameter sets
+        history = store(history, "training-window")
         held_from = cut - hours(validation_hours)
-        for number, params in enumerate(parameter_sets):
+        train, held = history.where(F.col(time) < held_from), history.where(F.col(time) >= held_from)
+        group_tests = tests.where(F.col("train_group") == group)
+
+        def score(c: Candidate) -> list[tuple[int, int, float, int]]:
+            own = [*features, *(lag_name(target, k) for k in c.lags), *average]
             model, rounds = fit_with_early_stopping(
-                history.where(F.col(time) < held_from), history.where(F.col(time) >= held_from),
-                target, features, categorical, params, patience, min_delta,
+                train, held, target, own, categorical, c.params, patience, min_delta, first if c.stage == 2 else None
             )
             forecast = recursive_forecast(
-                tests.where(F.col("train_group") == group), target, lags, lags_avg, model.scorer(spark),
-                ["fold_id", station], time, keep=[target], average_name=average_name,
+                group_tests, target, c.lags, lags_avg, model.scorer(spark), ["fold_id", station], time, keep=[target], average_name=average_name,
             )
-            scored = regression_metrics(forecast, target, "pred", ["fold_id"])
-            parts.append(
-                scored.select(F.lit(number).alias("parameter_set"), "fold_id", "rmse", F.lit(rounds).alias("best_iteration"))
-            )
-    table = parts[0]
-    for part in parts[1:]:
-        table = table.unionByName(part)
-    return fold_scores(table, ["parameter_set"])
+            scored = regression_metrics(forecast, target, "pred", ["fold_id"]).collect()  # one row per fold
+            return [(c.number, r["fold_id"], r["rmse"], rounds) for r in sorted(scored, key=lambda r: -r["fold_id"])]
+
+        for rows in in_pool(spark, [partial(score, c) for c in left], workers):
+            results += rows
+            for number, _, rmse, _ in rows:
+                scores[number].append(rmse)
+        if prune and group + 1 < groups:
+            kept = set(survivors({c.number: scores[c.number] for c in left}))
+            left = [c for c in left if c.number in kept]
+    listed = spark.createDataFrame(results, "candidate INT, fold_id INT, rmse DOUBLE, best_iteration INT")
+    described = spark.createDataFrame([(c.number, c.stage, list(c.lags)) for c in candidates], "candidate INT, stage INT, lags ARRAY<INT>")
+    counted = listed.groupBy("candidate").agg(F.count(F.lit(1)).cast("int").alias("n_folds"))
+    return described.join(counted, "candidate").join(fold_scores(listed, ["candidate"]), "candidate")

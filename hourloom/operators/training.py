@@ -9,22 +9,28 @@ import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourloom.operators.scoring import StagedScorer, TreeScorer, combine_stages
-from hourloom.session import scratch_path
+from hourloom.operators.stumps import StumpModel, fit_stumps, mean_label, next_split
+from hourloom.session import scratch_path, store
+from hourloom.sources.merge import exists
 
 MAX_TREE_NODES = 20_000_000  # bound of what a scorer may ship to every executor
 
 
+#: A fitted stage: a pipeline that ends in boosted trees, or boosted one-level trees.
+Stage = PipelineModel | StumpModel
+
+
 @dataclass
 class StagedModel:
-    """One or two fitted pipelines with their feature lists."""
+    """One or two fitted stages with their feature lists."""
 
-    first: PipelineModel
-    second: PipelineModel | None
+    first: Stage
+    second: Stage | None
     features_1: list[str]
     features_2: list[str] | None
     categorical: list[str]
@@ -40,25 +46,45 @@ class StagedModel:
         return out.withColumn("pred", combine_stages(F.col("pred_stage_1"), F.col("pred_stage_2")))
 
     def save(self, path: str) -> None:
-        self.first.write().overwrite().save(f"{path}/stage_1")
-        if self.second is not None:
-            self.second.write().overwrite().save(f"{path}/stage_2")
+        for number, stage in ((1, self.first), (2, self.second)):
+            if isinstance(stage, StumpModel):
+                stage.save(SparkSession.active(), f"{path}/stumps_{number}")
+            elif stage is not None:
+                stage.write().overwrite().save(f"{path}/stage_{number}")
 
     @staticmethod
     def load(path: str, features_1: Sequence[str], features_2: Sequence[str] | None, categorical: Sequence[str]) -> StagedModel:
         return StagedModel(
-            PipelineModel.load(f"{path}/stage_1"),
-            None if features_2 is None else PipelineModel.load(f"{path}/stage_2"),
+            _load_stage(path, 1),
+            None if features_2 is None else _load_stage(path, 2),
             list(features_1),
             None if features_2 is None else list(features_2),
             list(categorical),
         )
 
     def scorer(self, spark: SparkSession) -> StagedScorer:
-        first = tree_scorer(spark, self.first, self.features_1, self.categorical)
+        first = _stage_scorer(spark, self.first, self.features_1, self.categorical)
         if self.second is None:
             return StagedScorer(first)
-        return StagedScorer(first, tree_scorer(spark, self.second, self.features_2, self.categorical))
+        return StagedScorer(first, _stage_scorer(spark, self.second, self.features_2, self.categorical))
+
+
+def _load_stage(path: str, number: int) -> Stage:
+    spark = SparkSession.active()
+    if exists(spark, f"{path}/stumps_{number}"):
+        return StumpModel.load(spark, f"{path}/stumps_{number}")
+    return PipelineModel.load(f"{path}/stage_{number}")
+
+
+def _stage_scorer(spark: SparkSession, stage: Stage, features: Sequence[str], categorical: Sequence[str]) -> StumpModel | TreeScorer:
+    return stage if isinstance(stage, StumpModel) else tree_scorer(spark, stage, features, categorical)
+
+
+def fit_stage(data: DataFrame, label: str, features: Sequence[str], categorical: Sequence[str], params: dict) -> Stage:
+    """Boosted trees, or one-level trees if the parameters name `cuts`."""
+    if "cuts" in params:
+        return fit_stumps(data, label, features, **params)
+    return stage_pipeline(features, categorical, label, params).fit(data)
 
 
 def _quoted(names: Sequence[str]) -> list:
@@ -105,19 +131,19 @@ def fit_staged(
     categorical: Sequence[str] = (),
     params_1: dict | None = None,
     params_2: dict | None = None,
-    first: PipelineModel | None = None,
+    first: Stage | None = None,
     partitions: int | None = None,
 ) -> StagedModel:
     """Fit stage 1 (unless given) on the target and stage 2, if it has features, on target - prediction of stage 1."""
     data = training_set(df, target, [*features_1, *(features_2 or [])], partitions)
     try:
         if first is None:
-            first = stage_pipeline(features_1, categorical, target, params_1 or {}).fit(data)
+            first = fit_stage(data, target, features_1, categorical, params_1 or {})
         second = None
         if features_2 is not None:
             left_over = first.transform(data).withColumn("__residual", F.col(target) - F.col("__prediction"))
             left_over = left_over.select("__residual", *_quoted(features_2))
-            second = stage_pipeline(features_2, categorical, "__residual", params_2 or {}).fit(left_over)
+            second = fit_stage(left_over, "__residual", features_2, categorical, params_2 or {})
     finally:
         data.unpersist()
     return StagedModel(
@@ -125,15 +151,112 @@ def fit_staged(
     )
 
 
-def best_iteration(errors: Sequence[float], patience: int, min_delta: float) -> int:
-    """Number of rounds to keep: stop once `patience` rounds in a row have not improved the best error by min_delta."""
+def _best_and_stop(errors: Sequence[float], patience: int, min_delta: float) -> tuple[int, int]:
     best, best_round = float("inf"), 0
     for i, error in enumerate(errors, start=1):
         if error < best - min_delta:
             best, best_round = error, i
         elif i - best_round >= patience:
-            break
-    return max(best_round, 1)
+            return best_round, i
+    return best_round, 0
+
+
+def best_iteration(errors: Sequence[float], patience: int, min_delta: float) -> int:
+    """The best round before `patience` rounds in a row have not improved the best error by min_delta."""
+    return max(_best_and_stop(errors, patience, min_delta)[0], 1)
+
+
+def stopped_at(errors: Sequence[float], patience: int, min_delta: float) -> int:
+    """The round at which boosting stops, 0 if it does not."""
+    return _best_and_stop(errors, patience, min_delta)[1]
+
+
+class _StumpRounds:
+    """Blocks of one-level trees."""
+
+    def __init__(self, train: DataFrame, label: str, features: Sequence[str], params: dict):
+        self.train, self.label = train, F.col(f"`{label}`")
+        self.params = {"eta": 0.3, "min_rows": 1, **{k: v for k, v in params.items() if k not in ("cuts", "rounds")}}
+        self.cuts = {f: params["cuts"][f] for f in features}
+        self.most = params.get("rounds", 1)
+        self.model = StumpModel(mean_label(train, self.label), (), tuple(features))
+
+    def grow(self, rounds: int) -> int:
+        before = len(self.model.splits)
+        for _ in range(rounds):
+            self.model = next_split(self.train, self.label, self.model, self.cuts, self.params["eta"], self.params["min_rows"])
+        return len(self.model.splits) - before
+
+    def errors(self, held: DataFrame, first: int) -> list[float]:
+        """RMSE on held-out rows after each round from `first` on, in one pass."""
+        n = len(self.model.splits)
+        error = [self.label - self.model.after(k).column() for k in range(first, n + 1)]
+        found = held.agg(*[F.sqrt(F.avg(e * e)).alias(str(i)) for i, e in enumerate(error)]).first()
+        return [e if e is not None else float("inf") for e in found]
+
+    def finish(self, rounds: int) -> Stage:
+        return self.model.after(rounds)
+
+
+class _TreeRounds:
+    """Blocks of boosted trees. A round is a regression tree on twice what is left over, as least squares boosting takes it.
+
+    Rows are prepared once. What is left over is kept as a column of the stored rows and brought up to date after each block, so neither
+    plans nor the work of a round grow with the number of rounds before it.
+    """
+
+    def __init__(self, train: DataFrame, label: str, features: Sequence[str], categorical: Sequence[str], params: dict):
+        settings = {"maxIter": 20, "stepSize": 0.1, **params}
+        self.most, self.step = settings.pop("maxIter"), settings.pop("stepSize")
+        whole = stage_pipeline(features, categorical, label, params)
+        self.boosting = whole.getStages()[-1]
+        self.preparation = Pipeline(stages=whole.getStages()[:-1]).fit(train)
+        self.label, self.trees, self.weights = label, [], []
+        self.settings = {"maxBins": 64, "seed": 7, "featureSubsetStrategy": "all", **settings}
+        self.train = store(self._prepared(train).withColumn("__fitted", F.lit(0.0)), "boosting-rows")
+
+    def _prepared(self, rows: DataFrame) -> DataFrame:
+        return self.preparation.transform(rows).select("__vector", F.col(f"`{self.label}`").cast("double").alias("__label"))
+
+    def grow(self, rounds: int) -> int:
+        for _ in range(rounds):
+            left = F.col("__label") - F.col("__fitted")
+            first = not self.trees
+            rows = self.train.select("__vector", "__label", "__fitted", (left if first else 2.0 * left).alias("__left"))
+            # A forest of one tree samples rows and columns as boosting does.
+            learner = RandomForestRegressor(featuresCol="__vector", labelCol="__left", numTrees=1, bootstrap=False)
+            tree = learner.fit(rows, {getattr(learner, k): v for k, v in {**self.settings, "seed": self.settings["seed"] + len(self.trees)}.items()}).trees[0]
+            tree.setFeaturesCol("__vector").setPredictionCol("__tree")
+            self.trees.append(tree)
+            self.weights.append(1.0 if first else self.step)
+            self.train = tree.transform(self.train).withColumn("__fitted", F.col("__fitted") + self.weights[-1] * F.col("__tree")).drop("__tree")
+        self.train = store(self.train, "boosting-rows")
+        return rounds
+
+    def errors(self, held: DataFrame, first: int) -> list[float]:
+        """RMSE on held-out rows after each round from `first` on. Rows held out are scored by the new trees only."""
+        if not hasattr(self, "held"):
+            self.held = store(self._prepared(held).withColumn("__fitted", F.lit(0.0)), "held-out-rows")
+        scored, columns = self.held, []
+        for i in range(max(first, 1) - 1, len(self.trees)):
+            scored = self.trees[i].transform(scored).withColumn("__fitted", F.col("__fitted") + self.weights[i] * F.col("__tree")).drop("__tree")
+            scored = scored.withColumn(f"__e{i}", F.pow(F.col("__label") - F.col("__fitted"), 2))
+            columns.append(f"__e{i}")
+        stored = store(scored, "held-out-rows")
+        found = stored.agg(*[F.sqrt(F.avg(c)).alias(c) for c in columns]).first()
+        self.held = stored.drop(*columns)
+        return [e if e is not None else float("inf") for e in found]
+
+    def finish(self, rounds: int) -> Stage:
+        """One boosted model of the trees of all blocks, in the pipeline that prepares its input."""
+        jvm, gateway = self.train.sparkSession.sparkContext._jvm, self.train.sparkSession.sparkContext._gateway
+        package = jvm.org.apache.spark.ml.regression
+        trees, weights = gateway.new_array(package.DecisionTreeRegressionModel, rounds), gateway.new_array(gateway.jvm.double, rounds)
+        for i in range(rounds):
+            trees[i], weights[i] = self.trees[i]._java_obj, float(self.weights[i])
+        boosted = GBTRegressionModel(package.GBTRegressionModel(self.boosting.uid, trees, weights))
+        boosted.setFeaturesCol("__vector").setPredictionCol("__prediction")
+        return PipelineModel([*self.preparation.stages, boosted])
 
 
 def fit_with_early_stopping(
@@ -146,9 +269,13 @@ def fit_with_early_stopping(
     patience: int = 20,
     min_delta: float = 0.05,
     first: StagedModel | None = None,
+    block: int = 5,
 ) -> tuple[StagedModel, int]:
-    """Fit one stage with a cap on rounds and report the best number of rounds on held-out rows.
+    """Boost one stage until held-out rows stop improving; the model up to there, and its best number of rounds.
 
+    Rounds are fitted in blocks, each on what the blocks before leave over. After a block the errors of its rounds on the held-out
+    rows are known, and once `patience` rounds in a row have not improved the best error by min_delta no further block is fitted: at
+    most `block` rounds more than needed to see it. The model holds the rounds up to the stop, as those after the best one belong to it.
     With `first` given, the stage is fitted on what that model leaves over, and the result holds both stages.
     """
     label = target
@@ -158,19 +285,22 @@ def fit_with_early_stopping(
             first.transform(d).withColumn(label, F.col(target) - F.col("pred_stage_1")) for d in (train, validation)
         )
     data = training_set(train, label, features)
+    held = validation.where(F.col(f"`{label}`").isNotNull())
     try:
-        fitted = stage_pipeline(features, categorical, label, params).fit(data)
+        rounds = _StumpRounds(data, label, features, params) if "cuts" in params else _TreeRounds(data, label, features, categorical, params)
+        errors, stop = [], 0
+        while not stop and len(errors) < rounds.most:
+            if not rounds.grow(min(block, rounds.most - len(errors))):
+                break
+            errors += rounds.errors(held, len(errors) + 1)
+            stop = stopped_at(errors, patience, min_delta)
+        fitted = rounds.finish(stop or len(errors))
     finally:
         data.unpersist()
-    prepared = validation.where(F.col(label).isNotNull())
-    for stage in fitted.stages[:-1]:
-        prepared = stage.transform(prepared)
-    boosted = fitted.stages[-1]
-    errors = [e**0.5 for e in boosted.evaluateEachIteration(prepared, "squared")]
-    rounds = best_iteration(errors, patience, min_delta)
+    best = best_iteration(errors, patience, min_delta)
     if first is None:
-        return StagedModel(fitted, None, list(features), None, list(categorical)), rounds
-    return StagedModel(first.first, fitted, first.features_1, list(features), list(categorical)), rounds
+        return StagedModel(fitted, None, list(features), None, list(categorical)), best
+    return StagedModel(first.first, fitted, first.features_1, list(features), list(categorical)), best
 
 
 def tree_scorer(spark: SparkSession, model: PipelineModel, features: Sequence[str], categorical: Sequence[str]) -> TreeScorer:

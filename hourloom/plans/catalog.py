@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hourloom.plans import queries_forecast, queries_series
+from hourloom.plans import queries_forecast, queries_models, queries_series
 
 Query = Callable[[SparkSession, str], DataFrame]
-REGISTERED = {**queries_series.QUERIES, **queries_forecast.QUERIES}
+REGISTERED = {**queries_series.QUERIES, **queries_forecast.QUERIES, **queries_models.QUERIES}
 
 
 def query_functions() -> dict[str, Query]:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import partial
+from threading import Lock
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hourloom.operators.cleaning import cap_for_training, cap_outliers, drop_empty_series, drop_missing_target, hours_between
@@ -12,13 +14,14 @@ from hourloom.operators.evaluation import regression_metrics
 from hourloom.operators.folds import add_retrain_group, add_series_step, add_step, fold_cut, last_time, leave_one_out, rolling_test_rows, train_rows
 from hourloom.operators.forecast import recursive_forecast
 from hourloom.operators.lags import add_station_lags
+from hourloom.operators.pool import in_pool
 from hourloom.operators.scenarios import PERCENTAGES, traffic_scenarios
 from hourloom.operators.training import StagedModel, fit_staged
 from hourloom.plans.features import assemble_features
 from hourloom.session import scratch_path, store
-from hourloom.sources.merge import by_content, latest_per_key, write_rows
+from hourloom.sources.merge import by_content, exists, latest_per_key, write_rows
 from hourloom.sources.outputs import grid_output
-from hourloom.sources.registry import promote_model, register_model, training_description
+from hourloom.sources.registry import REGISTRY_SCHEMA, first_free_id, promote_model, register_model, training_description
 from hourloom.sources.tables import sampler_coords
 
 
@@ -206,23 +209,53 @@ def cross_validate_in_time(
     return out
 
 
+def left_out_plan(spark: SparkSession, data: DataFrame, path: str, registry_path: str, station: str) -> DataFrame:
+    """The stations of a run in order, each with the id that its model gets. Written once; a restarted run reads it again."""
+    if not exists(spark, f"{path}/plan/_SUCCESS"):
+        start = first_free_id(spark, registry_path)
+        number = F.row_number().over(Window.orderBy(station))  # one row per station
+        plan = data.select(station).distinct().select(station, (number - 1 + start).cast("int").alias("model_id"))
+        plan.coalesce(1).write.mode("overwrite").parquet(f"{path}/plan")
+    return spark.read.parquet(f"{path}/plan")
+
+
 def cross_validate_stations(
     df: DataFrame, target: str, features_1: Sequence[str], features_2: Sequence[str] | None, categorical: Sequence[str],
-    params_1: dict, params_2: dict | None, cap: Column | float | None = None, station: str = "station_id",
+    params_1: dict, params_2: dict | None, cap: Column | float | None = None, station: str = "station_id", time: str = "date_time",
+    path: str | None = None, name: str = "left out", trained_at: int = 0, workers: int = 4,
 ) -> DataFrame:
-    """Predictions at every station by a model trained on all others.
+    """Predictions at every station by a model trained on all others, with the id of that model.
 
-    A fit per station is the nature of the method, so the driver walks over the station ids. Each part is written to the
-    shared folder, which keeps the plan small however many stations there are.
+    A fit per station is the nature of the method. The rows are written once, and a bounded number of fits runs at a time. Below `path`
+    lie the plan (which station gets which model id), the registry with one model per station, and the predictions of a station in a
+    folder of its own. A station is finished when the manifest names it, which is written last; a run that is started again with the
+    same path goes on with the others.
     """
     spark = df.sparkSession
-    data = store(drop_missing_target(df, target), "station-rows")
-    path = scratch_path(spark, "left-out")
-    for row in data.select(station).distinct().toLocalIterator():
-        others, test = leave_one_out(data, row[0], station)
-        part = train(others, target, features_1, features_2, categorical, params_1, params_2, cap).transform(test)
-        part.write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    path = path or scratch_path(spark, "left-out")
+    registry_path, writing = f"{path}/registry", Lock()
+    if not exists(spark, f"{path}/rows/_SUCCESS"):
+        drop_missing_target(df, target).write.mode("overwrite").parquet(f"{path}/rows")
+    data = spark.read.parquet(f"{path}/rows")
+    plan = left_out_plan(spark, data, path, registry_path, station).orderBy("model_id").collect()
+    manifest = "model_id INT"
+    finished = {r[0] for r in spark.read.schema(manifest).parquet(f"{path}/finished").collect()} if exists(spark, f"{path}/finished") else set()
+
+    def validate(left_out: str | int, model_id: int) -> None:
+        others, test = leave_one_out(data, left_out, station)
+        model = train(others, target, features_1, features_2, categorical, params_1, params_2, cap)
+        made = model.transform(test).withColumn("model_id", F.lit(model_id))
+        made.write.mode("overwrite").parquet(f"{path}/predictions/model={model_id}")
+        described = training_description(others, time, {k: v for k, v in params_1.items() if k != "cuts"}, [], []).first()[0]
+        with writing:
+            known = spark.read.schema(REGISTRY_SCHEMA).parquet(registry_path) if exists(spark, registry_path) else None
+            # A run that was stopped between registry and manifest has the row already.
+            if known is None or known.where(F.col("model_id") == model_id).isEmpty():
+                register_model(spark, registry_path, f"{path}/models", model, target, f"{name} {left_out}", described, None, trained_at, model_id)
+            write_rows(spark, spark.createDataFrame([(model_id,)], manifest), f"{path}/finished", mode="insert")
+
+    in_pool(spark, [partial(validate, r[station], r["model_id"]) for r in plan if r["model_id"] not in finished], workers)
+    return spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/predictions")
 
 
 def station_metrics(predictions: DataFrame, target: str, pred: str = "pred", station: str = "station_id") -> DataFrame:

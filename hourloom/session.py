@@ -25,6 +25,8 @@ def build_session(
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Fits that run side by side share the executors.
+        .config("spark.scheduler.mode", "FAIR")
     )
     if master is not None:
         builder = builder.master(master)

@@ -88,6 +88,10 @@ def next_model_id(registry: DataFrame) -> int:
     return (registry.agg(F.max("model_id")).first()[0] or 0) + 1
 
 
+def first_free_id(spark: SparkSession, registry_path: str) -> int:
+    return next_model_id(spark.read.schema(REGISTRY_SCHEMA).parquet(registry_path)) if exists(spark, registry_path) else 1
+
+
 def register_model(
     spark: SparkSession,
     registry_path: str,
@@ -98,10 +102,11 @@ def register_model(
     description: str,
     description_residuals: str | None,
     trained_at: int,
+    model_id: int | None = None,
 ) -> int:
-    """Save the stages below `model_root` and append the registry row. One writer at a time, as ids are max + 1."""
-    known = exists(spark, registry_path)
-    model_id = next_model_id(spark.read.schema(REGISTRY_SCHEMA).parquet(registry_path)) if known else 1
+    """Save the stages below `model_root` and append the registry row. One writer at a time, as ids are max + 1 unless one is given."""
+    if model_id is None:
+        model_id = first_free_id(spark, registry_path)
     path = f"{model_root}/{model_id}"
     model.save(path)
     row = (
