@@ -1,7 +1,7 @@
 """Boosting by one-level trees whose splits are found by one aggregation per round.
 
 Rows are counted and summed per (feature, bin); the bins of a feature are set by its cuts, so a round ends with a few hundred rows
-whatever the size of the table, and one row leaves the executors: the split with the largest gain. Labels are summed in millionths as whole
+whatever the size of the table, and the driver takes the split with the largest gain. Labels are summed in millionths as whole
 numbers, so no order of rows changes a model. A missing value lies beyond all cuts.
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UNIT = 1_000_000  # labels are summed in this many parts of one
@@ -81,28 +81,33 @@ def _bin(value: Column, cuts: Sequence[float]) -> Column:
     return F.size(F.filter(known, lambda c: ~F.coalesce(value <= c, F.lit(False))))
 
 
-def best_split(rows: DataFrame, residual: Column, cuts: Mapping[str, Sequence[float]], min_rows: int, by: Sequence[str] = ()) -> DataFrame:
-    """feature, cut, left and right (mean residuals) of the split with the largest gain, for each `by`; nothing (or nulls) where none has min_rows on both sides.
+def bin_counts(rows: DataFrame, residual: Column, cuts: Mapping[str, Sequence[float]]) -> DataFrame:
+    """feature and bin (both as numbers), s, n: sum of residuals in units and number of rows."""
+    bins = [F.struct(F.lit(i).alias("feature"), _bin(F.col(f"`{n}`"), cuts[n]).alias("bin")) for i, n in enumerate(cuts)]
+    each = rows.select(in_units(residual).alias("r"), F.explode(F.array(*bins)).alias("at"))
+    return each.groupBy("at.feature", "at.bin").agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("n"))
+
+
+def best_split(counts: Sequence[tuple[int, int, int, int]], cuts: Mapping[str, Sequence[float]], min_rows: int) -> Split | None:
+    """The split with the largest gain, its sides being mean residuals; None if none has min_rows on both sides.
 
     The gain is the sum over both sides of (sum of residuals)^2 / rows. Of equal ones the earlier feature and the smaller cut is taken.
     """
-    names = list(cuts)
-    bins = [F.struct(F.lit(i).alias("feature"), _bin(F.col(f"`{n}`"), cuts[n]).alias("bin")) for i, n in enumerate(names)]
-    each = rows.select(*by, in_units(residual).alias("r"), F.explode(F.array(*bins)).alias("at"))
-    counted = each.groupBy(*by, "at.feature", "at.bin").agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("n"))
-    up_to = Window.partitionBy(*by, "feature").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*by, "feature")
-    sides = counted.select(
-        *by, "feature", "bin", F.sum("s").over(up_to).alias("ls"), F.sum("n").over(up_to).alias("ln"),
-        F.sum("s").over(whole).alias("s"), F.sum("n").over(whole).alias("n"),
-    ).withColumns({"rs": F.col("s") - F.col("ls"), "rn": F.col("n") - F.col("ln")})
-    real = {c: F.col(c).cast("double") for c in ("ls", "ln", "rs", "rn")}
-    gain = real["ls"] * real["ls"] / real["ln"] + real["rs"] * real["rs"] / real["rn"]
-    open_ = sides.where((F.col("ln") >= min_rows) & (F.col("rn") >= max(min_rows, 1)))
-    best = F.min(F.struct((-gain).alias("order"), "feature", "bin", (real["ls"] / real["ln"] / UNIT).alias("left"), (real["rs"] / real["rn"] / UNIT).alias("right")))
-    chosen = open_.groupBy(*by).agg(best.alias("b"))
-    listed = F.array(*[F.array(*[F.lit(float(c)) for c in sorted(cuts[n])]) for n in names])
-    return chosen.select(*by, F.get(F.array(*[F.lit(n) for n in names]), "b.feature").alias("feature"), F.get(F.get(listed, F.col("b.feature")), F.col("b.bin")).alias("cut"), "b.left", "b.right")
+    best, found = None, None
+    for i, name in enumerate(cuts):
+        own = sorted((b, s, n) for feature, b, s, n in counts if feature == i)
+        total, rows = sum(s for _, s, _ in own), sum(n for _, _, n in own)
+        left_sum = left_rows = 0
+        for b, s, n in own:
+            left_sum, left_rows = left_sum + s, left_rows + n
+            right_sum, right_rows = total - left_sum, rows - left_rows
+            if left_rows < min_rows or right_rows < max(min_rows, 1):
+                continue
+            gain = float(left_sum) * float(left_sum) / float(left_rows) + float(right_sum) * float(right_sum) / float(right_rows)
+            if best is None or gain > best:
+                best = gain
+                found = Split(name, float(sorted(cuts[name])[b]), float(left_sum) / float(left_rows) / UNIT, float(right_sum) / float(right_rows) / UNIT)
+    return found
 
 
 def mean_label(rows: DataFrame, label: Column) -> float:
@@ -112,10 +117,11 @@ def mean_label(rows: DataFrame, label: Column) -> float:
 
 def next_split(rows: DataFrame, label: Column, model: StumpModel, cuts: Mapping[str, Sequence[float]], eta: float, min_rows: int) -> StumpModel:
     """The model with one more split, or the same if there is none to make."""
-    found = best_split(rows, label - model.column(), cuts, min_rows).first()
-    if found is None or found["feature"] is None:
+    counts = [tuple(r) for r in bin_counts(rows, label - model.column(), cuts).collect()]  # features x bins
+    found = best_split(counts, cuts, min_rows)
+    if found is None:
         return model
-    return replace(model, splits=(*model.splits, Split(found["feature"], found["cut"], found["left"] * eta, found["right"] * eta)))
+    return replace(model, splits=(*model.splits, replace(found, left=found.left * eta, right=found.right * eta)))
 
 
 def fit_stumps(
