@@ -12,13 +12,14 @@ from hourloom.functions.params import (
 from hourloom.operators import attribution, cleaning, evaluation, folds, scenarios
 from hourloom.operators.forecast import lags_from_predictions, prefill_lags, recursive_forecast
 from hourloom.operators.lags import add_row_lags, add_station_lags
-from hourloom.operators.scoring import LinearScorer, as_column, combine_stages
+from hourloom.operators.scoring import LinearScorer, combine_stages
 from hourloom.operators.station_average import attach_weighted_average, lag_class_means
-from hourloom.operators.training import StagedModel, fit_staged
-from hourloom.plans import features, retrieve, runs, samples
+from hourloom.operators.training import StagedModel
+from hourloom.plans import features, retrieve, runs, samples, serving
 from hourloom.plans.samples import DAY_VALUES, DOMAIN, RANGE_FROM, RANGE_TO, STATION_HOURS, USER_HOURS, table
 from hourloom.session import scratch_path, store
 from hourloom.sources import outputs, registry
+from hourloom.sources.merge import write_rows
 from hourloom.sources.tables import coords_for
 from hourloom.streaming import requests
 
@@ -858,15 +859,8 @@ SELECT l_orderkey, l_linenumber, s1 AS pred_stage_1, s2 AS pred_stage_2, CASE WH
   l_extendedprice - s1 AS residual FROM s"""
 
 
-def _model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = add_station_lags(samples.station_hours(spark, sf_dir), "y", [1, 24], [1, 2], average_name="lag_avg")
-    return rows.withColumns({"hour": F.hour("date_time").cast("string"), "weekday": tf.weekday(F.col("date_time")).cast("double")})
-
-
 CHAIN = FeatureSpec("no2", (1, 2), (1, 2), stages=2)  # sample stations have few hours with data
 CHAIN_START = "2024-01-26 00:00:00"  # the last three days of the range are forecast
-MODEL_FEATURES = ["hour", "weekday", "y_lag1", "y_lag24", "lag_avg"]
-SMALL = {"maxIter": 3, "maxDepth": 3, "stepSize": 0.3}
 
 
 def retrieved_to_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -889,16 +883,6 @@ def retrieved_to_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("station_id", "date_time", "pred", F.lit(model_id).alias("model_id"))
 
 
-def attribution_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for a trained two-stage model, scored in Arrow batches; the most frequent category is the background."""
-    rows = _model_rows(spark, sf_dir).select("y", *MODEL_FEATURES)
-    model = fit_staged(rows, "y", ["hour", "weekday"], MODEL_FEATURES, ["hour"], SMALL, SMALL)
-    background = attribution.feature_means(rows, [f for f in MODEL_FEATURES if f != "hour"])
-    background["hour"] = rows.select(F.mode("hour", deterministic=True)).scalar()
-    made = attribution.attribute(rows, MODEL_FEATURES, as_column(spark, model.scorer(spark)), background, permutations=2)
-    return attribution.attribution_ranking(made, MODEL_FEATURES)
-
-
 def grid_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All batches through assembly, scoring and the sink; what was stored is read back."""
     domain, path = samples.domain_tables(spark, sf_dir), scratch_path(spark, "grid")
@@ -1056,24 +1040,96 @@ PARSE_REQUEST = """SELECT event_id, CASE WHEN valid THEN CAST(event_id AS VARCHA
 FROM (SELECT *, event_type IN ('view', 'purchase') AS valid FROM events)"""
 
 
-def stream_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts arrive as files, are answered by a stream and read back: how many cells each request is about."""
-    root = scratch_path(spark, "requests")
+#: Intercept and weight of traffic of the models that are final for nitrogen dioxide (3) and coarse dust (1).
+SERVED = {3: (20.0, 0.3), 1: (10.0, 0.2)}
+SERVED_AT = "2024-01-09 13:30:00"
+SERVED_FROM, SERVED_TO = "2024-01-09 05:00:00", "2024-01-14 00:00:00"
+
+
+def _served(spark: SparkSession, sf_dir: str) -> serving.GridService:
+    """Texts arrive as files; each valid one asks for a batch of cells and a pollutant, and the stream answers with the final model."""
+    domain, root = samples.domain_tables(spark, sf_dir), scratch_path(spark, "requests")
     _messages(spark, sf_dir).select("value").write.text(f"{root}/in")
-    cells = table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 10).cast("int").alias("batch_id"))
-    sizes = cells.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_coords"))
-    query = requests.serve_requests(
-        requests.file_messages(spark, f"{root}/in"), lambda asked: asked.join(sizes, "batch_id", "left"),
-        f"{root}/out", f"{root}/rejected", f"{root}/progress",
+
+    def load(depvar: str, model_id: int):
+        intercept, weight = SERVED[model_id]
+        return lambda rows: rows.withColumn("pred", LinearScorer({"kfz_per_hour": weight}, intercept).column())
+
+    now = tf.ntz(SERVED_AT)
+    service = serving.GridService(
+        domain, domain["models_final"], load, tf.model_start(now), tf.horizon_end(now), f"{root}/served", ("event_id",), {"no2": 150.0},
+        domain="temporal", metric=["kfz_per_hour"],
     )
-    query.awaitTermination()
-    return spark.read.parquet(f"{root}/out").select("key", "batch_id", "depvar", "n_coords")
+    service.serve(requests.file_messages(spark, f"{root}/in"), f"{root}/progress").awaitTermination()
+    return service
+
+
+def stream_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that the answered requests have left."""
+    rows = _served(spark, sf_dir).rows(spark)
+    return rows.select("depvar", "batch", F.col("date_time_forecast").cast("long").alias("date_time_forecast"), "model_id", "date_time", "x", "y", "value")
 
 
-STREAM_REQUESTS = """SELECT CAST(event_id AS VARCHAR) AS key, CAST(user_id AS INTEGER) AS batch_id,
-  CASE event_type WHEN 'view' THEN 'no2' ELSE 'pm10' END AS depvar, n_coords
-FROM events LEFT JOIN (SELECT c_custkey // 10 AS b, count(*) AS n_coords FROM customer GROUP BY 1) ON b = user_id
-WHERE event_type IN ('view', 'purchase')"""
+def stream_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report for every distinct request."""
+    return _served(spark, sf_dir).reports(spark)
+
+
+_ASKED = """asked AS (
+  SELECT DISTINCT CAST(user_id AS INTEGER) AS batch, CASE event_type WHEN 'view' THEN 'no2' ELSE 'pm10' END AS depvar, CASE event_type WHEN 'view' THEN 3 ELSE 1 END AS model_id
+  FROM events WHERE event_type IN ('view', 'purchase')),
+batches AS (SELECT CAST(c_custkey % 16 AS INTEGER) AS x, CAST(c_custkey // 16 AS INTEGER) AS y, CAST(c_custkey // 50 AS INTEGER) AS batch FROM customer)"""
+_SERVED_ROWS = f"""{DOMAIN["traffic"]}, {DOMAIN["traffic_scaling"]}, {_ASKED},
+newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date_time, x, y ORDER BY event_id DESC) AS n
+           FROM traffic WHERE model_id = 1 AND date_time BETWEEN TIMESTAMP '{SERVED_FROM}' AND TIMESTAMP '{SERVED_TO}') WHERE n = 1),
+cells_with_data AS (SELECT DISTINCT CAST(user_id % 16 AS INTEGER) AS x, CAST(user_id // 16 AS INTEGER) AS y FROM events),
+scaled AS (SELECT x, y, batch, date_time, scaling * value AS kfz FROM newest JOIN traffic_scaling USING (x, y) JOIN cells_with_data USING (x, y) JOIN batches USING (x, y)),
+daytime AS (SELECT *, CASE WHEN hour(timezone('Europe/Berlin', timezone('UTC', date_time))) BETWEEN 5 AND 21 THEN kfz * 100 / 100 ELSE kfz END AS v FROM scaled)"""
+_SERVED_VALUE = " ".join(f"WHEN {m} THEN {a}::DOUBLE + {w}::DOUBLE * v" for m, (a, w) in SERVED.items())
+STREAM_REQUESTS = f"""WITH {_SERVED_ROWS}
+SELECT depvar, batch, CAST(epoch(TIMESTAMP '{SERVED_FROM}') AS BIGINT) AS date_time_forecast, model_id, CAST(epoch(date_time) AS BIGINT) AS date_time, x, y,
+  CAST(round_even(CASE model_id {_SERVED_VALUE} END, 1) AS DECIMAL(10, 1)) AS value
+FROM daytime JOIN asked USING (batch)"""
+STREAM_REPORTS = f"""WITH {_SERVED_ROWS},
+found AS (SELECT batch, count(*) AS n FROM daytime GROUP BY 1),
+wanted AS (SELECT batch, count(*) * (date_diff('hour', TIMESTAMP '{SERVED_FROM}', TIMESTAMP '{SERVED_TO}') + 1) AS n FROM batches GROUP BY 1)
+SELECT batch, depvar, CAST(epoch(TIMESTAMP '{SERVED_FROM}') AS BIGINT) AS date_time_forecast, model_id, coalesce(found.n = wanted.n, false) AS finished
+FROM asked LEFT JOIN found USING (batch) LEFT JOIN wanted USING (batch)"""
+
+
+def retry_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of both attempts and the rows stored, when one batch fails once and another one always."""
+    cells = table(spark, sf_dir, "customer").select("c_custkey", F.floor(F.col("c_custkey") / 50).cast("int").alias("batch"))
+    sizes, path = store(cells.groupBy("batch").count(), "cells"), scratch_path(spark, "retried")
+    once, always = sizes.agg(F.min("batch"), F.max("batch")).first()
+    failed_alone = []
+
+    def run(batches: DataFrame) -> DataFrame:
+        ids = [r[0] for r in batches.limit(2).collect()]
+        bad = [always, *([] if failed_alone else [once])]
+        if ids == [once]:
+            failed_alone.append(once)
+        error = F.raise_error(F.lit("a batch that cannot be computed")).cast("int")
+        rows = cells.join(batches, "batch").withColumn("value", F.when(F.col("batch").isin(bad), error).otherwise(F.lit(1)))
+        write_rows(spark, rows, path, mode="insert")
+        return sizes.join(batches, "batch").select("batch", F.lit(True).alias("finished"))
+
+    try:
+        reports, failed = requests.run_with_retry(sizes, requests.isolated(run)), None
+    except requests.BatchesFailed as error:
+        reports, failed = error.reports, error.failed
+    stored = spark.read.parquet(path).groupBy("batch").agg(F.count(F.lit(1)).alias("n_rows"))
+    flagged = failed.withColumn("gave_up", F.lit(True)) if failed is not None else sizes.select("batch", F.lit(False).alias("gave_up"))
+    made = reports.join(stored, "batch", "left").join(flagged, "batch", "left")
+    return made.select("batch", "attempt", "finished", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("gave_up", F.lit(False)).alias("gave_up"))
+
+
+RETRY_GRID = """WITH sizes AS (SELECT CAST(c_custkey // 50 AS INTEGER) AS batch, count(*) AS n FROM customer GROUP BY 1),
+ends AS (SELECT min(batch) AS once, max(batch) AS always FROM sizes),
+attempts AS (
+  SELECT batch, 1 AS attempt, batch NOT IN (once, always) AS finished FROM sizes, ends
+  UNION ALL SELECT batch, 2, batch = once FROM sizes, ends WHERE batch IN (once, always))
+SELECT batch, attempt, finished, CASE WHEN batch = always THEN 0 ELSE n END AS n_rows, batch = always AS gave_up FROM attempts JOIN sizes USING (batch), ends"""
 
 
 def batches_to_reschedule(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1133,7 +1189,6 @@ QUERIES = {
     "station_forecast_users": (station_forecast_users, STATION_FORECAST_USERS),
     "scenario_forecast": (scenario_forecast, SCENARIO_FORECAST),
     "two_stage_combine": (two_stage_combine, TWO_STAGE_COMBINE),
-    "attribution_trees": (attribution_trees, None),
     "grid_run": (grid_run, GRID_RUN),
     "attribution_topk": (attribution_topk, ATTRIBUTION_TOPK),
     "training_period_json": (training_period_json, TRAINING_PERIOD_JSON),
@@ -1143,5 +1198,7 @@ QUERIES = {
     "produce_requests": (produce_requests, PRODUCE_REQUESTS),
     "parse_request": (parse_request, PARSE_REQUEST),
     "stream_requests": (stream_requests, STREAM_REQUESTS),
+    "stream_reports": (stream_reports, STREAM_REPORTS),
+    "retry_grid": (retry_grid, RETRY_GRID),
     "batches_to_reschedule": (batches_to_reschedule, BATCHES_TO_RESCHEDULE),
 }

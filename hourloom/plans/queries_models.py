@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourloom.functions import timefns as tf
-from hourloom.operators import evaluation, folds
+from hourloom.operators import attribution, evaluation, folds
 from hourloom.operators.lags import add_station_lags
 from hourloom.operators.search import candidate_table, search_parameters
 from hourloom.operators.stumps import UNIT
@@ -355,7 +355,34 @@ FROM scored JOIN best USING (candidate, fold_id) JOIN candidates USING (candidat
 WHERE fold_id = 3 OR (fold_id = 2 AND candidate IN (SELECT candidate FROM kept1)) OR (fold_id = 1 AND candidate IN (SELECT candidate FROM kept2))
 GROUP BY candidate, lags"""
 
+ATTRIBUTED = {**STUMPS, "rounds": 4}
+
+
+def attribution_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of a model of four one-level trees by mean absolute attribution, and the error that the sampled orders leave (none, as the model adds up)."""
+    rows = _user_model_rows(spark, sf_dir).select("y", *FEATURES)
+    scorer = fit_staged(rows, "y", FEATURES, None, [], ATTRIBUTED).scorer(spark)
+    made = attribution.attribute_batches(rows, FEATURES, scorer, attribution.feature_means(rows, FEATURES), pairs=2)
+    return _rounded(attribution.attribution_errors(made, FEATURES), "importance", "error")
+
+
+def _attributed(f: str) -> str:
+    terms = []
+    for k in range(1, ATTRIBUTED["rounds"] + 1):
+        sides = [f"CASE WHEN {x} <= s{k}.cut THEN s{k}.l * {_ETA} ELSE s{k}.r * {_ETA} END" for x in (f"d.{f}", f"b.{f}")]
+        terms.append(f"CASE WHEN s{k}.feature = '{f}' THEN ({sides[0]}) - ({sides[1]}) ELSE 0 END")
+    return " + ".join(terms)
+
+
+_ATTRIBUTED_JOINS = "".join(f" CROSS JOIN tree_s{k} s{k}" for k in range(1, ATTRIBUTED["rounds"] + 1))
+ATTRIBUTION_TREES = f"""WITH {USER_STATIONS}, {MODEL_ROWS},
+{_boost_sql("tree", "model_rows", "y", FEATURES, ATTRIBUTED)},
+background AS (SELECT {", ".join(f"avg({f}) AS {f}" for f in FEATURES)} FROM model_rows),
+phi AS (SELECT {", ".join(f"abs({_attributed(f)}) AS {f}" for f in FEATURES)} FROM model_rows d CROSS JOIN background b{_ATTRIBUTED_JOINS})
+{" UNION ALL ".join(f"SELECT '{f}' AS feature, round(avg({f}), 6) AS importance, 0.0::DOUBLE AS error FROM phi" for f in FEATURES)}"""
+
 QUERIES = {
+    "attribution_trees": (attribution_trees, ATTRIBUTION_TREES),
     "two_stage_fit_predict": (two_stage_fit_predict, TWO_STAGE_FIT_PREDICT),
     "forecast_t_plus_k": (forecast_t_plus_k, FORECAST_T_PLUS_K),
     "cross_validate_time": (cross_validate_time, CROSS_VALIDATE_TIME),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +15,10 @@ def rounded_value(value: Column) -> Column:
     return half_even(value, 1).cast("decimal(10,1)")
 
 
-def grid_output(df: DataFrame, model_id: Column, forecast_time: Column, mode: str = "grid", pred: str = "pred") -> DataFrame:
-    """Grid predictions with one decimal; `grid_sim` keeps the traffic percentage."""
+def grid_output(
+    df: DataFrame, model_id: Column, forecast_time: Column, mode: str = "grid", pred: str = "pred", keep: Sequence[str] = ()
+) -> DataFrame:
+    """Grid predictions with one decimal; `grid_sim` keeps the traffic percentage. Columns to keep come last."""
     if mode not in ("grid", "grid_sim"):
         raise ValueError("mode must be one of: grid, grid_sim")
     return df.select(
@@ -25,6 +29,7 @@ def grid_output(df: DataFrame, model_id: Column, forecast_time: Column, mode: st
         "y",
         *(["kfz_pct"] if mode == "grid_sim" else []),
         rounded_value(F.col(pred)).alias("value"),
+        *keep,
     )
 
 

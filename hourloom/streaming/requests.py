@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,24 +106,45 @@ def batches_to_reschedule(reports: DataFrame) -> DataFrame:
 
 
 class BatchesFailed(RuntimeError):
-    """`failed` lists every batch that never finished."""
+    """`failed` lists every batch that never finished, `reports` all reports (batch, attempt, finished)."""
 
-    def __init__(self, message: str, failed: DataFrame):
+    def __init__(self, message: str, failed: DataFrame, reports: DataFrame):
         super().__init__(message)
-        self.failed = failed
+        self.failed, self.reports = failed, reports
+
+
+def isolated(run: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """`run` for sets of batches of which some make it fail: they alone are reported as not finished.
+
+    If a run over several batches fails, its two halves are run on their own. So a single bad batch costs two runs for each doubling
+    of the number of batches, while the rows of all others are written by the runs that succeed.
+    """
+
+    def guarded(batches: DataFrame) -> DataFrame:
+        ids = store(batches.select("batch").distinct(), "batches")
+        try:
+            return store(run(ids).select("batch", "finished"), "batch-reports")
+        except PySparkException:
+            middle = ids.select(F.percentile_approx("batch", 0.5, 10_000).alias("m"), F.min("batch").alias("lo"), F.max("batch").alias("hi")).first()
+            if middle["lo"] == middle["hi"]:
+                return ids.select("batch", F.lit(False).alias("finished"))
+            cut = min(middle["m"], middle["hi"] - 1)
+            return guarded(ids.where(F.col("batch") <= cut)).unionByName(guarded(ids.where(F.col("batch") > cut)))
+
+    return guarded
 
 
 def run_with_retry(batches: DataFrame, run: Callable[[DataFrame], DataFrame], attempts: int = 2) -> DataFrame:
     """Run all batches, then the failed ones again, at most `attempts` times in all; raise if some never finish.
 
-    `run` takes a frame with `batch` and returns (batch, finished). Reports are written to the shared folder, so no run is
-    repeated by a later read. The error of batches that never finished carries all of them as the frame `failed`.
+    `run` takes a frame with `batch` and returns (batch, finished). Reports (batch, attempt, finished) are written to the shared
+    folder, so no run is repeated by a later read. The error of batches that never finished carries all of them as the frame `failed`.
     """
     reports, pending = None, batches.select("batch").distinct()
-    for _ in range(attempts):
-        report = store(run(pending).select("batch", "finished"), "batch-reports")
+    for attempt in range(1, attempts + 1):
+        report = store(run(pending).select("batch", F.lit(attempt).alias("attempt"), "finished"), "batch-reports")
         reports = report if reports is None else reports.unionByName(report)
         pending = batches_to_reschedule(reports)
         if pending.isEmpty():
             return reports
-    raise BatchesFailed(f"{pending.count()} batches failed {attempts} times", pending)
+    raise BatchesFailed(f"{pending.count()} batches failed {attempts} times", pending, reports)
