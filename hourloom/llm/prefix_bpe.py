@@ -162,7 +162,9 @@ def composed_lower(text: str) -> str:
 
 
 def one_byte_pattern(pattern: str) -> str:
-    """The pattern for texts of code points below 256, with classes of letters and numbers spelled out: the plain regex engine takes half the time."""
+    """The pattern for texts of code points below 256, with the sets of white space, letters and numbers spelled out: the plain regex engine takes half the time."""
+    # That engine counts the separators 0x1c to 0x1f as white space, Unicode does not.
+    pattern = pattern.replace(r"[^\s", r"[^\t-\r \x85\xa0")
     for kind in "LN":
         members = "".join(regex.escape(chr(c)) for c in range(256) if unicodedata.category(chr(c))[0] == kind)
         pattern = pattern.replace(rf"[\p{{{kind}}}]", f"[{members}]").replace(rf"\p{{{kind}}}", members)
