@@ -8,7 +8,7 @@ The vocabulary (a rank file: base64 bytes and rank per line) is read on the driv
 keeps the ids of recent distinct pre-tokens, twice REMEMBERED at most; what is forgotten is worked out again.
 
 Defined cases: a null text is empty and has no ids; null ids decode to empty; any text decodes to its own UTF-8 bytes.
-Other columns are kept.
+Columns of docs with the name of an added column are replaced, all others kept.
 """
 
 from __future__ import annotations
@@ -172,14 +172,19 @@ def _columns(batch: pa.RecordBatch, names: list[str]) -> list[pa.Array]:
     return [batch.column(batch.schema.get_field_index(n)) for n in names]
 
 
+def _not_named(fields: list[T.StructField], names: list[str]) -> list[T.StructField]:
+    gone = {n.lower() for n in names}
+    return [f for f in fields if f.name.lower() not in gone]
+
+
 def encode(docs: DataFrame, vocabulary, text_column: str = "text", name: str = "ids", keep_text: bool = True, decoded: str | None = None) -> DataFrame:
     """Adds the ids of a text as little-endian unsigned 32-bit integers (binary).
 
     With a name for `decoded` the ids are decoded in the same pass, so no worker process beside the encoder's is needed.
     """
-    kept = [f for f in docs.schema.fields if keep_text or f.name != text_column]
-    names = [f.name for f in kept]
     added = [name, *([decoded] if decoded else [])]
+    kept = _not_named(docs.schema.fields, added if keep_text else [*added, text_column])
+    names = [f.name for f in kept]
     schema = T.StructType([*kept, *(T.StructField(n, T.BinaryType()) for n in added)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +206,8 @@ def encode(docs: DataFrame, vocabulary, text_column: str = "text", name: str = "
 
 def decode(encoded: DataFrame, vocabulary, ids_column: str = "ids", name: str = "decoded") -> DataFrame:
     """Adds the bytes that the ids stand for."""
-    fields = encoded.schema.fields
+    fields = _not_named(encoded.schema.fields, [name])
+    kept = [f.name for f in fields]
     schema = T.StructType([*fields, T.StructField(name, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,6 +215,6 @@ def decode(encoded: DataFrame, vocabulary, ids_column: str = "ids", name: str =
             ids = batch.column(batch.schema.get_field_index(ids_column))
             made = (decode_ids(vocabulary.value, group) for group in grouped((i.as_py() or b"" for i in ids), 4 * GROUP_CHARS // 8))
             texts = pa.array((t for group in made for t in group), pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*_columns(batch, kept), texts], [*kept, name])
 
     return encoded.mapInArrow(run, schema)

@@ -124,6 +124,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def add_fingerprint(docs: DataFrame, text_column: str = "text", name: str = "fingerprint") -> DataFrame:
+    """Adds the fingerprint of a text; a column of that name is replaced."""
     return docs.withColumn(name, fingerprint(F.col(text_column)))
 
 

@@ -92,10 +92,13 @@ def _is_boilerplate(tag: str, attrs: list[tuple[str, str | None]], in_article: b
 class Mark:
     """An element that a name says is boilerplate. `names` are those that say it only in part; none if one says it wholly."""
 
-    __slots__ = ("names", "kept")
+    __slots__ = ("names", "kept", "around", "first_said", "weight", "drops")
 
     def __init__(self, names: frozenset[str]):
         self.names, self.kept = names, False
+        self.around: Mark | None = None  # the next mark outwards
+        self.first_said: list[str] = []  # names that no mark around says
+        self.weight, self.drops = 0, False
 
 
 def _mark(tag: str, attrs: list[tuple[str, str | None]], in_article: bool, is_first: bool) -> Mark | None:
@@ -122,10 +125,10 @@ def _mark(tag: str, attrs: list[tuple[str, str | None]], in_article: bool, is_fi
 
 
 class Block:
-    __slots__ = ("text", "linked", "dropped", "article", "marks", "size", "weight", "_stops")
+    __slots__ = ("text", "linked", "dropped", "article", "mark", "size", "weight", "_stops")
 
-    def __init__(self, text: str, linked: int, dropped: bool, article: bool, marks: tuple[Mark, ...] = ()):
-        self.text, self.linked, self.dropped, self.article, self.marks = text, linked, dropped, article, marks
+    def __init__(self, text: str, linked: int, dropped: bool, article: bool, mark: Mark | None = None):
+        self.text, self.linked, self.dropped, self.article, self.mark = text, linked, dropped, article, mark
         self.size, self.weight, self._stops = len(text) - text.count(" "), weight(text), None
 
     def stops(self) -> float:
@@ -135,18 +138,24 @@ class Block:
 
 
 class BlockReader(HTMLParser):
-    """Collects the blocks of one page. The stack holds open elements with what they say about their text."""
+    """Collects the blocks of one page. The stack holds open elements with what they say about their text.
+
+    Open elements are counted by tag, and marks know the one around them, so the work grows with the page however deep it is nested.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.stack: list[tuple[str, bool, bool, tuple[Mark, ...]]] = []  # tag, dropped, in article, marks
-        self.articles: list[tuple[str, tuple[Mark, ...]]] = []  # tag and the marks around it
+        self.stack: list[tuple[str, bool, bool, Mark | None]] = []  # tag, dropped, in article, innermost mark
+        self.articles: list[tuple[str, Mark | None]] = []  # tag and the innermost mark around it
+        self.marks: list[Mark] = []  # outer ones first
+        self.open: Counter[str] = Counter()  # open elements by tag
+        self.open_names: Counter[str] = Counter()  # names that marks of open elements say
         self.said: list[str] = []
         self.linked = self.links = 0
 
-    def _state(self) -> tuple[bool, bool, tuple[Mark, ...]]:
-        return self.stack[-1][1:] if self.stack else (False, False, ())
+    def _state(self) -> tuple[bool, bool, Mark | None]:
+        return self.stack[-1][1:] if self.stack else (False, False, None)
 
     def end_block(self) -> None:
         if self.said:
@@ -158,23 +167,27 @@ class BlockReader(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK_TAGS or tag in DROPPED_TAGS:
             self.end_block()
-            if self.stack and any(open_tag == "p" for open_tag, *_ in self.stack[-8:]) and tag in BLOCK_TAGS:
+            if tag in BLOCK_TAGS:
                 self._close("p")
         elif tag in SPACE_TAGS:
             self.said.append(" ")
         if tag in VOID_TAGS:
             return
-        dropped, article, marks = self._state()
+        dropped, article, around = self._state()
         if not dropped and (attrs or tag in DROPPED_TAGS or tag == "header"):
             dropped = _is_boilerplate(tag, attrs, article)
             mark = None if dropped else _mark(tag, attrs, article, not self.articles)
             if dropped or mark:
                 self.end_block_before(tag)
             if mark:
-                marks = (*marks, mark)
+                mark.around, around = around, mark
+                mark.first_said = [n for n in mark.names if not self.open_names[n]]
+                self.open_names.update(mark.names)
+                self.marks.append(mark)
         if tag in ARTICLE_TAGS and not dropped:
-            self.articles.append((tag, marks))
-        self.stack.append((tag, dropped, article or tag in ARTICLE_TAGS, marks))
+            self.articles.append((tag, around))
+        self.stack.append((tag, dropped, article or tag in ARTICLE_TAGS, around))
+        self.open[tag] += 1
         self.links += tag == "a"
 
     def end_block_before(self, tag: str) -> None:
@@ -201,16 +214,21 @@ class BlockReader(HTMLParser):
     def _leaves_boilerplate(self, tag: str) -> bool:
         if not self.stack or self.stack[-1][0] != tag:
             return False
-        _, dropped, _, marks = self.stack[-1]
-        before = self.stack[-2] if len(self.stack) > 1 else (None, False, False, ())
-        return (dropped and not before[1]) or len(marks) > len(before[3])
+        _, dropped, _, mark = self.stack[-1]
+        before = self.stack[-2] if len(self.stack) > 1 else (None, False, False, None)
+        return (dropped and not before[1]) or mark is not before[3]
 
     def _close(self, tag: str) -> None:
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] == tag:
-                self.links -= sum(t == "a" for t, *_ in self.stack[at:])
-                del self.stack[at:]
-                return
+        """Closes the innermost element of a tag with all inside it; nothing if none is open."""
+        if not self.open[tag]:
+            return
+        closed = None
+        while closed != tag:
+            closed, _, _, mark = self.stack.pop()
+            self.open[closed] -= 1
+            self.links -= closed == "a"
+            if mark is not self._state()[2]:
+                self.open_names.subtract(mark.names)
 
     def handle_data(self, data):
         self.said.append(data)
@@ -242,20 +260,28 @@ def is_foreign(blocks: list[Block]) -> bool:
     return known < FOREIGN * long
 
 
-def drop_marked(blocks: list[Block], articles: list[tuple[str, tuple[Mark, ...]]]) -> None:
+def drop_marked(blocks: list[Block], articles: list[tuple[str, Mark | None]], marks: list[Mark]) -> None:
     """Drops the blocks in elements that their names mark, but for those that hold the page's article or most of its long text."""
-    if articles and all(marks for _, marks in articles):
-        around = next((marks for tag, marks in articles if tag == "main"), articles[0][1])
-        for mark in around:
-            mark.kept = True
+    if articles and all(mark for _, mark in articles):
+        mark = next((mark for tag, mark in articles if tag == "main"), articles[0][1])
+        while mark:
+            mark.kept, mark = True, mark.around
     long, of_name = 0, Counter()
     for block in blocks:
         if not block.dropped and (w := block.weight) >= SHORT and few_links(block):
             long += w
-            of_name.update(dict.fromkeys((n for mark in block.marks for n in mark.names), w))
+            if block.mark:
+                block.mark.weight += w
+    for mark in reversed(marks):  # inner ones first
+        if mark.around:
+            mark.around.weight += mark.weight
+        of_name.update(dict.fromkeys(mark.first_said, mark.weight))
     most = {name for name, w in of_name.items() if 2 * w > long}
+    for mark in marks:  # outer ones first
+        own = not mark.kept and not (mark.names and mark.names <= most)
+        mark.drops = own or (mark.around is not None and mark.around.drops)
     for block in blocks:
-        if any(not mark.kept and not (mark.names and mark.names <= most) for mark in block.marks):
+        if block.mark and block.mark.drops:
             block.dropped = True
 
 
@@ -300,7 +326,7 @@ def main_text(html: str | None) -> str:
     reader.close()
     reader.end_block()
     blocks = reader.blocks
-    drop_marked(blocks, reader.articles)
+    drop_marked(blocks, reader.articles, reader.marks)
     only_articles = any(b.article and not b.dropped for b in blocks)
     candidates = [not b.dropped and (b.article or not only_articles) for b in blocks]
     foreign = is_foreign([b for b, c in zip(blocks, candidates) if c])

@@ -218,10 +218,11 @@ def least_steps(scanned: DataFrame, runs: str, level: float = FDR) -> dict[int,
 def find_secrets(docs: DataFrame, text_column: str = "text", level: float = FDR) -> DataFrame:
     """The other columns of docs, and `secret_spans`: array<struct<start, kind, end>> sorted by start, kind an index into KINDS.
 
+    A column of docs with that name is replaced.
     The text is read once; what it gave is cut, counted for the thresholds, and filtered by them.
     """
     base, runs, text = fresh(docs, "base", "runs", "whole")
-    rest = [c for c in docs.columns if c != text_column]
+    rest = [c for c in docs.columns if c != text_column and c.lower() != "secret_spans"]
     whole = docs.select(*rest, F.coalesce(F.col(text_column), F.lit("")).alias(text))
     with_base = whole.withColumn(base, base_spans(F.col(text)))
     scanned = cut(with_base.select(*rest, base, random_runs(F.col(text), F.col(base)).alias(runs)))
