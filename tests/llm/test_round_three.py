@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +13,7 @@ from oracle import compare
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from hourloom.llm import merkle, prefix_bpe, queries, spelling
+from hourloom.llm import bpe, fingerprints, html_text, merkle, prefix_bpe, queries, secrets, spelling
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -27,7 +28,7 @@ def rows():
         said = [rng.choice(base) for _ in range(rng.randint(0, 60))]
         said = [w[:j] + rng.choice("abÀé") + w[j + rng.randint(0, 1) :] if rng.random() < 0.2 else w for w in said for j in [rng.randrange(len(w) + 1)]]
         made.append((i, " ".join(w.upper() if rng.random() < 0.1 else w for w in said), rng.choice(["en", "de"]), f"s{i % 3}", i))
-    made += [(100, None, "en", None, None), (101, "", None, "", 0), (102, "x" * 200_000, "fr", "s", 1), (103, "漢字 ×÷ ÀÉ", None, "s", 1)]
+    made += [(100, None, "en", None, None), (101, "", None, "", 0), (102, ("x" * 2000 + " ") * 70, "fr", "s", 1), (105, "chaina " * 4 + "chainab " * 9 + "chainabc " * 25, "en", "s", 1), (103, "漢字 ×÷ ÀÉ", None, "s", 1)]
     made += [(None, "abaab ABAAB", "en", "s", 2), (None, None, None, None, None), (7, "abaab", "de", "s", 1), (7, "abaab", "de", "s", 1)]
     return made + [(104, made[0][1], "en", "s0", 0)] * 30
 
@@ -174,8 +175,8 @@ def test_ids_and_texts_equal_the_library(spark, vocabulary, library):
 def test_last_token_of_every_prefix(vocabulary, library):
     """Pairs pass exactly if merging both texts together gives the two tokens again."""
     known, rng = vocabulary.value, random.Random(10)
-    inner = [t for t, s in known.symbols.items() if max(s) < prefix_bpe.WORD_END and bytes(s).isalpha()]
-    ending = [t for t, s in known.symbols.items() if s[-1] >= prefix_bpe.WORD_END and bytes(x % 256 for x in s).isalpha()]
+    inner = [t for t, s in known.symbols.items() if max(s) < prefix_bpe.WORD_END and bytes(s).isalpha() and bytes(s).islower()]
+    ending = [t for t, s in known.symbols.items() if s[-1] >= prefix_bpe.WORD_END and bytes(x % 256 for x in s).isalpha() and bytes(x % 256 for x in s).islower()]
     passed = 0
     for _ in range(3000):
         a, b = rng.choice(inner), rng.choice(ending)
@@ -287,3 +288,36 @@ def test_extra_columns_are_ignored(docs, rows):
     clash = docs.withColumns({c: F.lit("x") for c in ("number", "tree", "leaf", "segment", "level", "size", "id")})
     got = Counter(r["root"] for r in merkle.proofs(merkle.leaves(clash)).select(merkle.hex_of(F.col("root")).alias("root")).collect())
     assert got == Counter(r[3] for r in plain_manifest(rows))
+
+
+# --- earlier operators
+
+
+def test_added_columns_replace_those_of_their_name(spark, docs):
+    ranks = bpe.load(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    clash = docs.withColumns({"Ids": F.lit("old"), "secret_spans": F.lit("old"), "fingerprint": F.lit("old"), "decoded": F.lit(1)})
+    made = bpe.encode(clash, ranks, decoded="decoded")
+    assert made.columns == [*DOCS_COLUMNS, "secret_spans", "fingerprint", "ids", "decoded"] and made.count() == docs.count()
+    again = bpe.decode(made.withColumn("DECODED", F.lit(2)), ranks)
+    assert again.where(F.col("decoded").eqNullSafe(F.coalesce("text", F.lit("")).cast("binary"))).count() == docs.count()
+    found = secrets.find_secrets(clash)
+    assert found.columns.count("secret_spans") == 1 and dict(found.dtypes)["secret_spans"].startswith("array") and found.count() == docs.count()
+    assert dict(fingerprints.add_fingerprint(clash).dtypes)["fingerprint"] != "string"
+
+
+def test_edited_text(spark):
+    pairs = [("abcdefgh", "XY"), ("abcdefgh", "XYZW"), ("", "XYZ"), ("ab", "XYZ"), ("abc", ""), ("éßñéßñ", "漢字かな")]
+    frame = spark.createDataFrame(pairs, "a string, b string")
+    got = [r[0] for r in frame.select(fingerprints.edited_text(F.col("a"), F.col("b"))).collect()]
+    assert got == [a[: len(a) - len(a) // 3] + b[: len(a) // 3] for a, b in pairs]
+
+
+def test_deep_pages_take_time_in_proportion():
+    """Open elements without ends, ends without elements, marks inside marks: a megabyte is read at once."""
+    deep = "<article><p>" + "<b>" * 100_000 + "</i>" * 100_000 + "the text of the page and it is that " * 30
+    marked = "".join(f'<div class="sidebar-wrap n{i}">the and of in it ' for i in range(20_000))
+    began = time.perf_counter()
+    assert html_text.main_text(deep).startswith("the text of the page") and isinstance(html_text.main_text(marked), str)
+    assert time.perf_counter() - began < 20
+    nested = "<article><p>It was the first of the texts that we had <b><i><u><s><em><strong><span><small><code>and it was long</article>"
+    assert html_text.main_text(nested.replace("</article>", "<p>The second of them was in the other one</p></article>")).count("\n\n") == 1
