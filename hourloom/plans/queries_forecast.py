@@ -903,6 +903,48 @@ SELECT 7 AS model_id, CAST(epoch(TIMESTAMP '{RANGE_FROM}') AS BIGINT) AS date_ti
   x, y, CAST(round_even(10.0::DOUBLE + 0.3::DOUBLE * v, 1) AS DECIMAL(10, 1)) AS value FROM day"""
 
 
+_ALL_CELLS = f"""{DOMAIN["traffic"]}, {DOMAIN["traffic_scaling"]},
+newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date_time, x, y ORDER BY event_id DESC) AS n
+           FROM traffic WHERE model_id = 1 AND {_RANGE}) WHERE n = 1),
+scaled AS (SELECT x, y, date_time, scaling * value AS kfz FROM newest JOIN traffic_scaling USING (x, y)),
+measured_cells AS (SELECT DISTINCT CAST(user_id % 16 AS INTEGER) AS x, CAST(user_id // 16 AS INTEGER) AS y FROM events)"""
+
+
+def grid_sim_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in mode grid_sim, types fixed: every row under each traffic percentage."""
+    domain, path = samples.domain_tables(spark, sf_dir), scratch_path(spark, "grid-sim")
+
+    def predict(rows: DataFrame) -> DataFrame:
+        return _scored(cleaning.fix_column_types(rows, [], ["kfz_per_hour"]))
+
+    runs.grid_run(spark, domain, tf.ntz(RANGE_FROM), tf.ntz(RANGE_TO), predict, 7, {"no2": 150.0}, path, "grid_sim", ("event_id",))
+    return spark.read.parquet(path)
+
+
+GRID_SIM_RUN = f"""WITH {_ALL_CELLS},
+day AS (
+  SELECT scaled.*, CAST(p * 10 AS INTEGER) AS kfz_pct, CASE WHEN hour(timezone('Europe/Berlin', timezone('UTC', date_time))) BETWEEN 5 AND 21 THEN kfz * CAST(p * 10 AS INTEGER) / 100 ELSE kfz END AS v
+  FROM scaled JOIN measured_cells USING (x, y), generate_series(0, 10) s(p))
+SELECT 7 AS model_id, CAST(epoch(TIMESTAMP '{RANGE_FROM}') AS BIGINT) AS date_time_forecast, CAST(epoch(date_time) AS BIGINT) AS date_time,
+  x, y, kfz_pct, CAST(round_even(10.0::DOUBLE + 0.3::DOUBLE * v, 1) AS DECIMAL(10, 1)) AS value FROM day"""
+
+
+def sampler_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions at the cells of the passive samplers, as they are stored."""
+    domain, path = samples.domain_tables(spark, sf_dir), scratch_path(spark, "samplers")
+    runs.sampler_run(spark, domain, tf.ntz(RANGE_FROM), tf.ntz(RANGE_TO), _scored, 7, {"no2": 150.0}, path, ("event_id",))
+    return spark.read.parquet(path)
+
+
+SAMPLER_RUN = f"""WITH {_ALL_CELLS},
+samplers AS (SELECT DISTINCT CAST(c_custkey % 16 AS INTEGER) AS x, CAST(c_custkey // 16 AS INTEGER) AS y FROM customer WHERE c_acctbal < 0),
+day AS (
+  SELECT scaled.*, CASE WHEN hour(timezone('Europe/Berlin', timezone('UTC', date_time))) BETWEEN 5 AND 21 THEN kfz * 100 / 100 ELSE kfz END AS v
+  FROM scaled JOIN samplers USING (x, y) JOIN measured_cells USING (x, y))
+SELECT 7 AS model_id, CAST(epoch(TIMESTAMP '{RANGE_FROM}') AS BIGINT) AS date_time_forecast, CAST(epoch(date_time) AS BIGINT) AS date_time,
+  x, y, CAST(round_even(10.0::DOUBLE + 0.3::DOUBLE * v, 1) AS DECIMAL(10, 1)) AS value FROM day"""
+
+
 def attribution_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_tax")
     names = ["l_quantity", "l_discount", "l_tax"]
@@ -1190,6 +1232,8 @@ QUERIES = {
     "scenario_forecast": (scenario_forecast, SCENARIO_FORECAST),
     "two_stage_combine": (two_stage_combine, TWO_STAGE_COMBINE),
     "grid_run": (grid_run, GRID_RUN),
+    "grid_sim_run": (grid_sim_run, GRID_SIM_RUN),
+    "sampler_run": (sampler_run, SAMPLER_RUN),
     "attribution_topk": (attribution_topk, ATTRIBUTION_TOPK),
     "training_period_json": (training_period_json, TRAINING_PERIOD_JSON),
     "model_settings": (model_settings, _model_settings_sql()),

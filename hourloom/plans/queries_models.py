@@ -16,13 +16,14 @@ from hourloom.operators import attribution, evaluation, folds
 from hourloom.operators.lags import add_station_lags
 from hourloom.operators.search import candidate_table, search_parameters
 from hourloom.operators.stumps import UNIT
-from hourloom.operators.training import fit_staged, fit_with_early_stopping
+from hourloom.operators.training import StagedModel, fit_staged, fit_with_early_stopping
 from hourloom.plans import runs, samples
 from hourloom.plans.queries_forecast import (
     BY_STATION, OBSERVED_LAGS, USER_STATIONS, _folds_sql, _last_sql, _mean_of_two, _rounded, _user_stations, _walk_sql,
 )
 from hourloom.plans.samples import STATION_HOURS, table
-from hourloom.sources import outputs
+from hourloom.session import scratch_path
+from hourloom.sources import outputs, registry
 
 LEVELS = (10.0, 20.0, 35.0, 50.0, 70.0, 100.0, 150.0)
 CUTS = {
@@ -355,6 +356,34 @@ FROM scored JOIN best USING (candidate, fold_id) JOIN candidates USING (candidat
 WHERE fold_id = 3 OR (fold_id = 2 AND candidate IN (SELECT candidate FROM kept1)) OR (fold_id = 1 AND candidate IN (SELECT candidate FROM kept2))
 GROUP BY candidate, lags"""
 
+def registered_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model is trained, registered and promoted; the final one is looked up, loaded and predicts every labelled row of all users."""
+    rows, root = _user_model_rows(spark, sf_dir).select("station_id", "date_time", "y", *FEATURES), scratch_path(spark, "registered")
+    for name in ("temporal_a", "temporal_b"):
+        runs.train_and_register(
+            spark, rows, "y", CALENDAR, FEATURES, [], STUMPS, STUMPS, [1, 24], [1, 2], name, 1, f"{root}/registry", f"{root}/models", CAP,
+            f"{root}/final" if name.endswith("b") else None, "temporal",
+        )
+    known = spark.read.schema(registry.REGISTRY_SCHEMA).parquet(f"{root}/registry")
+    chosen = spark.read.parquet(f"{root}/final").select(F.max("model_id")).first()[0]
+    row = registry.model_row(known, chosen)
+    model = StagedModel.load(row.model_path, row.features_1, row.features_2, row.categorical)
+    settings = registry.model_settings(known).where(F.col("model_id") == chosen).select("model_id", "lags", "lags_avg", "max_training_date_model_2")
+    made = model.transform(rows.where("y IS NOT NULL")).select("station_id", "date_time", "pred", F.lit(chosen).alias("model_id"))
+    return made.join(F.broadcast(settings), "model_id")  # one row
+
+
+REGISTERED_MODEL = f"""WITH {USER_STATIONS}, {MODEL_ROWS},
+known AS (SELECT * FROM model_rows WHERE y IS NOT NULL),
+history AS (SELECT * REPLACE ({_CAPPED}) FROM known),
+{_TWO_ROUNDS}
+SELECT 2 AS model_id, station_id, date_time, [1, 24] AS lags, [1, 2] AS lags_avg, (SELECT strftime(max(date_time), '%Y-%m-%d %H:%M:%S') FROM known) AS max_training_date_model_2,
+  CASE WHEN f + g < 0 THEN 0 ELSE f + g END AS pred
+FROM (
+  SELECT d.station_id, d.date_time, fb.base + coalesce({_side_sql("a", CALENDAR, _ETA, lambda f: f"d.{f}")}, 0) + coalesce({_side_sql("b", CALENDAR, _ETA, lambda f: f"d.{f}")}, 0) AS f,
+    sb.base + coalesce({_side_sql("c", FEATURES, _ETA, lambda f: f"d.{f}")}, 0) + coalesce({_side_sql("e", FEATURES, _ETA, lambda f: f"d.{f}")}, 0) AS g
+  FROM known d CROSS JOIN first_base fb CROSS JOIN second_base sb LEFT JOIN first_s1 a ON TRUE LEFT JOIN first_s2 b ON TRUE LEFT JOIN second_s1 c ON TRUE LEFT JOIN second_s2 e ON TRUE)"""
+
 ATTRIBUTED = {**STUMPS, "rounds": 4}
 
 
@@ -382,6 +411,7 @@ phi AS (SELECT {", ".join(f"abs({_attributed(f)}) AS {f}" for f in FEATURES)} FR
 {" UNION ALL ".join(f"SELECT '{f}' AS feature, round(avg({f}), 6) AS importance, 0.0::DOUBLE AS error FROM phi" for f in FEATURES)}"""
 
 QUERIES = {
+    "registered_model": (registered_model, REGISTERED_MODEL),
     "attribution_trees": (attribution_trees, ATTRIBUTION_TREES),
     "two_stage_fit_predict": (two_stage_fit_predict, TWO_STAGE_FIT_PREDICT),
     "forecast_t_plus_k": (forecast_t_plus_k, FORECAST_T_PLUS_K),

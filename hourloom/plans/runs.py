@@ -129,6 +129,11 @@ def request_handler(
     return handle
 
 
+def described(params: dict | None) -> dict:
+    """The parameters that a description names: single values."""
+    return {k: v for k, v in (params or {}).items() if k != "cuts"}
+
+
 def train_and_register(
     spark: SparkSession, df: DataFrame, target: str, features_1: Sequence[str], features_2: Sequence[str] | None,
     categorical: Sequence[str], params_1: dict, params_2: dict | None, lags: Sequence[int], lags_avg: Sequence[int],
@@ -142,8 +147,8 @@ def train_and_register(
     model = train(df, target, features_1, features_2, categorical, params_1, params_2, cap)
     seen = drop_missing_target(df, target)
     two = features_2 is not None
-    first = training_description(seen, time, params_1, [] if two else lags, [] if two else lags_avg).first()[0]
-    second = training_description(seen, time, params_2 or {}, lags, lags_avg).first()[0] if two else None
+    first = training_description(seen, time, described(params_1), [] if two else lags, [] if two else lags_avg).first()[0]
+    second = training_description(seen, time, described(params_2), lags, lags_avg).first()[0] if two else None
     model_id = register_model(spark, registry_path, model_root, model, target, name, first, second, trained_at)
     if final_path is not None and domain is not None:
         promote_model(spark, final_path, target, domain, model_id)
@@ -246,12 +251,12 @@ def cross_validate_stations(
         model = train(others, target, features_1, features_2, categorical, params_1, params_2, cap)
         made = model.transform(test).withColumn("model_id", F.lit(model_id))
         made.write.mode("overwrite").parquet(f"{path}/predictions/model={model_id}")
-        described = training_description(others, time, {k: v for k, v in params_1.items() if k != "cuts"}, [], []).first()[0]
+        description = training_description(others, time, described(params_1), [], []).first()[0]
         with writing:
             known = spark.read.schema(REGISTRY_SCHEMA).parquet(registry_path) if exists(spark, registry_path) else None
             # A run that was stopped between registry and manifest has the row already.
             if known is None or known.where(F.col("model_id") == model_id).isEmpty():
-                register_model(spark, registry_path, f"{path}/models", model, target, f"{name} {left_out}", described, None, trained_at, model_id)
+                register_model(spark, registry_path, f"{path}/models", model, target, f"{name} {left_out}", description, None, trained_at, model_id)
             write_rows(spark, spark.createDataFrame([(model_id,)], manifest), f"{path}/finished", mode="insert")
 
     in_pool(spark, [partial(validate, r[station], r["model_id"]) for r in plan if r["model_id"] not in finished], workers)

@@ -63,3 +63,22 @@ def test_reschedule_and_retry(spark):
     with pytest.raises(requests.BatchesFailed, match="29 batches failed 2 times") as raised:
         requests.run_with_retry(many, lambda p: p.select("batch", (F.col("batch") == 3).alias("finished")))
     assert sorted(r.batch for r in raised.value.failed.collect()) == [b for b in range(30) if b != 3]
+
+
+def test_a_bad_batch_fails_alone(spark, tmp_path):
+    path, runs_made = str(tmp_path / "rows"), []
+
+    def run(batches):
+        runs_made.append(sorted(r[0] for r in batches.collect()))
+        bad = F.raise_error(F.lit("bad")).cast("int")
+        batches.withColumn("v", F.when(F.col("batch") == 11, bad).otherwise(1)).write.mode("append").parquet(path)
+        return batches.withColumn("finished", F.lit(True))
+
+    batches = spark.range(16).select(F.col("id").cast("int").alias("batch"))
+    with pytest.raises(requests.BatchesFailed) as failed:
+        requests.run_with_retry(batches, requests.isolated(run))
+    assert [r.batch for r in failed.value.failed.collect()] == [11]
+    assert sorted(r[0] for r in spark.read.parquet(path).select("batch").collect()) == [b for b in range(16) if b != 11]
+    told = {(r.batch, r.attempt): r.finished for r in failed.value.reports.collect()}
+    assert told == {**{(b, 1): b != 11 for b in range(16)}, (11, 2): False}
+    assert len(runs_made) <= 1 + 2 * 4 + 1

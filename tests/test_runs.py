@@ -1,6 +1,7 @@
 import json
 
 import numpy as np
+import pytest
 from conftest import at, hourly
 from pyspark.sql import functions as F
 
@@ -8,7 +9,7 @@ from hourloom.functions.timefns import ntz
 from hourloom.operators import attribution
 from hourloom.operators.scoring import LinearScorer, as_column
 from hourloom.operators.training import StagedModel
-from hourloom.plans import runs, samples
+from hourloom.plans import runs, samples, serving
 from hourloom.plans.features import assemble_features, traffic_rows
 from hourloom.sources.registry import model_row
 from hourloom.streaming import requests
@@ -134,3 +135,48 @@ def test_assembly_runs_once_per_grid_run(spark, tmp_path):
     report.collect()
     # The assembly itself reads the table for the scaling and for the volume class.
     assert n <= read.value <= 2 * n
+
+
+def test_service_answers_once_across_a_stop_between_rows_and_report(spark, tmp_path, monkeypatch):
+    domain = samples.domain_tables(spark, SF_DIR)
+    final = spark.createDataFrame([("spatial", 4, "no2"), ("spatial", 9, "no2"), ("temporal", 11, "no2"), ("spatial", 2, "pm10")], "domain STRING, model_id INT, pollutant STRING")
+    asked, loaded = [], []
+
+    def load(depvar, model_id):
+        loaded.append((depvar, model_id))
+        return predict
+
+    source, progress = str(tmp_path / "in"), str(tmp_path / "progress")
+    service = serving.GridService(domain, final, load, ntz(LO), ntz(HI), str(tmp_path / "out"), NEWEST, {}, metric=["kfz_per_hour"])
+
+    def send(*texts):
+        spark.createDataFrame([(t,) for t in texts], "value STRING").coalesce(1).write.mode("append").text(source)
+
+    def request(batch, depvar):
+        asked.append((batch, depvar))
+        return json.dumps({"key": "k", "batch_id": batch, "depvar": depvar})
+
+    write = serving.GridService.write_reports
+    send(request(0, "no2"), request(0, "no2"), request(0, "pm10"), request(1, "pm25"), request(999, "no2"), "junk")
+
+    def stop(self, *args):
+        raise RuntimeError("stopped")
+
+    monkeypatch.setattr(serving.GridService, "write_reports", stop)
+    with pytest.raises(Exception, match="stopped"):
+        service.serve(requests.file_messages(spark, source), progress).awaitTermination()
+    before = service.rows(spark).count()
+    assert before > 0 and service.reports(spark).isEmpty()
+    monkeypatch.setattr(serving.GridService, "write_reports", write)
+    service.serve(requests.file_messages(spark, source), progress).awaitTermination()
+    assert service.rows(spark).count() == before
+    told = {(r.batch, r.depvar): r.model_id for r in service.reports(spark).collect()}
+    assert told == {(0, "no2"): 9, (0, "pm10"): 2, (1, "pm25"): None, (999, "no2"): 9} and service.reports(spark).count() == 4
+    assert spark.read.parquet(f"{tmp_path}/out/rejected").count() == 1
+    # What has been answered for this start is not computed again.
+    loaded.clear()
+    send(request(0, "no2"), request(1, "no2"))
+    service.serve(requests.file_messages(spark, source), progress).awaitTermination()
+    assert loaded == [("no2", 9)] and service.reports(spark).count() == 5 and service.rows(spark).count() >= before
+    per_row = service.rows(spark).groupBy("depvar", "batch", "date_time", "x", "y").count().select("count").distinct().collect()
+    assert [r[0] for r in per_row] == [1]
