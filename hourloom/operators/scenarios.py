@@ -105,6 +105,45 @@ def monotonicity_violations(means: DataFrame, keys: Sequence[str], pct: str = "k
     return falls.groupBy(*keys).agg(F.coalesce(F.sum("__falls"), F.lit(0)).alias("n_violations"))
 
 
+def isotonic(values: Column) -> Column:
+    """The array that never falls and is nearest to `values` by least squares, by pooling adjacent violators.
+
+    Blocks of (sum, n) are kept in order. A new value is a block of its own, and takes in the blocks before it while their mean is above
+    its own; every value then becomes the mean of its block. One pass over an array as long as the list of percentages.
+    """
+    block = "struct<s:double,n:int>"
+
+    def mean(b: Column) -> Column:
+        return b["s"] / b["n"]
+
+    def pool(blocks: Column, value: Column) -> Column:
+        def take_in(state: Column, before: Column) -> Column:
+            own = state["own"]
+            joins = state["open"] & (mean(before) > mean(own))
+            joined = F.struct((before["s"] + own["s"]).alias("s"), (before["n"] + own["n"]).alias("n"))
+            kept = F.when(joins, state["kept"]).otherwise(F.concat(F.array(before), state["kept"]))
+            return F.struct(F.when(joins, joined).otherwise(own).alias("own"), kept.alias("kept"), joins.alias("open"))
+
+        start = F.struct(
+            F.struct(value.cast("double").alias("s"), F.lit(1).alias("n")).alias("own"), F.array().cast(f"array<{block}>").alias("kept"), F.lit(True).alias("open")
+        )
+        return F.aggregate(F.reverse(blocks), start, take_in, lambda state: F.concat(state["kept"], F.array(state["own"])))
+
+    pooled = F.aggregate(values, F.array().cast(f"array<{block}>"), pool)
+    return F.flatten(F.transform(pooled, lambda b: F.array_repeat(mean(b), b["n"])))
+
+
+def monotone_scenarios(df: DataFrame, keys: Sequence[str], pct: str = "kfz_pct", pred: str = "pred") -> DataFrame:
+    """(keys, pct, pred) with predictions that never fall as traffic grows, as near to the given ones as can be.
+
+    A group has one row per percentage, so the arrays are short; rows without a prediction are left out.
+    """
+    known = df.where(F.col(pred).isNotNull())
+    listed = known.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(pct).alias("p"), F.col(pred).alias("v")))).alias("at"))
+    pooled = listed.withColumn("v", isotonic(F.transform("at", lambda x: x["v"])))
+    return pooled.select(*keys, F.inline(F.arrays_zip(F.col("at.p").alias(pct), F.col("v").alias(pred))))
+
+
 def scenario_contribution(
     df: DataFrame, keys: Sequence[str], by: Sequence[str] = (), pred: str = "pred", time: str = "date_time"
 ) -> DataFrame:

@@ -13,6 +13,7 @@ from hourloom.operators import attribution, cleaning, evaluation, folds, scenari
 from hourloom.operators.forecast import lags_from_predictions, prefill_lags, recursive_forecast
 from hourloom.operators.lags import add_row_lags, add_station_lags
 from hourloom.operators.scoring import LinearScorer, combine_stages
+from hourloom.operators.stumps import Split, StumpModel
 from hourloom.operators.station_average import attach_weighted_average, lag_class_means
 from hourloom.operators.training import StagedModel
 from hourloom.plans import features, retrieve, runs, samples, serving
@@ -588,6 +589,27 @@ steps AS (SELECT *, lag(mean) OVER (PARTITION BY station_id, day ORDER BY kfz_pc
 SELECT station_id, day, count(*) FILTER (WHERE mean < before) AS n_violations FROM steps GROUP BY 1, 2"""
 
 
+UNEVEN = StumpModel(10.0, tuple(Split("kfz_per_hour", cut, 0.0, right) for cut, right in ((5.0, 12.0), (20.0, -7.0), (35.0, 9.0), (60.0, -3.0))), ("kfz_per_hour",))
+
+
+def monotone_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of a model that falls in places, made to grow with traffic."""
+    rows = UNEVEN.transform(_scenario_rows(spark, sf_dir), "pred")
+    return _rounded(scenarios.monotone_scenarios(rows, ["station_id", "date_time"]), "pred")
+
+
+_UNEVEN_SQL = "10.0::DOUBLE + " + " + ".join(f"CASE WHEN kfz_per_hour <= {s.cut}::DOUBLE THEN 0 ELSE {s.right}::DOUBLE END" for s in UNEVEN.splits)
+MONOTONE_SCENARIOS = f"""WITH {SCENARIO_ROWS},
+uneven AS (SELECT station_id, date_time, kfz_pct, {_UNEVEN_SQL} AS v FROM scenario_rows),
+runs AS (
+  SELECT a.station_id, a.date_time, a.kfz_pct AS j, b.kfz_pct AS k, avg(b.v) OVER (PARTITION BY a.station_id, a.date_time, a.kfz_pct ORDER BY b.kfz_pct) AS m
+  FROM uneven a JOIN uneven b ON a.station_id = b.station_id AND a.date_time = b.date_time AND a.kfz_pct <= b.kfz_pct),
+least AS (
+  SELECT u.station_id, u.date_time, u.kfz_pct, j, min(m) AS m FROM uneven u
+  JOIN runs r ON r.station_id = u.station_id AND r.date_time = u.date_time AND j <= u.kfz_pct AND k >= u.kfz_pct GROUP BY ALL)
+SELECT station_id, date_time, kfz_pct, round(max(m), 6) AS pred FROM least GROUP BY ALL"""
+
+
 def scenario_contribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = scenarios.scenario_contribution(
         _scored(_scenario_rows(spark, sf_dir)), ["station_id", "date_time"], ["station_id"]
@@ -1219,6 +1241,7 @@ QUERIES = {
     "complete_days_prefix": (complete_days_prefix, COMPLETE_DAYS_PREFIX),
     "max_admissible_pct": (max_admissible_pct, MAX_ADMISSIBLE_PCT),
     "monotonicity_violations": (monotonicity_violations, MONOTONICITY_VIOLATIONS),
+    "monotone_scenarios": (monotone_scenarios, MONOTONE_SCENARIOS),
     "scenario_contribution": (scenario_contribution, SCENARIO_CONTRIBUTION),
     "grid_sim_output": (grid_sim_output, GRID_SIM_OUTPUT),
     "batch_report": (batch_report, BATCH_REPORT),

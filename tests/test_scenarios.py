@@ -113,3 +113,27 @@ def test_range_and_suggestions(spark):
     means = spark.createDataFrame([("a", 1, p, 40.0 + p / 5) for p in range(0, 101, 10)], "station_id STRING, day INT, kfz_pct INT, mean DOUBLE")
     got = {r.day: r.max_percentage for r in scenarios.with_suggestions(days, means, 50.0, 5.0).collect()}
     assert got == {1: "20", 3: None}
+
+
+def test_isotonic_is_the_nearest_that_never_falls(spark):
+    import random
+
+    rng = random.Random(4)
+    lists = [[], [1.0], [3.0, 2.0, 1.0], [1.0, 1.0, 2.0], *([round(rng.uniform(0, 9), 1) for _ in range(rng.randint(2, 11))] for _ in range(60))]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(lists)], "i INT, v ARRAY<DOUBLE>")
+    for r in frame.select("v", scenarios.isotonic(F.col("v")).alias("got")).collect():
+        v, n = r["v"], len(r["v"])
+        # The value at i is the largest over j <= i of the least mean of j..k over k >= i.
+        want = [max(min(sum(v[j : k + 1]) / (k - j + 1) for k in range(i, n)) for j in range(i + 1)) for i in range(n)]
+        assert r["got"] == pytest.approx(want)
+
+
+def test_monotone_scenarios_leave_no_violation(spark):
+    rows = [(s, p, float((p * 7 + s) % 13)) for s in range(5) for p in range(0, 101, 10)] + [(9, 0, None)]
+    df = spark.createDataFrame(rows, "station INT, kfz_pct INT, pred DOUBLE")
+    made = scenarios.monotone_scenarios(df, ["station"])
+    assert made.count() == 55
+    left = scenarios.monotonicity_violations(made, ["station"], mean="pred")
+    assert left.where("n_violations > 0").isEmpty()
+    total = lambda frame: {r[0]: round(r[1], 6) for r in frame.where("pred IS NOT NULL").groupBy("station").sum("pred").collect()}
+    assert total(made) == total(df)
