@@ -191,15 +191,42 @@ def transgressions_per_month(
     )
 
 
+#: Parts that a wide bracket is cut into, and rounds that narrow it: enough for any 64-bit value.
+BRACKET_PARTS, BRACKET_ROUNDS = 4096, 200
+
+
+def _narrower(values: DataFrame, brackets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The brackets cut down to the part that holds the rank; the window of a key has one row per part."""
+    placed = values.join(brackets, list(keys)).where(F.col("__v") <= F.col("__high"))
+    width = F.col("__high") - F.col("__low")
+    part = F.when(width > 0, F.least(F.floor((F.col("__v") - F.col("__low")) / width * BRACKET_PARTS), F.lit(BRACKET_PARTS - 1))).otherwise(0)
+    part = F.when(F.col("__v") >= F.col("__low"), part)  # NULL below the bracket, which comes first in the order
+    counted = placed.groupBy(*keys, "__rank", part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__least"), F.max("__v").alias("__most"))
+    up_to = Window.partitionBy(*keys).orderBy(F.col("__part").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.withColumn("__last", F.sum("__n").over(up_to) - 1)
+
+    def part_at(rank: Column) -> Column:
+        holds = (F.col("__last") - F.col("__n") + 1 <= rank) & (rank <= F.col("__last"))
+        return F.max(F.when(holds, F.struct("__part", "__least", "__most")))
+
+    found = ranked.groupBy(*keys, "__rank").agg(part_at(F.floor("__rank")).alias("a"), part_at(F.ceil("__rank")).alias("b"))
+    same = F.col("a.__part") == F.col("b.__part")
+    # Between two parts the rank lies between the last value of the one and the first of the other.
+    low, high = F.when(same, F.col("a.__least")).otherwise(F.col("a.__most")), F.when(same, F.col("a.__most")).otherwise(F.col("b.__least"))
+    return found.select(*keys, "__rank", low.alias("__low"), high.alias("__high"))
+
+
 def exact_quantile(
-    df: DataFrame, keys: Sequence[str], value: str, p: float, accuracy: int = 10_000, name: str = "quantile",
+    df: DataFrame, keys: Sequence[str], value: str, p: float, accuracy: int = 10_000, name: str = "quantile", most: int = 100_000,
 ) -> DataFrame:
-    """Exact quantile with linear interpolation per key, in two passes.
+    """Exact quantile with linear interpolation per key, in two passes or a few more.
 
     The built-in percentile holds every distinct value of a key in one buffer. Here a mergeable sketch, whose rank error
     is at most n / accuracy, first brackets the wanted rank of each key: three such errors to either side, which is enough from
-    n = accuracy on; a key of fewer rows is bracketed by its extremes. The second pass counts what lies below and inside, and
-    ranks the values inside, some 6 n / accuracy of them. A bracket that misses the rank would raise an error.
+    n = accuracy on; a key of fewer rows is bracketed by its extremes. While a bracket holds more than `most` different values, it is
+    cut into BRACKET_PARTS equal parts that are counted, and the part that holds the rank is the next one. The last pass counts what lies
+    below and inside, and ranks the values inside, so no task ranks more than `most` of a key. A bracket that misses the rank would
+    raise an error.
     """
     margin = 3.0 / accuracy
     low_p, high_p = max(p - margin, 0.0), min(p + margin, 1.0)
@@ -213,9 +240,19 @@ def exact_quantile(
             F.min("__v").alias("__min"), F.max("__v").alias("__max"), F.count(F.lit(1)).alias("__n"),
             F.percentile_approx("__v", [low_p, high_p], accuracy).alias("__cut"),
         )
-        .select(*keys, (F.lit(p) * (F.col("__n") - 1)).alias("__rank"), low.alias("__low"), high.alias("__high"))
+        .select(*keys, (F.lit(p) * (F.col("__n") - 1)).alias("__rank"), low.alias("__low"), high.alias("__high"), "__n")
     )
-    placed = filled.join(store(brackets, "quantile-brackets"), list(keys)).where(F.col("__v") <= F.col("__high"))
+    known = store(brackets, "quantile-brackets")
+    # What a bracket can hold follows from the rows of its key; only where that is too much the values inside are counted.
+    can_hold = known.agg(F.max(F.when(few, F.col("__n")).otherwise(8 * F.col("__n") / accuracy))).first()[0]
+    known = known.drop("__n")
+    for _ in range(BRACKET_ROUNDS if (can_hold or 0) > most else 0):
+        inside = filled.join(known, list(keys)).where(F.col("__v").between(F.col("__low"), F.col("__high")))
+        held = inside.groupBy(*keys).agg(F.approx_count_distinct("__v").alias("n")).agg(F.max("n")).first()[0]
+        if (held or 0) <= most:
+            break
+        known = store(_narrower(filled, known, keys), "quantile-brackets")
+    placed = filled.join(known, list(keys)).where(F.col("__v") <= F.col("__high"))
     # What lies below the bracket is one row per key with a NULL value; NULL comes first in the order.
     inside = F.when(F.col("__v") >= F.col("__low"), F.col("__v"))
     counted = placed.groupBy(*keys, "__rank", inside.alias("__v")).agg(F.count(F.lit(1)).alias("__n"))

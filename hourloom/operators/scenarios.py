@@ -74,12 +74,16 @@ def daily_scenario_means(
 
 
 def max_admissible_percentage(
-    means: DataFrame, keys: Sequence[str], limit: Column | float, tweak: Column | float, pct: str = "kfz_pct", mean: str = "mean"
+    means: DataFrame, keys: Sequence[str], limit: Column | float, tweak: Column | float, pct: str = "kfz_pct", mean: str = "mean",
+    monotone: bool = False,
 ) -> DataFrame:
     """Highest percentage whose daily mean + tweak stays below the limit; "not possible" if 0 % already exceeds it.
 
-    All percentages are looked at, so the prediction need not grow with traffic.
+    All percentages are looked at, so the prediction need not grow with traffic. With `monotone` it is made to, so that every
+    lower percentage is admissible too.
     """
+    if monotone:
+        means = monotone_scenarios(means, keys, pct, mean)
     limit = limit if isinstance(limit, Column) else F.lit(float(limit))
     tweak = tweak if isinstance(tweak, Column) else F.lit(float(tweak))
     adjusted = F.col(mean) + tweak

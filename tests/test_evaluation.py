@@ -171,3 +171,16 @@ def test_quantile_bracket_holds_the_rank_at_every_size(spark):
         got = {r.k: r.quantile for r in evaluation.exact_quantile(df, ["k"], "v", p, accuracy=100).collect()}
         for k, value in got.items():
             assert np.isclose(value, np.quantile([v for kk, v in data if kk == k], p), rtol=1e-12)
+
+
+@pytest.mark.parametrize("p", [0.0, 0.25, 0.5, 0.999, 1.0])
+def test_wide_brackets_are_narrowed(spark, p, monkeypatch):
+    """A hot key of many different values, clusters of very different scale, ties: no more than `most` values of a key are ranked."""
+    rng = np.random.default_rng(5)
+    keys = {"hot": rng.normal(size=20_000), "scales": np.concatenate([10.0 ** rng.uniform(-9, 9, 4000), np.zeros(50)]), "ties": np.repeat([1.0, 2.0], 300), "one": np.array([3.0])}
+    rows = [(k, float(v)) for k, vs in keys.items() for v in vs]
+    df = spark.createDataFrame(rows, "k STRING, v DOUBLE")
+    rounds, narrower = [], evaluation._narrower
+    monkeypatch.setattr(evaluation, "_narrower", lambda *a: rounds.append(1) or narrower(*a))
+    got = {r.k: r.quantile for r in evaluation.exact_quantile(df, ["k"], "v", p, 100, most=20).collect()}
+    assert rounds and got == pytest.approx({k: np.quantile(vs, p) for k, vs in keys.items()}, rel=1e-12)

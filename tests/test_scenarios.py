@@ -137,3 +137,12 @@ def test_monotone_scenarios_leave_no_violation(spark):
     assert left.where("n_violations > 0").isEmpty()
     total = lambda frame: {r[0]: round(r[1], 6) for r in frame.where("pred IS NOT NULL").groupBy("station").sum("pred").collect()}
     assert total(made) == total(df)
+
+
+def test_admissible_percentages_of_means_made_monotone(spark):
+    rows = [("a", p, m) for p, m in zip(range(0, 101, 10), (1.0, 2.0, 9.0, 3.0, 4.0, 4.0, 4.0, 4.0, 4.0, 20.0, 4.0))]
+    df = spark.createDataFrame(rows, "station STRING, kfz_pct INT, mean DOUBLE")
+    given = (df, ["station"], 8.0, 0.0)
+    assert scenarios.max_admissible_percentage(*given).first()["max_percentage"] == "100"
+    # From 20 % on the mean of what falls is 4.6 up to 80 %, and 12 from 90 % on.
+    assert scenarios.max_admissible_percentage(*given, monotone=True).first()["max_percentage"] == "80"
