@@ -368,9 +368,9 @@ def registered_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = spark.read.parquet(f"{root}/final").select(F.max("model_id")).first()[0]
     row = registry.model_row(known, chosen)
     model = StagedModel.load(row.model_path, row.features_1, row.features_2, row.categorical)
-    settings = registry.model_settings(known).where(F.col("model_id") == chosen).select("model_id", "lags", "lags_avg", "max_training_date_model_2")
-    made = model.transform(rows.where("y IS NOT NULL")).select("station_id", "date_time", "pred", F.lit(chosen).alias("model_id"))
-    return made.join(F.broadcast(settings), "model_id")  # one row
+    settings = registry.model_settings(known).where(F.col("model_id") == chosen).first()
+    said = [F.lit(chosen).alias("model_id"), *[F.lit(settings[c]).alias(c) for c in ("lags", "lags_avg", "max_training_date_model_2")]]
+    return model.transform(rows.where("y IS NOT NULL")).select("station_id", "date_time", "pred", *said)
 
 
 REGISTERED_MODEL = f"""WITH {USER_STATIONS}, {MODEL_ROWS},
