@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,12 +17,14 @@ EVERY_PERCENTAGE = tuple(range(101))  # looked at for the highest admissible one
 HOURS_PER_DAY = 24
 
 
+def _scaled(value: Column, percentage: Column, in_traffic_hour: Column) -> Column:
+    return F.when(in_traffic_hour, value * percentage / F.lit(100)).otherwise(value)
+
+
 def scale_traffic(df: DataFrame, percentage: Column | int, value: str = "kfz_per_hour", time: str = "date_time") -> DataFrame:
     """Multiply traffic by percentage / 100 in the local hours 5..21; other hours stay."""
     pct = F.lit(percentage) if isinstance(percentage, int) else percentage
-    return df.withColumn(
-        value, F.when(traffic_hour(F.col(time)), F.col(value) * pct / F.lit(100)).otherwise(F.col(value))
-    )
+    return df.withColumn(value, _scaled(F.col(value), pct, traffic_hour(F.col(time))))
 
 
 def traffic_scenarios(
@@ -73,6 +75,33 @@ def daily_scenario_means(
     return df.groupBy(*keys).agg(*means)
 
 
+def scenario_means(
+    df: DataFrame,
+    keys: Sequence[str],
+    score: Callable[[Mapping[str, Column]], Column],
+    percentages: Sequence[int] = PERCENTAGES,
+    features: Sequence[str] = (),
+    value: str = "kfz_per_hour",
+    time: str = "date_time",
+) -> DataFrame:
+    """keys, kfz_pct, mean: mean prediction per key and percentage, a row for each.
+
+    `score` gives the prediction from its inputs by name: the scaled traffic and the `features`. The hours of a key meet as they are and
+    are multiplied by the percentages behind the exchange, so what is shuffled does not grow with the number of percentages, and what
+    groups by the same keys afterwards needs no exchange. A key, as the day of a station, has few hours.
+    """
+    hour = F.struct(traffic_hour(F.col(time)).alias("__daytime"), *[F.col(f"`{c}`") for c in (value, *features)])
+    listed = df.groupBy(*keys).agg(F.collect_list(hour).alias("__hours"))
+    copies = listed.withColumn("kfz_pct", F.explode(F.array(*[F.lit(p) for p in percentages])))
+
+    def predicted(h: Column) -> Column:
+        return score({value: _scaled(h[value], F.col("kfz_pct"), h["__daytime"]), **{c: h[c] for c in features}})
+
+    known = copies.withColumn("__known", F.filter(F.transform("__hours", predicted), lambda p: p.isNotNull()))
+    mean = F.aggregate("__known", F.lit(0.0), lambda total, p: total + p) / F.nullif(F.size("__known"), F.lit(0))
+    return known.select(*keys, "kfz_pct", mean.alias("mean"))
+
+
 def max_admissible_percentage(
     means: DataFrame, keys: Sequence[str], limit: Column | float, tweak: Column | float, pct: str = "kfz_pct", mean: str = "mean",
     monotone: bool = False,

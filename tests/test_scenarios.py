@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hourloom.functions.timefns import ntz
 from hourloom.operators import scenarios
 from hourloom.operators.scoring import LinearScorer
-from hourloom.plans import runs
+from hourloom.plans import queries_forecast, runs
 
 
 def test_traffic_is_scaled_by_day_only(spark):
@@ -146,3 +146,25 @@ def test_admissible_percentages_of_means_made_monotone(spark):
     assert scenarios.max_admissible_percentage(*given).first()["max_percentage"] == "100"
     # From 20 % on the mean of what falls is 4.6 up to 80 %, and 12 from 90 % on.
     assert scenarios.max_admissible_percentage(*given, monotone=True).first()["max_percentage"] == "80"
+
+
+def test_percentages_multiply_the_hours_behind_the_exchange(spark):
+    """A hundred percentages shuffle no more than one, and the means are those of the scaled rows."""
+    times = hourly("2023-06-20 00:00:00", 24)
+    data = [(s, t, None if t.hour == 9 else float(t.hour * s), 2.0 * s) for s in (1, 2) for t in times] + [(3, times[0], None, None)]
+    df = spark.createDataFrame(data, "station_id INT, date_time TIMESTAMP_NTZ, kfz_per_hour DOUBLE, wind DOUBLE")
+    scorer = LinearScorer({"kfz_per_hour": 0.3, "wind": -1.0}, 10.0)
+    means = scenarios.scenario_means(df, ["station_id"], scorer.column, scenarios.EVERY_PERCENTAGE, ["wind"])
+    plain = scenarios.traffic_scenarios(df, scenarios.EVERY_PERCENTAGE).withColumn("pred", scorer.column())
+    want = {(r[0], r[1]): r[2] for r in plain.groupBy("station_id", "kfz_pct").agg(F.avg("pred")).collect()}
+    got = {(r[0], r[1]): r[2] for r in means.collect()}
+    assert len(got) == 303 and got == pytest.approx(want)
+    unknown = scenarios.scenario_means(df, ["station_id"], lambda at: at["kfz_per_hour"], (0, 100)).collect()
+    assert {(r[0], r[1]): r[2] for r in unknown if r[0] == 3} == {(3, 0): None, (3, 100): None}
+    assert [r[2] for r in unknown if r[:2] == (1, 100)] == pytest.approx([sum(h for h in range(24) if h != 9) / 23])
+
+
+def test_admissible_percentages_shuffle_hours_only(spark):
+    plan = queries_forecast.max_admissible_pct(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    before, _, after = plan.partition("Generate")
+    assert "Exchange" not in before and "Exchange" in after
