@@ -162,6 +162,25 @@ def test_search_gives_up_the_worse_half_and_equals_a_plain_loop(series, monkeypa
     assert all(r["avg_rmse"] == pytest.approx(want[r["candidate"]][1], rel=1e-9) for r in got)
 
 
+def test_a_search_over_more_candidates_needs_no_more_passes(spark, series):
+    """Candidates of one-level trees share their rows, counts and forecasts; those of other cuts of a feature are a set of their own."""
+    cuts = {"h": [6.0, 12.0, 18.0], "y_lag1": [5.0, 10.0, 20.0], "y_lag24": [5.0, 10.0, 20.0], "avg": [5.0, 10.0, 20.0]}
+    context, jobs, made = spark.sparkContext, {}, {}
+    for n in (1, 6):
+        sets = [{"cuts": cuts, "eta": 0.1 + i / 10, "rounds": 2, "min_rows": 5} for i in range(n)]
+        table = search.candidate_table(sets, [(1,), (1, 24)])
+        context.setJobGroup(f"search-{n}", "")
+        found = search.search_parameters(series, "y", ["h"], [], table, ntz("2022-01-13 11:00:00"), 1, 24, 24, 1, 1, 24, [1], average_name="avg")
+        jobs[n] = len(context.statusTracker().getJobIdsForGroup(f"search-{n}"))
+        made[n] = {(r["candidate"], tuple(r["lags"])): r["avg_rmse"] for r in found.collect()}
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(made[6]) == 12 and jobs[6] <= jobs[1] + 2
+    assert {k: made[6][k] for k in made[1]} == pytest.approx(made[1])
+    other = [search.Candidate(0, {"cuts": cuts}, (1,)), search.Candidate(1, {"cuts": {**cuts, "h": [3.0]}}, (1,)), search.Candidate(2, {"cuts": cuts}, (1, 24)), search.Candidate(3, {"maxIter": 2}, (1,))]
+    alone, sets = search.shareable(other, lambda c: ["h", *(f"y_lag{k}" for k in c.lags)])
+    assert [c.number for c in alone] == [3] and [[c.number for c in s] for s in sets] == [[0, 2], [1]]
+
+
 def test_search_of_the_second_stage(spark, series):
     cuts = {"h": [6.0, 12.0, 18.0], "y_lag1": [5.0, 10.0, 20.0], "avg": [5.0, 10.0, 20.0]}
     first = training.fit_staged(series, "y", ["h"], params_1={"cuts": cuts, "rounds": 3})
