@@ -13,7 +13,7 @@ from hourloom.operators.cleaning import cap_outliers, fix_column_types
 from hourloom.plans.features import assemble_features
 from hourloom.plans.runs import batch_report, grid_predictions
 from hourloom.session import store
-from hourloom.sources.merge import exists
+from hourloom.sources.merge import exists, folders
 from hourloom.sources.outputs import grid_output
 from hourloom.streaming.requests import parse_requests
 
@@ -52,7 +52,10 @@ class GridService:
         return spark.read.schema(REPORT_SCHEMA).parquet(path) if exists(spark, path) else spark.createDataFrame([], REPORT_SCHEMA)
 
     def rows(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.root}/rows")
+        """Rows of every request, from the newest answer that holds any: an answer cut short and given again counts once."""
+        stored, request = spark.read.parquet(f"{self.root}/rows"), ["depvar", "batch", "date_time_forecast"]
+        newest = stored.groupBy(*request).agg(F.max("answer").alias("answer"))
+        return stored.join(newest, [*request, "answer"], "left_semi").drop("answer")
 
     def assembled(self, places: DataFrame) -> DataFrame:
         """One stored assembly of all requested cells, which every pollutant reads."""
@@ -62,13 +65,18 @@ class GridService:
         return store(cap_outliers(features.join(places.select("batch", "x", "y").distinct(), ["x", "y"]), self.caps), "requested-features")
 
     def write_rows(self, features: DataFrame, places: DataFrame, models: Mapping[str, int]) -> None:
-        """Rows of every requested batch and pollutant, each in a partition of its own that a repeated write replaces."""
+        """Rows of all requested batches, a folder per pollutant below that of the answer.
+
+        The answer gets the next number, and `rows` takes the newest one of a request. So the files are as many as the tasks, however
+        many requests there are, and nothing stored is read or rewritten.
+        """
+        spark, path = features.sparkSession, f"{self.root}/rows"
+        number = 1 + max((int(name.removeprefix("answer=")) for name in folders(spark, path) if name.startswith("answer=")), default=0)
         for depvar, model_id in sorted(models.items()):
             own = features.join(places.where(F.col("depvar") == depvar).select("batch", "x", "y"), ["batch", "x", "y"], "left_semi")
             predicted = grid_predictions(own, self.load_model(depvar, model_id), self.mode)
-            made = grid_output(predicted, F.lit(model_id), self.lo, self.mode, keep=["batch"]).withColumn("depvar", F.lit(depvar))
-            writer = made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            writer.partitionBy("depvar", "batch", "date_time_forecast").parquet(f"{self.root}/rows")
+            made = grid_output(predicted, F.lit(model_id), self.lo, self.mode, keep=["batch"])
+            made.write.parquet(f"{path}/answer={number}/depvar={depvar}")
 
     def write_reports(self, asked: DataFrame, complete: DataFrame, models: Mapping[str, int]) -> None:
         known = asked.sparkSession.createDataFrame(sorted(models.items()), "depvar STRING, model_id INT")
@@ -81,7 +89,7 @@ class GridService:
         """One batch of the stream.
 
         The report is written last and tells by (batch, pollutant, start) what has been answered, so an epoch that is played again
-        after a stop answers what has no report: rows written before the stop are replaced by the same rows.
+        after a stop answers what has no report: its rows take the place of those written before the stop.
         """
         spark = texts.sparkSession
         parsed = parse_requests(texts).persist()

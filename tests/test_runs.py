@@ -180,3 +180,31 @@ def test_service_answers_once_across_a_stop_between_rows_and_report(spark, tmp_p
     assert loaded == [("no2", 9)] and service.reports(spark).count() == 5 and service.rows(spark).count() >= before
     per_row = service.rows(spark).groupBy("depvar", "batch", "date_time", "x", "y").count().select("count").distinct().collect()
     assert [r[0] for r in per_row] == [1]
+
+
+def test_answers_have_a_folder_per_pollutant_and_count_once_even_if_progress_is_lost(spark, tmp_path, monkeypatch):
+    domain, root = dict(samples.domain_tables(spark, SF_DIR)), tmp_path / "out"
+    domain["grid_batches"] = domain["station_map"].select("x", "y", (F.col("station_id").cast("int") % 3).alias("batch"))
+    final = spark.createDataFrame([("spatial", 9, "no2"), ("spatial", 2, "pm10")], "domain STRING, model_id INT, pollutant STRING")
+    service = serving.GridService(domain, final, lambda *_: predict, ntz(LO), ntz(HI), str(root), NEWEST, {}, metric=["kfz_per_hour"])
+
+    def serve(n, *batches):
+        texts = [json.dumps({"key": "k", "batch_id": b, "depvar": d}) for b in batches for d in ("no2", "pm10")]
+        spark.createDataFrame([(t,) for t in texts], "value STRING").coalesce(1).write.text(str(tmp_path / f"in{n}"))
+        service.serve(requests.file_messages(spark, str(tmp_path / f"in{n}")), str(tmp_path / f"progress{n}")).awaitTermination()
+
+    with monkeypatch.context() as m:
+        m.setattr(serving.GridService, "write_reports", lambda *_: 1 / 0)
+        with pytest.raises(Exception, match="division by zero"):
+            serve(1, 0, 1)
+    first = {tuple(r) for r in service.rows(spark).collect()}
+    # Another stream with its own progress asks for more than was written.
+    serve(2, 1, 2)
+    serve(3, 0, 1, 2)
+    rows = service.rows(spark)
+    per_row = [r[-1] for r in rows.groupBy("depvar", "batch", "date_time", "x", "y").count().collect()]
+    assert set(per_row) == {1} and first < {tuple(r) for r in rows.collect()}
+    assert {(r.depvar, r.batch) for r in rows.select("depvar", "batch").distinct().collect()} == {(d, b) for d in ("no2", "pm10") for b in (0, 1, 2)}
+    assert service.reports(spark).count() == 6
+    holding = {p.parent for p in (root / "rows").rglob("*.parquet")}
+    assert len(holding) == 3 * 2  # an answer and a pollutant, not a request
