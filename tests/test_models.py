@@ -117,6 +117,20 @@ def test_no_round_is_fitted_after_the_block_that_stops(spark, rows, monkeypatch)
     assert sum(grown) <= best + 3 + 4 < 40 and len(model.first.splits) == best + 3
 
 
+def test_assembled_vectors_are_kept_while_trees_are_fitted(df, monkeypatch):
+    fit, held = training.GBTRegressor._fit, []
+    monkeypatch.setattr(training.GBTRegressor, "_fit", lambda self, rows: held.append((rows, rows.storageLevel.useDisk)) or fit(self, rows))
+    trees = {"maxIter": 2, "maxDepth": 2}
+    model = training.fit_staged(df, "y", ["x"], ["kind", "x", "z"], ["kind"], trees, trees)
+    assert [kept for _, kept in held] == [True, True] and not any(rows.storageLevel.useDisk for rows, _ in held)
+    # The same models as the whole pipeline fits.
+    rows = training.training_set(df, "y", ["x", "kind", "z"])
+    left = model.first.transform(rows).withColumn("__residual", F.col("y") - F.col("__prediction")).select("__residual", "kind", "x", "z")
+    for data, label, features, stage in ((rows, "y", ["x"], model.first), (left, "__residual", ["kind", "x", "z"], model.second)):
+        whole = training.stage_pipeline(features, ["kind"], label, trees).fit(data)
+        assert whole.stages[-1].toDebugString.split("\n")[1:] == stage.stages[-1].toDebugString.split("\n")[1:]
+
+
 # --- search
 
 
