@@ -1,15 +1,17 @@
 import json
 
+import duckdb
 import numpy as np
 import pytest
 from conftest import at, hourly
+from oracle import compare
 from pyspark.sql import functions as F
 
 from hourloom.functions.timefns import ntz
 from hourloom.operators import attribution
 from hourloom.operators.scoring import LinearScorer, as_column
 from hourloom.operators.training import StagedModel
-from hourloom.plans import runs, samples, serving
+from hourloom.plans import queries_forecast, runs, samples, serving
 from hourloom.plans.features import assemble_features, traffic_rows
 from hourloom.sources.registry import model_row
 from hourloom.streaming import requests
@@ -208,3 +210,29 @@ def test_answers_have_a_folder_per_pollutant_and_count_once_even_if_progress_is_
     assert service.reports(spark).count() == 6
     holding = {p.parent for p in (root / "rows").rglob("*.parquet")}
     assert len(holding) == 3 * 2  # an answer and a pollutant, not a request
+
+
+@pytest.mark.parametrize("n_batches", [2, 5])
+def test_reports_wait_for_files_that_do_not_grow_with_the_requests(spark, tmp_path, monkeypatch, n_batches):
+    """All cells of `n_batches` have each hour but one cell of batch 1; views and purchases ask for both pollutants."""
+    tables, served, db = tmp_path / "tables", tmp_path / "requests", duckdb.connect()
+    customer, every = spark.read.parquet(f"{SF_DIR}/customer.parquet").where("c_custkey < 50"), range(n_batches)
+    shifted = customer.withColumn("c_custkey", F.explode(F.array(*[F.col("c_custkey") + 50 * i for i in every])))
+    hour = F.col("id") % 120  # the last ones lie behind the range: the weather forecast starts there
+    ts = F.when(hour < 116, F.expr(f"TIMESTAMP_NTZ'{queries_forecast.SERVED_FROM}' + make_dt_interval(0, id % 120)")).otherwise(ntz("2024-01-20 00:00:00"))
+    user = F.floor(F.col("id") / 120)
+    kind = F.when(hour % 2 == 0, "view").otherwise("purchase")
+    events = spark.range(120 * 50 * n_batches).select(
+        F.col("id").alias("event_id"), ts.alias("ts"), user.alias("user_id"), kind.alias("event_type"),
+        (F.col("id") % 100 / 4).alias("value"), F.lit("{}").alias("props"),
+    ).where("NOT (user_id = 60 AND event_id % 120 = 7)")
+    for name, made in {"customer": shifted, "events": events, "region": spark.read.parquet(f"{SF_DIR}/region.parquet")}.items():
+        made.write.parquet(f"{tables}/{name}.parquet")
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tables}/{name}.parquet/*.parquet'")
+    monkeypatch.setattr(queries_forecast, "scratch_path", lambda *_: str(served))
+    reports = queries_forecast.stream_reports(spark, str(tables))
+    assert compare(reports, db, queries_forecast.STREAM_REPORTS) is None
+    finished = {(r.batch, r.depvar) for r in reports.where("finished").collect()}
+    assert finished == {(b, p) for b in every if b != 1 for p in ("no2", "pm10")}
+    holding = {p.parent for p in (served / "served" / "rows").rglob("*.parquet")}
+    assert len(holding) == 2  # one per pollutant, however many batches were asked for
